@@ -44,7 +44,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and each text's offsets into them."""
-    wide = isinstance(column.type, pa.LargeStringType) or pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -63,11 +63,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
         begin = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the place of each text's first word (one more at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, starts_of: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the place of each text's first word (one more at the end).
+
+    With starts_of, a row of hashes for whole words and one for their first k bytes for each k.
+    """
     n = len(data)
     if n == 0:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return np.zeros((1 + len(starts_of), 0) if starts_of else 0, U), np.zeros(len(offsets), np.int64)
     blank = _SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -81,7 +84,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     power, unpower = _power_tables(n + 1)
     sums = np.zeros(n + 1, U)
     np.cumsum((_FOLDED if fold else _CODE)[data] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * unpower[starts]), np.searchsorted(starts, offsets)
+    first = np.searchsorted(starts, offsets)
+    if starts_of:
+        tops = np.stack([ends, *(np.minimum(ends, starts + k) for k in starts_of)])
+        return mix((sums[tops] - sums[starts]) * unpower[starts]), first
+    return mix((sums[ends] - sums[starts]) * unpower[starts]), first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

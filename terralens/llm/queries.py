@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from terralens.llm.chat_format import op3_chat_format
+from terralens.llm.fm_toxicity import op9_toxicity
 from terralens.llm.host_rules import op5_host_rules
+from terralens.llm.pii import op10_pii
 
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
     "op5_host_rules": op5_host_rules,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
