@@ -41,4 +41,4 @@ def texts(docs: DataFrame, *cols: str) -> DataFrame:
 
 def input_mb(df: DataFrame) -> float:
     """Megabytes that the optimizer expects df to hold (for a scan: the sizes of its files)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) / 1e6
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
