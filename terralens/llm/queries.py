@@ -7,9 +7,12 @@ from terralens.llm.fm_toxicity import op9_toxicity
 from terralens.llm.forced_bpe import op6_forced_bpe
 from terralens.llm.host_rules import op5_host_rules
 from terralens.llm.pii import op10_pii
+from terralens.llm.secret_scan import ORACLE_SQL as SECRETS_SQL
+from terralens.llm.secret_scan import op1_secret_scan
 from terralens.llm.sst import op4_token_shards
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_chat_format": op3_chat_format,
     "op4_token_shards": op4_token_shards,
     "op5_host_rules": op5_host_rules,
@@ -18,4 +21,6 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": SECRETS_SQL,
+}
