@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terralens.llm.chat_format import op3_chat_format
+from terralens.llm.decontam import op7_decontamination
 from terralens.llm.fm_toxicity import op9_toxicity
 from terralens.llm.forced_bpe import op6_forced_bpe
 from terralens.llm.host_rules import op5_host_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_token_shards": op4_token_shards,
     "op5_host_rules": op5_host_rules,
     "op6_forced_bpe": op6_forced_bpe,
+    "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
