@@ -7,6 +7,7 @@ from terralens.llm.decontam import op7_decontamination
 from terralens.llm.fm_toxicity import op9_toxicity
 from terralens.llm.forced_bpe import op6_forced_bpe
 from terralens.llm.host_rules import op5_host_rules
+from terralens.llm.ngram_jaccard import op2_ngram_jaccard
 from terralens.llm.pii import op10_pii
 from terralens.llm.secret_scan import ORACLE_SQL as SECRETS_SQL
 from terralens.llm.secret_scan import op1_secret_scan
@@ -14,6 +15,7 @@ from terralens.llm.sst import op4_token_shards
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat_format": op3_chat_format,
     "op4_token_shards": op4_token_shards,
     "op5_host_rules": op5_host_rules,
