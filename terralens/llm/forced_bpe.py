@@ -115,14 +115,14 @@ def decode(encoded: DataFrame, vocabulary: str, *keep: str) -> DataFrame:
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{kinds}decoded string")
 
 
-def _vocabulary() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_forced_bpe(spark, sf_dir: str) -> DataFrame:
-    path = _vocabulary()
+    path = vocabulary_path()
     docs = table(spark, sf_dir, "documents")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
