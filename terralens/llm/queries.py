@@ -7,6 +7,7 @@ from terralens.llm.decontam import op7_decontamination
 from terralens.llm.fm_toxicity import op9_toxicity
 from terralens.llm.forced_bpe import op6_forced_bpe
 from terralens.llm.host_rules import op5_host_rules
+from terralens.llm.katz import op8_katz
 from terralens.llm.ngram_jaccard import op2_ngram_jaccard
 from terralens.llm.pii import op10_pii
 from terralens.llm.secret_scan import ORACLE_SQL as SECRETS_SQL
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_host_rules": op5_host_rules,
     "op6_forced_bpe": op6_forced_bpe,
     "op7_decontamination": op7_decontamination,
+    "op8_katz": op8_katz,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
