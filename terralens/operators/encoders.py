@@ -144,7 +144,7 @@ class _Encoder:
         if self.centroids is None:
             raise RuntimeError("fit the encoder first")
         rows = [(name, list(map(int, a.shape)), a.astype(np.float64).ravel().tolist()) for name, a in self._arrays().items()]
-        rows.append(("type:" + type(self).__name__, [], []))
+        rows.append(("type:" + type(self).__name__, [0], []))
         spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").write.mode("overwrite").parquet(path)
 
     @classmethod
