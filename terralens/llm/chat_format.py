@@ -387,7 +387,7 @@ def format_conversations(conversations: DataFrame, source: str = TEMPLATE, contr
         held, index = None, 0
 
         def flush(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            cols = list(zip(*rows, strict=True))
             loss = [[{"start": a, "end": b} for a, b in x] for x in cols[3]]
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], conv_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(loss, span)], ["conv_id", "seq", "formatted", "loss"])
@@ -407,7 +407,8 @@ def format_conversations(conversations: DataFrame, source: str = TEMPLATE, contr
                 out = []
         if held is not None:
             out.append((held["conv_id"], index, *template.piece(held, index, True)))
-        yield flush(out)
+        if out:
+            yield flush(out)
 
     dealt = rows.repartition("conv_id").sortWithinPartitions(*_SORT)
     return dealt.mapInArrow(fill, f"conv_id {id_type}, seq long, formatted string, loss array<struct<start:long,end:long>>")
@@ -464,7 +465,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     chars += len(said)
         if now is not None:
             out.append(closed())
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        if not out:
+            return
+        cols = list(zip(*out, strict=True))
         kinds = (conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(names))

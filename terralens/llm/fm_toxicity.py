@@ -130,18 +130,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
     return fit([np.frombuffer(t, np.int32) for _, t in found], np.array([y for y, _ in found], np.int64))
 
 
-def score(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
-    """The named columns and `score` (0 to 1) of each row; null texts count as empty, empty ones get the bias's score."""
+def score(docs: DataFrame, machine: Machine, *keep: str, name: str = "score") -> DataFrame:
+    """The named columns and the score (0 to 1, in column `name`) of each row; null texts count as empty, empty ones get the bias's score."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most most_slots rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [b.column(c) for c in keep]
             filled = pa.RecordBatch.from_arrays([b.column("__text")], ["text"])
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(shared.value.scores(term_slots(filled)), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(shared.value.scores(term_slots(filled)), pa.float64())], [*keep, name])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -153,5 +153,5 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the machine doesn't reject (score under 0.5), with their columns."""
-    scored = score(docs, train(docs, labels), *docs.columns)
-    return scored.filter("score < 0.5").drop("score")
+    scored = score(docs, train(docs, labels), *docs.columns, name="__toxicity")
+    return scored.filter("__toxicity < 0.5").drop("__toxicity")

@@ -295,7 +295,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame
     """
     base = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(input_mb(docs) / 64) + 1)
+    mb = input_mb(docs)  # as a petabyte where the optimizer has no idea
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(mb / 64) + 1 if mb < 1e9 else 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -364,7 +365,7 @@ def lookup(shards: DataFrame, ids: list[int]) -> DataFrame:
     wanted = sorted(set(ids))
     hit = F.lit(False)
     for x in wanted:
-        hit |= (F.col("first_id") <= x) & (F.col("last_id") >= x)
+        hit |= (F.col("first_id").isNull() | (F.col("first_id") <= x)) & (F.col("last_id") >= x)  # null ids come first
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
