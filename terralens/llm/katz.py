@@ -9,13 +9,14 @@ The model never is in one place. Tokens are dealt by a hash of the word, packed
 c(hw) are complete, and each document's terms that depend on them are summed. The history's count needs no second trip,
 for it is the word's own count where the word stands, a place earlier. Only unseen bigrams (of held-out documents) ask
 for their history's backoff weight; the tables of histories are dealt by a hash of the history and answer them there.
-Good-Turing's counts of counts of bigrams are known only at the end, so sums keep the number of bigrams with each small
+Histories go by 48 bits of their words' hashes. Good-Turing's counts of counts of bigrams are known only at the end, so sums keep the number of bigrams with each small
 count, and the discounts come in when all is added up.
 """
 
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,9 @@ U = np.uint64
 SMALL = 5  # counts with a Good-Turing discount
 TAIL = 0.5  # what larger counts lose
 BEGIN, END = U(0xA5A5A5A5A5A5A5A5), U(0x5C5C5C5C5C5C5C5C)
-_BLOCK_TOKENS = 1_200_000
+_BLOCK_TOKENS = 1_000_000
+#: A part's words are worked on in this many slices, one after the other, so that memory holds one slice's numbers.
+_SLICES = 4
 _BLOCK_DOCS = 60_000
 
 
@@ -81,8 +84,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], first_block: int) -> Iterator[tup
         n = np.array([len(w) for w in words], np.int64)
         word = np.concatenate(words)
         history = np.empty_like(word)
-        history[1:] = word[:-1]
-        history[np.cumsum(n) - n] = BEGIN
+        history[1:] = word[:-1] >> U(16)
+        history[np.cumsum(n) - n] = BEGIN >> U(16)
         out = (first_block + k, [(i, h, len(w) + 1) for i, h, w in held], sum(not h for _, h, _ in held), history, word, np.repeat(np.arange(len(held)), n))
         k += 1
         held.clear()
@@ -140,21 +143,21 @@ def _word_statistics(group: pa.Table) -> pa.Table:
 
 # --- bigrams, dealt by their second word ------------------------------------------------------------------------
 
-_SENT = "part int, block long, n_train int, words binary, of_word binary, history binary, times binary, docs binary, ids array<long>, held array<boolean>, n array<long>"
+_SENT = "part int, slice int, block long, n_train int, words binary, of_word binary, history binary, times binary, docs binary, ids array<long>, held array<boolean>, n array<long>"
 
 
 def _send_bigrams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    names = ["part", "block", "n_train", "words", "of_word", "history", "times", "docs", "ids", "held", "n"]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+    names = ["part", "slice", "block", "n_train", "words", "of_word", "history", "times", "docs", "ids", "held", "n"]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
     for block, rows, n_train, history, word, doc in _blocks(batches, TaskContext.get().partitionId() << 20):
-        part = (word % U(parts)).astype(np.int16 if parts < 32_000 else np.int64)
+        part = (word % U(parts * _SLICES)).astype(np.int16 if parts * _SLICES < 32_000 else np.int64)
         order = np.lexsort((history, word, part))
         part, word, history, doc = part[order], word[order], history[order], doc[order].astype("<u2")
         del order
         out = []
-        for p, s in _sliced(part, parts):
+        for p, s in _sliced(part, parts * _SLICES):
             w, h = word[s], history[s]
             new_w = np.append(True, w[1:] != w[:-1])
             new = new_w | np.append(True, h[1:] != h[:-1])
@@ -162,9 +165,9 @@ def _send_bigrams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
             times = np.diff(np.append(begin, len(w))).astype("<u4")
             first_w = np.flatnonzero(new_w[begin])
             of_word = np.diff(np.append(first_w, len(begin))).astype("<u4")
-            out.append((p, block, n_train, w[new_w].tobytes(), _short(of_word), h[begin].tobytes(), _short(times), doc[s].tobytes(), None, None, None))
+            out.append((p // _SLICES, p % _SLICES, block, n_train, w[new_w].tobytes(), _short(of_word), _six(h[begin]), _short(times), doc[s].tobytes(), None, None, None))
         ids, held, n = zip(*rows, strict=True)
-        out.append((int(block % parts), block, n_train, None, None, None, None, None, list(ids), list(held), list(n)))
+        out.append((int(block % parts), 0, block, n_train, None, None, None, None, None, list(ids), list(held), list(n)))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
@@ -181,6 +184,18 @@ def _long(data: bytes) -> np.ndarray:
     return out
 
 
+def _six(x: np.ndarray) -> bytes:
+    """48-bit numbers: all their low bytes, then all second ones and so on."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<u8").ravel()
+
+
 #: key: a block or a part; lists by kind, see _score_words.
 _ROWS = "kind string, key long, ids array<long>, ints array<long>, nums array<double>"
 _INTS = 1 + SMALL  # of a document: known tokens, then bigrams with count 1 .. SMALL
@@ -205,9 +220,11 @@ def _score_words(group: pa.Table, uni: Unigrams, parts: int) -> pa.Table:
     counts and the sum of their followers' P(w); ask: of such a part, histories and block * 65536 + document; docs: of a
     block, doc_ids and (held out, tokens); stat: counts of counts of bigrams.
     """
-    blocks, out = [], []
-    for r in group.to_pylist():
-        if r["ids"] is not None:
+    out, of_slice = [], [[] for _ in range(_SLICES)]
+    place = group.column("slice").to_pylist()
+    for row, of in enumerate(place):
+        if group.column("ids")[row].is_valid:
+            r = group.slice(row, 1).to_pylist()[0]
             flat = np.empty(2 * len(r["n"]), np.int64)
             flat[::2], flat[1::2] = r["held"], r["n"]
             # a null doc_id cannot be a number of the list: it is marked in the token count's sign
@@ -215,10 +232,45 @@ def _score_words(group: pa.Table, uni: Unigrams, parts: int) -> pa.Table:
             flat[1::2][null] *= -1
             out.append(("docs", r["block"], [0 if i is None else i for i in r["ids"]], flat, None))
         else:
-            blocks.append(r)
-    del group
-    word = np.concatenate([np.zeros(0, U), *(np.repeat(np.frombuffer(r["words"], U), _long(r["of_word"])) for r in blocks)])
-    history = np.concatenate([np.zeros(0, U), *(np.frombuffer(r["history"], U) for r in blocks)])
+            of_slice[of].append(row)
+    sums = (np.zeros(0, np.int64), np.zeros((0, _INTS), np.int32), np.zeros((0, 2)))
+    asks: list[tuple[np.ndarray, np.ndarray]] = []
+    histories: list[tuple] = []
+    for rows in of_slice:
+        if rows:
+            new, asked = _score_slice(group.select(["block", "n_train", "words", "of_word", "history", "times", "docs"]).take(rows).to_pylist(), uni, out, histories)
+            sums = _merged(sums, new)
+            asks += asked
+    out += _history_rows(histories, parts)
+    del histories
+    refs, ints, nums = sums
+    block = refs >> 16
+    begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(refs)])
+    for b, e in zip(begin, np.append(begin, len(refs))[1:], strict=True):
+        out.append(("sum", int(block[b]), refs[b:e] & 0xFFFF, ints[b:e].ravel(), nums[b:e].ravel()))
+    if asks:
+        of_h, ref = (np.concatenate(x) for x in zip(*asks, strict=True))
+        part = ((of_h >> U(20)) % U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for p, s in _sliced(part[order], parts):
+            out.append(("ask", p, of_h[order][s].view(np.int64), ref[order][s], None))
+    return _table(out)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two sets of documents' sums as one."""
+    ref, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    ints, nums = np.zeros((len(ref), _INTS), np.int32), np.zeros((len(ref), 2))
+    for part, where in ((a, at[: len(a[0])]), (b, at[len(a[0]) :])):
+        ints[where] += part[1]
+        nums[where] += part[2]
+    return ref, ints, nums
+
+
+def _score_slice(blocks: list[dict], uni: Unigrams, out: list, histories: list) -> tuple[tuple, list]:
+    """Sums of documents and what they ask for, from the rows of one slice; counts go to out and histories."""
+    word = np.concatenate([np.repeat(np.frombuffer(r["words"], U), _long(r["of_word"])) for r in blocks])
+    history = np.concatenate([_from_six(r["history"]) for r in blocks])
     trained, times = [], []
     for r in blocks:
         n = _long(r["times"])
@@ -226,63 +278,65 @@ def _score_words(group: pa.Table, uni: Unigrams, parts: int) -> pa.Table:
         trained.append(np.add.reduceat((doc < r["n_train"]).astype(np.int64), np.cumsum(n) - n))
         times.append(n)
     order = np.lexsort((history, word))
-    w, h = word[order], history[order]
-    c = np.concatenate([np.zeros(0, np.int64), *trained])[order]
-    if len(w):
-        new_w = np.append(True, w[1:] != w[:-1])
-        new = new_w | np.append(True, h[1:] != h[:-1])
-        begin, begin_w = np.flatnonzero(new), np.flatnonzero(new_w)
-        pair_count, word_count = np.add.reduceat(c, begin), np.add.reduceat(c, begin_w)
-        per_pair, per_word = np.cumsum(new) - 1, np.cumsum(new_w) - 1
-        c_pair, c_word = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
-        c_pair[order], c_word[order] = pair_count[per_pair], word_count[per_word]
-        unknown = 1.0 - uni.known
-        with np.errstate(divide="ignore"):
-            p_word = np.where(word_count > 0, uni.probability(word_count), unknown)
+    w, h, c = word[order], history[order], np.concatenate(trained)[order]
+    new_w = np.append(True, w[1:] != w[:-1])
+    new = new_w | np.append(True, h[1:] != h[:-1])
+    begin, begin_w = np.flatnonzero(new), np.flatnonzero(new_w)
+    pair_count, word_count = np.add.reduceat(c, begin), np.add.reduceat(c, begin_w)
+    per_pair, per_word = np.cumsum(new) - 1, np.cumsum(new_w) - 1
+    with np.errstate(divide="ignore"):
+        p_word = np.where(word_count > 0, uni.probability(word_count), 1.0 - uni.known)
         # histories: what their followers here add up to
         seen = pair_count > 0
-        of_h, of_c, of_p = h[begin][seen], pair_count[seen], p_word[per_word[begin]][seen]
-        out += _history_rows(of_h, of_c, of_p, parts)
+        of_c = pair_count[seen]
+        histories.append(_history_sums(h[begin][seen], of_c, p_word[per_word[begin]][seen]))
         out.append(("stat", 0, None, np.bincount(np.clip(of_c, 0, SMALL + 2), minlength=SMALL + 3)[1 : SMALL + 2], None))
-        with np.errstate(divide="ignore"):
-            base = np.log10((c_word + 1.0) / (uni.tokens + uni.distinct + 1.0))
-            own = np.where((c_word > 0) & (word != END), -np.log10(np.maximum(c_word, 1)), 0.0)
-            p_of = np.empty(len(w))
-            p_of[order] = p_word[per_word]
-            term = own + np.where(c_pair > SMALL, np.log10(np.maximum(c_pair - TAIL, TAIL)), np.where(c_pair > 0, np.log10(np.maximum(c_pair, 1)), np.log10(p_of)))
-    at = 0
-    asks: list[tuple[np.ndarray, np.ndarray]] = []
+        # terms of a bigram, then of the rows as they came
+        base_w = np.log10((word_count + 1.0) / (uni.tokens + uni.distinct + 1.0))
+        own_w = np.where((word_count > 0) & (w[begin_w] != END), -np.log10(np.maximum(word_count, 1)), 0.0)
+        of_pair = per_word[begin]
+        term_p = own_w[of_pair] + np.where(pair_count > SMALL, np.log10(np.maximum(pair_count - TAIL, TAIL)), np.where(seen, np.log10(np.maximum(pair_count, 1)), np.log10(p_word[of_pair])))
+    c_pair, base, term, known = np.empty(len(w), np.int64), np.empty(len(w)), np.empty(len(w)), np.empty(len(w), bool)
+    c_pair[order], base[order], term[order], known[order] = pair_count[per_pair], base_w[per_word], term_p[per_pair], (word_count > 0)[per_word]
+    at, found, asks = 0, [], []
     for r, n in zip(blocks, times, strict=True):
         doc = np.frombuffer(r["docs"], "<u2").astype(np.int64)
         pair = at + np.repeat(np.arange(len(n)), n)
         at += len(n)
         docs, place = np.unique(doc, return_inverse=True)
-        ints = np.zeros((len(docs), _INTS), np.int64)
-        ints[:, 0] = np.bincount(place[c_word[pair] > 0], minlength=len(docs))
-        few = (c_pair[pair] > 0) & (c_pair[pair] <= SMALL)
-        np.add.at(ints, (place[few], c_pair[pair][few]), 1)
+        ints = np.zeros((len(docs), _INTS), np.int32)
+        ints[:, 0] = np.bincount(place[known[pair]], minlength=len(docs))
+        few = c_pair[pair]
+        for k in range(1, SMALL + 1):
+            ints[:, k] = np.bincount(place[few == k], minlength=len(docs))
         nums = np.stack([np.bincount(place, base[pair], len(docs)), np.bincount(place, term[pair], len(docs))], 1)
-        out.append(("sum", r["block"], docs, ints.ravel(), nums.ravel()))
-        if len(lone := np.flatnonzero(c_pair[pair] == 0)):
+        found.append(((r["block"] << 16) + docs, ints, nums))
+        if len(lone := np.flatnonzero(few == 0)):
             asks.append((history[pair[lone]], (r["block"] << 16) + doc[lone]))
-    if asks:
-        of_h, ref = (np.concatenate(x) for x in zip(*asks, strict=True))
-        part = ((of_h >> U(20)) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        for p, s in _sliced(part[order], parts):
-            out.append(("ask", p, of_h[order][s].view(np.int64), ref[order][s], None))
-    return _table(out)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)), asks
 
 
-def _history_rows(h: np.ndarray, c: np.ndarray, p: np.ndarray, parts: int) -> Iterator[tuple]:
+def _history_sums(h: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple:
+    """(histories, their counts, sums of P(w)) of distinct bigrams with counts c and second words' P(w)."""
+    order = np.argsort(h, kind="stable")
+    h, c, p = h[order], c[order], p[order]
+    if not len(h):
+        return h, np.zeros((0, _HISTORY), np.int64), p
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    ints = np.stack([np.add.reduceat(x, begin) for x in (c, *((c == r).astype(np.int64) for r in range(1, SMALL + 1)), (c > SMALL).astype(np.int64))], 1)
+    return h[begin], ints, np.add.reduceat(p, begin)
+
+
+def _history_rows(slices: list[tuple], parts: int) -> Iterator[tuple]:
+    h = np.concatenate([np.zeros(0, U), *(x[0] for x in slices)])
     part = ((h >> U(20)) % U(parts)).astype(np.int64)
     order = np.lexsort((h, part))
-    h, c, p, part = h[order], c[order], p[order], part[order]
+    h, part = h[order], part[order]
     if not len(h):
         return
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    ints = np.stack([np.add.reduceat(x, begin) for x in (c, *((c == r).astype(np.int64) for r in range(1, SMALL + 1)), (c > SMALL).astype(np.int64))], 1)
-    sums = np.add.reduceat(p, begin)
+    ints = np.add.reduceat(np.concatenate([x[1] for x in slices])[order], begin, axis=0)
+    sums = np.add.reduceat(np.concatenate([x[2] for x in slices])[order], begin)
     for k, s in _sliced(part[begin], parts):
         yield ("alpha", k, h[begin][s].view(np.int64), ints[s].ravel(), sums[s])
 
@@ -354,8 +408,10 @@ def _added_up(group: pa.Table, pair_discount: np.ndarray, uni: Unigrams) -> pa.T
 
 def _free(spark) -> None:
     """Lets Spark delete the shuffle files of finished steps, which it does when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans first, then the shuffles that only they referred to
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2") -> DataFrame:
@@ -372,7 +428,7 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     spark = docs.sparkSession
     base = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
     n_docs, trains, size = base.agg(F.count(F.lit(1)), F.sum((~F.col("held_out")).cast("long")), F.sum(F.octet_length("text").cast("long"))).first()
-    parts = max(8, -(-int(size or 0) // 16_000_000))
+    parts = max(8, -(-int(size or 0) // 20_000_000))
     counted = base.mapInArrow(lambda it: _count_words(it, parts), _COUNTED).groupBy("part").applyInArrow(_word_statistics, "r long, n long")
     stats = {r["r"]: r["n"] for r in counted.groupBy("r").agg(F.sum("n").alias("n")).collect()}
     del counted
