@@ -246,8 +246,15 @@ class ProductQuantizer:
 
         return vectors.select("patch_id", "vec").mapInArrow(run, "patch_id long, code binary")
 
-    def search(self, queries: DataFrame, coded: DataFrame, k: int) -> DataFrame:
-        """Approximate distances by summing each query's table entries; the k best of each task go on."""
+    def search(self, queries: DataFrame, coded: DataFrame, k: int, base: DataFrame | None = None, refine: int = 8) -> DataFrame:
+        """Approximate distances by summing each query's table entries; the k best of each task go on.
+
+        With base (patch_id, vec), refine * k candidates are found that way and ranked by their exact distances.
+        """
+        if base is not None:
+            found = self.search(queries, coded, k * refine).select("query_id", "patch_id")
+            pairs = found.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(base.select("patch_id", "vec"), "patch_id")
+            return ranked(pairs.select("query_id", "patch_id", squared_l2(F.col("q"), F.col("vec")).alias("distance")), k)
         spark, out = coded.sparkSession, None
         for block in _query_blocks(queries.select("query_id", "vec"), 256):
             rows = block.toArrow()

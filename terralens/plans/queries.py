@@ -554,7 +554,7 @@ def ransac_verify(spark, d):
 def ivf_pq_knn(spark, d):
     v = _vectors(spark, d).select("patch_id", "vec")
     pq = knn.ProductQuantizer(m=8).fit(v)
-    return pq.search(_queries(spark, d), pq.encode(v), 10).select("query_id", "patch_id", "rank", F.round("distance", 6).alias("distance"))
+    return pq.search(_queries(spark, d), pq.encode(v), 10, base=v).select("query_id", "patch_id", "rank", F.round("distance", 6).alias("distance"))
 
 
 def _pictures(spark, d) -> DataFrame:
