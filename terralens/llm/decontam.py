@@ -72,6 +72,8 @@ class Items:
             prints = np.array([self.fingerprints(w, len(w))[0] for w in of.pop("words")], U)
             of["prints"], of["item"], of["offset"] = prints, np.array(of["item"]), np.array(of["offset"])
             of["tables"] = [self._table(prints, b) for b in range(_BLOCKS)]
+            of["many"] = [np.diff(at).astype(np.int32) for at, _ in of["tables"]]
+            of["hit"] = [many > 0 for many in of["many"]]
 
     @staticmethod
     def _table(prints: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,20 +117,22 @@ class Items:
     def candidates(self, c: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, place in the class's fingerprints) of all pairs within RADIUS bits."""
         of, found = self.classes[c], []
+        own, blocks = of["prints"], prints.view(np.uint16).reshape(-1, _BLOCKS)  # little-endian: block b is bits 16 b and up
         for b, (at, who) in enumerate(of["tables"]):
-            value = (prints >> U(16 * b)).astype(np.uint16)
-            many = at[value.astype(np.int32) + 1] - at[value]
-            where = np.flatnonzero(many)
+            value = np.ascontiguousarray(blocks[:, b])
+            where = np.flatnonzero(of["hit"][b][value]).astype(np.int32)
             if not len(where):
                 continue
-            n = many[where]
+            value = value[where]
+            n = of["many"][b][value]
             left = np.repeat(where, n)
-            step = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-            right = who[at[value[left]] + step]
-            close = np.bitwise_count(prints[left] ^ of["prints"][right]) <= RADIUS
-            found.append(left[close].astype(np.int64) * len(of["prints"]) + right[close])
+            ends = np.cumsum(n, dtype=np.int32)
+            right = who[np.arange(len(left), dtype=np.int32) + np.repeat(at[value] - (ends - n), n)]
+            close = np.flatnonzero(np.bitwise_count(prints[left] ^ own[right]) <= RADIUS)
+            if len(close):
+                found.append(left[close].astype(np.int64) * len(own) + right[close])
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return np.divmod(pairs, max(1, len(of["prints"])))
+        return np.divmod(pairs, max(1, len(own)))
 
     def leaks(self, words: np.ndarray, first: np.ndarray, least: float) -> dict[tuple[int, int], tuple[float, int]]:
         """(text, item) -> (similarity, first word) of the best window, for all pairs that reach `least`."""
