@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm._tables import table
+from terralens.llm._text import pieces
 from terralens.llm.sst import WordMemory, packed_ids, spelled, word_finder
 
 #: The pre-tokenizer of the word vocabulary (a fixed pattern of its format).
@@ -48,7 +49,7 @@ class ForcedBoundaryBpe:
         self.words = word_finder(PATTERN)
         names = {i: t for t, i in vocab.items()} | {i: t.content for i, t in special.items()}
         self.names = [names[i].encode() for i in range(max(names) + 1)]
-        self.fragments, self.known = WordMemory(self._fragment, 60_000), WordMemory(self._word)
+        self.fragments, self.known = WordMemory(self._fragment, 60_000), WordMemory(self._word, 120_000)
 
     def cuts(self, word: str) -> list[str]:
         """The fragments of a word of byte letters."""
@@ -94,7 +95,7 @@ def encode(docs: DataFrame, vocabulary: str, *keep: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch, "__text")):
             ids = [coder(vocabulary).encode(t.as_py()) for t in b.column("__text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
 
