@@ -55,10 +55,11 @@ def term_slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             yield np.unique(slots[:, first[i] : first[i + 1]])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, most_slots: int = 768, rank: int = 6, steps: int = 250, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, most_slots: int = 768, rank: int = 6, steps: int = 250, seed: int = 7, most_weight: float = 4.0) -> Machine:
     """Fits the machine to term lists and 0/1 labels; without both labels it says the only one's share.
 
-    The slots in use are the `most_slots` with the largest log-likelihood ratio against the label.
+    The slots in use are the `most_slots` with the largest log-likelihood ratio against the label. Rows of the rarer
+    label weigh more, up to `most_weight`, so that one telling term can be enough where training rows mostly have several.
     """
     n, positive = len(rows), int(labels.sum())
     base = math.log((positive + 0.5) / (n - positive + 0.5))
@@ -89,12 +90,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, most_slots: int = 768, rank:
     params = [np.zeros(len(slots), np.float32), rng.normal(0, 0.02, (len(slots), rank)).astype(np.float32), np.full(1, base, np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     y = labels.astype(np.float32)
+    heavier = np.clip(np.where(y == 1, (n - positive) / positive, positive / (n - positive)), 1, most_weight)
+    heavier = (heavier / heavier.sum()).astype(np.float32)
     decay = (2e-4, 2e-3, 0.0)
     for step in range(1, steps + 1):
         w, v, b = params
         xv = x @ v
         z = b + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * heavier
         grads = [x.T @ error, x.T @ (error[:, None] * xv) - (x.T @ error)[:, None] * v, error.sum(keepdims=True)]
         for p, g, m, d in zip(params, grads, moments, decay, strict=True):
             g = g + d * p / 10
