@@ -202,7 +202,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, most_
                         ["doc_id", "item_id", "start_word", "similarity"],
                     )
 
-        part = rows.mapInArrow(run, f"doc_id {id_type}, item_id long, start_word long, similarity double")
+        part = rows.mapInArrow(_text.tidied(run, 200), f"doc_id {id_type}, item_id long, start_word long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("item_id", F.col("item_id").cast(item_type))
 
@@ -222,7 +222,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, most_items
                     yield piece.drop_columns("__text").filter(pa.array(keep))
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        docs = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, kinds)
+        docs = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(_text.tidied(run, 200), kinds)
     return docs
 
 

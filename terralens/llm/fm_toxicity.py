@@ -144,7 +144,7 @@ def score(docs: DataFrame, machine: Machine, *keep: str, name: str = "score") ->
             yield pa.RecordBatch.from_arrays([*kept, pa.array(shared.value.scores(term_slots(filled)), pa.float64())], [*keep, name])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, f"{kinds}, `{name}` double")
+    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(_text.tidied(run), f"{kinds}, `{name}` double")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm._tables import table
-from terralens.llm._text import pieces
+from terralens.llm._text import pieces, tidied
 from terralens.llm.sst import WordMemory, packed_ids, spelled, word_finder
 
 #: The pre-tokenizer of the word vocabulary (a fixed pattern of its format).
@@ -101,7 +101,7 @@ def encode(docs: DataFrame, vocabulary: str, *keep: str) -> DataFrame:
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     filled = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    return filled.mapInArrow(run, f"{kinds}ids binary")
+    return filled.mapInArrow(tidied(run, 30), f"{kinds}ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str, *keep: str) -> DataFrame:

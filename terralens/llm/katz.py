@@ -254,6 +254,7 @@ def _score_words(group: pa.Table, uni: Unigrams, parts: int) -> pa.Table:
         order = np.argsort(part, kind="stable")
         for p, s in _sliced(part[order], parts):
             out.append(("ask", p, of_h[order][s].view(np.int64), ref[order][s], None))
+    _text.release()
     return _table(out)
 
 
