@@ -202,80 +202,151 @@ class VectorIndex:
         return out
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The row of the nearest center, for some thousand vectors at once."""
+    norms = (centers * centers).sum(1)
+    return np.concatenate([np.zeros(0, np.int64), *((norms - 2 * x[i : i + 4096] @ centers.T).argmin(1) for i in range(0, len(x), 4096))])
+
+
+def _lloyd(x: np.ndarray, size: int, rng: np.random.Generator, iterations: int) -> np.ndarray:
+    c = x[rng.choice(len(x), size, replace=False)]
+    for _ in range(iterations):
+        near = _nearest(x, c)
+        count = np.bincount(near, minlength=size)
+        sums = np.stack([np.bincount(near, x[:, j], size) for j in range(x.shape[1])], 1)
+        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
+    return c
+
+
 @dataclass
 class ProductQuantizer:
-    """Codes of `m` sub-vectors, `bits` bits each, for residuals to the list's centroid; searched by lookup tables."""
+    """Inverted lists of codes: `m` sub-vectors, `bits` bits each, of the residuals to the list's centroid.
+
+    A coded vector keeps how far its code is from it. So lookup tables give bounds of the exact distance, and search leaves
+    out only what the bounds rule out: its result is that of exact search, however large the table is.
+    """
 
     m: int = 32
     bits: int = 8
     books: np.ndarray | None = None  # m x 2**bits x dim / m
+    n_lists: int | None = None  # by default the root of the number of vectors
+    centroids: np.ndarray | None = None  # lists x dim
 
     def fit(self, vectors: DataFrame, most_rows: int = 20_000, seed: int = 42, iterations: int = 12) -> ProductQuantizer:
-        """Learns the books on a sample of at most about `most_rows` vectors, picked by a hash of patch_id."""
+        """Learns lists and books on a sample of at most about `most_rows` vectors, picked by a hash of patch_id."""
         n = vectors.count()
         kept = vectors.filter(F.pmod(F.xxhash64("patch_id"), F.lit(1_000_000)) < int(min(1.0, most_rows / max(1, n)) * 1_000_000))
         x = matrix(kept.select("vec").toArrow().column("vec").combine_chunks())
+        if not len(x):
+            raise ValueError("no vectors to train on")
         if x.shape[1] % self.m:
             raise ValueError("the dimension must be a multiple of m")
         rng = np.random.default_rng(seed)
-        size = min(1 << self.bits, len(x))
-        books = []
-        for part in np.split(x, self.m, 1):
-            c = part[rng.choice(len(part), size, replace=False)]
-            for _ in range(iterations):
-                near = ((part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1)).argmin(1)
-                count = np.bincount(near, minlength=size)
-                sums = np.stack([np.bincount(near, part[:, j], size) for j in range(part.shape[1])], 1)
-                c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
-            books.append(c)
-        self.books = np.stack(books)
+        # a centroid needs some tens of the sample's vectors
+        self.n_lists = max(1, min(self.n_lists or math.isqrt(n), len(x) // 39))
+        self.centroids = _lloyd(x, self.n_lists, rng, iterations)
+        rest = x - self.centroids[_nearest(x, self.centroids)]
+        self.books = np.stack([_lloyd(part, min(1 << self.bits, len(x)), rng, iterations) for part in np.split(rest, self.m, 1)])
         return self
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        parts = np.split(x, self.m, 1)
-        return np.stack([((b * b).sum(1) - 2 * p @ b.T).argmin(1) for p, b in zip(parts, self.books, strict=True)], 1).astype(np.uint8)
+        """Codes of residuals."""
+        return np.stack([_nearest(p, b) for p, b in zip(np.split(x, self.m, 1), self.books, strict=True)], 1).astype(np.uint8)
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
 
     def encode(self, vectors: DataFrame) -> DataFrame:
-        """(patch_id, code) of every vector."""
+        """(list_id, patch_id, code, shift, error, reach, vec) of every vector.
+
+        shift is what the list and the code add to every query's squared distance, error the distance from the vector to
+        its code, reach that to its list's centroid.
+        """
         shared = vectors.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pq = shared.value
             for b in batches:
-                codes = [c.tobytes() for c in shared.value.codes(matrix(b.column("vec")))] if b.num_rows else []
-                yield pa.RecordBatch.from_arrays([b.column("patch_id"), pa.array(codes, pa.binary())], ["patch_id", "code"])
-
-        return vectors.select("patch_id", "vec").mapInArrow(run, "patch_id long, code binary")
-
-    def search(self, queries: DataFrame, coded: DataFrame, k: int, base: DataFrame | None = None, refine: int = 8) -> DataFrame:
-        """Approximate distances by summing each query's table entries; the k best of each task go on.
-
-        With base (patch_id, vec), refine * k candidates are found that way and ranked by their exact distances.
+                if not b.num_rows:
+                    continue
+                x = matrix(b.column("vec"))
+                lists = _nearest(x, pq.centroids)
+                rest = x - pq.centroids[lists]
+                codes = pq.codes(rest)
+                r = pq.decoded(codes)
+                shift = (r * r).sum(1) + 2 * (r * pq.centroids[lists]).sum(1)
+                error, reach = np.sqrt(((rest - r) ** 2).sum(1)), np.sqrt((rest * rest).sum(1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists, pa.int32()), b.column("patch_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(shift), pa.array(error), pa.array(reach), b.column("vec")],
+                    ["list_id", "patch_id", "code", "shift", "error", "reach", "vec"],
+                )
+
+        kind = vectors.schema["vec"].dataType.simpleString()
+        return vectors.select("patch_id", "vec").mapInArrow(run, f"list_id int, patch_id long, code binary, shift double, error double, reach double, vec {kind}")
+
+    def search(self, queries: DataFrame, coded: DataFrame, k: int, n_probe: int = 8) -> DataFrame:
+        """The k nearest of each query, as exact search gives them.
+
+        The n_probe nearest lists give a distance within which a query has k vectors (infinite if they hold fewer). Then
+        the lists that reach into it are read, and in them the vectors whose codes may lie within it get exact distances.
         """
-        if base is not None:
-            found = self.search(queries, coded, k * refine).select("query_id", "patch_id")
-            pairs = found.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(base.select("patch_id", "vec"), "patch_id")
-            return ranked(pairs.select("query_id", "patch_id", squared_l2(F.col("q"), F.col("vec")).alias("distance")), k)
         spark, out = coded.sparkSession, None
-        for block in _query_blocks(queries.select("query_id", "vec"), 256):
+        reach = {r[0]: r[1] for r in coded.groupBy("list_id").agg(F.max("reach")).collect()}
+        for block in _query_blocks(queries.select("query_id", "vec"), 1024):
             rows = block.toArrow()
             ids, q = rows.column("query_id").to_numpy(), matrix(rows.column("vec").combine_chunks())
-            tables = np.stack([((p[:, None] - b[None]) ** 2).sum(2) for p, b in zip(np.split(q, self.m, 1), self.books, strict=True)], 1)
-            shared = spark.sparkContext.broadcast((ids, tables))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared, m=self.m) -> Iterator[pa.RecordBatch]:
-                ids, tables = shared.value
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, m)
-                    d = sum(tables[:, j, codes[:, j]] for j in range(m))
-                    top = np.argsort(d, 1, kind="stable")[:, :k]
-                    got = b.column("patch_id").to_numpy()[top]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(got.ravel()), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "patch_id", "distance"])
-
-            part = ranked(coded.mapInArrow(run, FOUND), k)
+            if not len(ids):
+                continue
+            far = np.maximum((q * q).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * q @ self.centroids.T, 0)
+            probed = np.zeros(far.shape, bool)
+            np.put_along_axis(probed, np.argsort(far, 1, kind="stable")[:, :n_probe], True, 1)
+            tables = np.stack([p @ b.T for p, b in zip(np.split(q, self.m, 1), self.books, strict=True)], 1)
+            # codes' distances, without the vectors'
+            first = spark.sparkContext.broadcast((ids, q, far, tables, probed, None))
+            in_lists = F.col("list_id").isin(np.flatnonzero(probed.any(0)).tolist())
+            within = ranked(coded.filter(in_lists).mapInArrow(self._scan(first, k), FOUND), k).groupBy("query_id").agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"))
+            bound = {r["query_id"]: r["d"] for r in within.collect() if r["n"] == k}
+            limit = np.array([bound.get(i, np.inf) for i in ids.tolist()])
+            reaches = np.array([reach.get(c, -np.inf) for c in range(len(self.centroids))])
+            open_ = np.sqrt(far) - reaches <= limit[:, None] + 1e-6
+            second = spark.sparkContext.broadcast((ids, q, far, tables, open_, limit))
+            near = coded.filter(F.col("list_id").isin(np.flatnonzero(open_.any(0)).tolist()))
+            part = ranked(near.mapInArrow(self._scan(second, k), FOUND), k)
             out = part if out is None else out.unionByName(part)
-        return out
+        return spark.createDataFrame([], FOUND + ", rank int") if out is None else out
+
+    def _scan(self, shared, k: int):
+        """Without limits, the k least upper bounds of each query's distances; with them, the k least squared distances."""
+
+        def run(batches: Iterator[pa.RecordBatch], m=self.m) -> Iterator[pa.RecordBatch]:
+            ids, q, far, tables, lists_of, limit = shared.value
+            best_d, best_i = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+            for b in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, m)
+                lists, error, patch = b.column("list_id").to_numpy(), b.column("error").to_numpy(), b.column("patch_id").to_numpy()
+                seen = far[:, lists] + b.column("shift").to_numpy()
+                for j in range(m):
+                    seen -= 2 * tables[:, j, codes[:, j]]
+                seen = np.sqrt(np.maximum(seen, 0))
+                # what can be among the best so far; equal ones need their ids
+                if limit is None:
+                    who, which = np.nonzero(lists_of[:, lists] & (seen + error <= best_d[:, -1:]))
+                    d = (seen + error)[who, which]
+                else:
+                    low = seen - error - 1e-6
+                    who, which = np.nonzero(lists_of[:, lists] & (low <= np.minimum(limit, np.sqrt(best_d[:, -1]))[:, None]))
+                    x = matrix(b.column("vec"))
+                    d = np.concatenate([np.zeros(0), *(((q[who[i : i + 65_536]] - x[which[i : i + 65_536]]) ** 2).sum(1) for i in range(0, len(who), 65_536))])
+                who, d, i = (np.concatenate(z) for z in ((np.repeat(np.arange(len(ids)), k), who), (best_d.ravel(), d), (best_i.ravel(), patch[which])))
+                order = np.lexsort((i, np.round(d, 9), who))
+                who, d, i = who[order], d[order], i[order]
+                place = np.arange(len(who)) - np.searchsorted(who, who)
+                keep = place < k
+                best_d, best_i = d[keep].reshape(-1, k), i[keep].reshape(-1, k)
+            keep = np.isfinite(best_d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(best_i[keep]), pa.array(best_d[keep])], ["query_id", "patch_id", "distance"])
+
+        return run
 
 
 def distractors(base: DataFrame, n: int, noise: float = 0.02, seed: int = 42) -> DataFrame:
