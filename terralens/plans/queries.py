@@ -558,9 +558,11 @@ def ivf_pq_knn(spark, d):
 
 
 def _pictures(spark, d) -> DataFrame:
-    """A gray picture of 64 x 64 of each page's first bytes: something with texture to run kernels on."""
-    bytes_ = F.rpad(F.substring(F.base64(F.col("html").cast("binary")), 1, 4096), 4096, "A").cast("binary")
-    image = F.struct(F.col("url").alias("origin"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), bytes_.alias("data"))
+    """A gray picture of each page's whole html, 64 columns and at least 64 rows: something with texture to run kernels on."""
+    code = F.translate(F.base64(F.col("html").cast("binary")), "\r\n", "")
+    rows = F.greatest(F.lit(64), F.ceil(F.length(code) / 64)).cast("int")
+    bytes_ = F.rpad(code, rows * 64, "A").cast("binary")
+    image = F.struct(F.col("url").alias("origin"), rows.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), bytes_.alias("data"))
     return _t(spark, d, "pages").select(F.col("page_id").alias("patch_id"), image.alias("image"))
 
 
