@@ -3,8 +3,12 @@
 Items fall into length classes, each at most a quarter shorter than its items. An item has the SimHash of its first and of
 its last class-length words; a document has that of every window of as many words, from running sums of the words'
 weighted signs. A 64-bit fingerprint is four blocks of 16 bits: two fingerprints that differ in at most 11 bits differ in
-at most two bits of some block, so tables of all block values within two bits of an item's find every such pair. A
-candidate is verified on the item-sized window: the weighted Jaccard similarity of its 5-word shingles with the item's,
+at most two bits of some block, so tables of all block values within two bits of an item's find every such pair.
+
+Changed runs of neighbouring words move fingerprints of long items further than that. A pair that reaches 0.75 still has
+unchanged words in a row: of n words, e changes keep a plain similarity of 0.75 only for n - 4 >= 35 e, so that one of the
+gaps between them has 15 words at least (9 below 22 words). So items are cut into blocks of 8 (5) words, one of which lies
+in such a gap, and every window of as many words of a document is looked up among them. A candidate is verified on the item-sized window: the weighted Jaccard similarity of its 5-word shingles with the item's,
 a shingle weighing log(1 + items / items with it).
 """
 
@@ -27,6 +31,9 @@ RADIUS = 11
 PIECE = 1 << 15
 _STEP = 1.35
 _BLOCKS = 4
+#: (fewest, most) words of an item, and the words of its anchors; shorter items are classes of their own length.
+_ANCHORS = ((5, 21, 5), (22, 1 << 60, 8))
+_LOW = U((1 << 18) - 1)
 #: All 16-bit values of at most RADIUS // _BLOCKS bits.
 _NEAR = np.array([sum(1 << b for b in bits) for k in range(RADIUS // _BLOCKS + 1) for bits in itertools.combinations(range(16), k)], np.int64)
 
@@ -75,6 +82,38 @@ class Items:
             of["many"] = [np.diff(at).astype(np.int32) for at, _ in of["tables"]]
             of["hit"] = [many > 0 for many in of["many"]]
 
+        self.anchors = [a for fewest, most, q in _ANCHORS if (a := self._anchors(fewest, most, q))]
+
+    def _anchors(self, fewest: int, most: int, q: int) -> tuple | None:
+        """(q, sorted keys, their items, their offsets, which low bits occur) of the blocks of items of such lengths."""
+        rows = [(item, o) for item, w in enumerate(self.words) if fewest <= len(w) <= most for o in {*range(0, len(w) - q + 1, q), len(w) - q}]
+        if not rows:
+            return None
+        item, offset = np.array(rows).T
+        keys = np.array([_text.mix(self.words[i][o : o + q]).sum(dtype=U) for i, o in rows], U)
+        order = np.argsort(keys, kind="stable")
+        occurs = np.zeros(int(_LOW) + 1, bool)
+        occurs[(keys & _LOW).astype(np.int64)] = True
+        return q, keys[order], item[order], offset[order], occurs
+
+    def anchored(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first word) where a block of the item stands in the text."""
+        sums = np.zeros(len(words) + 1, U)
+        np.cumsum(_text.mix(words), out=sums[1:])
+        for q, keys, items, offsets, occurs in self.anchors:
+            if len(words) < q:
+                continue
+            of = sums[q:] - sums[:-q]
+            at = np.flatnonzero(occurs[(of & _LOW).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, of[at]), np.searchsorted(keys, of[at], "right")
+            n = hi - lo
+            at, place = np.repeat(at, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            text = np.searchsorted(first, at, "right") - 1
+            inside = at + q <= first[text + 1]
+            at, place, text = at[inside], place[inside], text[inside]
+            begin = np.maximum(first[text], at - offsets[place])
+            yield from dict.fromkeys(zip(text.tolist(), items[place].tolist(), begin.tolist(), strict=True))
+
     @staticmethod
     def _table(prints: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
         """For each value of the block the fingerprints within two bits of it: offsets and their places."""
@@ -143,8 +182,16 @@ class Items:
         lengths = np.diff(first)
         ends = np.repeat(first[1:], lengths)
         places = np.arange(len(words))
+        known: dict[tuple[int, int], float] = {}
+
+        def verified(text: int, item: int, begin: int) -> float:
+            if (begin, item) not in known:
+                like = known[begin, item] = self.similarity(item, words[begin : min(begin + len(self.words[item]), int(first[text + 1]))])
+                if like >= least and like > best.get((text, item), (0.0, 0))[0]:
+                    best[text, item] = (like, begin - int(first[text]))
+            return known[begin, item]
+
         for c, of in self.classes.items():
-            checked: set[tuple[int, int]] = set()
             spans = []
             if len(words) >= c:
                 prints = self.prints_of(sums, c)
@@ -161,12 +208,13 @@ class Items:
                     item = int(of["item"][f])
                     text = int(np.searchsorted(first, p, "right")) - 1
                     begin = max(int(first[text]), p - int(of["offset"][f]))
-                    if (begin, item) in checked:
-                        continue
-                    checked.add((begin, item))
-                    like = self.similarity(item, words[begin : min(begin + len(self.words[item]), int(first[text + 1]))])
-                    if like >= least and like > best.get((text, item), (0.0, 0))[0]:
-                        best[text, item] = (like, begin - int(first[text]))
+                    verified(text, item, begin)
+        for text, item, begin in self.anchored(words, first):
+            # inserted and deleted words shift the rest: the best window is near the one that the block tells
+            if 0.5 <= verified(text, item, begin) < least:
+                far = len(self.words[item]) // 4
+                for near in range(max(int(first[text]), begin - far), min(int(first[text + 1]), begin + far + 1)):
+                    verified(text, item, near)
         return best
 
 

@@ -327,6 +327,32 @@ def test_radius_search_finds_all_pairs():
         assert got == set(zip(*(x.tolist() for x in np.nonzero(far <= decontam.RADIUS)), strict=True))
 
 
+def test_changed_runs_of_words_lose_no_leak():
+    rng = np.random.default_rng(12)
+    prose = lambda rng, n: " ".join(f"w{i}" for i in rng.integers(0, 20_000, n))
+    texts = [prose(rng, int(n)) for n in rng.choice([30, 60, 94, 126, 229, 309], 60)]
+    items = decontam.Items(list(range(len(texts))), texts)
+    docs, owner = [], []
+    for i, t in enumerate(texts):
+        w, n = t.split(), len(t.split())
+        for kind in range(3):
+            run = max(1, int(n * rng.uniform(0.07, 0.125)))
+            at = int(rng.integers(3, n - run - 3))
+            new = prose(rng, run).split()
+            body = (w[:at] + new + w[at + run :], w[:at] + new + w[at:], w[:at] + w[at + run :])[kind]
+            docs.append(" ".join([prose(rng, 20), *body, prose(rng, 20)]))
+            owner.append(i)
+    column = pa.array(docs, pa.string())
+    hashes, first = decontam._text.word_hashes(*decontam._text.buffers(column))
+    want = set()
+    for d, i in enumerate(owner):
+        own, n = hashes[first[d] : first[d + 1]], len(items.words[i])
+        if max(items.similarity(i, own[b : b + n]) for b in range(len(own))) >= 0.75:
+            want.add((d, i))
+    found = items.leaks(hashes, first, 0.75)
+    assert len(want) > 100 and want <= set(found)
+
+
 def test_leaks_near_copies_and_clean_documents(spark):
     rng = np.random.default_rng(10)
     items = [prose(rng, int(n)) for n in rng.integers(14, 60, 30)] + ["short one here", None, "  "]
