@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset (tests, a laptop) a local folder is chosen once for the session.
+    Where it is unset and all runs on one machine (tests, a laptop) a local folder is chosen once for the session; on a
+    cluster that would lose rows, so it raises.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints", f"terralens-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -30,6 +36,41 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run, in a folder of their own; they are deleted by name or, but for some, all at once."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.at, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
+
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """df, written and read again: cuts lineage and survives lost executors."""
+        path = f"{self.at}/{name}"
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+        self.names.add(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.at}/{name}")
+            self.names.discard(name)
+
+    def drop_all_but(self, *kept: str) -> None:
+        self.drop(*self.names.difference(kept))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and broadcasts of finished steps, which it does when their plans are collected."""
+    for _ in range(2):  # plans first, then the shuffles that only they referred to
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

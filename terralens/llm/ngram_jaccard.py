@@ -1,19 +1,30 @@
 """Exact Jaccard self-join of documents' word-shingle sets, by partitioning the universe of shingles.
 
 Sets fall into size bands of ratio 4/3, so that a set of at least 75 % similarity is in the same band or the next. For
-each band the universe is cut into M segments by hash. Two sets that differ in D shingles differ in D segments at most;
-if the smaller one fills E > D segments, they agree on E - D filled segments at least. So each set indexes only the
-H + 1 cheapest of its filled segments' subsets, H being the most that a partner may differ by: by the prefix argument two
-partners then share an indexed subset. The allocation by cost puts subsets of frequent shingles last (the frequency
-table is a bounded summary of all documents), so a passage that many documents share is seldom indexed. Bands of tiny
-sets, where H is at most 1, index the whole subset and its one-deletion neighbourhood instead. M is the smallest
-multiple of the band's upper size for which every set of the band fills more segments than H.
-
-Candidates form stars: each subset's documents are paired with the least of them only. A pair whose parity bitmaps differ
-in more bits than the sets may differ in shingles cannot link and goes without a look at its sets (one shingle changes
-one bit at most); the others are verified exactly. What stars miss lies between documents that share a least one, so in
-later rounds each star's members are compared across components, in blocks and by bitmaps, the nearest pairs of two
-components first. Equal sets are one node from the start, so copies never form pairs.
+each band the universe is cut into segments by hash. Two sets that differ in D shingles differ in D segments at most, and
+D is at most H for partners of a band. Each set has H + 1 to give away among its segments: one to a segment of which it
+indexes the whole subset (found if the segment is equal), two to one of which it indexes the subset and its one-deletion
+neighbourhood (found if the segment differs by one shingle at most); by pigeonhole partners meet. Two allocations compete:
+
+* whole subsets of the H + 1 cheapest of many small segments. Cost is the frequency of a subset's rarest shingle, from a
+  bounded summary of all documents, so a passage that many documents share is seldom indexed. Every set of the band
+  fills more segments than H, and as partners agree on all but H, the prefix argument makes them share an indexed one;
+* neighbourhoods of H // 2 + 1 large segments.
+
+Neighbourhoods index every shingle, about three times as much, so they compete in bands of small sets only: there both
+allocations' entries and meeting pairs are counted over all documents (pairs by a sketch of second moments), and the
+cheaper one is taken. In larger bands it is the first.
+
+Documents that meet form stars: each is paired with the group's centre only, the member with the least share of rare
+shingles. A pair whose parity bitmaps differ in more bits than the sets may differ in shingles cannot link and goes
+without a look at its sets (one shingle changes one bit at most); the others are verified exactly. What stars miss are
+links between two members x and y in different components. With X, Y their differences to the centre, x and y differ in
+|X| + |Y| - 2 |X & Y| shingles: so X and Y must share elements, and these are joined the same way, by prefixes of X and Y in
+one order, rare shingles first, keyed by centre and element. A pair at positions i and j of an element's list may link only
+if 2i <= D - (|Y| - |X|) and 2j <= D + (|Y| - |X|), so of a group of unlinked near copies hardly any pair is left and no group is
+compared all with all. Groups that are dense even so become stars of the next round, in which four times as many count
+as dense. Equal sets are one node from the
+start, so copies never form pairs.
 """
 
 from __future__ import annotations
@@ -26,13 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
-from terralens.llm._tables import table, texts, written
+from terralens.llm._tables import Scratch, freed, table, texts
 from terralens.llm.components import components
 
 U = np.uint64
 _SALT = U(0x632BE59BD9B4E019)
 _MULTIPLES = (1, 2, 4, 16)
 _SKETCH = 24
+#: Sets up to this size are counted under both allocations; the sketch of their meeting pairs has so many counters.
+_SMALL_SET = 19
+_COUNTERS = 64
+#: Pairs of entries that are looked at together.
+_PAIRS = 1 << 22
 
 
 def band_starts(longest: int) -> np.ndarray:
@@ -49,14 +65,14 @@ def segments(s: np.ndarray, many: int) -> np.ndarray:
 
 
 class Plan:
-    """What all tasks must agree on: the bands, their segments, and the frequent shingles. Its size has a bound."""
+    """What all tasks must agree on: the bands, their segments and allocations, and the cost of shingles. Its size has a bound."""
 
-    def __init__(self, multiples: dict[int, int], heavy: np.ndarray, counts: np.ndarray, parts: int, longest: int) -> None:
+    def __init__(self, multiples: dict[int, int], cost: np.ndarray, parts: int, longest: int, nearby: frozenset[int] = frozenset()) -> None:
         self.starts = band_starts(longest + 1)
         self.multiples, self.parts = multiples, parts
         #: 1 + log2 of a frequent shingle's count in steps of a quarter, by the first bits of its hash; 0 for all others
-        self.cost = np.zeros(1 << _SKETCH, np.uint8)
-        np.maximum.at(self.cost, heavy >> U(64 - _SKETCH), np.minimum(255, 1 + 4 * np.log2(np.maximum(counts, 1))).astype(np.uint8))
+        self.cost = cost
+        self.nearby = nearby  # the bands that index neighbourhoods
 
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.starts, n, "right")) - 1
@@ -64,27 +80,28 @@ class Plan:
     def upper(self, band: int) -> int:
         return int(self.starts[band + 1]) - 1
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of what the set indexes: for pairs in its own band, and for pairs with the band below."""
-        n, band = len(s), self.band(len(s))
-        cost = self.cost[s >> U(64 - _SKETCH)]
-        out = [self._of(s, cost, band, (n + 4 * n // 3) // 7)]
+    def costs(self, s: np.ndarray) -> np.ndarray:
+        return self.cost[s >> U(64 - _SKETCH)]
+
+    def bands_of(self, n: int) -> list[tuple[int, int]]:
+        """(band, H): a set's own band, and the one below if it has partners there."""
+        band = self.band(n)
+        out = [(band, (n + 4 * n // 3) // 7)]
         if band and -(-3 * n // 4) <= (u := self.upper(band - 1)):
-            out.append(self._of(s, cost, band - 1, (n + u) // 7))
-        return np.concatenate(out)
+            out.append((band - 1, (n + u) // 7))
+        return out
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        """Hashes of what the set indexes."""
+        return np.concatenate([self.neighbourhoods(s, band) if band in self.nearby else self.subsets(s, band, most) for band, most in self.bands_of(len(s))])
 
-    def _of(self, s: np.ndarray, cost: np.ndarray, band: int, most: int) -> np.ndarray:
+    def subsets(self, s: np.ndarray, band: int, most: int) -> np.ndarray:
         salt = U((band + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-        upper = self.upper(band)
-        if (upper + 4 * upper // 3) // 7 <= 1:  # the whole set, and without each one
-            whole = s.sum(dtype=U)
-            return _text.mix(np.append(whole - s, whole) + salt)
-        seg = segments(s, min(1 << 32, self.multiples.get(band, 1) * upper))
-        begin = np.flatnonzero(seg[1:] != seg[:-1]) + 1
-        begin = np.concatenate([[0], begin])
+        seg = segments(s, min(1 << 32, self.multiples.get(band, 1) * self.upper(band)))
+        begin = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
         subset = np.add.reduceat(s, begin) * _text._LANE[0] + (seg[begin] + U(1)) * _text._LANE[1] + salt
         if len(subset) > most + 1:
-            price = np.minimum.reduceat(cost, begin)
+            price = np.minimum.reduceat(self.costs(s), begin)
             cheap = subset[price == 0]
             if len(cheap) > most + 1:
                 subset = np.partition(cheap, most)[: most + 1]
@@ -92,12 +109,30 @@ class Plan:
                 subset = subset[np.lexsort((subset, price))[: most + 1]]
         return _text.mix(subset)
 
+    def neighbourhoods(self, s: np.ndarray, band: int) -> np.ndarray:
+        """Of H // 2 + 1 segments the subset, empty ones too, and the subset without each one; of the last the subset only where H is even."""
+        upper = self.upper(band)
+        most = (upper + 4 * upper // 3) // 7
+        many = most // 2 + 1
+        seg = segments(s, many).astype(np.int64)
+        salt = (np.arange(many, dtype=U) + U(1)) * _text._LANE[2] + U((band + 1) * 0xA0761D6478BD642F & (1 << 64) - 1)
+        mixed = _text.mix(s)
+        sums = np.zeros(many, U)
+        np.add.at(sums, seg, mixed)
+        deeper = seg < many - 1 if most % 2 == 0 else np.ones(len(s), bool)
+        return _text.mix(np.concatenate([sums + salt, (sums[seg] - mixed + salt[seg])[deeper]]))
+
 
 def node_of(s: np.ndarray) -> int:
     """The name of a set: 63 bits of a hash of its members."""
     return int(_text.mix(np.array([_text.mix(s ^ _SALT).sum(dtype=U) + U(len(s))], U))[0] >> U(1))
 
 
+def apart(n, m, percent: int):
+    """The most shingles that linked sets of n and m shingles differ by."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
 # --- passes over the documents ----------------------------------------------------------------------------------
 
 
@@ -124,21 +159,26 @@ class _Frequent:
         self.values, self.counts = values[counts > 0], counts[counts > 0]
 
 
+_SURVEY = "kind string, doc_id long, row long, n long, node long, bits binary"
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ('doc', doc_id, size, node, bitmap); at a task's end ('heavy', null, count, shingle) and ('band', band, value, what).
+    """Rows ('doc', doc_id, row, size, node, bitmap) and ('small', ..., node, members) of small sets; at a task's end
+    ('heavy', ..., count, shingle) and ('band', band, ..., value, what).
 
     what is -1 for the band's sets, -2 for the largest, or the place of a multiple: how many sets it leaves with too few
     filled segments.
     """
     frequent, starts = _Frequent(), band_starts(1 << 40)
     bands: dict[int, list[int]] = {}
-    names = ["kind", "doc_id", "n", "node", "bits"]
+    names = ["kind", "doc_id", "row", "n", "node", "bits"]
 
-    def rows(kind: str, ids, n, node, bits=None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits or [None] * len(n), pa.binary())], names)
+    def rows(kind: str, ids, row, n, node, bits=None) -> pa.RecordBatch:
+        none = [None] * len(n)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.string()), pa.array(ids or none, pa.int64()), row if isinstance(row, pa.Array) else pa.array(none, pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits or none, pa.binary())], names)
 
     for b in batches:
-        sizes, nodes, maps = [], [], []
+        sizes, nodes, maps, small = [], [], [], []
         for s in _text.shingle_sets(b):
             n = len(s)
             sizes.append(n)
@@ -147,6 +187,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not n:
                 continue
             frequent.add(s)
+            if n <= _SMALL_SET:
+                small.append((n, nodes[-1], s.tobytes()))
             band = int(np.searchsorted(starts, n, "right")) - 1
             of = bands.setdefault(band, [0, 0, *[0] * len(_MULTIPLES)])
             of[0], of[1] = of[0] + 1, max(of[1], n)
@@ -156,12 +198,44 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if int((seg[1:] != seg[:-1]).sum()) >= most:  # one more segment than changes
                     break
                 of[2 + k] += 1
-        yield rows("doc", b.column("doc_id"), sizes, nodes, maps)
+        yield rows("doc", b.column("doc_id").to_pylist(), b.column("row"), sizes, nodes, maps)
+        if small:
+            yield rows("small", None, None, *map(list, zip(*small, strict=True)))
     frequent.merge()
     often = frequent.counts >= 2
-    yield rows("heavy", [None] * int(often.sum()), frequent.counts[often], frequent.values[often].view(np.int64))
+    yield rows("heavy", None, None, frequent.counts[often], frequent.values[often].view(np.int64))
     for band, (count, longest, *unsafe) in bands.items():
-        yield rows("band", [band] * (2 + len(_MULTIPLES)), [count, longest, *unsafe], [-1, -2, *range(len(_MULTIPLES))])
+        yield rows("band", [band] * (2 + len(_MULTIPLES)), None, [count, longest, *unsafe], [-1, -2, *range(len(_MULTIPLES))])
+
+
+def _sketched(group: pa.Table) -> pa.Table:
+    """The costs of the frequent shingles whose hashes have the same first eight bits."""
+    at = (group.column("node").to_numpy().view(U) >> U(64 - _SKETCH)).astype(np.int64) & 0xFFFF
+    out = np.zeros(1 << 16, np.uint8)
+    np.maximum.at(out, at, np.minimum(255, 1 + 4 * np.log2(group.column("n").to_numpy())).astype(np.uint8))
+    return pa.table({"slice": pa.array([group.column("slice")[0].as_py()], pa.int32()), "costs": pa.array([out.tobytes()], pa.binary())})
+
+
+def _priced(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """(band, way, counter, value): for small bands and both allocations the entries (at counter -1) and a sketch of their second moment."""
+    seen: set[int] = set()
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for node, members in zip(b.column("node").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            if node in seen:
+                continue
+            seen.add(node)
+            s = np.frombuffer(members, U)
+            for band, most in plan.bands_of(len(s)):
+                if plan.upper(band) <= _SMALL_SET:
+                    for way, sigs in enumerate((plan.subsets(s, band, most), plan.neighbourhoods(s, band))):
+                        of = sums.setdefault((band, way), np.zeros(1 + _COUNTERS, np.int64))
+                        h = _text.mix(sigs)
+                        of[0] += len(sigs)
+                        np.add.at(of, 1 + (h % U(_COUNTERS)).astype(np.int64), np.where(h >> U(63), 1, -1))
+    rows = [(band, way, k - 1, v) for (band, way), of in sums.items() for k, v in enumerate(of.tolist()) if v]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["band", "way", "counter", "value"])
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -193,102 +267,174 @@ def _sets_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.binary())], ["node", "members"])
 
 
-def _distinct(pairs: np.ndarray) -> np.ndarray:
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
+# --- entries, packed by part ------------------------------------------------------------------------------------
 
-
-def _with_least(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted signatures: the places of the first of each, its least node, and the pairs of that with the others."""
-    if not len(sigs):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    begin = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
-    least = np.minimum.reduceat(nodes, begin)
-    many = np.diff(np.append(begin, len(sigs)))
-    shared = np.repeat(many > 1, many)
-    pivot, other = np.repeat(least, many)[shared], nodes[shared]
-    pairs = np.stack([pivot, other], 1)[pivot != other]
-    return begin, least, _distinct(pairs)
-
-
-_SENT = "part int, a binary, b binary, places binary"
-_HOT = 64
+_SENT = "part int, kind int, docs binary, keys binary, places binary, spots binary, roles binary"
+_ENTRIES, _LEADS, _INNER = 0, 1, 2
+#: pref: the least of a group is its centre. Of signatures the share of rare shingles, of differences their number.
+_SIGNED = np.dtype([("node", "<i8"), ("pref", "u1")])
+_CHANGED = np.dtype([("node", "<i8"), ("pref", "<i4"), ("comp", "<i8"), ("n", "<i4")])
+_INDEX, _PROBE = 1, 2
 
 
 class _Outbox:
-    """Signatures of some documents, packed by part: one row for each part instead of one for each signature.
+    """Entries of some documents, packed by part: one row for each part instead of one for each entry.
 
-    Where more than _HOT documents here share a signature, only the least goes on, and its pairs with the others are
-    made at once, so no signature sends more than _HOT rows of a batch.
+    Where more than `hot` documents here share a key, only the centre goes on to the key's part, marked as a lead; the
+    others follow as (lead, key, member), spread over all parts, so no key sends more than `hot` entries of a batch to one.
     """
 
-    def __init__(self, plan: Plan) -> None:
-        self.plan = plan
-        self.sigs, self.n, self.docs = [], 0, {}
+    def __init__(self, parts: int, kind: np.dtype, hot: int) -> None:
+        self.parts, self.kind, self.hot = parts, kind, hot
+        self.docs, self.keys, self.spots, self.roles, self.n = [], [], [], [], 0
 
-    def add(self, node: int, s: np.ndarray) -> None:
-        if node not in self.docs:
-            self.docs[node] = True
-            self.sigs.append(np.unique(self.plan.signatures(s)))
-            self.n += len(self.sigs[-1])
+    def add(self, doc: tuple, keys: np.ndarray, spots: np.ndarray | None = None, roles: np.ndarray | None = None) -> None:
+        self.docs.append(doc)
+        self.keys.append(keys)
+        if spots is not None:
+            self.spots.append(spots)
+            self.roles.append(roles)
+        self.n += len(keys)
 
     def flush(self) -> pa.RecordBatch:
-        names = np.array(list(self.docs), np.int64)
-        place = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in self.sigs])
-        sigs = np.concatenate([np.zeros(0, U), *self.sigs])
-        self.sigs, self.n, self.docs = [], 0, {}
-        order = np.argsort(sigs)
-        sigs, place = sigs[order], place[order]
+        docs = np.array(self.docs, self.kind)
+        place = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in self.keys])
+        keys = np.concatenate([np.zeros(0, U), *self.keys])
+        plain = not self.spots
+        spots, roles = (np.zeros(0, "<u4"), np.zeros(0, np.uint8)) if plain else (np.concatenate(self.spots).astype("<u4"), np.concatenate(self.roles).astype(np.uint8))
+        self.docs, self.keys, self.spots, self.roles, self.n = [], [], [], [], 0
+        order = np.argsort(keys)
+        keys, place = keys[order], place[order]
+        if not plain:
+            spots, roles = spots[order], roles[order]
         rows = []
-        begin = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])[: len(sigs)])
-        many = np.diff(np.append(begin, len(sigs)))
-        if (many > _HOT).any():
-            hot = np.repeat(many > _HOT, many)
-            _, _, pairs = _with_least(sigs[hot], names[place[hot]])
-            for k in range(0, len(pairs), 1 << 16):
-                some = pairs[k : k + (1 << 16)]
-                rows.append((int(some[0, 0] % self.plan.parts), np.ascontiguousarray(some[:, 0]).tobytes(), np.ascontiguousarray(some[:, 1]).tobytes(), b""))
-            # of hot signatures the least name's document stays
-            by_name = np.lexsort((names[place[hot]], sigs[hot]))
-            first = np.flatnonzero(hot)[by_name]
-            lead = first[np.append(True, sigs[first][1:] != sigs[first][:-1])]
-            stay = ~hot
-            stay[lead] = True
-            sigs, place = sigs[stay], place[stay]
-        # parts are slices of the signatures' range, so each is one run
-        at = np.searchsorted((sigs >> U(32)) * U(self.plan.parts) >> U(32), np.arange(self.plan.parts + 1, dtype=U))
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        many = np.diff(np.append(begin, len(keys)))
+        if (many > self.hot).any():
+            hot = np.flatnonzero(np.repeat(many > self.hot, many))
+            k, d = keys[hot], docs[place[hot]]
+            order = np.lexsort((d["node"], d["pref"], k))
+            k, d = k[order], d[order]
+            first = np.append(True, k[1:] != k[:-1])
+            lead = np.repeat(d["node"][first], np.diff(np.append(np.flatnonzero(first), len(k))))
+            inner = np.flatnonzero(~first)
+            for i in range(0, len(inner), 1 << 16):
+                some = inner[i : i + (1 << 16)]
+                rows.append((int(lead[some[0]] + i // (1 << 16)) % self.parts, _INNER, lead[some].tobytes(), k[some].tobytes(), d["node"][some].tobytes(), b"", b""))
+            rows += self._packed(_LEADS, docs, k[first], place[hot[order[first]]], None, None)
+            stay = np.ones(len(keys), bool)
+            stay[hot] = False
+            keys, place = keys[stay], place[stay]
+            if not plain:
+                spots, roles = spots[stay], roles[stay]
+        rows += self._packed(_ENTRIES, docs, keys, place, None if plain else spots, roles)
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "kind", "docs", "keys", "places", "spots", "roles"])
+
+    def _packed(self, kind: int, docs: np.ndarray, keys: np.ndarray, place: np.ndarray, spots, roles) -> Iterator[tuple]:
+        # parts are slices of the keys' range, so each is one run
+        at = np.searchsorted((keys >> U(32)) * U(self.parts) >> U(32), np.arange(self.parts + 1, dtype=U))
         for part in np.flatnonzero(np.diff(at)).tolist():
             run = slice(at[part], at[part + 1])
             used, where = np.unique(place[run], return_inverse=True)
-            rows.append((part, names[used].tobytes(), sigs[run].tobytes(), where.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "a", "b", "places"])
-
-
-def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, nodes), sorted by signature, and the pairs that came along."""
-    sigs, nodes, pairs = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
-    for a, b, places in zip(group.column("a"), group.column("b"), group.column("places"), strict=True):
-        a, b, places = np.frombuffer(a.as_py(), np.int64), b.as_py(), places.as_py()
-        if places:
-            sigs.append(np.frombuffer(b, U))
-            nodes.append(a[np.frombuffer(places, "<u2" if len(a) < 1 << 16 else "<u4")])
-        else:
-            pairs.append(np.stack([a, np.frombuffer(b, np.int64)], 1))
-    s, n = np.concatenate(sigs), np.concatenate(nodes)
-    order = np.argsort(s)
-    return s[order], n[order], np.concatenate(pairs)
-
-
-def _stars(group: pa.Table) -> pa.Table:
-    """(a, b, inner): each signature's least node with each of its others, once; inner pairs were made in a batch."""
-    sigs, nodes, inner = _unpacked(group)
-    inner, outer = _distinct(inner), _with_least(sigs, nodes)[2]
-    both = np.concatenate([outer, inner])
-    del sigs, nodes
+            rest = (b"", b"") if spots is None else (spots[run].tobytes(), roles[run].tobytes())
+            yield part, kind, docs[used].tobytes(), keys[run].tobytes(), where.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), *rest
+
+
+_FOUND = "kind int, a long, b long, key long"
+#: a pair; (centre, lead, key); (lead, member, key); a centre and a member of a group of three or more
+_PAIR, _HEAD, _MEMBER, _STAR = 0, 1, 2, 3
+
+
+def _unpacked(group: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, documents, spots, roles and whether they are leads, sorted by key and centre first; and rows (lead, member, key)."""
+    keys, docs, spots, roles, leads, inner = [np.zeros(0, U)], [np.zeros(0, kind)], [np.zeros(0, "<u4")], [np.zeros(0, np.uint8)], [np.zeros(0, bool)], [np.zeros((0, 3), np.int64)]
+    for k, d, key, place, spot, role in zip(*(group.column(c) for c in ("kind", "docs", "keys", "places", "spots", "roles")), strict=True):
+        k, d, key, place, spot, role = k.as_py(), d.as_py(), np.frombuffer(key.as_py(), U), place.as_py(), spot.as_py(), role.as_py()
+        if k == _INNER:
+            inner.append(np.stack([np.frombuffer(d, np.int64), np.frombuffer(place, np.int64), key.view(np.int64)], 1))
+            continue
+        d = np.frombuffer(d, kind)
+        keys.append(key)
+        docs.append(d[np.frombuffer(place, "<u2" if len(d) < 1 << 16 else "<u4")])
+        spots.append(np.frombuffer(spot, "<u4") if spot else np.zeros(len(key), "<u4"))
+        roles.append(np.frombuffer(role, np.uint8) if role else np.zeros(len(key), np.uint8))
+        leads.append(np.full(len(key), k == _LEADS))
+    keys, docs, spots, roles, leads = (np.concatenate(x) for x in (keys, docs, spots, roles, leads))
+    # alone in a group means nothing, but for a lead
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    order = order[(np.append(False, same) | np.append(same, False))[: len(order)] | leads[order]]
+    order = order[np.lexsort((docs["node"][order], docs["pref"][order], keys[order]))]
+    return keys[order], docs[order], spots[order], roles[order], leads[order], np.concatenate(inner)
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
+
+
+def _starred(keys: np.ndarray, nodes: np.ndarray, leads: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Stars of sorted groups, as arrays (a, b, key) by kind."""
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    many = np.diff(np.append(begin, len(keys)))
+    centre, wide = np.repeat(nodes[begin], many), np.repeat((many > 2) | (np.add.reduceat(leads, begin) > 0 if len(begin) else False), many)
+    both = np.stack([centre, nodes, keys.view(np.int64)], 1)
+    other = (centre != nodes) & ~leads
+    zero = np.zeros(1, np.int64)
+    flat = lambda rows: np.concatenate([d := _distinct(rows[:, :2]), np.repeat(zero, len(d))[:, None]], 1)
+    return [(_PAIR, flat(both[other & ~wide])), (_STAR, flat(both[other & wide])), (_HEAD, both[leads])]
+
+
+def matched(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, roles: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (a, b) of sorted groups of differences that may link, by their places in both lists; see the module."""
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    many = np.diff(np.append(begin, len(keys)))
+    out = [np.zeros((0, 2), np.int64)]
+    squares = np.cumsum(many.astype(np.int64) ** 2)
+    cuts = np.searchsorted(squares, np.arange(_PAIRS, (squares[-1] if len(squares) else 0) + _PAIRS, _PAIRS))
+    done = 0
+    for cut in np.minimum(cuts + 1, len(begin)):
+        b, m = begin[done:cut], many[done:cut]
+        done = max(done, cut)
+        if not len(b):
+            continue
+        here = np.repeat(m, m)  # of each entry, its group's size
+        entry = np.arange(b[0], b[0] + len(here))
+        left = np.repeat(entry, here)
+        right = np.repeat(np.repeat(b, m), here) + np.arange(len(left)) - np.repeat(np.cumsum(here) - here, here)
+        # entries stand in the order of (differences, node), so the one with fewer is on the left
+        ok = (left < right) & (roles[left] & _INDEX > 0) & (roles[right] & _PROBE > 0) & (docs["comp"][left] != docs["comp"][right])
+        left, right = left[ok], right[ok]
+        n, m2 = docs["n"][left].astype(np.int64), docs["n"][right].astype(np.int64)
+        most, gap = apart(n, m2, percent), docs["pref"][right].astype(np.int64) - docs["pref"][left]
+        ok = (100 * np.minimum(n, m2) >= percent * np.maximum(n, m2)) & (gap <= most) & (2 * spots[left].astype(np.int64) <= most - gap) & (2 * spots[right].astype(np.int64) <= most + gap)
+        out.append(_distinct(np.stack([docs["node"][left[ok]], docs["node"][right[ok]]], 1)))
+    return _distinct(np.concatenate(out))
+
+
+def _met(group: pa.Table, percent: int | None, dense_from: int = 0) -> pa.Table:
+    """What a part's groups make: with a percentage pairs of differences, and stars of groups above `dense_from` members; without, stars of all."""
+    keys, docs, spots, roles, leads, inner = _unpacked(group, _SIGNED if percent is None else _CHANGED)
+    found = [(_MEMBER, inner)]
+    if percent is None:
+        found += _starred(keys, docs["node"], leads)
+    else:
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        many = np.diff(np.append(begin, len(keys)))
+        dense = np.repeat((many > dense_from) | (np.add.reduceat(leads, begin) > 0 if len(begin) else False), many)
+        found += _starred(keys[dense], docs["node"][dense], leads[dense])
+        pairs = matched(keys[~dense], docs[~dense], spots[~dense], roles[~dense], percent)
+        found.append((_PAIR, np.concatenate([pairs, np.zeros((len(pairs), 1), np.int64)], 1)))
+    rows = np.concatenate([x for _, x in found])
+    kinds = np.concatenate([np.full(len(x), k, np.int32) for k, x in found])
+    del keys, docs, found
     _text.release()
-    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "inner": pa.array(np.arange(len(both)) >= len(outer))})
+    return pa.table({"kind": pa.array(kinds), **{c: pa.array(np.ascontiguousarray(rows[:, i])) for i, c in enumerate(("a", "b", "key"))}})
+
+
+# --- pairs ------------------------------------------------------------------------------------------------------
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -299,112 +445,240 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _close(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps admit a link; maps (node, n, bits).
-
-    Joins are on the node; one with very many partners is split by adaptive execution.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
-            ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            for i in np.flatnonzero(ok):
-                most = (100 - percent) * int(n[i] + m[i]) // (100 + percent)
-                ok[i] = differ(np.frombuffer(b.column("x")[i].as_py(), U), np.frombuffer(b.column("y")[i].as_py(), U)) <= most
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    met = pairs.select("a", "b").join(maps.toDF("b", "m", "y"), "b").join(maps.toDF("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y")
-    return met.mapInArrow(_text.tidied(run), "a long, b long")
-
-
-def _verified(close: DataFrame, base: DataFrame, info: DataFrame, percent: int, few: int) -> DataFrame:
-    """The pairs that link exactly. Whole texts are read again for their documents only: one of each node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similar(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), percent) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    nodes = written(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct(), "jaccard-nodes")
-    sized = (lambda df: F.broadcast(df)) if nodes.count() <= few else (lambda df: df)
-    chosen = info.filter("doc_id is not null").join(sized(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    picked = base.join(sized(chosen), "doc_id", "left_semi").unionByName(base.filter("doc_id is null"))
-    sets = picked.mapInArrow(_text.tidied(_sets_rows), "node long, members binary").join(sized(nodes), "node", "left_semi")
-    whole = written(sets.groupBy("node").agg(F.first("members").alias("members")), "jaccard-sets")
-    both = close.join(whole.toDF("b", "y"), "b").join(whole.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(_text.tidied(run), "a long, b long")
+def changes(centre: np.ndarray, s: np.ndarray, centre_cost: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The differences of a set to the centre in the order of all members' lists: added shingles, rare ones first, then missing ones, frequent ones first."""
+    added = ~np.isin(s, centre, assume_unique=True)
+    missing = ~np.isin(centre, s, assume_unique=True)
+    a, m = s[added], centre[missing]
+    return np.concatenate([a[np.lexsort((a, cost[added]))], m[np.lexsort((m, -centre_cost[missing].astype(np.int16)))]])
 
 
-# --- the second round -------------------------------------------------------------------------------------------
+def prefixes(n: int, differences: int, centre: int, outside: bool, percent: int) -> tuple[int, int]:
+    """How many of a member's differences it indexes, for partners with more of them, and with how many it probes, for those with fewer.
 
-
-def _close_in_block(rows: list[tuple[int, int, int, int, np.ndarray]], percent: int, i: int, j: int, most: int | None = None) -> np.ndarray:
-    """Pairs of blocks i and j (or inside i) in different components whose sizes and bitmaps admit a link.
-
-    With `most`, only that many of each two components, the nearest by bitmap; a last pair (-1, -1) says that some were
-    left for later.
+    A member of the centre's component has partners outside only, which differ from the centre by more than linked sets do.
     """
-    rows.sort(key=lambda r: len(r[4]))
-    node, comp, block, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-    words = np.array([len(r[4]) for r in rows])
-    out = [np.zeros((0, 5), np.int64)]
-    for w in np.unique(words):
-        mine = np.flatnonzero(words == w)
-        near = np.flatnonzero((words == w) | (words == 2 * w))  # sizes within 3/4 have bitmaps within a factor of 2
-        maps = np.stack([rows[k][4] if words[k] == w else rows[k][4][:w] ^ rows[k][4][w:] for k in near])
-        for k in mine:
-            ok = (near > k) & (comp[near] != comp[k])
-            if i != j:
-                ok &= block[near] != block[k]
-            ok &= 100 * np.minimum(n[near], n[k]) >= percent * np.maximum(n[near], n[k])
-            some = near[ok]
-            if len(some):
-                apart = np.bitwise_count(maps[ok] ^ rows[k][4]).sum(1).astype(np.int64)
-                near_enough = apart <= (100 - percent) * (n[some] + n[k]) // (100 + percent)
-                hit, far = some[near_enough], apart[near_enough]
-                a, b = np.minimum(node[hit], node[k]), np.maximum(node[hit], node[k])
-                out.append(np.stack([a, b, np.minimum(comp[hit], comp[k]), np.maximum(comp[hit], comp[k]), far], 1))
-    found = np.concatenate(out)
-    if most is None:
-        return _distinct(found[:, :2])
-    found = found[np.lexsort((found[:, 1], found[:, 0], found[:, 4], found[:, 3], found[:, 2]))]
-    begin = np.flatnonzero(np.append(True, (found[1:, 2:4] != found[:-1, 2:4]).any(1))[: len(found)])
-    place = np.arange(len(found)) - np.repeat(begin, np.diff(np.append(begin, len(found))))
-    kept = _distinct(found[place < most, :2])
-    return np.concatenate([kept, np.full((1, 2), -1)]) if (place >= most).any() else kept
-
-
-def _across(pairs: DataFrame, labels: DataFrame, maps: DataFrame, percent: int, most: int | None, block: int = 1024) -> DataFrame:
-    """(a, b): pairs of one star in different components whose bitmaps admit a link, as _close_in_block picks them.
-
-    Two documents that share a signature are both paired with its least one, or with the least of their batch, which is:
-    so stars, taken one step further over the batches' own, hold all candidates. Their members meet in blocks, two by
-    two, each pair of blocks in a task of its own; only bitmaps travel.
-    """
-    outer, inner = pairs.filter("outer"), pairs.filter("inner")
-    further = outer.join(inner.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-    members = pairs.select(F.col("a").alias("g"), F.col("b").alias("node")).unionByName(further.toDF("g", "node")).distinct()
-    named = members.join(labels, "node")
-    mixed = named.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi").select("g", "size")
-    blocks = F.ceil((F.col("size") + 1) / block).cast("int")
-    placed = named.join(mixed, "g").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    met = placed.select("g", "node", "component", "mine", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = met.select("g", "node", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    most = apart(n, 100 * n // percent, percent)
+    index = min(differences, most // 2 + 1)
+    if not outside:
+        index = min(index, 4 * differences // 7 + 1)
+    probes = outside or differences > apart(percent * n // 100, centre, percent)
+    return index, min(differences, most + 1) if probes else 0
+
+
+class _Join:
+    """The steps of one run, which share its base table, survey and scratch folder."""
+
+    def __init__(self, base: DataFrame, percent: int, heavy_least: int, broadcast_nodes: int, hot: int = 64, dense: int = 2048) -> None:
+        self.spark, self.base, self.percent, self.few = base.sparkSession, base, percent, broadcast_nodes
+        #: entries of one key that a batch may send; members from which a group of differences is a star of the next round
+        self.hot, self.dense = hot, dense
+        self.scratch = Scratch(self.spark, "jaccard")
+        self.tasks = 4 * self.spark.sparkContext.defaultParallelism  # enough of them to keep all cores busy
+        self.survey = self.scratch.put(base.mapInArrow(_text.tidied(_survey), _SURVEY), "survey", "kind")
+        self.info = self.survey.filter("kind = 'doc'").select("doc_id", "row", "n", "node")
+        self.plan = self.spark.sparkContext.broadcast(self._planned(heavy_least))
+        self.step = 0
+
+    def _planned(self, heavy_least: int) -> Plan:
+        heavy = self.survey.filter("kind = 'heavy'").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= heavy_least)
+        slices = heavy.withColumn("slice", F.shiftrightunsigned("node", 56).cast("int")).groupBy("slice").applyInArrow(_sketched, "slice int, costs binary")
+        cost = np.zeros(1 << _SKETCH, np.uint8)  # the result has 256 rows of 64 KiB at most
+        for r in slices.collect():
+            cost[r["slice"] << 16 : (r["slice"] + 1) << 16] = np.frombuffer(r["costs"], np.uint8)
+        total, longest = self.info.agg(F.sum("n"), F.max("n")).first()
+        starts = band_starts((longest or 1) + 1)
+        unsafe = self.survey.filter("kind = 'band'").groupBy("doc_id", "node").agg(F.sum("n").alias("n")).collect()
+        multiples: dict[int, int] = {}
+        for band in range(len(starts) - 1):
+            bad = {r["node"]: r["n"] for r in unsafe if r["doc_id"] == band}
+            # sets of the next band index this one too; they fill more segments, for they are larger
+            ok = [m for k, m in enumerate(_MULTIPLES) if not bad.get(k)]
+            multiples[band] = ok[0] if ok else 1 << 32  # nearly every shingle a segment of its own
+        parts = max(self.tasks, -(-int((total or 0) * 0.7) // 4_000_000))  # bounded memory in each
+        plan = Plan(multiples, cost, parts, longest or 1)
+        plan.nearby = self._nearby(plan)
+        _text.release()
+        return plan
+
+    def _nearby(self, plan: Plan) -> frozenset[int]:
+        """The bands in which neighbourhoods cost less than whole subsets, by entries and meeting pairs over all documents."""
+        shared = self.spark.sparkContext.broadcast(plan)
+        small = self.survey.filter("kind = 'small'").select("node", "bits")
+        counted = small.mapInArrow(lambda it: _priced(it, shared.value), "band long, way long, counter long, value long")
+        cost: dict[tuple[int, int], float] = {}
+        for r in counted.groupBy("band", "way", "counter").agg(F.sum("value").alias("value")).collect():
+            at = r["band"], r["way"]
+            # entries, and half of the second moment beyond them
+            cost[at] = cost.get(at, 0.0) + (0.5 * r["value"] if r["counter"] < 0 else 0.5 * float(r["value"]) ** 2)
+        shared.destroy()
+        return frozenset(band for band, way in cost if way == 1 and cost[band, 1] < cost.get((band, 0), float("inf")))
+
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        return self.scratch.put(df, f"{name}-{self.step}", *by)
+
+    def signed(self) -> DataFrame:
+        """What documents that share a signature make, see _FOUND."""
+        plan, hot = self.plan, self.hot
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            box, seen = _Outbox(plan.value.parts, _SIGNED, hot), set()
+            for b in batches:
+                for s in _text.shingle_sets(b):
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen.add(node)
+                        box.add((node, int(255 * (plan.value.costs(s) == 0).mean())), np.unique(plan.value.signatures(s)))
+                    if box.n > 400_000:
+                        yield box.flush()
+                        seen.clear()
+            yield box.flush()
+
+        sent = self.base.select("text").mapInArrow(_text.tidied(send), _SENT)
+        return sent.groupBy("part").applyInArrow(lambda g: _met(g, None), _FOUND)
+
+    def pairs(self, found: DataFrame) -> DataFrame:
+        """(a, b, wide): distinct pairs; wide ones are a centre and a member of a group of three or more."""
+        found = self.put(found, "found", "kind").select("kind", "a", "b", "key")
+        of = lambda kind: found.filter(F.col("kind") == kind)
+        both = of(_PAIR).select("a", "b", F.lit(False).alias("wide")).unionByName(of(_STAR).select("a", "b", F.lit(True).alias("wide")))
+        if not of(_HEAD).isEmpty():
+            heads = of(_HEAD).select(F.col("a").alias("centre"), F.col("b").alias("lead"), "key")
+            members = of(_MEMBER).select(F.col("a").alias("lead"), "b", "key").join(heads, ["lead", "key"]).select(F.col("centre").alias("a"), "b")
+            more = members.unionByName(heads.select(F.col("centre").alias("a"), F.col("lead").alias("b"))).filter("a <> b")
+            both = both.unionByName(more.withColumn("wide", F.lit(True)))
+        return self.put(both.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): the pairs that link exactly."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = self.survey.filter("kind = 'doc' and n > 0").select("node", "n", "bits")
+        maps = self.put(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "maps")
+        close = self.put(self._close(pairs, maps), "close")
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = [similar(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), percent) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        sets = self.sets(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "close")
+        both = close.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+        return self.put(both.mapInArrow(_text.tidied(run), "a long, b long"), "links")
+
+    def _close(self, pairs: DataFrame, maps: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and bitmaps admit a link; maps (node, n, bits).
+
+        Joins are on the node; one with very many partners is split by adaptive execution.
+        """
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+                ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                for i in np.flatnonzero(ok):
+                    ok[i] = differ(np.frombuffer(b.column("x")[i].as_py(), U), np.frombuffer(b.column("y")[i].as_py(), U)) <= apart(int(n[i]), int(m[i]), percent)
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+
+        met = pairs.select("a", "b").join(maps.toDF("b", "m", "y"), "b").join(maps.toDF("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y")
+        return met.mapInArrow(_text.tidied(run), "a long, b long")
+
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, members) of distinct nodes. Whole texts are read again for their documents only: one of each node."""
+        nodes = self.put(nodes, f"{name}-nodes")
+        sized = F.broadcast if nodes.count() <= self.few else (lambda df: df)
+        chosen = self.info.join(sized(nodes), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
+        picked = self.base.join(sized(chosen), "row", "left_semi").select("text")
+        sets = picked.mapInArrow(_text.tidied(_sets_rows), "node long, members binary").join(sized(nodes), "node", "left_semi")
+        return self.put(sets.groupBy("node").agg(F.first("members").alias("members")), f"{name}-sets")
+
+    def mixed(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """(c, node, own, other, size): members of the stars that have members outside the centre's component, two members at least."""
+        named = pairs.filter("wide").join(labels.toDF("b", "other"), "b", "left").join(labels.toDF("a", "own"), "a", "left")
+        named = named.select(F.col("a").alias("c"), F.col("b").alias("node"), F.coalesce("own", "a").alias("own"), F.coalesce("other", "b").alias("other"))
+        stars = named.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("own") != F.col("other")).alias("out")).filter("out and size > 1")
+        return self.put(named.join(stars.select("c", "size"), "c"), "mixed")
+
+    def changed(self, mixed: DataFrame, chunk: int = 256) -> DataFrame:
+        """What members of a star that share differences to its centre make, see _FOUND.
+
+        A star's members are dealt in chunks, each with the centre's set, so no star meets in one task.
+        """
+        nodes = mixed.select(F.explode(F.array("c", "node")).alias("node")).distinct()
+        sets = self.sets(nodes, "mixed")
+        chunks = F.ceil(F.col("size") / chunk).cast("int")
+        stars = mixed.groupBy("c").agg(F.first("own").alias("own"), F.first("size").alias("size"))
+        centres = stars.select("c", F.col("c").alias("node"), "own", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        dealt = mixed.select("c", "node", "own", "other", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")).unionByName(centres)
+        size = mixed.join(sets.select("node", (F.octet_length("members") / 8).alias("n")), "node").agg(F.sum("n")).first()[0] or 0
+        cells, parts, percent, plan = max(self.tasks, int(size) // 2_000_000), max(self.tasks, int(size) // 6_000_000), self.percent, self.plan
+        hot, dense = self.hot << 2 * self.step, self.dense << 2 * self.step  # so that rounds come to an end
+
+        def differences(group: pa.Table) -> pa.Table:
+            box, out = _Outbox(parts, _CHANGED, hot), []
+            order = np.lexsort((group.column("node").to_numpy() != group.column("c").to_numpy(), group.column("chunk").to_numpy(), group.column("c").to_numpy()))
+            now, centre, centre_cost, salt = None, None, None, U(0)
+            for i in order.tolist():
+                c, node, own, other = (group.column(x)[i].as_py() for x in ("c", "node", "own", "other"))
+                s = np.frombuffer(group.column("members")[i].as_py(), U)
+                if node == c:
+                    now, centre, centre_cost, salt = c, s, plan.value.costs(s), _text.mix(np.array([c], np.int64).view(U))[0]
+                    continue
+                assert now == c
+                of = changes(centre, s, centre_cost, plan.value.costs(s))
+                index, probe = prefixes(len(s), len(of), len(centre), own != other, percent)
+                spots = np.arange(max(index, probe))
+                box.add((node, len(of), other, len(s)), _text.mix(of[: len(spots)] ^ salt), spots, _INDEX * (spots < index) + _PROBE * (spots < probe))
+                if box.n > 400_000:
+                    out.append(box.flush())
+            out.append(box.flush())
+            _text.release()
+            return pa.Table.from_batches(out)
+
+        cell = F.pmod(F.xxhash64("c", "chunk"), F.lit(cells)).cast("int")
+        sent = dealt.join(sets, "node").withColumn("cell", cell).groupBy("cell").applyInArrow(differences, _SENT)
+        return sent.groupBy("part").applyInArrow(lambda g: _met(g, percent, dense), _FOUND)
+
+    def labels(self) -> DataFrame:
+        """(node, component) of all linked nodes."""
+        pairs = self.pairs(self.signed())
+        freed(self.spark)
+        links = self.links(pairs)
+        labels = components(links, self.scratch)
+        while True:
+            mixed = self.mixed(pairs, labels)
+            if mixed.isEmpty():
+                return labels
+            self.step += 1
+            pairs = self.pairs(self.changed(mixed))
+            freed(self.spark)
+            more = self.links(pairs)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links, self.scratch)
+
+    def placed(self) -> DataFrame:
+        """(doc_id, row, n, component) of each row, the component null for empty sets."""
+        labels = self.labels()
+        out = self.info.join(labels, "node", "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("component"))
+        out = self.scratch.put(out, "placed")
+        self.scratch.drop_all_but("placed")
+        self.plan.destroy()
+        freed(self.spark)
+        return out
 
-    def meet(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        cols = [group.column(c).to_pylist() for c in ("node", "component", "mine", "n", "bits")]
-        found = _close_in_block([(*r[:4], np.frombuffer(r[4], U)) for r in zip(*cols, strict=True)], percent, i, j, most)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    return met.join(maps, "node").groupBy("g", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+# --- the operator -----------------------------------------------------------------------------------------------
 
 
-# --- the operator -----------------------------------------------------------------------------------------------
+def _placed(docs: DataFrame, row: list[str], percent: int, heavy_least: int, broadcast_nodes: int, **bounds: int) -> DataFrame:
+    if percent < 75:
+        raise ValueError("the bands hold for 75 percent and more")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(*row).alias("row"))
+    return _Join(texts(named, "doc_id", "row"), percent, heavy_least, broadcast_nodes, **bounds).placed()
 
 
-def classes(docs: DataFrame, percent: int = 75, heavy_least: int = 3, most_heavy: int = 1 << 21, broadcast_nodes: int = 1_000_000) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 75, heavy_least: int = 3, broadcast_nodes: int = 1_000_000, **bounds: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: near-duplicate classes of the documents.
 
     Words are runs without space, tab, LF, VT, FF or CR, A-Z folded; a document's set holds its 5-word shingles, or with
@@ -412,82 +686,39 @@ def classes(docs: DataFrame, percent: int = 75, heavy_least: int = 3, most_heavy
     75 at least); component_id is the least doc_id reachable by links. Null and blank texts have an empty set and link
     with nothing; repeated rows are copies; a null doc_id is never a component_id unless it is alone; an empty table
     gives none; other columns are ignored. Sets go by 64-bit hashes of their shingles. Counts cover all documents; only
-    the bounded plan (bands, a sketch of at most `most_heavy` frequent shingles) reaches the driver. Sets of candidates are picked
-    by a broadcast list of up to `broadcast_nodes` nodes (counted first), beyond that by a shuffle.
+    the bounded plan (bands, allocations, 16 MiB of costs) reaches the driver. Sets of candidates are picked by a
+    broadcast list of up to `broadcast_nodes` nodes (counted first), beyond that by a shuffle. `bounds` are the sizes of
+    groups, `hot` and `dense`, from which another way is taken to the same result.
     """
-    if percent < 75:
-        raise ValueError("the bands hold for 75 percent and more")
-    spark = docs.sparkSession
-    base = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    survey = written(base.mapInArrow(_text.tidied(_survey), "kind string, doc_id long, n long, node long, bits binary"), "jaccard-survey", "kind")
-    info = survey.filter("kind = 'doc'").select("doc_id", "n", "node")
-    shared = spark.sparkContext.broadcast(_planned(survey, heavy_least, most_heavy))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = _Outbox(shared.value)
-        for b in batches:
-            for s in _text.shingle_sets(b):
-                if len(s):
-                    box.add(node_of(s), s)
-                if box.n > 400_000:
-                    yield box.flush()
-        yield box.flush()
-
-    stars = base.mapInArrow(_text.tidied(send), _SENT).groupBy("part").applyInArrow(_stars, "a long, b long, inner boolean")
-    pairs = written(stars.groupBy("a", "b").agg(F.bool_or("inner").alias("inner"), F.bool_or(~F.col("inner")).alias("outer")), "jaccard-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = survey.filter("kind = 'doc' and n > 0").select("node", "n", "bits")
-    maps = written(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-maps")
-    links = written(_verified(written(_close(pairs, maps, percent), "jaccard-close"), base, info, percent, broadcast_nodes), "jaccard-links")
-    labels, tried = components(links), pairs.select("a", "b")
-    # one link joins two components, so their nearest pairs are tried first; the last round leaves none out
-    for most in (2, 32, None) if links.count() < pairs.count() else ():
-        named = written(maps.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "jaccard-labels")
-        found = written(_across(pairs, named, maps, percent, most), "jaccard-across")
-        close = written(found.filter("a >= 0").join(tried, ["a", "b"], "left_anti"), "jaccard-close")
-        more = written(_verified(close, base, info, percent, broadcast_nodes), "jaccard-links")
-        tried = tried.unionByName(close)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-        if found.filter("a < 0").isEmpty():
-            break
-    info = info.join(labels, "node", "left")
-    placed = info.withColumn("component", F.coalesce("component", "node"))
+    placed = _placed(docs, ["doc_id", "text"], percent, heavy_least, broadcast_nodes, **bounds)
     least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def _planned(survey: DataFrame, heavy_least: int, most_heavy: int) -> Plan:
-    heavy = survey.filter("kind = 'heavy'").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= heavy_least)
-    top = heavy.orderBy(F.desc("n"), "node").limit(most_heavy).toArrow()
-    values, counts = top.column("node").to_numpy().astype(np.int64).view(U), top.column("n").to_numpy().astype(np.int64)
-    total, longest = survey.filter("kind = 'doc'").agg(F.sum("n"), F.max("n")).first()
-    starts = band_starts((longest or 1) + 1)
-    unsafe = survey.filter("kind = 'band'").groupBy("doc_id", "node").agg(F.sum("n").alias("n")).collect()
-    multiples: dict[int, int] = {}
-    for band in range(len(starts) - 1):
-        bad = {r["node"]: r["n"] for r in unsafe if r["doc_id"] == band}
-        ok = [m for k, m in enumerate(_MULTIPLES) if not bad.get(k)]
-        multiples[band] = ok[0] if ok else 1 << 32  # nearly every shingle a segment of its own
-    parts = max(64, -(-int((total or 0) * 0.7) // 4_000_000))  # enough tasks for a cluster, and bounded memory in each
-    return Plan(multiples, values, counts, parts, longest or 1)
-
-
-def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each near-duplicate class, the one with the least doc_id, with all columns.
+def keep_one(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row of each near-duplicate class, with all columns; rows are told apart by all of their columns, not by doc_id.
 
-    Documents with a null doc_id, or with an empty set, stay. Copies of one doc_id are told apart by their row.
+    The row with the least doc_id stays, null ones last, and of several the one with the least hash of its columns. Rows
+    with an empty set are copies of nothing and stay, repeated ones too. Of rows that are equal in all columns one stays.
+    An empty table gives none.
     """
-    found = classes(docs, percent)
-    drop = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    few = drop.count() <= 1_000_000
-    kept = docs.join(F.broadcast(drop) if few else drop, "doc_id", "left_anti")
-    twice = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("doc_id is not null and count > 1")
-    return kept if twice.isEmpty() else kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    placed = _placed(docs, docs.columns, percent, 3, broadcast_rows)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    least = placed.filter("component is not null").groupBy("component").agg(F.min(place).alias("least"))
+    scratch = Scratch(docs.sparkSession, "kept")
+    extra = placed.join(least, "component").filter(F.col("row") != F.col("least.row")).select("row").distinct()
+    extra = scratch.put(extra.select(F.col("row").alias("__row")), "extra")
+    sized = F.broadcast if extra.count() <= broadcast_rows else (lambda df: df)
+    kept = docs.withColumn("__row", F.xxhash64(*docs.columns)).join(sized(extra), "__row", "left_anti")
+    twice = scratch.put(placed.filter("component is not null").groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row").join(extra, "__row", "left_anti"), "twice")
+    if not twice.isEmpty():
+        again = F.broadcast if twice.count() <= broadcast_rows else (lambda df: df)
+        kept = kept.join(again(twice), "__row", "left_anti").unionByName(kept.join(again(twice), "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(*docs.columns)
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of `documents`, see classes."""
     return classes(table(spark, sf_dir, "documents"))

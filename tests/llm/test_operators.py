@@ -150,20 +150,85 @@ def test_classes_of_nulls_repeats_and_nothing(spark):
         ngram_jaccard.classes(docs_of(spark, [t]), 50)
 
 
-def test_block_comparison_and_bitmaps_lose_no_link():
+def test_hot_and_dense_groups_give_the_same_classes(spark):
+    rng = np.random.default_rng(18)
+    texts = [*family(rng, 60, 50, 3), *family(rng, 150, 40, 4), *family(rng, 12, 20, 1)]
+    want = classes_by_force(list(enumerate(texts)))
+    got = ngram_jaccard.classes(docs_of(spark, texts), broadcast_nodes=5, hot=1, dense=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_neighbourhoods_find_all_partners_of_small_sets():
+    rng = np.random.default_rng(5)
+    plan = ngram_jaccard.Plan({}, np.zeros(1 << 24, np.uint8), 1, 40, frozenset(range(40)))
+    for _ in range(3000):
+        n, m = sorted(rng.integers(1, 20, 2))
+        base = np.unique(rng.integers(0, 2**64 - 1, 60, dtype=np.uint64))
+        rng.shuffle(base)
+        shared = max(0, n - int(rng.integers(0, 4)))
+        a, b = np.sort(base[:n]), np.sort(np.concatenate([base[:shared], base[30 : 30 + m - shared]]))
+        if ngram_jaccard.similar(a, b, 75) and not np.array_equal(a, b):
+            assert len(np.intersect1d(plan.signatures(a), plan.signatures(b)))
+
+
+def test_differences_to_a_centre_lose_no_link_and_keep_few_pairs(spark):
     rng = np.random.default_rng(2)
-    base = np.unique(rng.integers(0, 2**64 - 1, 300, dtype=np.uint64))
+    base = np.unique(rng.integers(0, 2**64 - 1, 200, dtype=np.uint64))
+    cost = (base & np.uint64(7)).astype(np.uint8)
     sets = []
-    for k in range(40):
-        keep = rng.random(len(base)) > k / 200
-        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**64 - 1, k, dtype=np.uint64)])))
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if ngram_jaccard.similar(sets[i], sets[j], 75)}
-    rows = [(i, i, i // 20, len(s), ngram_jaccard.parity(s)) for i, s in enumerate(sets)]
-    found = set()
-    for i, j in ((0, 0), (1, 1), (0, 1)):
-        part = [r for r in rows if r[2] in (i, j)]
-        found |= {tuple(map(int, p)) for p in ngram_jaccard._close_in_block(part, 75, i, j)}
-    assert want and want <= found
+    for k in range(400):  # near the bound, so that most are linked to the centre or to one another or just not
+        gone, new = rng.random(len(base)) < rng.choice([0.02, 0.08, 0.13, 0.2]), rng.integers(0, 2**64 - 1, int(rng.integers(0, 40)), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[~gone], new])))
+        if k % 7 == 0:  # some share their changes
+            more = rng.integers(0, 2**64 - 1, 6, dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([sets[-1], more])))
+            sets.append(np.unique(np.concatenate([sets[-2], more[:3]])))
+    close = [ngram_jaccard.similar(s, base, 75) for s in sets]
+    out = [not c for c in close]
+    rows, entries = [], []
+    for i, s in enumerate(sets):
+        of = ngram_jaccard.changes(base, s, cost, np.zeros(len(s), np.uint8))
+        index, probe = ngram_jaccard.prefixes(len(s), len(of), len(base), out[i], 75)
+        rows.append((i, len(of), i + 1 if out[i] else 0, len(s)))
+        entries += [(int(e), i, k, (k < index) + 2 * (k < probe)) for k, e in enumerate(of[: max(index, probe)])]
+    entries.sort(key=lambda e: (e[0], rows[e[1]][1], e[1]))
+    docs = np.array([rows[e[1]] for e in entries], ngram_jaccard._CHANGED)
+    columns = [np.array([e[k] for e in entries]) for k in (2, 3)]
+    found = set(map(tuple, ngram_jaccard.matched(np.array([e[0] for e in entries], np.uint64), docs, *columns, 75).tolist()))
+    found = {tuple(sorted(p)) for p in found}
+    crossing = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if out[i] or out[j]]
+    want = {(i, j) for i, j in crossing if ngram_jaccard.similar(sets[i], sets[j], 75)}
+    assert len(want) > 50 and want <= found and len(found) < len(want) + len(crossing) / 5
+
+
+def test_a_star_of_unlinked_documents_makes_few_pairs(spark):
+    rng = np.random.default_rng(6)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(5000):
+        w = list(base)
+        for at in rng.choice(150, int(rng.integers(5, 9)), replace=False):
+            w[at] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(w))
+    join = ngram_jaccard._Join(docs_of(spark, texts).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")), 75, 3, 1_000_000)
+    pairs = join.pairs(join.signed())
+    mixed = join.mixed(pairs, components.components(join.links(pairs)))
+    assert mixed.count() > 4000
+    join.step += 1
+    assert join.pairs(join.changed(mixed)).count() < 200_000  # of 12.5 million
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b = "a b c d e f g", "q r s t u v w x"
+    ids, texts = [3, 5, 5, 7, 7, 9, 9, None, None, 8, None], [a, a, b, a, b, "", "", b, "z y x w v", "k l m n o p", None]
+    rows = [(i, t, "en", "s", 0, "k", "n", 0.5) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame([*rows, rows[9], rows[0]], SCHEMA)
+    kept = ngram_jaccard.keep_one(docs)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(3, a), (5, b), (9, ""), (9, ""), (-1, "z y x w v"), (8, "k l m n o p"), (-1, "")])
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, ngram_jaccard.keep_one(docs, broadcast_rows=0).collect()))
+    assert ngram_jaccard.keep_one(docs.limit(0)).count() == 0
 
 
 def test_components_are_those_of_the_graph(spark):
