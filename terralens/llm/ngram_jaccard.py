@@ -269,12 +269,34 @@ def _sets_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- entries, packed by part ------------------------------------------------------------------------------------
 
-_SENT = "part int, kind int, docs binary, keys binary, places binary, spots binary, roles binary"
+_SENT = "part int, kind int, docs binary, keys binary, places binary, spots binary"
 _ENTRIES, _LEADS, _INNER = 0, 1, 2
 #: pref: the least of a group is its centre. Of signatures the share of rare shingles, of differences their number.
 _SIGNED = np.dtype([("node", "<i8"), ("pref", "u1")])
-_CHANGED = np.dtype([("node", "<i8"), ("pref", "<i4"), ("comp", "<i8"), ("n", "<i4")])
-_INDEX, _PROBE = 1, 2
+#: index, probe: how many of its differences a document indexes and probes with.
+_CHANGED = np.dtype([("node", "<i8"), ("pref", "<i4"), ("comp", "<i8"), ("n", "<i4"), ("index", "<i4"), ("probe", "<i4")])
+#: Differences go by 48 bits of shingles' hashes. Where two of a pair agree by chance they seem two fewer, so bounds are wider.
+_SLACK = 2
+
+
+def _narrow(x: np.ndarray, most: int) -> bytes:
+    return x.astype("<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _widened(data: bytes, n: int) -> np.ndarray:
+    """n numbers that _narrow has packed."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
+
+
+def six_bytes(s: np.ndarray) -> bytes:
+    """The first 48 bits of sorted hashes."""
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def from_six_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.unique(out.view("<u8").ravel())
 
 
 class _Outbox:
@@ -286,27 +308,23 @@ class _Outbox:
 
     def __init__(self, parts: int, kind: np.dtype, hot: int) -> None:
         self.parts, self.kind, self.hot = parts, kind, hot
-        self.docs, self.keys, self.spots, self.roles, self.n = [], [], [], [], 0
+        self.docs, self.keys, self.n = [], [], 0
 
-    def add(self, doc: tuple, keys: np.ndarray, spots: np.ndarray | None = None, roles: np.ndarray | None = None) -> None:
+    def add(self, doc: tuple, keys: np.ndarray) -> None:
         self.docs.append(doc)
         self.keys.append(keys)
-        if spots is not None:
-            self.spots.append(spots)
-            self.roles.append(roles)
         self.n += len(keys)
 
     def flush(self) -> pa.RecordBatch:
         docs = np.array(self.docs, self.kind)
         place = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in self.keys])
         keys = np.concatenate([np.zeros(0, U), *self.keys])
-        plain = not self.spots
-        spots, roles = (np.zeros(0, "<u4"), np.zeros(0, np.uint8)) if plain else (np.concatenate(self.spots).astype("<u4"), np.concatenate(self.roles).astype(np.uint8))
-        self.docs, self.keys, self.spots, self.roles, self.n = [], [], [], [], 0
+        # differences have places in their document's list
+        spots = None if self.kind is _SIGNED else np.concatenate([np.zeros(0, np.int64), *map(np.arange, map(len, self.keys))])
+        self.docs, self.keys, self.n = [], [], 0
         order = np.argsort(keys)
         keys, place = keys[order], place[order]
-        if not plain:
-            spots, roles = spots[order], roles[order]
+        spots = spots if spots is None else spots[order]
         rows = []
         begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
         many = np.diff(np.append(begin, len(keys)))
@@ -320,26 +338,24 @@ class _Outbox:
             inner = np.flatnonzero(~first)
             for i in range(0, len(inner), 1 << 16):
                 some = inner[i : i + (1 << 16)]
-                rows.append((int(lead[some[0]] + i // (1 << 16)) % self.parts, _INNER, lead[some].tobytes(), k[some].tobytes(), d["node"][some].tobytes(), b"", b""))
-            rows += self._packed(_LEADS, docs, k[first], place[hot[order[first]]], None, None)
+                rows.append((int(lead[some[0]] + i // (1 << 16)) % self.parts, _INNER, lead[some].tobytes(), k[some].tobytes(), d["node"][some].tobytes(), b""))
+            rows += self._packed(_LEADS, docs, k[first], place[hot[order[first]]], None)
             stay = np.ones(len(keys), bool)
             stay[hot] = False
             keys, place = keys[stay], place[stay]
-            if not plain:
-                spots, roles = spots[stay], roles[stay]
-        rows += self._packed(_ENTRIES, docs, keys, place, None if plain else spots, roles)
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "kind", "docs", "keys", "places", "spots", "roles"])
-
-    def _packed(self, kind: int, docs: np.ndarray, keys: np.ndarray, place: np.ndarray, spots, roles) -> Iterator[tuple]:
+            spots = spots if spots is None else spots[stay]
+        rows += self._packed(_ENTRIES, docs, keys, place, spots)
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "kind", "docs", "keys", "places", "spots"])
+
+    def _packed(self, kind: int, docs: np.ndarray, keys: np.ndarray, place: np.ndarray, spots: np.ndarray | None) -> Iterator[tuple]:
         # parts are slices of the keys' range, so each is one run
         at = np.searchsorted((keys >> U(32)) * U(self.parts) >> U(32), np.arange(self.parts + 1, dtype=U))
         for part in np.flatnonzero(np.diff(at)).tolist():
             run = slice(at[part], at[part + 1])
             used, where = np.unique(place[run], return_inverse=True)
-            rest = (b"", b"") if spots is None else (spots[run].tobytes(), roles[run].tobytes())
-            yield part, kind, docs[used].tobytes(), keys[run].tobytes(), where.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes(), *rest
+            yield part, kind, docs[used].tobytes(), keys[run].tobytes(), _narrow(where, len(used)), b"" if spots is None else _narrow(spots[run], int(spots[run].max()))
 
 
 _FOUND = "kind int, a long, b long, key long"
@@ -347,27 +363,26 @@ _FOUND = "kind int, a long, b long, key long"
 _PAIR, _HEAD, _MEMBER, _STAR = 0, 1, 2, 3
 
 
-def _unpacked(group: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, documents, spots, roles and whether they are leads, sorted by key and centre first; and rows (lead, member, key)."""
-    keys, docs, spots, roles, leads, inner = [np.zeros(0, U)], [np.zeros(0, kind)], [np.zeros(0, "<u4")], [np.zeros(0, np.uint8)], [np.zeros(0, bool)], [np.zeros((0, 3), np.int64)]
-    for k, d, key, place, spot, role in zip(*(group.column(c) for c in ("kind", "docs", "keys", "places", "spots", "roles")), strict=True):
-        k, d, key, place, spot, role = k.as_py(), d.as_py(), np.frombuffer(key.as_py(), U), place.as_py(), spot.as_py(), role.as_py()
+def _unpacked(group: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, documents, spots and whether they are leads, sorted by key and centre first; and rows (lead, member, key)."""
+    keys, docs, spots, leads, inner = [np.zeros(0, U)], [np.zeros(0, kind)], [np.zeros(0, "<u4")], [np.zeros(0, bool)], [np.zeros((0, 3), np.int64)]
+    for k, d, key, place, spot in zip(*(group.column(c) for c in ("kind", "docs", "keys", "places", "spots")), strict=True):
+        k, d, key, place, spot = k.as_py(), d.as_py(), np.frombuffer(key.as_py(), U), place.as_py(), spot.as_py()
         if k == _INNER:
             inner.append(np.stack([np.frombuffer(d, np.int64), np.frombuffer(place, np.int64), key.view(np.int64)], 1))
             continue
         d = np.frombuffer(d, kind)
         keys.append(key)
-        docs.append(d[np.frombuffer(place, "<u2" if len(d) < 1 << 16 else "<u4")])
-        spots.append(np.frombuffer(spot, "<u4") if spot else np.zeros(len(key), "<u4"))
-        roles.append(np.frombuffer(role, np.uint8) if role else np.zeros(len(key), np.uint8))
+        docs.append(d[_widened(place, len(key))])
+        spots.append(_widened(spot, len(key)) if spot else np.zeros(len(key), "<u4"))
         leads.append(np.full(len(key), k == _LEADS))
-    keys, docs, spots, roles, leads = (np.concatenate(x) for x in (keys, docs, spots, roles, leads))
+    keys, docs, spots, leads = (np.concatenate(x) for x in (keys, docs, spots, leads))
     # alone in a group means nothing, but for a lead
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
     order = order[(np.append(False, same) | np.append(same, False))[: len(order)] | leads[order]]
     order = order[np.lexsort((docs["node"][order], docs["pref"][order], keys[order]))]
-    return keys[order], docs[order], spots[order], roles[order], leads[order], np.concatenate(inner)
+    return keys[order], docs[order], spots[order].astype(np.int64), leads[order], np.concatenate(inner)
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
@@ -387,7 +402,7 @@ def _starred(keys: np.ndarray, nodes: np.ndarray, leads: np.ndarray) -> list[tup
     return [(_PAIR, flat(both[other & ~wide])), (_STAR, flat(both[other & wide])), (_HEAD, both[leads])]
 
 
-def matched(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, roles: np.ndarray, percent: int) -> np.ndarray:
+def matched(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, percent: int) -> np.ndarray:
     """Pairs (a, b) of sorted groups of differences that may link, by their places in both lists; see the module."""
     begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     many = np.diff(np.append(begin, len(keys)))
@@ -405,18 +420,18 @@ def matched(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, roles: np.nda
         left = np.repeat(entry, here)
         right = np.repeat(np.repeat(b, m), here) + np.arange(len(left)) - np.repeat(np.cumsum(here) - here, here)
         # entries stand in the order of (differences, node), so the one with fewer is on the left
-        ok = (left < right) & (roles[left] & _INDEX > 0) & (roles[right] & _PROBE > 0) & (docs["comp"][left] != docs["comp"][right])
+        ok = (left < right) & (spots[left] < docs["index"][left]) & (spots[right] < docs["probe"][right]) & (docs["comp"][left] != docs["comp"][right])
         left, right = left[ok], right[ok]
         n, m2 = docs["n"][left].astype(np.int64), docs["n"][right].astype(np.int64)
-        most, gap = apart(n, m2, percent), docs["pref"][right].astype(np.int64) - docs["pref"][left]
-        ok = (100 * np.minimum(n, m2) >= percent * np.maximum(n, m2)) & (gap <= most) & (2 * spots[left].astype(np.int64) <= most - gap) & (2 * spots[right].astype(np.int64) <= most + gap)
+        most, gap = apart(n, m2, percent) + _SLACK, docs["pref"][right].astype(np.int64) - docs["pref"][left]
+        ok = (100 * np.minimum(n, m2) >= percent * np.maximum(n, m2)) & (gap <= most) & (2 * spots[left] <= most - gap) & (2 * spots[right] <= most + gap)
         out.append(_distinct(np.stack([docs["node"][left[ok]], docs["node"][right[ok]]], 1)))
     return _distinct(np.concatenate(out))
 
 
 def _met(group: pa.Table, percent: int | None, dense_from: int = 0) -> pa.Table:
     """What a part's groups make: with a percentage pairs of differences, and stars of groups above `dense_from` members; without, stars of all."""
-    keys, docs, spots, roles, leads, inner = _unpacked(group, _SIGNED if percent is None else _CHANGED)
+    keys, docs, spots, leads, inner = _unpacked(group, _SIGNED if percent is None else _CHANGED)
     found = [(_MEMBER, inner)]
     if percent is None:
         found += _starred(keys, docs["node"], leads)
@@ -425,7 +440,7 @@ def _met(group: pa.Table, percent: int | None, dense_from: int = 0) -> pa.Table:
         many = np.diff(np.append(begin, len(keys)))
         dense = np.repeat((many > dense_from) | (np.add.reduceat(leads, begin) > 0 if len(begin) else False), many)
         found += _starred(keys[dense], docs["node"][dense], leads[dense])
-        pairs = matched(keys[~dense], docs[~dense], spots[~dense], roles[~dense], percent)
+        pairs = matched(keys[~dense], docs[~dense], spots[~dense], percent)
         found.append((_PAIR, np.concatenate([pairs, np.zeros((len(pairs), 1), np.int64)], 1)))
     rows = np.concatenate([x for _, x in found])
     kinds = np.concatenate([np.full(len(x), k, np.int32) for k, x in found])
@@ -458,11 +473,11 @@ def prefixes(n: int, differences: int, centre: int, outside: bool, percent: int)
 
     A member of the centre's component has partners outside only, which differ from the centre by more than linked sets do.
     """
-    most = apart(n, 100 * n // percent, percent)
+    most = apart(n, 100 * n // percent, percent) + _SLACK
     index = min(differences, most // 2 + 1)
     if not outside:
-        index = min(index, 4 * differences // 7 + 1)
-    probes = outside or differences > apart(percent * n // 100, centre, percent)
+        index = min(index, 4 * differences // 7 + 1 + _SLACK)
+    probes = outside or differences + _SLACK > apart(percent * n // 100, centre, percent)
     return index, min(differences, most + 1) if probes else 0
 
 
@@ -552,7 +567,7 @@ class _Join:
         """(a, b): the pairs that link exactly."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         own = self.survey.filter("kind = 'doc' and n > 0").select("node", "n", "bits")
-        maps = self.put(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "maps")
+        self.maps = maps = self.put(own.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "maps")
         close = self.put(self._close(pairs, maps), "close")
         percent = self.percent
 
@@ -561,7 +576,9 @@ class _Join:
                 ok = [similar(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), percent) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        sets = self.sets(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "close")
+        sets = self.put(self.sets(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "close"), "sets")
+        if sets.count() > self.wanted:  # rows that repeat
+            sets = self.put(sets.groupBy("node").agg(F.first("members").alias("members")), "sets-once")
         both = close.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
         return self.put(both.mapInArrow(_text.tidied(run), "a long, b long"), "links")
 
@@ -584,13 +601,13 @@ class _Join:
         return met.mapInArrow(_text.tidied(run), "a long, b long")
 
     def sets(self, nodes: DataFrame, name: str) -> DataFrame:
-        """(node, members) of distinct nodes. Whole texts are read again for their documents only: one of each node."""
+        """(node, members) of distinct nodes, more than once where a row repeats. Whole texts are read again for their documents only: one of each node."""
         nodes = self.put(nodes, f"{name}-nodes")
-        sized = F.broadcast if nodes.count() <= self.few else (lambda df: df)
+        self.wanted = nodes.count()
+        sized = F.broadcast if self.wanted <= self.few else (lambda df: df)
         chosen = self.info.join(sized(nodes), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
         picked = self.base.join(sized(chosen), "row", "left_semi").select("text")
-        sets = picked.mapInArrow(_text.tidied(_sets_rows), "node long, members binary").join(sized(nodes), "node", "left_semi")
-        return self.put(sets.groupBy("node").agg(F.first("members").alias("members")), f"{name}-sets")
+        return picked.mapInArrow(_text.tidied(_sets_rows), "node long, members binary").join(sized(nodes), "node", "left_semi")
 
     def mixed(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """(c, node, own, other, size): members of the stars that have members outside the centre's component, two members at least."""
@@ -610,33 +627,42 @@ class _Join:
         stars = mixed.groupBy("c").agg(F.first("own").alias("own"), F.first("size").alias("size"))
         centres = stars.select("c", F.col("c").alias("node"), "own", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
         dealt = mixed.select("c", "node", "own", "other", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")).unionByName(centres)
-        size = mixed.join(sets.select("node", (F.octet_length("members") / 8).alias("n")), "node").agg(F.sum("n")).first()[0] or 0
-        cells, parts, percent, plan = max(self.tasks, int(size) // 2_000_000), max(self.tasks, int(size) // 6_000_000), self.percent, self.plan
+        size, members = mixed.join(self.maps.select("node", "n"), "node").agg(F.sum("n"), F.count(F.lit(1))).first()
+        sized = F.broadcast if members <= self.few else (lambda df: df)
+        cells, parts, percent, plan = max(self.tasks, int(size or 0) // 2_000_000), max(self.tasks, int(size or 0) // 6_000_000), self.percent, self.plan
         hot, dense = self.hot << 2 * self.step, self.dense << 2 * self.step  # so that rounds come to an end
 
         def differences(group: pa.Table) -> pa.Table:
             box, out = _Outbox(parts, _CHANGED, hot), []
-            order = np.lexsort((group.column("node").to_numpy() != group.column("c").to_numpy(), group.column("chunk").to_numpy(), group.column("c").to_numpy()))
-            now, centre, centre_cost, salt = None, None, None, U(0)
+            c, chunk, node = (group.column(x).to_numpy() for x in ("c", "chunk", "node"))
+            order = np.lexsort((node, node != c, chunk, c))
+            last = centre = centre_cost = None
+            salt = U(0)
             for i in order.tolist():
-                c, node, own, other = (group.column(x)[i].as_py() for x in ("c", "node", "own", "other"))
-                s = np.frombuffer(group.column("members")[i].as_py(), U)
+                c, node, own, other, chunk = (group.column(x)[i].as_py() for x in ("c", "node", "own", "other", "chunk"))
+                if (c, chunk, node) == last:  # a row that repeats
+                    continue
+                last = c, chunk, node
+                s = from_six_bytes(group.column("members")[i].as_py())
                 if node == c:
-                    now, centre, centre_cost, salt = c, s, plan.value.costs(s), _text.mix(np.array([c], np.int64).view(U))[0]
+                    centre, centre_cost, salt = s, plan.value.costs(s), _text.mix(np.array([c], np.int64).view(U))[0]
                     continue
-                assert now == c
                 of = changes(centre, s, centre_cost, plan.value.costs(s))
                 index, probe = prefixes(len(s), len(of), len(centre), own != other, percent)
-                spots = np.arange(max(index, probe))
-                box.add((node, len(of), other, len(s)), _text.mix(of[: len(spots)] ^ salt), spots, _INDEX * (spots < index) + _PROBE * (spots < probe))
+                box.add((node, len(of), other, len(s), index, probe), _text.mix(of[: max(index, probe)] ^ salt))
                 if box.n > 400_000:
                     out.append(box.flush())
             out.append(box.flush())
             _text.release()
             return pa.Table.from_batches(out)
 
+        def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.set_column(1, "members", pa.array([six_bytes(np.frombuffer(x.as_py(), U)) for x in b.column("members")], pa.binary()))
+
         cell = F.pmod(F.xxhash64("c", "chunk"), F.lit(cells)).cast("int")
-        sent = dealt.join(sets, "node").withColumn("cell", cell).groupBy("cell").applyInArrow(differences, _SENT)
+        short = sets.mapInArrow(_text.tidied(shortened), "node long, members binary")
+        sent = short.join(sized(dealt), "node").withColumn("cell", cell).groupBy("cell").applyInArrow(differences, _SENT)
         return sent.groupBy("part").applyInArrow(lambda g: _met(g, percent, dense), _FOUND)
 
     def labels(self) -> DataFrame:
@@ -722,3 +748,18 @@ def keep_one(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_000_000
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `documents`, see classes."""
     return classes(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM texts),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes m ON m.doc_id = x JOIN sizes n ON n.doc_id = y WHERE 100 * c >= 75 * (m.n + n.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM texts UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM texts t JOIN least ON x = t.doc_id LEFT JOIN sizes s ON s.doc_id = t.doc_id"""
