@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
-from terralens.llm._tables import table, texts
+from terralens.llm._tables import Scratch, table, texts
 
 SLOTS = 1 << 18
 
@@ -55,37 +55,28 @@ def term_slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             yield np.unique(slots[:, first[i] : first[i + 1]])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, most_slots: int = 768, rank: int = 6, steps: int = 250, seed: int = 7, most_weight: float = 4.0) -> Machine:
-    """Fits the machine to term lists and 0/1 labels; without both labels it says the only one's share.
-
-    The slots in use are the `most_slots` with the largest log-likelihood ratio against the label. Rows of the rarer
-    label weigh more, up to `most_weight`, so that one telling term can be enough where training rows mostly have several.
-    """
-    n, positive = len(rows), int(labels.sum())
-    base = math.log((positive + 0.5) / (n - positive + 0.5))
-    if not 0 < positive < n:
-        return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)), base)
-    with_1 = np.zeros(SLOTS)
-    with_0 = np.zeros(SLOTS)
-    for r, y in zip(rows, labels, strict=True):
-        (with_1 if y else with_0)[r] += 1
-    # G2 of the two-by-two table of each slot
-    cells = np.stack([with_1, with_0, positive - with_1, (n - positive) - with_0])
-    both = with_1 + with_0
-    expected = np.stack([both * positive / n, both * (n - positive) / n, (n - both) * positive / n, (n - both) * (n - positive) / n])
+def choose_slots(slots: np.ndarray, with_0: np.ndarray, with_1: np.ndarray, negative: int, positive: int, most_slots: int) -> np.ndarray:
+    """The slots, sorted, with the largest log-likelihood ratio of their two-by-two table against the label."""
+    n, both = negative + positive, with_0 + with_1
+    cells = np.stack([with_1, with_0, positive - with_1, negative - with_0])
+    expected = np.stack([both * positive / n, both * negative / n, (n - both) * positive / n, (n - both) * negative / n])
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * np.nansum(np.where(cells > 0, cells * np.log(cells / expected), 0), 0)
     gain[both < 2] = 0
-    slots = np.sort(np.argsort(-gain, kind="stable")[:most_slots])
-    slots = slots[gain[slots] > 6.6]
-    if not len(slots):
+    best = np.lexsort((slots, -gain))[:most_slots]
+    return np.sort(slots[best[gain[best] > 6.6]])
+
+
+def fit(x: np.ndarray, labels: np.ndarray, slots: np.ndarray, rank: int = 6, steps: int = 250, seed: int = 7, most_weight: float = 4.0) -> Machine:
+    """Fits the machine to rows of 0/1 marks for the slots and 0/1 labels; without both labels or slots it says the share of 1.
+
+    Rows of the rarer label weigh more, up to `most_weight`, so that one telling term can be enough where training rows
+    mostly have several.
+    """
+    n, positive = len(labels), int(labels.sum())
+    base = math.log((positive + 0.5) / (n - positive + 0.5))
+    if not 0 < positive < n or not len(slots):
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)), base)
-    place = np.full(SLOTS, -1, np.int32)
-    place[slots] = np.arange(len(slots))
-    x = np.zeros((n, len(slots)), np.float32)
-    for i, r in enumerate(rows):
-        k = place[r]
-        x[i, k[k >= 0]] = 1
     rng = np.random.default_rng(seed)
     params = [np.zeros(len(slots), np.float32), rng.normal(0, 0.02, (len(slots), rank)).astype(np.float32), np.full(1, base, np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
@@ -108,29 +99,71 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, most_slots: int = 768, rank:
     return Machine(slots.astype(np.int64), w, v, float(b[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 12_000, held_out: int = 5) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 12_000, held_out: int = 5, most_slots: int = 768) -> Machine:
     """Learns from labelled rows whose crc32(doc_id as text) mod `held_out` is not 0.
 
-    At most about `max_labelled` of them, chosen by a hash of doc_id; that is the bound on what reaches the driver.
-    Null labels and null ids are left out; a doc_id labelled more than once has its highest label.
+    From at most `max_labelled` rows, chosen by a hash of doc_id and text; a row brings at most `most_slots` slots, and
+    one task fits the machine to these, so memory has a bound whatever the labels and texts are. Counts of slots come
+    from the same rows. Null labels and null ids are left out; a doc_id labelled more than once has its highest label;
+    rows that repeat a doc_id and text count once. Without rows the machine says 0.5.
     """
+    scratch = Scratch(docs.sparkSession, "machine")
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % held_out != 0))
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("doc_id"))
         .agg(F.max(F.col(label).cast("int")).alias("label"))
     )
-    n = known.count()
-    share = min(1.0, max_labelled / max(n, 1))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    share = lambda n: F.lit(int(min(1.0, max_labelled / max(n, 1)) * 1_000_000))
+    known = scratch.put(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share(known.count())), "known")
+    # the labels are about max_labelled here, so they may go to every task; rows that repeat a doc_id are thinned as well
+    rows = docs.select("doc_id").join(F.broadcast(known), "doc_id").count()
+    row = F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row")
+    picked = texts(docs, "doc_id").join(F.broadcast(known), "doc_id").select("label", "text", row).filter(F.pmod(F.col("row"), F.lit(1_000_000)) < share(rows))
+    # the pick itself: one row of each hash, the least ones
+    chosen = scratch.put(picked.groupBy("row").agg(F.max("label").alias("label")).orderBy("row").limit(max_labelled), "chosen")
+    n, positive = chosen.agg(F.count(F.lit(1)), F.sum("label")).first()
+    used = picked.select("row", "text").join(F.broadcast(chosen), "row").select("row", "label", "text")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen = [np.zeros(SLOTS, np.int64) for _ in range(2)], set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([t.astype(np.int32).tobytes() for t in term_slots(b)], pa.binary())], ["label", "terms"])
-
-    # the labels are bounded by max_labelled here, so they may go to every task
-    rows = texts(docs, "doc_id").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
-    found = sorted((int(r[0]), bytes(r[1])) for r in rows.select("label", "text").mapInArrow(features, "label int, terms binary").collect())
-    return fit([np.frombuffer(t, np.int32) for _, t in found], np.array([y for y, _ in found], np.int64))
+            for r, y, terms in zip(b.column("row").to_pylist(), b.column("label").to_pylist(), term_slots(b), strict=True):
+                if r not in seen:
+                    seen.add(r)
+                    of[int(y > 0)][terms] += 1
+        slots = np.flatnonzero(of[0] + of[1])
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(of[0][slots]), pa.array(of[1][slots])], ["slot", "with_0", "with_1"])
+
+    once = used if rows <= n else used.dropDuplicates(["row"])
+    found = once.mapInArrow(counts, "slot long, with_0 long, with_1 long").groupBy("slot").agg(F.sum("with_0").alias("with_0"), F.sum("with_1").alias("with_1")).toArrow()
+    slots = np.zeros(0, np.int64)
+    if n:
+        slots = choose_slots(*(found.column(c).to_numpy() for c in ("slot", "with_0", "with_1")), n - positive, positive, most_slots)
+    del found
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(SLOTS, -1, np.int32)
+        place[slots] = np.arange(len(slots))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("label"), pa.array([k[k >= 0].tobytes() for k in map(place.__getitem__, term_slots(b))], pa.binary())], ["row", "label", "marks"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {r: (y, np.frombuffer(m, np.int32)) for b in batches for r, y, m in zip(*(b.column(c).to_pylist() for c in ("row", "label", "marks")), strict=True)}
+        x = np.zeros((len(rows), len(slots)), np.float32)
+        for i, r in enumerate(sorted(rows)):
+            x[i, rows[r][1]] = 1
+        m = fit(x, np.array([rows[r][0] > 0 for r in sorted(rows)], np.int64), slots)
+        parts = [m.slots.astype("<i8").tobytes(), m.weight.astype("<f8").tobytes(), m.vectors.astype("<f8").tobytes()]
+        yield pa.RecordBatch.from_arrays([*(pa.array([p], pa.binary()) for p in parts), pa.array([m.bias])], ["slots", "weight", "vectors", "bias"])
+
+    marked = scratch.put(once.mapInArrow(marks, "row long, label int, marks binary"), "marked")
+    got = marked.coalesce(1).mapInArrow(_text.tidied(fitted), "slots binary, weight binary, vectors binary, bias double").collect()
+    scratch.drop_all_but()
+    _text.release()
+    if not got:
+        return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 6)), 0.0)
+    weight = np.frombuffer(got[0]["weight"], "<f8")
+    return Machine(np.frombuffer(got[0]["slots"], "<i8"), weight, np.frombuffer(got[0]["vectors"], "<f8").reshape(len(weight), -1 if len(weight) else 6), got[0]["bias"])
 
 
 def score(docs: DataFrame, machine: Machine, *keep: str, name: str = "score") -> DataFrame:
@@ -148,13 +181,17 @@ def score(docs: DataFrame, machine: Machine, *keep: str, name: str = "score") ->
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of `documents`; a null doc_id is never held out and never trains."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), "doc_id")
-    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the machine doesn't reject (score under 0.5), with their columns."""
+    """The documents that the machine doesn't reject (score under 0.5), with their columns.
+
+    Null and empty texts have the bias's score; rows that repeat are judged alike; an empty table gives none.
+    """
     scored = score(docs, train(docs, labels), *docs.columns, name="__toxicity")
     return scored.filter("__toxicity < 0.5").drop("__toxicity")
