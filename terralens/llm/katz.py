@@ -5,8 +5,8 @@ and what the discounts leave is the probability of an unknown word. alpha(h) = (
 of the seen words' P(w)), so each history's probabilities sum to one. Counts up to 5 have Katz's Good-Turing discounts;
 larger ones lose half a count, so that every history leaves something for unseen words.
 
-The model never is in one place. Tokens are dealt by a hash of the word, packed in blocks of documents: there c(w) and
-c(hw) are complete, and each document's terms that depend on them are summed. The history's count needs no second trip,
+The model never is in one place. Tokens are dealt by a hash of the word (frequent words, whose counts all tasks know, by
+one of the word and its history), packed in blocks of documents: there c(w) and c(hw) are complete, and each document's terms that depend on them are summed. The history's count needs no second trip,
 for it is the word's own count where the word stands, a place earlier. Only unseen bigrams (of held-out documents) ask
 for their history's backoff weight; the tables of histories are dealt by a hash of the history and answer them there.
 Histories go by 48 bits of their words' hashes. Good-Turing's counts of counts of bigrams are known only at the end, so sums keep the number of bigrams with each small
@@ -15,8 +15,6 @@ count, and the discounts come in when all is added up.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,16 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
-from terralens.llm._tables import table, texts, written
+from terralens.llm._tables import freed, table, texts, written
 
 U = np.uint64
 SMALL = 5  # counts with a Good-Turing discount
 TAIL = 0.5  # what larger counts lose
 BEGIN, END = U(0xA5A5A5A5A5A5A5A5), U(0x5C5C5C5C5C5C5C5C)
-_BLOCK_TOKENS = 1_000_000
 #: A part's words are worked on in this many slices, one after the other, so that memory holds one slice's numbers.
 _SLICES = 4
-_BLOCK_DOCS = 60_000
+_BLOCK_DOCS = 60_000  # their places fit 16 bits
 
 
 def discounts(of_counts: np.ndarray) -> np.ndarray:
@@ -61,6 +58,16 @@ class Unigrams:
     documents: int
     discount: np.ndarray  # of counts 1 .. SMALL
     known: float  # the known words' share of probability
+    hot: np.ndarray  # frequent words, sorted, which are dealt by their history as well
+    hot_counts: np.ndarray
+
+    def is_hot(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are hot, and the places of these."""
+        if not len(self.hot):
+            return np.zeros(len(words), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+        hit = self.hot[at] == words
+        return hit, at[hit]
 
     def probability(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words with training count c > 0."""
@@ -68,7 +75,7 @@ class Unigrams:
         return d / max(1, self.tokens)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], first_block: int) -> Iterator[tuple]:
+def _blocks(batches: Iterator[pa.RecordBatch], first_block: int, block_tokens: int) -> Iterator[tuple]:
     """(block, rows, history, word, document of each token): documents packed up to a bounded number of tokens.
 
     Training documents come first in a block; rows are (doc_id, held_out, n_tokens), n_train says how many train.
@@ -97,9 +104,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], first_block: int) -> Iterator[tup
             for i, (doc_id, out) in enumerate(zip(piece.column("doc_id").to_pylist(), piece.column("held_out").to_pylist(), strict=True)):
                 held.append((doc_id, out, hashes[first[i] : first[i + 1]]))
                 tokens += int(first[i + 1] - first[i]) + 1
-            if tokens >= _BLOCK_TOKENS or len(held) >= _BLOCK_DOCS - 10_000:
-                yield packed()
-                tokens = 0
+                if tokens >= block_tokens or len(held) >= _BLOCK_DOCS:
+                    yield packed()
+                    tokens = 0
     if held:
         yield packed()
 
@@ -116,8 +123,8 @@ def _sliced(part: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
 _COUNTED = "part int, words binary, counts binary"
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for _, _, n_train, _, word, doc in _blocks(batches, 0):
+def _count_words(batches: Iterator[pa.RecordBatch], parts: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
+    for _, _, n_train, _, word, doc in _blocks(batches, 0, block_tokens):
         words, counts = np.unique(word[doc < n_train], return_counts=True)
         part = (words % U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -132,13 +139,15 @@ def _summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.bincount(at, counts, len(out)).astype(np.int64)
 
 
-def _word_statistics(group: pa.Table) -> pa.Table:
-    """(r, n): the types that occur r times for r to SMALL + 1; all types at 0; all tokens at -1."""
+def _word_statistics(group: pa.Table, hot_from: int) -> pa.Table:
+    """(r, n, word): the types that occur r times for r to SMALL + 1; all types at 0; all tokens at -1; each word that occurs `hot_from` times at -2."""
     words = np.frombuffer(b"".join(x.as_py() for x in group.column("words")), U)
     counts = np.frombuffer(b"".join(x.as_py() for x in group.column("counts")), "<u4")
-    _, c = _summed(words, counts)
-    r = [-1, 0, *range(1, SMALL + 2)]
-    return pa.table({"r": pa.array(r, pa.int64()), "n": pa.array([int(c.sum()), len(c), *(int((c == k).sum()) for k in range(1, SMALL + 2))], pa.int64())})
+    w, c = _summed(words, counts)
+    often = c >= hot_from
+    r = [-1, 0, *range(1, SMALL + 2), *[-2] * int(often.sum())]
+    n = [int(c.sum()), len(c), *(int((c == k).sum()) for k in range(1, SMALL + 2)), *c[often].tolist()]
+    return pa.table({"r": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64()), "word": pa.array([None] * (SMALL + 3) + w[often].view(np.int64).tolist(), pa.int64())})
 
 
 # --- bigrams, dealt by their second word ------------------------------------------------------------------------
@@ -146,13 +155,15 @@ def _word_statistics(group: pa.Table) -> pa.Table:
 _SENT = "part int, slice int, block long, n_train int, words binary, of_word binary, history binary, times binary, docs binary, ids array<long>, held array<boolean>, n array<long>"
 
 
-def _send_bigrams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _send_bigrams(batches: Iterator[pa.RecordBatch], parts: int, uni: Unigrams, block_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     names = ["part", "slice", "block", "n_train", "words", "of_word", "history", "times", "docs", "ids", "held", "n"]
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-    for block, rows, n_train, history, word, doc in _blocks(batches, TaskContext.get().partitionId() << 20):
+    for block, rows, n_train, history, word, doc in _blocks(batches, TaskContext.get().partitionId() << 20, block_tokens):
         part = (word % U(parts * _SLICES)).astype(np.int16 if parts * _SLICES < 32_000 else np.int64)
+        hot, _ = uni.is_hot(word)
+        part[hot] = _text.mix(word[hot] ^ history[hot]) % U(parts * _SLICES)
         order = np.lexsort((history, word, part))
         part, word, history, doc = part[order], word[order], history[order], doc[order].astype("<u2")
         del order
@@ -284,6 +295,8 @@ def _score_slice(blocks: list[dict], uni: Unigrams, out: list, histories: list)
     new = new_w | np.append(True, h[1:] != h[:-1])
     begin, begin_w = np.flatnonzero(new), np.flatnonzero(new_w)
     pair_count, word_count = np.add.reduceat(c, begin), np.add.reduceat(c, begin_w)
+    hot, at = uni.is_hot(w[begin_w])
+    word_count[hot] = uni.hot_counts[at]  # only some of their histories are here
     per_pair, per_word = np.cumsum(new) - 1, np.cumsum(new_w) - 1
     with np.errstate(divide="ignore"):
         p_word = np.where(word_count > 0, uni.probability(word_count), 1.0 - uni.known)
@@ -407,15 +420,7 @@ def _added_up(group: pa.Table, pair_discount: np.ndarray, uni: Unigrams) -> pa.T
     })
 
 
-def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does when their plans are collected."""
-    for _ in range(2):  # plans first, then the shuffles that only they referred to
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2") -> DataFrame:
+def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", block_tokens: int = 1_000_000, hot_share: float = 0.25) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Learns from the rows for which `held_out` (SQL) is not true. Tokens are the words (A-Z folded) and one end. n_known
@@ -424,25 +429,33 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     repeated rows count each time, an empty table gives none; without training rows the only words are unknown, with
     probability 1. Other columns are ignored. The rows must come in the same order when a task is run again (a table
     does). Words go by 64-bit hashes. What is gathered grows with the input and stays dealt out: only the counts of
-    counts reach the driver.
+    counts and of hot words reach the driver; a word is hot with `hot_share` of a part's tokens, so there are at most
+    1 / hot_share of them for each part. A block has about `block_tokens` tokens.
     """
     spark = docs.sparkSession
     base = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
-    n_docs, trains, size = base.agg(F.count(F.lit(1)), F.sum((~F.col("held_out")).cast("long")), F.sum(F.octet_length("text").cast("long"))).first()
+    trains, size = base.agg(F.sum((~F.col("held_out")).cast("long")), F.sum(F.octet_length("text").cast("long"))).first()
     parts = max(8, -(-int(size or 0) // 20_000_000))
-    counted = base.mapInArrow(lambda it: _count_words(it, parts), _COUNTED).groupBy("part").applyInArrow(_word_statistics, "r long, n long")
-    stats = {r["r"]: r["n"] for r in counted.groupBy("r").agg(F.sum("n").alias("n")).collect()}
+    hot_from = int(hot_share * (size or 0) / 8 / parts) + 100  # about eight bytes a word
+    counted = base.mapInArrow(lambda it: _count_words(it, parts, block_tokens), _COUNTED).groupBy("part").applyInArrow(lambda g: _word_statistics(g, hot_from), "r long, n long, word long")
+    stats, hot = {}, []
+    for r in counted.groupBy("r", "word").agg(F.sum("n").alias("n")).collect():
+        if r["word"] is None:
+            stats[r["r"]] = r["n"]
+        else:
+            hot.append((r["word"] & (1 << 64) - 1, r["n"]))
+    hot.sort()
     del counted
-    _free(spark)
+    freed(spark)
     tokens, of_counts = stats.get(-1) or 0, np.array([stats.get(r) or 0 for r in range(1, SMALL + 2)])
     d = discounts(of_counts)
     small = float((of_counts[:SMALL] * np.arange(1, SMALL + 1)).sum())
     kept = float((of_counts[:SMALL] * np.arange(1, SMALL + 1) * d).sum()) + (tokens - small) - TAIL * ((stats.get(0) or 0) - of_counts[:SMALL].sum())
-    uni = Unigrams(tokens, stats.get(0) or 0, trains or 0, d, kept / tokens if tokens else 0.0)
-    rows = base.mapInArrow(lambda it: _send_bigrams(it, parts), _SENT).groupBy("part").applyInArrow(lambda g: _score_words(g, uni, parts), _ROWS)
+    uni = Unigrams(tokens, stats.get(0) or 0, trains or 0, d, kept / tokens if tokens else 0.0, np.array([w for w, _ in hot], U), np.array([n for _, n in hot], np.int64))
+    rows = base.mapInArrow(lambda it: _send_bigrams(it, parts, uni, block_tokens), _SENT).groupBy("part").applyInArrow(lambda g: _score_words(g, uni, parts), _ROWS)
     model = written(rows, "katz", "kind")
     del rows
-    _free(spark)
+    freed(spark)
     got = model.filter("kind = 'stat'").select(F.posexplode("ints").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
     of_pairs = np.zeros(SMALL + 1, np.int64)
     for r in got:
@@ -456,4 +469,5 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
 
 
 def op8_katz(spark, sf_dir: str) -> DataFrame:
+    """held_out, token counts, base_score and score of each row of `documents`, see score."""
     return score(table(spark, sf_dir, "documents"))
