@@ -8,8 +8,10 @@ at most two bits of some block, so tables of all block values within two bits of
 Changed runs of neighbouring words move fingerprints of long items further than that. A pair that reaches 0.75 still has
 unchanged words in a row: of n words, e changes keep a plain similarity of 0.75 only for n - 4 >= 35 e, so that one of the
 gaps between them has 15 words at least (9 below 22 words). So items are cut into blocks of 8 (5) words, one of which lies
-in such a gap, and every window of as many words of a document is looked up among them. A candidate is verified on the item-sized window: the weighted Jaccard similarity of its 5-word shingles with the item's,
-a shingle weighing log(1 + items / items with it).
+in such a gap, and every window of as many words of a document is looked up among them. A candidate is verified by the
+weighted Jaccard similarity of a window's 5-word shingles with the item's, a shingle weighing log(1 + items / items with
+it): of the item-sized window, or where that falls short of the best one around. A window reaches the threshold t if
+shared weight - t * other weight of the window >= t * the item's, so the run of shingles with the largest left side is it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terralens.llm import _text
 from terralens.llm._tables import table
@@ -46,10 +49,30 @@ def class_lengths(longest: int) -> list[int]:
     return out
 
 
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+class Statistics:
+    """Of how many items, and in how many of them words and shingles occur; those of one item may be left out."""
+
+    def __init__(self, n: int, words: np.ndarray, words_df: np.ndarray, shingles: np.ndarray, shingles_df: np.ndarray) -> None:
+        self.n, self.words, self.words_df, self.shingles, self.shingles_df = max(1, n), words, words_df, shingles, shingles_df
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        often = self.words_df >= max(2, 0.02 * self.n)
+        return self.words[often], np.where(self.words_df[often] >= max(3, 0.1 * self.n), 1, 2).astype(np.int16)
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray, float]:
+        shared = self.shingles_df > 1
+        return self.shingles[shared], np.log1p(self.n / self.shingles_df[shared]), float(np.log1p(self.n))
+
+
 class Items:
     """The benchmark's items, made ready for search; it is as large as the benchmark and goes to every task."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int = 5) -> None:
+    def __init__(self, ids: list, texts: list[str], k: int = 5, whole: "Statistics | None" = None) -> None:
+        """`whole`: the whole benchmark's statistics where these items are a group of it."""
         self.k = k
         filled = [(i, t) for i, t in zip(ids, texts, strict=True) if t and t.strip()]
         column = pa.array([t for _, t in filled], pa.string())
@@ -57,15 +80,14 @@ class Items:
         keep = np.flatnonzero(np.diff(first) > 0)
         self.ids = [filled[i][0] for i in keep]
         self.words = [hashes[first[i] : first[i + 1]] for i in keep]
-        n = max(1, len(self.words))
-        seen = [np.unique(w) for w in self.words]
-        words, df = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, U), np.zeros(0, int))
-        often = df >= max(2, 0.02 * n)
-        self.common, self.common_weight = words[often], np.where(df[often] >= max(3, 0.1 * n), 1, 2).astype(np.int16)
         sets = [np.unique(_text.shingles(w, np.array([0, len(w)]), k)[0]) for w in self.words]
-        self.shingles, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U), np.zeros(0, int))
-        self.weights, self.unknown = np.log1p(n / count) if len(count) else np.zeros(0), float(np.log1p(n))
-        self.sets, self.totals = sets, [float(self.weights[np.searchsorted(self.shingles, s)].sum()) for s in sets]
+        if whole is None:
+            words, df = _counted([np.unique(w) for w in self.words])
+            whole = Statistics(len(self.words), words, df, *_counted(sets))
+        self.common, self.common_weight = whole.common()
+        # a shingle of one item weighs as much as one of none, so only shared ones are kept
+        self.shingles, self.weights, self.unknown = whole.weights()
+        self.sets, self.totals = sets, [float(self.weight(s).sum()) for s in sets]
         lengths = class_lengths(max((len(w) for w in self.words), default=1))
         self.classes: dict[int, dict] = {}
         for item, w in enumerate(self.words):
@@ -145,11 +167,26 @@ class Items:
     def fingerprints(self, words: np.ndarray, c: int) -> np.ndarray:
         return self.prints_of(self.sums(words), c)
 
+    def weight(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.unknown)
+        place = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[place] == shingles, self.weights[place], self.unknown)
+
+    def best_window(self, item: int, words: np.ndarray, least: float) -> tuple[int, int]:
+        """(first word, words) of the window that is likeliest to reach `least`; see the module."""
+        of = _text.shingles(words, np.array([0, len(words)]), self.k)[0]
+        weight = self.weight(of)
+        sums = np.concatenate([[0.0], np.cumsum(np.where(np.isin(of, self.sets[item]), weight, -least * weight))])
+        low = np.minimum.accumulate(sums[:-1])
+        end = int(np.argmax(sums[1:] - low))
+        begin = int(np.argmin(sums[: end + 1]))
+        return begin, end + 1 - begin + self.k - 1
+
     def similarity(self, item: int, words: np.ndarray) -> float:
         """Weighted Jaccard similarity of the item's shingles and the words'."""
         mine, own = np.unique(_text.shingles(words, np.array([0, len(words)]), self.k)[0]), self.sets[item]
-        place = np.minimum(np.searchsorted(self.shingles, mine), len(self.shingles) - 1)
-        weight = np.where(self.shingles[place] == mine, self.weights[place], self.unknown)
+        weight = self.weight(mine)
         shared = float(weight[np.isin(mine, own, assume_unique=True)].sum())
         return shared / (self.totals[item] + float(weight.sum()) - shared)
 
@@ -184,12 +221,24 @@ class Items:
         places = np.arange(len(words))
         known: dict[tuple[int, int], float] = {}
 
-        def verified(text: int, item: int, begin: int) -> float:
-            if (begin, item) not in known:
-                like = known[begin, item] = self.similarity(item, words[begin : min(begin + len(self.words[item]), int(first[text + 1]))])
-                if like >= least and like > best.get((text, item), (0.0, 0))[0]:
-                    best[text, item] = (like, begin - int(first[text]))
-            return known[begin, item]
+        widened: set[tuple[int, int, int]] = set()
+
+        def verify(text: int, item: int, begin: int) -> None:
+            if (begin, item) in known:
+                return
+            n, last = len(self.words[item]), int(first[text + 1])
+            like = known[begin, item] = self.similarity(item, words[begin : min(begin + n, last)])
+            if like < least and like >= 0.4 * least and n >= self.k:
+                # inserted and deleted words shift the rest
+                at, end = max(int(first[text]), begin - n // 2), min(last, begin + n + n // 2)
+                if (text, item, begin // max(1, n // 4)) in widened:
+                    return
+                widened.add((text, item, begin // max(1, n // 4)))
+                skip, size = self.best_window(item, words[at:end], least)
+                begin = at + skip
+                like = self.similarity(item, words[begin : begin + size])
+            if like >= least and like > best.get((text, item), (0.0, 0))[0]:
+                best[text, item] = (like, begin - int(first[text]))
 
         for c, of in self.classes.items():
             spans = []
@@ -208,32 +257,52 @@ class Items:
                     item = int(of["item"][f])
                     text = int(np.searchsorted(first, p, "right")) - 1
                     begin = max(int(first[text]), p - int(of["offset"][f]))
-                    verified(text, item, begin)
+                    verify(text, item, begin)
         for text, item, begin in self.anchored(words, first):
-            # inserted and deleted words shift the rest: the best window is near the one that the block tells
-            if 0.5 <= verified(text, item, begin) < least:
-                far = len(self.words[item]) // 4
-                for near in range(max(int(first[text]), begin - far), min(int(first[text + 1]), begin + far + 1)):
-                    verified(text, item, near)
+            verify(text, item, begin)
         return best
 
 
+def _statistics(rows: DataFrame, k: int = 5) -> Statistics:
+    """Of all items (item_id, text), counted where they are; what comes back are words and shingles of two items at least."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in _text.pieces(b):
+                hashes, first = _text.word_hashes(*_text.buffers(piece.column("text")))
+                values, at = _text.shingles(hashes, first, k)
+                n = np.flatnonzero(np.diff(first) > 0)
+                found = [(0, np.zeros(len(n), U)), *((1, np.unique(hashes[first[i] : first[i + 1]])) for i in n), *((2, np.unique(values[at[i] : at[i + 1]])) for i in n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([kind for kind, _ in found], [len(x) for _, x in found]), pa.int64()), pa.array(np.concatenate([x for _, x in found]).view(np.int64))], ["kind", "value"])
+
+    counted = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(parts, "kind long, value long").groupBy("kind", "value").count().filter("kind = 0 or count > 1").toArrow()
+    kind, value, count = (counted.column(c).to_numpy() for c in ("kind", "value", "count"))
+    of = []
+    for x in (1, 2):
+        order = np.argsort(value[kind == x].view(U))
+        of += [value[kind == x].view(U)[order], count[kind == x][order]]
+    return Statistics(int(count[kind == 0].sum()), *of)
+
+
 def _item_groups(benchmark: DataFrame, most_items: int) -> Iterator[Items]:
-    """The items in groups of about `most_items`, so that what goes to every task has a bound."""
+    """The items in groups of about `most_items`, so that what goes to every task has a bound; weights are those of all items."""
     rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     groups = max(1, -(-rows.count() // most_items))
+    whole = _statistics(rows) if groups > 1 else None
     for g in range(groups):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).select("item_id", "text").collect()
-        yield Items([r[0] for r in part], [r[1] for r in part])
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).select("item_id", F.col("text").cast("string")).collect()
+        yield Items([r[0] for r in part], [r[1] for r in part], whole=whole)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, most_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, start_word, similarity): each item that a document contains, at its best window.
 
     Null and empty texts contain nothing, null or blank items are left out, repeated documents and items are each
-    reported, an empty table on either side gives no rows; other columns are ignored. Nothing is shuffled.
+    reported, an empty table on either side gives no rows; other columns are ignored, and ids may be of any type that
+    Arrow has. Nothing is shuffled.
     """
     id_type, item_type = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    arrow_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark, out = docs.sparkSession, None
     for items in _item_groups(benchmark, most_items):
@@ -246,17 +315,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, most_
                     who = piece.column("doc_id")
                     keys = sorted(found)
                     yield pa.RecordBatch.from_arrays(
-                        [who.take(pa.array([t for t, _ in keys], pa.int64())), pa.array([shared.value.ids[i] for _, i in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64()), pa.array([found[k][0] for k in keys], pa.float64())],
+                        [who.take(pa.array([t for t, _ in keys], pa.int64())), pa.array([shared.value.ids[i] for _, i in keys], arrow_type), pa.array([found[k][1] for k in keys], pa.int64()), pa.array([found[k][0] for k in keys], pa.float64())],
                         ["doc_id", "item_id", "start_word", "similarity"],
                     )
 
-        part = rows.mapInArrow(_text.tidied(run, 200), f"doc_id {id_type}, item_id long, start_word long, similarity double")
+        part = rows.mapInArrow(_text.tidied(run, 200), f"doc_id {id_type}, item_id {item_type}, start_word long, similarity double")
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("item_id", F.col("item_id").cast(item_type))
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, most_items: int = 20_000) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
+    """The documents that contain no item, with all their columns.
+
+    Null and empty texts contain nothing and stay, repeated rows are judged alike, an empty benchmark keeps all.
+    """
     spark = docs.sparkSession
     for items in _item_groups(benchmark, most_items):
         shared = spark.sparkContext.broadcast(items)
@@ -275,4 +347,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, most_items
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start_word and similarity of each leak of `benchmark` into `documents`, see find_leaks."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
