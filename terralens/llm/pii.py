@@ -30,7 +30,8 @@ _USERINFO = _ALNUM | frozenset("._~%!$&'()*+,;=:-")
 #: Words that announce an account number, folded.
 CUES = ("account", "acct", "iban", "konto", "compte", "cuenta")
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
-_AFTER_CUE = re.compile(r"(?:[ \t]*(?:no|nr|number|num)\b\.?)?[ \t]*[:#=]?[ \t]*([0-9](?:[ -]?[0-9]){6,})", re.I | re.ASCII)
+#: Possessive, so that long runs of spaces are read once.
+_AFTER_CUE = re.compile(r"[ \t]*+(?:(?:no|nr|number|num)\b\.?+[ \t]*+)?+[:#=]?+[ \t]*+([0-9](?:[ -]?[0-9]){6,})", re.I | re.ASCII)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
 
 
@@ -141,16 +142,20 @@ def _iban_valid(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-def _login(text: str, at: int) -> tuple[int, int] | None:
-    """The user part of a URL, from after its scheme to before its at-sign."""
-    end = _run_right(text, at, _USERINFO)
-    return (at, end) if end > at and end < len(text) and text[end] == "@" and ":" in text[at:end] else None
+def _login(text: str, at: int, run: int) -> tuple[tuple[int, int] | None, int]:
+    """The user part of a URL, from after its scheme to before its at-sign, and the end of the run of its characters.
+
+    `run` is where the last run ended: schemes inside it need not walk again.
+    """
+    end = run if at < run else _run_right(text, at, _USERINFO)
+    return (at, end) if end > at and end < len(text) and text[end] == "@" and text.find(":", at, end) >= 0 else None, end
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(place in KINDS, start, end) of all personal data in the text, in that order; offsets are code points."""
     out: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)
+    run = 0
     for last, (kind, width) in _automaton().iter(text):
         at = last - width + 1
         if kind == "email":
@@ -173,7 +178,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 if 8 <= sum(c in _DIGITS for c in text[hit[0] : hit[1]]) <= 15:
                     out.append((3, *hit))
         elif kind == "login":
-            if hit := _login(text, last + 1):
+            hit, run = _login(text, last + 1, run)
+            if hit:
                 out.append((4, *hit))
                 done["login"] = hit[1]
         else:
@@ -219,5 +225,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256 and spans of each row of `documents`, see find_pii."""
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.mapInArrow(_digest, f"doc_id {dict(found.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
