@@ -20,10 +20,25 @@ from pyspark.sql import functions as F
 
 from terralens.llm._tables import table
 from terralens.llm._text import pieces, tidied
-from terralens.llm.sst import WordMemory, packed_ids, spelled, word_finder
-
-#: The pre-tokenizer of the word vocabulary (a fixed pattern of its format).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+from terralens.llm.sst import WordMemory, packed_ids, plain_merges, spelled, word_finder
+
+
+def word_pattern(spec: dict) -> str:
+    """The pattern by which a vocabulary file cuts words; raises ValueError for files of another make than is done here."""
+    normal = (spec.get("normalizer") or {}).get("normalizers") or []
+    cutters = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = spec["model"]
+    ours = (
+        [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"]
+        and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in cutters] == ["Split", "ByteLevel"]
+        and (cutters[0]["behavior"], cutters[0]["invert"], "Regex" in cutters[0]["pattern"]) == ("Removed", True, True)
+        and not cutters[1]["add_prefix_space"] and not cutters[1]["use_regex"]
+        and plain_merges(model)
+    )
+    if not ours:
+        raise ValueError("not a vocabulary that lower-cases, cuts by a pattern and merges bytes of words")
+    return cutters[0]["pattern"]["Regex"]
 
 
 class ForcedBoundaryBpe:
@@ -46,11 +61,16 @@ class ForcedBoundaryBpe:
         self.library.no_padding()
         special = self.library.get_added_tokens_decoder()
         self.special = regex.compile("|".join(regex.escape(t.content) for t in special.values()))
-        self.words = word_finder(PATTERN)
+        self.words = word_finder(word_pattern(spec))
         names = {i: t for t, i in vocab.items()} | {i: t.content for i, t in special.items()}
         self.names = [names[i].encode() for i in range(max(names) + 1)]
         self.fragments, self.known = WordMemory(self._fragment, 60_000), WordMemory(self._word, 120_000)
 
+    def forget(self) -> None:
+        for memory in (self.fragments, self.known):
+            memory.clear()
+            memory.old = {}
+
     def cuts(self, word: str) -> list[str]:
         """The fragments of a word of byte letters."""
         out, begin = [], 0
@@ -98,6 +118,7 @@ def encode(docs: DataFrame, vocabulary: str, *keep: str) -> DataFrame:
         for b in (piece for batch in batches for piece in pieces(batch, "__text")):
             ids = [coder(vocabulary).encode(t.as_py()) for t in b.column("__text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
+        coder(vocabulary).forget()  # the worker lives on beside others
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     filled = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
