@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+def written(df: DataFrame, name: str, *by: str, **options: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,10 @@
 """Token ids in sorted-string-table shards.
 
 A shard holds documents by ascending key: blocks of about 64 KB in which keys are prefix-compressed, a sparse index
-(each block's first key, place and size), a Bloom filter of all keys, and a footer that says where these are. A lookup
-asks the filter, searches the index by bisection, reads one block and scans it. A shard is one value of a binary
-column, so tables of shards are written and read by Spark on any store that it reaches.
+(each block's first key, place and size), a Bloom filter of all keys, and a footer that says where these are. A shard is
+one value of a binary column, so tables of shards are written and read by Spark on any store that it reaches; its index,
+filter and footer stand in a column of their own too. A lookup asks key ranges and filters by that column alone, then
+reads the shards that may hold a key, searches their index by bisection, reads one block and scans it.
 
 Keys are 9 bytes: 0 for a null identifier, or 1 and the identifier as a big-endian 64-bit integer with its sign bit
 turned, so that byte order is numeric order. Ids take two bytes each while all fit, else four.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
 import struct
 import sys
@@ -118,7 +120,18 @@ class ShardWriter:
         index, packed = b"".join(self.index), struct.pack("<Q", bits) + np.packbits(bloom).tobytes()
         at = len(self.body)
         footer = _FOOTER.pack(at, len(index), at + len(index), len(packed), len(self.keys), self.ids, count, MAGIC)
-        return bytes(self.body) + index + packed + footer
+        self.tail = index + packed + footer
+        return bytes(self.body) + self.tail
+
+
+def tail_may_hold(tail: bytes, doc_ids: list) -> bool:
+    """Whether the filter in a shard's tail (index, filter and footer) admits any of the identifiers."""
+    at, _, bloom_at, _, _, _, count, magic = _FOOTER.unpack_from(tail, len(tail) - _FOOTER.size)
+    if magic != MAGIC:
+        raise ValueError("not the tail of a shard")
+    at = bloom_at - at
+    bits = struct.unpack_from("<Q", tail, at)[0]
+    return any(all(tail[at + 8 + (p >> 3)] >> (7 - (p & 7)) & 1 for p in _probes(key_of(x), bits, count)) for x in doc_ids)
 
 
 class Shard:
@@ -225,6 +238,11 @@ class WordMemory(dict):
         return value
 
 
+def plain_merges(model: dict) -> bool:
+    """Whether a vocabulary file's model is byte-pair merges without chance, fallbacks or prefixes."""
+    return model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+
+
 class CachedEncoder:
     """Encodes texts as the tokenizers library does, word by word with a bounded memory of words seen before.
 
@@ -236,6 +254,11 @@ class CachedEncoder:
         import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cutter = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex") or not plain_merges(spec["model"]) or spec["model"].get("end_of_word_suffix"):
+            raise ValueError("not a vocabulary that cuts by the byte-level pattern and merges bytes")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -287,7 +310,7 @@ def encoder(path: str) -> CachedEncoder:
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
     """Encodes all documents and writes them as shards in ascending order of doc_id; gives the table of shards.
 
-    Columns: shard (its place in key order), first_id, last_id, n_docs, n_ids, data. Documents are dealt by ranges of
+    Columns: shard (its place in key order), first_id, last_id, n_docs, n_ids, tail, data. Documents are dealt by ranges of
     doc_id and sorted on disk within each, then encoded and packed one after the other, so that memory holds one shard
     of about 4 MB. `end_id` follows each document. Null doc_ids come first, null texts are empty, equal doc_ids go by
     text and all stay, an empty table gives no shards; other columns are ignored. `vocabulary` must be a path that
@@ -307,9 +330,10 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame
         writer, first, last = ShardWriter(), None, None
 
         def finished() -> pa.RecordBatch:
-            row = [place + n, first, last, len(writer.keys), writer.ids, writer.finish()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["shard", "first_id", "last_id", "n_docs", "n_ids", "data"])
+            data = writer.finish()
+            row = [place + n, first, last, len(writer.keys), writer.ids, writer.tail, data]
+            kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["shard", "first_id", "last_id", "n_docs", "n_ids", "tail", "data"])
 
         for b in batches:
             for piece in pieces(b):
@@ -325,7 +349,9 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame
             yield finished()
 
     dealt = base.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(dealt.mapInArrow(pack, "shard long, first_id long, last_id long, n_docs long, n_ids long, data binary"), "shards")
+    packed = dealt.mapInArrow(pack, "shard long, first_id long, last_id long, n_docs long, n_ids long, tail binary, data binary")
+    # small row groups, so that a look-up passes over shards that it doesn't need
+    return written(packed, "shards", **{"parquet.block.size": str(2 * SHARD_BYTES)})
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -360,22 +386,45 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return inside.join(ahead, "part").select("shard", (F.col("inside") + F.col("ahead")).alias("before"))
 
 
-def lookup(shards: DataFrame, ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the named documents: shards are pruned by their key range, then each is searched."""
-    wanted = sorted(set(ids))
-    hit = F.lit(False)
-    for x in wanted:
-        hit |= (F.col("first_id").isNull() | (F.col("first_id") <= x)) & (F.col("last_id") >= x)  # null ids come first
+def lookup(shards: DataFrame, ids: list[int | None], most_ids: int = 1_000_000) -> DataFrame:
+    """(doc_id, ids) of the documents with the named identifiers, null among them; unknown ones give no row.
+
+    Key ranges and filters, read without the data, tell which shards may hold one; only those are read and searched. At
+    most `most_ids` identifiers, for all tasks get them.
+    """
+    wanted = sorted({x for x in ids if x is not None})
+    null = any(x is None for x in ids)
+    if len(wanted) > most_ids:
+        raise ValueError(f"at most {most_ids} identifiers at once")
+
+    def inside(first: int | None, last: int | None) -> list[int | None]:
+        """Those between a shard's first and last, which are null for null ones; these come first."""
+        begin = 0 if first is None else bisect.bisect_left(wanted, first)
+        end = 0 if last is None else bisect.bisect_right(wanted, last)
+        return [*([None] if null and first is None else []), *wanted[begin:end]]
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("first_id", "last_id")), b.column("tail"), strict=True)
+            yield b.select(["shard"]).filter(pa.array([bool(of := inside(first, last)) and tail_may_hold(tail.as_py(), of) for first, last, tail in rows], pa.bool_()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(x, got.astype("<u4").tobytes()) for data in b.column("data") for s in [Shard(data.as_py())] for x in wanted for got in s.get(x)]
+            rows = zip(*(b.column(c).to_pylist() for c in ("first_id", "last_id")), b.column("data"), strict=True)
+            found = [(x, got.astype("<u4").tobytes()) for first, last, data in rows for s in [Shard(data.as_py())] for x in inside(first, last) for got in s.get(x)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())], ["doc_id", "ids"])
 
-    return shards.filter(hit).select("data").mapInArrow(search, "doc_id long, ids binary")
+    hits = written(shards.select("shard", "first_id", "last_id", "tail").mapInArrow(holding, "shard long"), "hits")
+    n = hits.count()
+    if n <= 1000:  # their numbers reach the scan
+        shards = shards.filter(F.col("shard").isin([r[0] for r in hits.collect()]))
+    else:
+        shards = shards.join(F.broadcast(hits) if n <= most_ids else hits, "shard", "left_semi")
+    return shards.select("first_id", "last_id", "data").mapInArrow(search, "doc_id long, ids binary")
 
 
 def op4_token_shards(spark, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row of `documents`, read back from its shards."""
     import public_tokenizers
 
     shards = write_shards(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
