@@ -254,8 +254,8 @@ def differ(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _sets_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, members): the set of each node, once a task."""
+def _sets_rows(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
+    """(node, members): the set of each node, once a task; short members have six bytes."""
     seen: set[int] = set()
     for b in batches:
         nodes, members = [], []
@@ -263,7 +263,7 @@ def _sets_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s) and (node := node_of(s)) not in seen:
                 seen.add(node)
                 nodes.append(node)
-                members.append(s.tobytes())
+                members.append(six_bytes(s) if short else s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.binary())], ["node", "members"])
 
 
@@ -600,14 +600,14 @@ class _Join:
         met = pairs.select("a", "b").join(maps.toDF("b", "m", "y"), "b").join(maps.toDF("a", "n", "x"), "a").select("a", "b", "n", "m", "x", "y")
         return met.mapInArrow(_text.tidied(run), "a long, b long")
 
-    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+    def sets(self, nodes: DataFrame, name: str, short: bool = False) -> DataFrame:
         """(node, members) of distinct nodes, more than once where a row repeats. Whole texts are read again for their documents only: one of each node."""
         nodes = self.put(nodes, f"{name}-nodes")
         self.wanted = nodes.count()
         sized = F.broadcast if self.wanted <= self.few else (lambda df: df)
         chosen = self.info.join(sized(nodes), "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
         picked = self.base.join(sized(chosen), "row", "left_semi").select("text")
-        return picked.mapInArrow(_text.tidied(_sets_rows), "node long, members binary").join(sized(nodes), "node", "left_semi")
+        return picked.mapInArrow(_text.tidied(lambda it: _sets_rows(it, short)), "node long, members binary").join(sized(nodes), "node", "left_semi")
 
     def mixed(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """(c, node, own, other, size): members of the stars that have members outside the centre's component, two members at least."""
@@ -622,7 +622,7 @@ class _Join:
         A star's members are dealt in chunks, each with the centre's set, so no star meets in one task.
         """
         nodes = mixed.select(F.explode(F.array("c", "node")).alias("node")).distinct()
-        sets = self.sets(nodes, "mixed")
+        sets = self.sets(nodes, "mixed", short=True)
         chunks = F.ceil(F.col("size") / chunk).cast("int")
         stars = mixed.groupBy("c").agg(F.first("own").alias("own"), F.first("size").alias("size"))
         centres = stars.select("c", F.col("c").alias("node"), "own", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
@@ -656,13 +656,8 @@ class _Join:
             _text.release()
             return pa.Table.from_batches(out)
 
-        def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.set_column(1, "members", pa.array([six_bytes(np.frombuffer(x.as_py(), U)) for x in b.column("members")], pa.binary()))
-
         cell = F.pmod(F.xxhash64("c", "chunk"), F.lit(cells)).cast("int")
-        short = sets.mapInArrow(_text.tidied(shortened), "node long, members binary")
-        sent = short.join(sized(dealt), "node").withColumn("cell", cell).groupBy("cell").applyInArrow(differences, _SENT)
+        sent = sets.join(sized(dealt), "node").withColumn("cell", cell).groupBy("cell").applyInArrow(differences, _SENT)
         return sent.groupBy("part").applyInArrow(lambda g: _met(g, percent, dense), _FOUND)
 
     def labels(self) -> DataFrame:
