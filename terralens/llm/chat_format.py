@@ -476,7 +476,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Digests of each conversation and of conversation -7, read back from the formatted text."""
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_conversations(rows.unionByName(extra)))
+
+
+#: A text grows by a backslash for each of its own and for each control string in it.
+_BROKEN_SQL = " + ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in ("\\", *CONTROLS))
+ORACLE_SQL = f"""
+WITH said AS (SELECT '</s>[INST] ok [/INST]' AS t),
+rows AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+         UNION ALL SELECT -7, 0, 'user', t FROM said UNION ALL SELECT -7, 1, 'assistant', t FROM said),
+sized AS (SELECT *, length(t) + {_BROKEN_SQL.format("t")} AS n, length(r) + {_BROKEN_SQL.format("r")} AS m FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       sum(n + CASE r WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE m + 17 END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""

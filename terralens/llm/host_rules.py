@@ -63,7 +63,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.drop_columns("text").columns, *map(pa.array, found.T)], [*b.drop_columns("text").schema.names, *_COUNTS])
 
 
-def host_rates(judged: DataFrame, salt: int = 64) -> DataFrame:
+def host_rates(judged: DataFrame) -> DataFrame:
     """Each host's failure rate under an empirical beta prior.
 
     The prior's mean is the corpus's failure rate and its strength comes from the spread of the hosts' rates by
@@ -113,6 +113,30 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat
 
 
 def op5_host_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts, base_failed, host_failed and kept of each row of `documents`, see judge."""
     from terralens.llm._tables import table
 
     return judge(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+words AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM texts),
+triples AS (SELECT id, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+windows AS (SELECT id, i, count(*) OVER (PARTITION BY id, x, y, z) AS times FROM triples WHERE z IS NOT NULL),
+inside AS (SELECT DISTINCT id, unnest([i, i + 1, i + 2]) AS i FROM windows WHERE times > 1),
+repeated AS (SELECT id, count(*) AS n FROM inside GROUP BY id),
+measured AS (
+  SELECT doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM texts LEFT JOIN repeated USING (id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged GROUP BY host),
+moments AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS second, count(*) / sum(1 / n) AS typical FROM hosts),
+spread AS (SELECT mean, mean * (1 - mean) AS within, second - mean * mean - mean * (1 - mean) / typical AS between_hosts FROM moments),
+prior AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(10000.0, greatest(2.0, within / between_hosts - 1)) ELSE 10000.0 END AS strength FROM spread),
+verdicts AS (SELECT host, (f + mean * strength) / (n + strength) > 0.5 AS host_failed FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, j.host, host_failed, NOT base_failed AND NOT host_failed AS kept
+FROM judged j JOIN verdicts v ON j.host IS NOT DISTINCT FROM v.host"""

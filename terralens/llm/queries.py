@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from terralens.llm.chat_format import ORACLE_SQL as CHAT_SQL
 from terralens.llm.chat_format import op3_chat_format
 from terralens.llm.decontam import op7_decontamination
 from terralens.llm.fm_toxicity import op9_toxicity
 from terralens.llm.forced_bpe import op6_forced_bpe
+from terralens.llm.host_rules import ORACLE_SQL as HOST_SQL
 from terralens.llm.host_rules import op5_host_rules
 from terralens.llm.katz import op8_katz
+from terralens.llm.ngram_jaccard import ORACLE_SQL as JACCARD_SQL
 from terralens.llm.ngram_jaccard import op2_ngram_jaccard
 from terralens.llm.pii import op10_pii
 from terralens.llm.secret_scan import ORACLE_SQL as SECRETS_SQL
@@ -29,4 +32,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": SECRETS_SQL,
+    "op2_ngram_jaccard": JACCARD_SQL,
+    "op3_chat_format": CHAT_SQL,
+    "op5_host_rules": HOST_SQL,
 }

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -189,12 +190,12 @@ def test_differences_to_a_centre_lose_no_link_and_keep_few_pairs(spark):
     for i, s in enumerate(sets):
         of = ngram_jaccard.changes(base, s, cost, np.zeros(len(s), np.uint8))
         index, probe = ngram_jaccard.prefixes(len(s), len(of), len(base), out[i], 75)
-        rows.append((i, len(of), i + 1 if out[i] else 0, len(s)))
-        entries += [(int(e), i, k, (k < index) + 2 * (k < probe)) for k, e in enumerate(of[: max(index, probe)])]
+        rows.append((i, len(of), i + 1 if out[i] else 0, len(s), index, probe))
+        entries += [(int(e), i, k) for k, e in enumerate(of[: max(index, probe)])]
     entries.sort(key=lambda e: (e[0], rows[e[1]][1], e[1]))
     docs = np.array([rows[e[1]] for e in entries], ngram_jaccard._CHANGED)
-    columns = [np.array([e[k] for e in entries]) for k in (2, 3)]
-    found = set(map(tuple, ngram_jaccard.matched(np.array([e[0] for e in entries], np.uint64), docs, *columns, 75).tolist()))
+    keys, spots = np.array([e[0] for e in entries], np.uint64), np.array([e[2] for e in entries])
+    found = set(map(tuple, ngram_jaccard.matched(keys, docs, spots, 75).tolist()))
     found = {tuple(sorted(p)) for p in found}
     crossing = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if out[i] or out[j]]
     want = {(i, j) for i, j in crossing if ngram_jaccard.similar(sets[i], sets[j], 75)}
@@ -315,6 +316,11 @@ def test_shards_read_back(spark):
     assert min(starts.values()) == 0
     found = sst.lookup(shards, [5, 10, 999]).collect()
     assert Counter(r["doc_id"] for r in found) == {5: 2, 10: 1}
+    found = sst.lookup(shards, [None, *range(5, 4005)]).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(i for i in ids if i is None or i >= 5)
+    assert sst.lookup(shards, []).count() == 0
+    with pytest.raises(ValueError):
+        sst.lookup(shards, [1, 2, 3], most_ids=2)
     assert sst.write_shards(docs_of(spark, []).limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
@@ -329,10 +335,19 @@ def test_shard_format():
     assert [(i, len(x)) for i, x in s] == docs and len(s.index) > 1
     assert all(len(s.get(i)) == 1 for i, _ in docs[::97]) and s.get(1) == []
     assert sum(s.may_hold(10**9 + k) for k in range(2000)) < 60
+    assert all(sst.tail_may_hold(w.tail, [i]) for i, _ in docs[::97]) and not sst.tail_may_hold(w.tail, [])
+    assert sum(sst.tail_may_hold(w.tail, [10**9 + k]) for k in range(2000)) < 60
     with pytest.raises(ValueError):
         sst.Shard(b"x" * 100)
 
 
+def test_vocabularies_of_another_make_are_refused():
+    with pytest.raises(ValueError):
+        sst.CachedEncoder(vocabulary("word_bpe_49k.json"))
+    with pytest.raises(ValueError):
+        forced_bpe.ForcedBoundaryBpe(vocabulary("byte_bpe_50k.json"))
+
+
 def test_forced_boundaries_give_the_librarys_ids(spark):
     from tokenizers import Tokenizer
 
@@ -418,6 +433,42 @@ def test_changed_runs_of_words_lose_no_leak():
     assert len(want) > 100 and want <= set(found)
 
 
+def test_edited_passages_are_found_whatever_the_edits():
+    rng = np.random.default_rng(21)
+    prose = lambda n: [f"w{i}" for i in rng.integers(0, 20_000, n)]
+    texts = [prose(int(n)) for n in rng.integers(15, 120, 150)]
+    items = decontam.Items(list(range(len(texts))), [" ".join(t) for t in texts])
+    docs, passages, owner = [], [], []
+    for i, t in enumerate(texts):
+        for edits in (1, 2, 3, 4):
+            for kind in range(3):
+                w = list(t)
+                for _ in range(edits):
+                    at = int(rng.integers(0, len(w)))
+                    w[at : at + (kind != 1)] = prose(1) if kind < 2 else []
+                docs.append(" ".join([*prose(30), *w, *prose(30)]))
+                passages.append(" ".join(w))
+                owner.append((i, edits, kind))
+    hashes, first = _text.word_hashes(*_text.buffers(pa.array(docs)))
+    own, own_first = _text.word_hashes(*_text.buffers(pa.array(passages)))
+    want = {(d, i) for d, (i, _, _) in enumerate(owner) if items.similarity(i, own[own_first[d] : own_first[d + 1]]) >= 0.75}
+    found = items.leaks(hashes, first, 0.75)
+    assert len(want) > 700 and len(want - set(found)) <= 0.01 * len(want)
+    assert all(owner[d][0] == i for d, i in found)
+    for (d, i), (like, at) in found.items():
+        assert like >= 0.75 and 0 <= at < first[d + 1] - first[d]
+
+
+def test_items_of_any_type_weigh_alike_in_groups(spark):
+    rng = np.random.default_rng(22)
+    shared = prose(rng, 30)
+    items = [f"{shared} {prose(rng, 12)}" for _ in range(30)]
+    bench = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(items)], "item_id string, text string")
+    docs = docs_of(spark, [f"{prose(rng, 20)} {t} {prose(rng, 20)}" for t in items] + [f"{prose(rng, 9)} {shared} {prose(rng, 9)}"])
+    rows = [sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontam.find_leaks(docs, bench, most_items=m).collect()) for m in (1000, 7)]
+    assert rows[0] == rows[1] and {(i, f"q{i}") for i in range(30)} <= {(d, i) for d, i, _ in rows[0]}
+
+
 def test_leaks_near_copies_and_clean_documents(spark):
     rng = np.random.default_rng(10)
     items = [prose(rng, int(n)) for n in rng.integers(14, 60, 30)] + ["short one here", None, "  "]
@@ -467,17 +518,29 @@ def katz_by_force(rows):
     return [(i, out, len(t), sum(c1[w] > 0 for w in t), n, sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True))) for i, t, out in tokens]
 
 
-def test_katz_scores_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(katz, "_BLOCK_TOKENS", 500)
+def test_katz_scores_do_not_depend_on_arrow_batches(spark):
+    docs = spark.range(0, 130_000).select(F.lit(2).alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+        got = katz.score(docs).groupBy("n_known", F.round("base_score", 3).alias("base")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(r) for r in got] == [(3, -1.431, 130_000)]
+
+
+def test_katz_scores_equal_brute_force(spark):
     rng = np.random.default_rng(12)
     texts = [*AWKWARD, *(prose(rng, int(n)) for n in rng.integers(1, 60, 80))]
     ids = [*range(len(texts) - 2), 3, None]
-    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]), r) for r in katz.score(docs_of(spark, texts, ids)).collect())
     want = sorted(((x[0] is None, x[0] or 0, x[2]), x) for x in katz_by_force(list(zip(ids, texts, strict=True))))
-    assert len(got) == len(want)
-    for (k, r), (l, x) in zip(got, want, strict=True):
-        assert k == l and (r["held_out"], r["n_known"], r["train_tokens"]) == (x[1], x[3], x[4])
-        assert r["base_score"] == pytest.approx(x[5], rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(x[6], rel=1e-9, abs=1e-9)
+    for hot_share in (0.25, -0.01):  # in the second, words of a hundred tokens and more are hot
+        scored = katz.score(docs_of(spark, texts, ids), block_tokens=500, hot_share=hot_share)
+        got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]), r) for r in scored.collect())
+        assert len(got) == len(want)
+        for (k, r), (l, x) in zip(got, want, strict=True):
+            assert k == l and (r["held_out"], r["n_known"], r["train_tokens"]) == (x[1], x[3], x[4])
+            assert r["base_score"] == pytest.approx(x[5], rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(x[6], rel=1e-9, abs=1e-9)
 
 
 def test_katz_without_training_rows_or_rows(spark):
@@ -509,6 +572,9 @@ def test_machine_learns_words_and_their_pairs(spark):
     kept = fm_toxicity.clean(docs, table)
     assert kept.columns == docs.columns and {900, 901} <= {r["doc_id"] for r in kept.collect()}
     assert fm_toxicity.score(docs.limit(0), m, "doc_id").count() == 0
+    again = docs.unionAll(docs).unionAll(docs.withColumn("text", F.lit("insolent groupname again")))
+    few = fm_toxicity.train(again, table, max_labelled=200)  # rows that repeat ids don't pass the bound
+    assert len(few.slots) < len(m.slots)
     nothing = fm_toxicity.train(docs, table.limit(0))
     assert fm_toxicity.score(docs, nothing, "doc_id").first()["score"] == 0.5
 
@@ -534,6 +600,15 @@ def test_personal_data_equals_the_patterns():
         assert [s for s in pii.spans(t) if s[0] < 4] == pii_by_force(t), t
 
 
+def test_long_hostile_texts_take_linear_time():
+    n = 1_000_000
+    for part in ("mailto:", "account ", "account" + " " * 5000, "+1(", "1.", "1 ", "a@", "@", "iban DE89 ", "http://x", "acct no. ", "1-"):
+        text = (part * (n // len(part) + 1))[:n]
+        began = time.process_time()
+        pii.spans(text)
+        assert time.process_time() - began < 8, part  # some seconds for a square, at most two or three for lines
+
+
 def test_personal_data_beyond_the_patterns(spark):
     t = "see ftp://bob:pw@host/x, IBAN: DE89 3704 0044 0532 0130 00 or account no. 12345678"
     kinds = {pii.KINDS[k]: t[a:b] for k, a, b in pii.spans(t) if k > 3}
@@ -543,9 +618,86 @@ def test_personal_data_beyond_the_patterns(spark):
     assert pii.find_pii(docs_of(spark, []).limit(0)).count() == 0
 
 
+# --- the registered queries -------------------------------------------------------------------------------------------
+
+
+def test_queries_give_the_rows_of_their_sql(spark, sf):
+    import duckdb
+
+    from terralens.llm import queries
+
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name in ("op2_ngram_jaccard", "op3_chat_format", "op5_host_rules"):
+        got, want = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLES[name])
+        names = [c[0] for c in want.description]
+        assert sorted(names) == sorted(got.columns)
+        assert sorted(map(str, (tuple(r) for r in got.select(names).collect()))) == sorted(map(str, want.fetchall()))
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------------------
 
 
+def leaks_by_force(text, items):
+    """Items of which some window of the text reaches 0.75, from words alone."""
+    shingled = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    sets = {i: shingled(w) for i, w in items.items() if w}
+    df = Counter(s for x in sets.values() for s in x)
+    weight = lambda x: sum(math.log1p(len(sets) / df.get(s, 1)) for s in x)
+    w, found = words(text), set()
+    own = shingled(w)
+    for i, s in sets.items():
+        if len(own & s) >= 0.3 * len(s):
+            n = len(items[i])
+            at = [k for k in range(len(w)) if tuple(w[k : k + 5]) in s or tuple(w) in s]
+            for begin in at:
+                for size in range(max(1, int(0.7 * n)), int(1.4 * n) + 2):
+                    x = shingled(w[begin : begin + size])
+                    if weight(x & s) >= 0.75 * weight(x | s) - 1e-9:
+                        found.add(i)
+                        break
+    return found
+
+
+def test_scores_are_sums_over_pairs_of_terms(spark):
+    rng = np.random.default_rng(3)
+    texts = ["insolent groupname w1 w2", "groupname", "insolently W1", "", *(prose(rng, 20) + " insolent" * (i % 3 == 0) + " groupname" * (i % 2) for i in range(300))]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int("insolent" in t and "groupname" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    m = fm_toxicity.train(docs, labels)
+    place = {int(s): k for k, s in enumerate(m.slots)}
+    got = {r["doc_id"]: r["score"] for r in fm_toxicity.score(docs, m, "doc_id").collect()}
+    for i, t in enumerate(texts[:40]):
+        terms = {(k, w.decode()[:cut]) for w in words(t) for k, cut in enumerate((None, 4, 6))}
+        slots = set()
+        for k, term in terms:
+            h, _ = _text.word_hashes(*_text.buffers(pa.array([term])))
+            slots.add(int(_text.mix(h + np.uint64(k))[0] >> np.uint64(64 - 18)))
+        used = sorted(place[s] for s in slots if s in place)
+        z = m.bias + sum(m.weight[k] for k in used) + sum(float(m.vectors[a] @ m.vectors[b]) for a in used for b in used if a < b)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_stages_on_awkward_and_on_no_rows(spark, sf):
+    import corpus_pipeline as p
+
+    texts = [*AWKWARD, "one two three four five six", "one two three four five six", 'password = "abcdefghijklmnop"', None]
+    ids = [*range(len(texts) - 1), None]
+    docs = docs_of(spark, texts, ids).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    kept = p.near_duplicates(spark, docs, sf)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect()) == [-1, *(i for i in range(len(texts) - 1) if texts[i] != texts[i - 1] or not texts[i])]
+    for name, stage in p.STAGES[:1] + p.STAGES[2:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() == len(texts), name
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in p.secrets(spark, docs, sf).collect()}
+    assert clean[0] == (None, None) and clean[len(texts) - 2][0] == '[SECRET]"' and clean[1] == ("", 0)
+    ids_of = {r["doc_id"]: (r["n_tokens"], bytes(r["ids"])) for r in p.encoding(spark, docs, sf).collect()}
+    assert ids_of[None] == ids_of[0] == ids_of[1] == (0, b"") and ids_of[6] == ids_of[7]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
@@ -556,13 +708,10 @@ def test_pipeline_stages(spark, sf):
     toxic = {r["doc_id"] for r in fm_toxicity.score(docs, machine, "doc_id").filter("score >= 0.5").collect()}
     left = {i: t for i, t in left.items() if i not in toxic}
     left = {i: left[i] for i, (_, c) in classes_by_force(list(left.items())).items() if c == i}
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    sets = [{tuple(words(r["text"])[k : k + 5]) for k in range(len(words(r["text"])) - 4)} for r in bench]
+    items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     out = {}
     for i, t in left.items():
-        w = words(t)
-        mine = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        if not any(len(mine & s) >= 0.9 * len(s) for s in sets if s):
+        if not leaks_by_force(t, items):
             spans = [(a, e) for a, _, e in spans_by_re(t)]
             at, text = 0, ""
             for a, e in spans:
