@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from terralens.functions.geo import haversine_km
 
 
-def nearest_point(points: DataFrame, places: DataFrame, point_id: str, place_id: str, cell: float = 2.0) -> DataFrame:
+def nearest_point(points: DataFrame, places: DataFrame, point_id: str, place_id: str, cell: float | None = None, few: int = 1000) -> DataFrame:
     """(point_id, place_id, dist_km): each point's nearest place, the least id on ties.
 
-    Places go to every task; they are a patch table's centers, and tables over 100,000 rows are searched ring by ring
-    on a degree grid instead.
+    Up to `few` places go to every task and all distances are taken. More are searched ring by ring on a grid, whose
+    cells (degrees) hold about eight places where these lie evenly.
     """
-    if places.count() <= 100_000:
+    span = lambda c: F.max(c) - F.min(c)
+    n, wide, high = places.agg(F.count(F.lit(1)), span("lon"), span("lat")).first()
+    if n > few and cell is None:
+        cell = min(10.0, max(0.005, (max(wide, 0.01) * max(high, 0.01) * 8 / n) ** 0.5))
+        cell = 360 / int(360 / cell)  # whole cells around the globe
+    if n <= few:
         pairs = points.select(point_id, F.col("lon").alias("__lon"), F.col("lat").alias("__lat")).crossJoin(F.broadcast(places.select(place_id, "lon", "lat")))
         d = haversine_km(F.col("__lon"), F.col("__lat"), F.col("lon"), F.col("lat"))
         best = pairs.groupBy(point_id).agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col(place_id).alias("id"))).alias("b"))
