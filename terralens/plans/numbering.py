@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralens.sources import tables
+
 
 def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
     """df with `row`, from 1 in the given order (in each group of `by`).
@@ -14,7 +16,8 @@ def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> Da
     """
     if by:
         return df.withColumn("row", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # written once: ranges come from a sample, so both readers must see the same ones
+    ranged = tables.once(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     inside = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

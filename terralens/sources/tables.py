@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,29 @@ from pyspark.sql.utils import AnalysisException
 from terralens.operators.catalog import new_rows
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset and all runs on one machine (tests, a laptop) a local folder is chosen once for the session; on a
+    cluster that would lose rows, so it raises.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = os.path.join(tempfile.gettempdir(), "checkpoints", f"terralens-{os.getpid()}")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again, so that all readers see the same rows."""
+    path = f"{shared_dir(df.sparkSession)}/once-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table's rows; none while nothing has been written."""
     try:
