@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions import vectors as V
 from terralens.operators.knn import assign, kmeans, matrix
+from terralens.operators.matching import nested
 
 
 def sample_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
@@ -65,6 +67,34 @@ def mean_pool(rows: DataFrame, group: str) -> DataFrame:
     return xs.groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("v"))
 
 
+def _added(vectors: DataFrame, column: str, of: Callable[[np.ndarray], np.ndarray], levels: tuple[int, ...] = (2048, 64, 8)) -> tuple[int, np.ndarray]:
+    """How many vectors there are and the sum of `of` over blocks of them; tasks add up the tasks' sums, level by level."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n, total = 0, None
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                x = matrix(b.column(column).slice(k, 512))
+                if len(x):
+                    part = of(x)
+                    n, total = n + len(x), part if total is None else total + part
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["part", "n", "total"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in group.column("total"))
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()]), "n": pa.array([sum(group.column("n").to_pylist())]), "total": pa.array([total.tobytes()], pa.binary())})
+
+    kinds = "part long, n long, total binary"
+    rows = vectors.select(column).mapInArrow(sums, kinds)
+    for many in levels:
+        rows = rows.groupBy(F.pmod("part", F.lit(many)).alias("g")).applyInArrow(merged, kinds)
+    found = sorted((r["part"], r["n"], r["total"]) for r in rows.collect())
+    return sum(n for _, n, _ in found), sum((np.frombuffer(t) for _, _, t in found), np.zeros(1))
+
+
 @dataclass
 class Whitening:
     """Centers, rotates to principal axes and scales to unit variance; then L2."""
@@ -74,29 +104,33 @@ class Whitening:
     variance: np.ndarray
 
     @staticmethod
-    def fit(vectors: DataFrame, dim: int, column: str = "vec") -> Whitening:
-        """From sums of vectors and of their outer products, added up in the tasks: dim x dim numbers a task."""
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, s, ss = 0, 0.0, 0.0
-            for b in batches:
-                x = matrix(b.column(column))
-                if len(x):
-                    n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()]), pa.array([ss.tobytes()])], ["n", "s", "ss"])
-
-        rows = vectors.select(column).mapInArrow(sums, "n long, s binary, ss binary").collect()
-        n = sum(r["n"] for r in rows)
+    def fit(vectors: DataFrame, dim: int, column: str = "vec", exact_up_to: int = 1024, extra: int = 32, rounds: int = 4, seed: int = 42) -> Whitening:
+        """The principal axes of the vectors, which are read several times.
+
+        Up to `exact_up_to` numbers a vector, from sums of outer products. Wider ones by a randomized range finder: dim +
+        extra directions go through the covariance `rounds` times, so tasks send width x (dim + extra) numbers, never a
+        square of the width. Sums of tasks are added up in tasks.
+        """
+        n, mean = _added(vectors, column, lambda x: x.sum(0))
         if n < 2:
             raise ValueError("whitening needs two vectors")
-        s = sum(np.frombuffer(r["s"]) for r in rows)
-        ss = sum(np.frombuffer(r["ss"]) for r in rows).reshape(len(s), len(s))
-        values, axes = np.linalg.eigh((ss - np.outer(s, s) / n) / (n - 1))
-        keep = np.argsort(values)[::-1][: min(dim, n, len(s))]
-        axes = axes[:, keep].T
+        mean = mean / n
+        width, keep = len(mean), min(dim, n, len(mean))
+        if width <= exact_up_to:
+            base = np.eye(width)
+            small = _added(vectors, column, lambda x: (x - mean).T @ (x - mean))[1].reshape(width, width)
+        else:
+            many = min(width, keep + extra)
+            base = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, many)))[0]
+            for _ in range(rounds):
+                through = _added(vectors, column, lambda x, q=base: (x - mean).T @ ((x - mean) @ q))[1]
+                base = np.linalg.qr(through.reshape(width, many))[0]
+            small = _added(vectors, column, lambda x, q=base: (y := (x - mean) @ q).T @ y)[1].reshape(many, many)
+        values, turned = np.linalg.eigh(small / (n - 1))
+        best = np.argsort(values)[::-1][:keep]
+        axes = (base @ turned[:, best]).T
         axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]  # a fixed sign
-        return Whitening(s / n, axes, np.maximum(values[keep], 1e-12))
+        return Whitening(mean, axes, np.maximum(values[best], 1e-12))
 
     def apply(self, x: np.ndarray) -> np.ndarray:
         y = (x - self.mean) @ self.axes.T / np.sqrt(self.variance)
@@ -106,7 +140,7 @@ class Whitening:
 
 
 def _descriptors(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.array(d, np.float32).reshape(len(d), -1) if d else np.zeros((0, 0), np.float32) for d in batch.column("descs").to_pylist()]
+    return [nested(batch.column("descs"), i) for i in range(batch.num_rows)]
 
 
 @dataclass
@@ -217,7 +251,9 @@ class VladEncoder(_Encoder):
         self.whitening = None
         self._codebook(bags, self.n_centroids, self.sample, self.restarts, seed, self.root)
         if self.pca_dim:
-            self.whitening = Whitening.fit(self.transform(bags.filter(F.size("descs") > 0)), self.pca_dim)
+            raw = self.transform(bags.filter(F.size("descs") > 0)).persist(StorageLevel.DISK_ONLY)
+            self.whitening = Whitening.fit(raw, self.pca_dim)
+            raw.unpersist()
         return self
 
     def _encode(self, d: np.ndarray) -> np.ndarray:

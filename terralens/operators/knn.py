@@ -188,7 +188,9 @@ class VectorIndex:
         if not self.trained or self.lists is None:
             raise RuntimeError("the index is empty")
         spark = self.lists.sparkSession
-        self.lists.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        # lists are split by id, so a flat index or a large list is not one task's work and one file
+        split = 1 + self.lists.count() // (200_000 * max(1, 0 if self.flat else self.n_lists))
+        self.lists.repartition("list_id", F.pmod(F.xxhash64("patch_id"), F.lit(split))).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
         if self.centroids is not None:
             self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
         spark.createDataFrame([(self.n_lists, self.n_probe, self.flat, self.dim)], "n_lists int, n_probe int, flat boolean, dim int").write.mode("overwrite").parquet(f"{path}/meta")

@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 from terralens.functions.vectors import squared_l2
 
 
+def nested(column: pa.Array, row: int) -> np.ndarray:
+    """A list of equally long lists of numbers as a matrix, without a Python object for each; null and empty ones have no rows."""
+    if not column[row].is_valid:
+        return np.zeros((0, 0))
+    inner = column[row].values
+    if len(inner) == 0:
+        return np.zeros((0, 0))
+    flat = inner.flatten().to_numpy(zero_copy_only=False)
+    if inner.null_count or len(flat) % len(inner) or (np.diff(inner.offsets.to_numpy()) * len(inner) != len(flat)).any():
+        raise ValueError("rows of different lengths")
+    return flat.reshape(len(inner), -1)
+
+
 def pair_distances(query: DataFrame, cand: DataFrame, group: str) -> DataFrame:
     """(group, q_idx, c_idx, distance): each query descriptor with each candidate descriptor of its group.
 
@@ -176,12 +189,13 @@ class Verifier:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string())
             for b in batches:
                 out = []
-                for r in b.to_pylist():
+                ids = zip(b.column("query_id").to_pylist(), b.column("patch_id").to_pylist(), strict=True)
+                for i, (query, patch) in enumerate(ids):
                     try:
-                        parts = [np.array(r[k] or [], np.float64) for k in ("q_xy", "q_descs", "c_xy", "c_descs")]
-                        out.append((r["query_id"], r["patch_id"], *verifier.one(*parts, *((picture(r["q_gray"]), picture(r["c_gray"])) if gray else ())), None))
+                        parts = [nested(b.column(k), i).astype(np.float64) for k in ("q_xy", "q_descs", "c_xy", "c_descs")]
+                        out.append((query, patch, *verifier.one(*parts, *((picture(b.column(k)[i].as_py()) for k in ("q_gray", "c_gray")) if gray else ())), None))
                     except Exception as e:  # a broken row is reported, the others go on
-                        out.append((r["query_id"], r["patch_id"], 0, 0, 1.0, str(e)[:200]))
+                        out.append((query, patch, 0, 0, 1.0, str(e)[:200]))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -198,6 +212,12 @@ def scored(found: DataFrame) -> DataFrame:
     )
 
 
+def top_report(verified: DataFrame, truth: DataFrame, n: int = 5, *ties: str) -> DataFrame:
+    """top_results with `is_truth`, whether a row is its query's (query_id, patch_id) in truth."""
+    marked = truth.select("query_id", "patch_id").distinct().withColumn("is_truth", F.lit(True))
+    return top_results(verified, n, *ties).join(marked, ["query_id", "patch_id"], "left").withColumn("is_truth", F.coalesce("is_truth", F.lit(False)))
+
+
 def top_results(verified: DataFrame, n: int, *ties: str) -> DataFrame:
     """The n best of each query by rounded score, ties by coarse rank where it is known, then by id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties, "patch_id")
