@@ -78,6 +78,7 @@ class Engine:
         by the methods that read an image encoder's tokens.
         """
         settings = settings or Settings()
+        params = settings.encoder_params() | params
         reads = ENCODERS[settings.coarse_method][1]
         bags = tokens if reads == "tokens" else features.select("patch_id", "descs")
         if bags is None:
@@ -93,7 +94,8 @@ class Engine:
     def localize(self, queries: DataFrame, top_n: int | None = None, query_tokens: DataFrame | None = None) -> DataFrame:
         """Ranked places of many queries (query_id, xy, descs): coarse search, then verification of the candidates.
 
-        With settings.exhaustive every patch is a candidate. Queries without descriptors have no result.
+        With settings.exhaustive every patch is a candidate. Queries without descriptors have no result. The photometric
+        factor needs a column `gray` (height, width, data) of both queries and features; without it it is 1.
         """
         s = self.settings
         q = queries.filter(F.size("descs") > 0)
@@ -104,10 +106,14 @@ class Engine:
             vectors = self.encoder.transform(bags).withColumnRenamed("patch_id", "query_id")
             hits = self.index.search(vectors, s.token_top_k if ENCODERS[self.method][1] == "tokens" else s.coarse_top_n)
         pairs = hits.select("query_id", "patch_id", F.col("rank").alias("coarse_rank"))
-        both = pairs.join(q.select("query_id", F.col("xy").alias("q_xy"), F.col("descs").alias("q_descs")), "query_id").join(
-            self.features.select("patch_id", F.col("xy").alias("c_xy"), F.col("descs").alias("c_descs")), "patch_id"
-        )
-        verified = Verifier(s.lowe_ratio, s.ransac_px, s.min_good_matches).verify(both).filter("err is null").join(pairs, ["query_id", "patch_id"])
+        pairs = tables.once(pairs)
+        # only ids meet the stored features; a query's descriptors join the candidates that are left
+        gray = s.photometric and "gray" in q.columns and "gray" in self.features.columns
+        side = lambda df, key, k: df.select(key, F.col("xy").alias(f"{k}_xy"), F.col("descs").alias(f"{k}_descs"), *([F.col("gray").alias(f"{k}_gray")] if gray else []))
+        wanted = self.features.join(pairs.select("patch_id").distinct(), "patch_id", "left_semi")
+        both = pairs.select("query_id", "patch_id").join(side(wanted, "patch_id", "c"), "patch_id").join(side(q, "query_id", "q"), "query_id")
+        verifier = Verifier(s.lowe_ratio, s.ransac_px, s.min_good_matches, s.photometric, s.photometric_min_overlap, s.mutual)
+        verified = verifier.verify(both).filter("err is null").join(pairs, ["query_id", "patch_id"])
         best = top_results(verified, top_n or s.result_top_n, "coarse_rank")
         placed = catalog.by_ids(catalog.patch_meta(self.patches), best)
         return placed.select(
@@ -119,6 +125,20 @@ class Engine:
 # --- evaluation -------------------------------------------------------------------------------------------------
 
 
+def described(images: DataFrame, settings: Settings, key: str = "patch_id", query: bool = False) -> DataFrame:
+    """(key, xy, descs, gray, err): preprocessing and local features of images (key, image) as the settings say.
+
+    Queries and patches have scales of their own. Broken images have no features and a message.
+    """
+    s = settings
+    scale = s.query_scale() if query else s.patch_scale()
+    kernel = lambda x: image.preprocess(x, scale, s.normalize, s.clahe, s.lcn)
+    ready = image.map_images(images.select(key, "image"), kernel)
+    found = image.describe(ready.select(key, "image"), key, most=s.sift_features, contrast=s.sift_contrast, edge=s.sift_edge, sigma=s.sift_sigma)
+    gray = ready.select(key, F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("data")).alias("gray"), F.col("err").alias("broken"))
+    return found.join(gray, key).select(key, "xy", "descs", "gray", F.coalesce("broken", "err").alias("err"))
+
+
 def recall_report(queries: DataFrame, vectors: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """(method, k, recall): vectors (method, patch_id, vec), queries (method, query_id, vec), truth (query_id, patch_id)."""
     out = None

@@ -76,12 +76,11 @@ def flat_knn_blocks(spark, d):
 
 @query(_FLAT)
 def flat_knn_lateral(spark, d):
-    _queries(spark, d).createOrReplaceTempView("knn_queries")
-    _vectors(spark, d).createOrReplaceTempView("knn_base")
     l2 = "aggregate(zip_with(q.vec, b.vec, (x, y) -> (cast(x as double) - cast(y as double)) * (cast(x as double) - cast(y as double))), 0D, (s, x) -> s + x)"
-    found = spark.sql(f"""
-        SELECT q.query_id, n.patch_id, n.distance FROM knn_queries q, LATERAL (
-          SELECT patch_id, distance FROM (SELECT b.patch_id, {l2} AS distance FROM knn_base b) ORDER BY round(distance, 9), patch_id LIMIT 10) n""")
+    text = f"""
+        SELECT q.query_id, n.patch_id, n.distance FROM {{queries}} q, LATERAL (
+          SELECT patch_id, distance FROM (SELECT b.patch_id, {l2} AS distance FROM {{base}} b) ORDER BY round(distance, 9), patch_id LIMIT 10) n"""
+    found = spark.sql(text, queries=_queries(spark, d), base=_vectors(spark, d))
     return _found(knn.ranked(found, 10))
 
 

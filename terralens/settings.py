@@ -7,10 +7,6 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    # imagery export
-    export_gsd_m: float = 1.0
-    export_max_px: int = 1024
-    export_workers: int = 8
     # local features
     sift_features: int = 2000
     sift_contrast: float = 0.04
@@ -33,10 +29,8 @@ class Settings:
     vlad_restarts: int = 3
     vlad_pca: bool = True
     vlad_pca_dim: int = 256
-    token_dim: int = 384
     token_pooling: str = "gem"
     token_gem_p: float = 3.0
-    token_input_size: int = 224
     token_centroids: int = 32
     token_sample: int = 100
     token_restarts: int = 3
@@ -56,13 +50,22 @@ class Settings:
     coarse_top_n: int = 100
     result_top_n: int = 10
     min_good_matches: int = 4
+    mutual: bool = False
     photometric: bool = False
     photometric_min_overlap: float = 0.3
     exhaustive: bool = False
-    max_upload_mb: int = 50
 
     def query_scale(self) -> float:
         return self.resize_scale if self.query_resize_scale is None else self.query_resize_scale
 
     def patch_scale(self) -> float:
         return self.resize_scale if self.patch_resize_scale is None else self.patch_resize_scale
+
+    def encoder_params(self) -> dict:
+        """What the encoder of `coarse_method` takes."""
+        return {
+            "bovw": {"words": self.bovw_words, "sample": self.bovw_sample, "restarts": self.bovw_restarts},
+            "vlad": {"n_centroids": self.vlad_centroids, "sample": self.vlad_sample, "restarts": self.vlad_restarts, "pca_dim": self.vlad_pca_dim if self.vlad_pca else None},
+            "dino": {"pooling": self.token_pooling, "p": self.token_gem_p},
+            "dino_vlad": {"n_centroids": self.token_centroids, "sample": self.token_sample, "restarts": self.token_restarts},
+        }.get(self.coarse_method, {})
