@@ -11,6 +11,11 @@ def id_list(csv: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(csv, ","), lambda x: F.trim(x).try_cast("long")))))
 
 
+def is_expected(patch_id: Column, csv: Column) -> Column:
+    """Whether the id is in the comma-separated list; null where there is no list."""
+    return F.array_contains(id_list(csv), patch_id)
+
+
 def source_id(lon_min: Column, lat_min: Column, lon_max: Column, lat_max: Column, gsd: Column, label: Column) -> Column:
     """The name of an ingested region: its rounded box and resolution, and a label if there is one."""
     named = F.format_string("esri:%.4f,%.4f,%.4f,%.4f@%s", lon_min, lat_min, lon_max, lat_max, gsd.cast("string"))
@@ -47,3 +52,17 @@ def attribute(attributes: Column, name: str) -> Column:
 
 def url_of(prefix: str, path: Column) -> Column:
     return F.when(path.isNotNull(), F.concat(F.lit(prefix.rstrip("/") + "/"), path))
+
+
+def expiring_url(prefix: str, path: Column, expires: Column, secret: str) -> Column:
+    """A link to the path that names when it ends (seconds since 1970) and is signed; null without a path or an end."""
+    name = F.when(F.trim(path) != "", path)
+    sign = F.sha2(F.concat_ws("\n", F.lit(secret), name, expires.cast("string")), 256)
+    return F.when(name.isNotNull() & expires.isNotNull(), F.concat(F.lit(prefix.rstrip("/") + "/"), name, F.lit("?expires="), expires.cast("string"), F.lit("&signature="), sign))
+
+
+def link_valid(url: Column, prefix: str, now: Column, secret: str) -> Column:
+    """Whether an expiring_url is signed with the secret and has not ended."""
+    path = F.regexp_extract(F.substring_index(url, "?expires=", 1), "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in prefix.rstrip("/")) + "/(.*)$", 1)
+    expires = F.regexp_extract(url, r"\?expires=(\d+)&signature=", 1).try_cast("long")
+    return F.coalesce((url == expiring_url(prefix, path, expires, secret)) & (now < expires), F.lit(False))

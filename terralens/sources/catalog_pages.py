@@ -1,7 +1,8 @@
 """A product catalog that is served in pages, as a Python data source with one partition a page.
 
 A client gives a page's products for a query. The one here reads pages from JSON files (page-0.json, ...); clients of
-remote catalogs subclass PageClient. Filters on cloud cover, dates and collection go to the client, and Spark checks them again.
+remote catalogs subclass PageClient. Filters on cloud cover, box, dates and collection go to the client, and Spark checks
+them again. Pages are asked for five times before a failure counts.
 """
 
 from __future__ import annotations
@@ -10,29 +11,40 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from terralens.sources.files import retried
 
 SCHEMA = "product_id string, name string, collection string, product_type string, start timestamp, cloud_cover double, lon_min double, lat_min double, lon_max double, lat_max double"
 
+PUSHED = ("cloud_cover", "collection", "product_type", "start", "lon_min", "lat_min", "lon_max", "lat_max")
+
+
+def moment(text: str) -> datetime:
+    return datetime.fromisoformat(text.replace("Z", "")).replace(tzinfo=None)
+
 
 @dataclass
 class CatalogQuery:
-    limits: dict = field(default_factory=dict)  # (column, 'min' | 'max' | 'is') -> value
+    limits: dict = field(default_factory=dict)  # (column, 'min' | 'max' | 'below' | 'is') -> value
 
     def admits(self, product: dict) -> bool:
         for (column, how), limit in self.limits.items():
             value = product.get(column)
-            if value is None or (how == "min" and value < limit) or (how == "max" and value > limit) or (how == "is" and value != limit):
+            if isinstance(limit, datetime) and isinstance(value, str):
+                value, limit = moment(value), limit.replace(tzinfo=None)
+            if value is None or (how == "min" and value < limit) or (how == "max" and value > limit) or (how == "below" and value >= limit) or (how == "is" and value != limit):
                 return False
         return True
 
     def odata(self) -> str:
         """The same conditions as an OData filter."""
-        sign = {"min": "ge", "max": "le", "is": "eq"}
-        show = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+        sign = {"min": "ge", "max": "le", "below": "lt", "is": "eq"}
+        show = lambda v: f"'{v}'" if isinstance(v, str) else v.strftime("%Y-%m-%dT%H:%M:%S.000Z") if isinstance(v, datetime) else str(v)
         return " and ".join(f"{c} {sign[how]} {show(v)}" for (c, how), v in sorted(self.limits.items()))
 
 
@@ -47,7 +59,7 @@ class PageClient:
 
     def page(self, number: int, query: CatalogQuery) -> list[dict]:
         with open(os.path.join(self.root, f"page-{number}.json"), encoding="utf-8") as f:
-            return [p for p in json.load(f) if query.admits({**p, "start": None if p.get("start") is None else p["start"]})]
+            return [p for p in json.load(f) if query.admits(p)]
 
 
 class _Page(InputPartition):
@@ -57,11 +69,12 @@ class _Page(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.client, self.query = PageClient(options), CatalogQuery()
+        self.first_wait = float(options.get("first_wait", 1.0))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            how = {GreaterThanOrEqual: "min", LessThanOrEqual: "max", EqualTo: "is"}.get(type(f))
-            if how and len(f.attribute) == 1 and f.attribute[0] in ("cloud_cover", "collection", "product_type"):
+            how = {GreaterThanOrEqual: "min", LessThanOrEqual: "max", LessThan: "below", EqualTo: "is"}.get(type(f))
+            if how and len(f.attribute) == 1 and f.attribute[0] in PUSHED:
                 self.query.limits[f.attribute[0], how] = f.value
             yield f
 
@@ -69,10 +82,8 @@ class _Reader(DataSourceReader):
         return [_Page(k) for k in range(self.client.pages())]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from datetime import datetime
-
-        for p in self.client.page(partition.value, self.query):
-            start = datetime.fromisoformat(p["start"].replace("Z", "")) if p.get("start") else None
+        for p in retried(lambda: self.client.page(partition.value, self.query), 5, self.first_wait):
+            start = moment(p["start"]) if p.get("start") else None
             yield (p.get("product_id"), p.get("name"), p.get("collection"), p.get("product_type"), start, p.get("cloud_cover"), *(p.get(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")))
 
 
@@ -98,7 +109,7 @@ def search(spark: SparkSession, root: str, bbox: tuple[float, float, float, floa
     if product_type is not None:
         df = df.filter(F.col("product_type") == product_type)
     a, b, c, d = bbox
-    met = ~((F.col("lon_max") < a) | (F.col("lon_min") > c) | (F.col("lat_max") < b) | (F.col("lat_min") > d))
+    met = (F.col("lon_max") >= a) & (F.col("lon_min") <= c) & (F.col("lat_max") >= b) & (F.col("lat_min") <= d)
     days = (F.col("start") >= F.lit(date_from).cast("timestamp")) & (F.col("start") < F.lit(date_to).cast("timestamp") + F.expr("interval 1 day"))
     return df.filter(met & days).orderBy("start", "product_id").limit(max_results)
 

@@ -81,11 +81,14 @@ def retried(call: Callable, tries: int = 3, first_wait: float = 1.0, sleep: Call
             sleep(first_wait * 2**k)
 
 
-def fetched(requests: DataFrame, fetch: Callable[[dict], bytes], workers: int = 8, tries: int = 3) -> DataFrame:
+def fetched(requests: DataFrame, fetch: Callable[[dict], bytes], workers: int = 8, tries: int = 3, stored: DataFrame | None = None, key: str = "path") -> DataFrame:
     """requests with `content` and `err`: what fetch gives for each row, `workers` tasks side by side.
 
     fetch runs in the tasks: a download, a window of a remote raster, an export block. Failing rows keep their message.
+    Requests whose key is in `stored` already are left out, so a repeated run only fetches what is missing.
     """
+    if stored is not None:
+        requests = requests.join(stored.select(key).distinct(), key, "left_anti").select(*requests.columns)
     names = requests.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
