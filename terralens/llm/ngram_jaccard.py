@@ -713,6 +713,8 @@ def classes(docs: DataFrame, percent: int = 75, heavy_least: int = 3, broadcast_
     """
     placed = _placed(docs, ["doc_id", "text"], percent, heavy_least, broadcast_nodes, **bounds)
     least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join has exchanges of its own, in which a large class is split
+    least = Scratch(docs.sparkSession, "least").put(least, "ids")
     return placed.join(least, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
@@ -727,8 +729,8 @@ def keep_one(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_000_000
     """
     placed = _placed(docs, docs.columns, percent, 3, broadcast_rows)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    least = placed.filter("component is not null").groupBy("component").agg(F.min(place).alias("least"))
     scratch = Scratch(docs.sparkSession, "kept")
+    least = scratch.put(placed.filter("component is not null").groupBy("component").agg(F.min(place).alias("least")), "least")
     extra = placed.join(least, "component").filter(F.col("row") != F.col("least.row")).select("row").distinct()
     extra = scratch.put(extra.select(F.col("row").alias("__row")), "extra")
     sized = F.broadcast if extra.count() <= broadcast_rows else (lambda df: df)

@@ -228,3 +228,43 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans of each row of `documents`, see find_pii."""
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.mapInArrow(_digest, f"doc_id {dict(found.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+# --- SQL --------------------------------------------------------------------------------------------------------
+
+
+def _hits_sql(kind: int, pattern: str, holds: str, group: int = 0, after: int = 0) -> str:
+    """DuckDB: (kind, start, end) of the pattern's group, which ends `after` characters before its match, where `holds` is true of x, with the group as x.h."""
+    quoted = pattern.replace("'", "''")
+    hit, held, gap = f"regexp_extract_all(t, '{quoted}')", f"regexp_extract_all(t, '{quoted}', {group})", f"string_split_regex(t, '{quoted}')"
+    size = "lambda s: length(s)"
+    end = f"coalesce(list_sum(list_transform({gap}[1:i], {size})), 0)::BIGINT + coalesce(list_sum(list_transform({hit}[1:i], {size})), 0)::BIGINT - {after}"
+    rows = f"list_transform(range(1, len({hit}) + 1), lambda i: {{'kind': {kind}, 'start': {end} - length({held}[i]), 'end': {end}, 'h': {held}[i]}})"
+    return f"list_filter({rows}, lambda x: {holds})"
+
+
+_CUES_SQL = "(?:" + "|".join(form for x in CUES for form in (x, x.upper(), x.title())) + ")"
+_DIGITS_SQL = "regexp_replace(x.h, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"""list_sum(list_transform(range(0, length({_DIGITS_SQL})), lambda i: CASE WHEN i % 2 = 0 THEN reverse({_DIGITS_SQL})[i + 1]::INT
+  ELSE 2 * reverse({_DIGITS_SQL})[i + 1]::INT - 9 * (reverse({_DIGITS_SQL})[i + 1] > '4')::INT END)) % 10 = 0"""
+_CODE_SQL = "replace(x.h, ' ', '')"
+_MOD97_SQL = f"""list_reduce(list_transform(string_split(array_to_string(list_transform(string_split({_CODE_SQL}[5:] || {_CODE_SQL}[1:4], ''),
+  lambda c: CASE WHEN c <= '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda d: d::INT), lambda a, d: (a * 10 + d) % 97) = 1"""
+_FOUND_SQL = [
+    _hits_sql(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    _hits_sql(1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x.h, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0"),
+    _hits_sql(2, r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS_SQL}) BETWEEN 16 AND 19 AND {_LUHN_SQL}"),
+    _hits_sql(3, r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS_SQL}) BETWEEN 8 AND 15"),
+    _hits_sql(4, "(?:" + "|".join(_SCHEMES) + r")([A-Za-z0-9._~%!$&'()*+,;=:-]+)@", "contains(x.h, ':')", 1, 1),
+    _hits_sql(5, _CUES_SQL + r"[ \t:#=]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", f"length({_CODE_SQL}) BETWEEN 15 AND 34 AND {_MOD97_SQL}", 1),
+    _hits_sql(6, _CUES_SQL + r"[ \t]*(?:(?i:no|nr|number|num)\b\.?[ \t]*)?[:#=]?[ \t]*([0-9](?:[ -]?[0-9]){6,})", "true", 1),
+]
+_NAMES_SQL = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+_JOINED_SQL = f"coalesce(array_to_string(list_transform({{0}}, lambda x: {_NAMES_SQL}[x.kind + 1] || ':' || x.start || ':' || x.\"end\"), ','), '')"
+ORACLE_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, {", ".join(f"{x} AS k{k}" for k, x in enumerate(_FOUND_SQL))} FROM texts),
+joined AS (SELECT doc_id, k0, k1, k2, k3, list_concat(list_concat(k0, k1), list_concat(k2, k3)) AS base, list_concat(list_concat(k4, k5), k6) AS more FROM found)
+SELECT doc_id, {", ".join(f"len(k{k})::BIGINT AS n_{kind}" for k, kind in enumerate(BASE_KINDS))},
+       sha256({_JOINED_SQL.format("base")}) AS base_sha256, {_JOINED_SQL.format("list_concat(base, more)")} AS spans
+FROM joined"""

@@ -12,6 +12,7 @@ from terralens.llm.host_rules import op5_host_rules
 from terralens.llm.katz import op8_katz
 from terralens.llm.ngram_jaccard import ORACLE_SQL as JACCARD_SQL
 from terralens.llm.ngram_jaccard import op2_ngram_jaccard
+from terralens.llm.pii import ORACLE_SQL as PII_SQL
 from terralens.llm.pii import op10_pii
 from terralens.llm.secret_scan import ORACLE_SQL as SECRETS_SQL
 from terralens.llm.secret_scan import op1_secret_scan
@@ -35,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": JACCARD_SQL,
     "op3_chat_format": CHAT_SQL,
     "op5_host_rules": HOST_SQL,
+    "op10_pii": PII_SQL,
 }
