@@ -35,14 +35,15 @@ def flat_knn(queries: DataFrame, base: DataFrame, k: int, most_queries: int = QU
     split into blocks by a hash, each of which reads base once.
     """
     out = None
-    for block in _query_blocks(queries.select("query_id", "vec"), most_queries):
+    for block in query_blocks(queries.select("query_id", "vec"), most_queries):
         pairs = base.crossJoin(F.broadcast(block.withColumnRenamed("vec", "q")))
         part = ranked(pairs.select("query_id", "patch_id", squared_l2(F.col("q"), F.col("vec")).alias("distance")), k)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _query_blocks(queries: DataFrame, most: int) -> Iterator[DataFrame]:
+def query_blocks(queries: DataFrame, most: int = QUERY_BLOCK) -> Iterator[DataFrame]:
+    """The queries in blocks of about `most` by a hash: each is small enough for every task, and all of them meet the base."""
     blocks = max(1, -(-queries.count() // most))
     for b in range(blocks):
         yield queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -57,7 +58,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 def flat_knn_blocks(queries: DataFrame, base: DataFrame, k: int, most_queries: int = QUERY_BLOCK) -> DataFrame:
     """Exact search by matrix products over Arrow batches; each task passes on its k best of each query only."""
     spark, out = base.sparkSession, None
-    for block in _query_blocks(queries.select("query_id", "vec"), most_queries):
+    for block in query_blocks(queries.select("query_id", "vec"), most_queries):
         rows = block.toArrow()
         shared = spark.sparkContext.broadcast((rows.column("query_id").to_numpy(), matrix(rows.column("vec").combine_chunks())))
 
@@ -294,7 +295,7 @@ class ProductQuantizer:
         """
         spark, out = coded.sparkSession, None
         reach = {r[0]: r[1] for r in coded.groupBy("list_id").agg(F.max("reach")).collect()}
-        for block in _query_blocks(queries.select("query_id", "vec"), 1024):
+        for block in query_blocks(queries.select("query_id", "vec"), 1024):
             rows = block.toArrow()
             ids, q = rows.column("query_id").to_numpy(), matrix(rows.column("vec").combine_chunks())
             if not len(ids):

@@ -227,8 +227,12 @@ def match_score_topn(spark, d):
 
 
 def _all_distances(spark, d) -> DataFrame:
-    pairs = _vectors(spark, d).crossJoin(F.broadcast(_queries(spark, d).withColumnRenamed("vec", "q")))
-    return pairs.filter("patch_id <> query_id").select("query_id", "q_label", "patch_id", "label", V.squared_l2(F.col("q"), F.col("vec")).alias("distance"))
+    out = None
+    for block in knn.query_blocks(_queries(spark, d)):
+        pairs = _vectors(spark, d).crossJoin(F.broadcast(block.withColumnRenamed("vec", "q")))
+        part = pairs.filter("patch_id <> query_id").select("query_id", "q_label", "patch_id", "label", V.squared_l2(F.col("q"), F.col("vec")).alias("distance"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _TRUTH = f"""WITH {_SQL_Q}, {_SQL_D}, o AS (SELECT query_id, patch_id, label, q_label, round(distance, 9) AS dd FROM d WHERE patch_id <> query_id),
@@ -452,8 +456,11 @@ m AS (SELECT scale, shift, round(avg(d), 6) AS score FROM (SELECT scale, shift,
 SELECT score, scale, shift FROM m ORDER BY score, scale, shift LIMIT 1""")
 def param_sweep_best(spark, d):
     grid = evaluate.grid_of(spark, scale=[0.5, 1.0, 2.0], shift=[-0.05, 0.0, 0.05])
-    q = _queries(spark, d).crossJoin(F.broadcast(grid)).withColumn("q", F.transform("vec", lambda x: x.cast("double") * F.col("scale") + F.col("shift"))).drop("vec")
-    near = _vectors(spark, d).crossJoin(F.broadcast(q)).filter("patch_id <> query_id").groupBy("scale", "shift", "query_id").agg(F.min(F.round(V.squared_l2(F.col("q"), F.col("vec")), 6)).alias("dd"))
+    near = None
+    for block in knn.query_blocks(_queries(spark, d)):
+        q = block.crossJoin(F.broadcast(grid)).withColumn("q", F.transform("vec", lambda x: x.cast("double") * F.col("scale") + F.col("shift"))).drop("vec")
+        part = _vectors(spark, d).crossJoin(F.broadcast(q)).filter("patch_id <> query_id").groupBy("scale", "shift", "query_id").agg(F.min(F.round(V.squared_l2(F.col("q"), F.col("vec")), 6)).alias("dd"))
+        near = part if near is None else near.unionByName(part)
     runs = near.groupBy("scale", "shift").agg(F.round(F.avg("dd"), 6).alias("score"))
     return evaluate.best_configuration(runs, ["scale", "shift"], "score")
 
