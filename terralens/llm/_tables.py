@@ -3,29 +3,13 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset and all runs on one machine (tests, a laptop) a local folder is chosen once for the session; on a
-    cluster that would lose rows, so it raises.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = os.path.join(tempfile.gettempdir(), "checkpoints", f"terralens-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from terralens.sources.tables import shared_dir
 
 
 def written(df: DataFrame, name: str, *by: str, **options: str) -> DataFrame:
