@@ -14,6 +14,7 @@ from terralens.functions import fields, geo
 from terralens.functions import vectors as V
 from terralens.operators import catalog, encoders, evaluate, knn, matching, tiling
 from terralens.plans import numbering
+from terralens.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -610,3 +611,79 @@ def localize_end_to_end(spark, d):
     shown = p.withColumn("descs", F.transform("descs", lambda x: F.transform(x, lambda y: F.abs(y))))
     engine = Engine.build(patches, shown, Settings(n_lists=4, n_probe=4), n_centroids=8, pca_dim=8, restarts=1)
     return engine.localize(shown.withColumnRenamed("patch_id", "query_id"), top_n=3).select("query_id", "rank", "patch_id", "lon", "lat", "inlier_count", "score")
+
+
+# --- fields, look-ups and reports ---------------------------------------------------------------------------------
+
+
+@query(r"""SELECT o_orderkey, [o_orderkey % 3, 7 + o_orderkey % 3] AS ids, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS total, true AS uuid_ok,
+  regexp_matches('x' || o_orderkey, '^[0-9a-f-]{36}$') AS uuid_bad, 'http://store/p/' || o_orderkey AS url,
+  'http://store/p/' || o_orderkey || '?expires=' || (o_orderkey + 60) || '&signature=' || sha256('key' || chr(10) || 'p/' || o_orderkey || chr(10) || (o_orderkey + 60)) AS link FROM orders""")
+def field_formats(spark, d):
+    """Id lists, days, totals of ranges, identifiers, links and links that expire, of each order."""
+    key = F.col("o_orderkey")
+    path = F.concat(F.lit("p/"), key.cast("string"))
+    csv = F.concat_ws(",", (key % 3 + 7).cast("string"), F.concat(F.lit(" "), (key % 3).cast("string")), F.lit("x"), (key % 3 + 7).cast("string"))
+    return _t(spark, d, "orders").select(
+        "o_orderkey", fields.id_list(csv).alias("ids"), fields.iso_day(F.col("o_orderdate")).alias("day"), fields.content_range_total(F.concat(F.lit("bytes 0-9/"), key.cast("string"))).alias("total"),
+        fields.is_uuid(fields.stable_id(key.cast("string"))).alias("uuid_ok"), fields.is_uuid(F.concat(F.lit("x"), key.cast("string"))).alias("uuid_bad"), fields.url_of("http://store/", path).alias("url"),
+        fields.expiring_url("http://store", path, key + 60, "key").alias("link"),
+    )
+
+
+@query("SELECT o_orderkey AS patch_id, o_orderkey IN (3, 5, 8) AS expected FROM orders WHERE o_orderkey IN (1, 3, 5, 7)")
+def expected_flag(spark, d):
+    """Rows of an id list, each with whether it is among the expected ones; the id -1 names none."""
+    hits = spark.createDataFrame([(1,), (3,), (5,), (7,), (-1,)], "patch_id long")
+    rows = catalog.by_ids(_t(spark, d, "orders").select(F.col("o_orderkey").alias("patch_id")), hits)
+    return rows.select("patch_id", fields.is_expected(F.col("patch_id"), F.lit("8, 3,5")).alias("expected"))
+
+
+@query("SELECT p_partkey AS patch_id, 'Supplier#' || lpad((p_partkey % 10)::VARCHAR, 9, '0') AS product_id FROM part WHERE p_size = 10 AND p_partkey % 10 IN (SELECT s_suppkey FROM supplier)")
+def patches_of_size(spark, d):
+    """Patches of one size with their tile's product."""
+    patches = _t(spark, d, "part").select(F.col("p_partkey").alias("patch_id"), F.col("p_size").alias("patch_size"), (F.col("p_partkey") % 10).alias("source_tile_id"))
+    tiles = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("product_id"))
+    return catalog.with_parent(patches, tiles, patch_size=10).select("patch_id", "product_id")
+
+
+@query("SELECT 'k/' || c_custkey AS path, c_custkey IN (SELECT s_suppkey FROM supplier) AS exists FROM customer")
+def stored_keys(spark, d):
+    """Whether a blob is stored under each row's key."""
+    rows = _t(spark, d, "customer").select(F.concat(F.lit("k/"), F.col("c_custkey").cast("string")).alias("path"))
+    there = _t(spark, d, "supplier").select(F.concat(F.lit("k/"), F.col("s_suppkey").cast("string")).alias("path"))
+    return files.existing(rows, there).select("path", "exists")
+
+
+@query(f"""WITH {_SQL_Q}, {_SQL_D}, s AS (SELECT query_id, patch_id, q_label = label AS is_truth, round(2 - distance, 4) AS score FROM d WHERE patch_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, patch_id) AS rank FROM s)
+SELECT query_id, patch_id, rank, is_truth, score FROM r WHERE rank <= 5""")
+def top_five_report(spark, d):
+    """The five best of each query, with a mark at those of its own label."""
+    scored = _all_distances(spark, d).select("query_id", "patch_id", "label", "q_label", F.round(2 - F.col("distance"), 4).alias("score"))
+    truth = scored.filter("label = q_label").select("query_id", "patch_id")
+    return matching.top_report(scored.select("query_id", "patch_id", "score"), truth, 5).select("query_id", "patch_id", F.col("rank").cast("long").alias("rank"), "is_truth", "score")
+
+
+@query("""SELECT l_orderkey, l_linenumber, sqrt(l_discount * l_discount + l_tax * l_tax) > 0.001 AND sqrt(l_discount * l_discount + l_tax * l_tax) < 0.0955 AS valid FROM lineitem""")
+def affine_scale_check(spark, d):
+    """Whether a similarity's scale lies strictly between its bounds."""
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.affine_valid(F.col("l_discount"), F.col("l_tax"), 0.001, 0.0955).alias("valid"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size * 40 AS width, p_size * 25 AS height FROM part WHERE p_partkey < 60),
+b AS (SELECT p_partkey, width, height, x * 256 AS col_off, y * 256 AS row_off FROM (SELECT *, unnest(range(0, (width + 255) // 256)) AS x FROM r), LATERAL (SELECT unnest(range(0, (height + 255) // 256)) AS y))
+SELECT p_partkey, count(*) AS blocks, sum(least(256, width - col_off) * least(256, height - row_off))::BIGINT AS pixels, max(col_off)::BIGINT AS last_col, max(row_off)::BIGINT AS last_row FROM b GROUP BY p_partkey""")
+def block_cover(spark, d):
+    """Blocks that cover a raster: how many, their pixels in all, and the last ones."""
+    rasters = _t(spark, d, "part").filter("p_partkey < 60").select("p_partkey", (F.col("p_size") * 40).cast("long").alias("width"), (F.col("p_size") * 25).cast("long").alias("height"))
+    blocks = tiling.block_grid(rasters, 256)
+    return blocks.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("w") * F.col("h")).alias("pixels"), F.max("col_off").alias("last_col"), F.max("row_off").alias("last_row"))
+
+
+@query("""SELECT event_type AS status, count(DISTINCT user_id) AS users, count(*) AS n, min(event_id) AS first_id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY event_type""")
+def run_statistics(spark, d):
+    """Counts of a run over what is not stored yet."""
+    stored = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
+    fresh = catalog.new_rows(_t(spark, d, "events"), stored, "event_id")
+    return fresh.groupBy(F.col("event_type").alias("status")).agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
