@@ -616,7 +616,7 @@ def localize_end_to_end(spark, d):
 # --- fields, look-ups and reports ---------------------------------------------------------------------------------
 
 
-@query(r"""SELECT o_orderkey, [o_orderkey % 3, 7 + o_orderkey % 3] AS ids, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS total, true AS uuid_ok,
+@query(r"""SELECT o_orderkey, (o_orderkey % 3) || ',' || (7 + o_orderkey % 3) AS ids, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS total, true AS uuid_ok,
   regexp_matches('x' || o_orderkey, '^[0-9a-f-]{36}$') AS uuid_bad, 'http://store/p/' || o_orderkey AS url,
   'http://store/p/' || o_orderkey || '?expires=' || (o_orderkey + 60) || '&signature=' || sha256('key' || chr(10) || 'p/' || o_orderkey || chr(10) || (o_orderkey + 60)) AS link FROM orders""")
 def field_formats(spark, d):
@@ -625,7 +625,7 @@ def field_formats(spark, d):
     path = F.concat(F.lit("p/"), key.cast("string"))
     csv = F.concat_ws(",", (key % 3 + 7).cast("string"), F.concat(F.lit(" "), (key % 3).cast("string")), F.lit("x"), (key % 3 + 7).cast("string"))
     return _t(spark, d, "orders").select(
-        "o_orderkey", fields.id_list(csv).alias("ids"), fields.iso_day(F.col("o_orderdate")).alias("day"), fields.content_range_total(F.concat(F.lit("bytes 0-9/"), key.cast("string"))).alias("total"),
+        "o_orderkey", F.concat_ws(",", fields.id_list(csv).cast("array<string>")).alias("ids"), fields.iso_day(F.col("o_orderdate")).alias("day"), fields.content_range_total(F.concat(F.lit("bytes 0-9/"), key.cast("string"))).alias("total"),
         fields.is_uuid(fields.stable_id(key.cast("string"))).alias("uuid_ok"), fields.is_uuid(F.concat(F.lit("x"), key.cast("string"))).alias("uuid_bad"), fields.url_of("http://store/", path).alias("url"),
         fields.expiring_url("http://store", path, key + 60, "key").alias("link"),
     )
