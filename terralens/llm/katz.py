@@ -1,4 +1,4 @@
-"""Katz backoff bigram model: Good-Turing discounts, exactly normalised backoff weights, scores of whole texts.
+"""Katz backoff models: Good-Turing discounts, exactly normalised backoff weights, scores of whole texts.
 
 P(w | h) = d(c(hw)) c(hw) / c(h) where hw occurs in training, else alpha(h) P(w); P(w) = d(c(w)) c(w) / N for known words,
 and what the discounts leave is the probability of an unknown word. alpha(h) = (1 - sum of the seen P(w | h)) / (1 - sum
@@ -11,6 +11,9 @@ for it is the word's own count where the word stands, a place earlier. Only unse
 for their history's backoff weight; the tables of histories are dealt by a hash of the history and answer them there.
 Histories go by 48 bits of their words' hashes. Good-Turing's counts of counts of bigrams are known only at the end, so sums keep the number of bigrams with each small
 count, and the discounts come in when all is added up.
+
+That is score(), a bigram model of the documents that it scores. learn() writes tables of any order, three by default, and
+evaluate() scores other documents with them, recursively: P(w | uv) = its own probability, or alpha(uv) P(w | v).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
-from terralens.llm._tables import freed, table, texts, written
+from terralens.llm._tables import Scratch, freed, table, texts, written
 
 U = np.uint64
 SMALL = 5  # counts with a Good-Turing discount
@@ -468,6 +471,92 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+# --- stored tables of any order ------------------------------------------------------------------------------------
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _tokens(docs: DataFrame, order: int) -> DataFrame:
+    """(row, w, h2, h3, ...): each token and the 1, 2, ... tokens before it; a text begins with empty ones and ends with a line feed."""
+    words = F.filter(F.split(F.translate("text", _UPPER, _UPPER.lower()), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    padded = docs.select("row", F.concat(F.array_repeat(F.lit(""), order - 1), words, F.array(F.lit("\n"))).alias("t"))
+    before = lambda i, k: F.array_join(F.slice("t", i - (k - 1), k - 1), " ").alias(f"h{k}")
+    each = F.transform(F.sequence(F.lit(order), F.size("t")), lambda i: F.struct(F.element_at("t", i).alias("w"), *(before(i, k) for k in range(2, order + 1))))
+    return padded.select("row", F.inline(each))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """A model of any order in written tables: ngrams[k - 1] (h, w, p) and backoffs[k - 2] (h, alpha), h being k - 1 words."""
+
+    order: int
+    unknown: float  # the probability of an unknown word
+    ngrams: list[DataFrame]
+    backoffs: list[DataFrame]
+
+    def save(self, path: str, buckets: int = 16) -> None:
+        """Dealt by a hash of the history, one folder for each bucket."""
+        bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")
+        for name, frames in (("ngrams", self.ngrams), ("backoffs", self.backoffs)):
+            for k, df in enumerate(frames):
+                df.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}-{k}")
+        self.ngrams[0].sparkSession.createDataFrame([(self.order, self.unknown)], "n int, unknown double").write.mode("overwrite").parquet(f"{path}/meta")
+
+    @staticmethod
+    def load(spark, path: str) -> Tables:
+        n, unknown = spark.read.parquet(f"{path}/meta").first()
+        read = lambda name, many: [spark.read.parquet(f"{path}/{name}-{k}").drop("bucket") for k in range(many)]
+        return Tables(n, unknown, read("ngrams", n), read("backoffs", n - 1))
+
+
+def learn(docs: DataFrame, order: int = 3) -> Tables:
+    """Tables of the texts' n-grams up to `order`, by the rules at the top of this module, in DataFrame functions.
+
+    Null texts are empty (one token), repeated rows count each time; of an empty table every word is unknown. Only
+    counts of counts reach the driver. score() does the same for bigrams, scores on the way and shuffles far less.
+    """
+    scratch = Scratch(docs.sparkSession, "katz-tables")
+    tokens = scratch.put(_tokens(texts(docs, F.lit(0).alias("row")), order).drop("row"), "tokens")
+    n, ngrams, backoffs = tokens.count(), [], []
+    for k in range(1, order + 1):
+        counts = scratch.put(tokens.groupBy((F.col(f"h{k}") if k > 1 else F.lit("")).alias("h"), "w").agg(F.count(F.lit(1)).alias("c")), f"counts-{k}")
+        of = dict(counts.filter(F.col("c") <= SMALL + 1).groupBy("c").count().collect())
+        d = discounts(np.array([of.get(r, 0) for r in range(1, SMALL + 2)]))
+        mass = F.when(F.col("c") <= SMALL, F.element_at(F.array(*(F.lit(float(r * x)) for r, x in enumerate(d, 1))), F.least("c", F.lit(SMALL)).cast("int"))).otherwise(F.col("c") - TAIL)
+        if k == 1:
+            ngrams.append(scratch.put(counts.select("h", "w", (mass / max(1, n)).alias("p")), "ngrams-1"))
+            unknown = 1 - (ngrams[0].agg(F.sum("p")).first()[0] or 0.0)
+            continue
+        totals = scratch.put(counts.groupBy("h").agg(F.sum("c").alias("total")), f"totals-{k}")
+        here = scratch.put(counts.join(totals, "h").select("h", "w", (mass / F.col("total")).alias("p")), f"ngrams-{k}")
+        shorter = F.expr("substring(h, locate(' ', h) + 1)") if k > 2 else F.lit("")
+        both = here.withColumn("l", shorter).join(ngrams[-1].toDF("l", "w", "q"), ["l", "w"])
+        left = both.groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        backoffs.append(scratch.put(left.select("h", ((1 - F.col("p")) / F.greatest(1 - F.col("q"), F.lit(1e-300))).alias("alpha")), f"backoffs-{k}"))
+        ngrams.append(here)
+    scratch.drop("tokens", *(f"counts-{k}" for k in range(1, order + 1)), *(f"totals-{k}" for k in range(2, order + 1)))
+    return Tables(order, float(unknown), ngrams, backoffs)
+
+
+def evaluate(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, n_tokens, score) of each row: log10 of the text's probability, token by token from the longest history down.
+
+    Documents may be others than those that the tables come from. Null texts are empty, repeated rows each have their
+    score, an empty table gives none.
+    """
+    named = texts(docs, "doc_id").withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    at = _tokens(named.dropDuplicates(["row"]), tables.order).withColumn("so_far", F.lit(0.0)).withColumn("done", F.lit(None).cast("double"))
+    for k in range(tables.order, 0, -1):
+        at = at.withColumn("h", F.col(f"h{k}") if k > 1 else F.lit("")).join(tables.ngrams[k - 1], ["h", "w"], "left")
+        at = at.withColumn("done", F.coalesce("done", F.col("so_far") + F.log10("p"))).drop("p")
+        if k > 1:
+            at = at.join(tables.backoffs[k - 2], "h", "left").withColumn("so_far", F.col("so_far") + F.log10(F.coalesce("alpha", F.lit(1.0)))).drop("alpha")
+        at = at.drop("h")
+    value = F.coalesce("done", F.col("so_far") + F.lit(float(np.log10(tables.unknown)) if tables.unknown > 0 else float("-inf")))
+    scores = at.groupBy("row").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(value).alias("score"))
+    return named.select("doc_id", "row").join(scores, "row").select("doc_id", "n_tokens", "score")
+
+
 def op8_katz(spark, sf_dir: str) -> DataFrame:
     """held_out, token counts, base_score and score of each row of `documents`, see score."""
     return score(table(spark, sf_dir, "documents"))

@@ -543,6 +543,59 @@ def test_katz_scores_equal_brute_force(spark):
             assert r["base_score"] == pytest.approx(x[5], rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(x[6], rel=1e-9, abs=1e-9)
 
 
+def ngram_model_by_force(rows, order):
+    """P(w | history) of a Katz model as a function, from counts alone."""
+    counts = [Counter() for _ in range(order)]
+    for t in rows:
+        w = [b""] * (order - 1) + words(t) + [None]
+        for i in range(order - 1, len(w)):
+            for k in range(order):
+                counts[k][tuple(w[i - k : i + 1])] += 1
+    cuts = []
+    for c in counts:
+        d = katz.discounts(np.array([sum(x == r for x in c.values()) for r in range(1, katz.SMALL + 2)]))
+        cuts.append(lambda n, d=d: d[n - 1] * n if n <= katz.SMALL else n - katz.TAIL)
+    total = sum(counts[0].values())
+    followers = defaultdict(list)
+    for c in counts[1:]:
+        for g in c:
+            followers[g[:-1]].append(g)
+
+    def p(gram):
+        k = len(gram) - 1
+        if k == 0:
+            return cuts[0](counts[0][gram]) / total if gram in counts[0] else 1 - sum(cuts[0](n) for n in counts[0].values()) / total
+        n = sum(counts[k][g] for g in followers[gram[:-1]])
+        if gram in counts[k]:
+            return cuts[k](counts[k][gram]) / n
+        if not n:
+            return p(gram[1:])
+        left = 1 - sum(cuts[k](counts[k][g]) for g in followers[gram[:-1]]) / n
+        return left / (1 - sum(p(g[1:]) for g in followers[gram[:-1]])) * p(gram[1:])
+
+    return p
+
+
+def test_stored_tables_score_other_documents(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    few = lambda n: " ".join(rng.choice(WORDS[:12], n))
+    train, other = [*AWKWARD[:5], *(few(int(n)) for n in rng.integers(1, 30, 40))], [None, "", "w1 unheard w2 w3", "W1 w2 w3", *(few(15) for _ in range(10))]
+    for order in (3, 2):
+        tables = katz.learn(docs_of(spark, train), order)
+        tables.save(str(tmp_path / f"t{order}"))
+        got = {r["doc_id"]: r for r in katz.evaluate(docs_of(spark, other), katz.Tables.load(spark, str(tmp_path / f"t{order}"))).collect()}
+        p = ngram_model_by_force(train, order)
+        for i, t in enumerate(other):
+            w = [b""] * (order - 1) + words(t) + [None]
+            want = sum(math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w)))
+            assert got[i]["n_tokens"] == len(w) - order + 1 and got[i]["score"] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    own = docs_of(spark, train)
+    bigrams = {r["doc_id"]: r["score"] for r in katz.score(own, held_out="false").collect()}
+    again = {r["doc_id"]: r["score"] for r in katz.evaluate(own, katz.learn(own, 2)).collect()}
+    assert again == {i: pytest.approx(x, rel=1e-9) for i, x in bigrams.items()}
+    assert katz.evaluate(own.limit(0), tables).count() == 0 and katz.learn(own.limit(0)).unknown == 1.0
+
+
 def test_katz_without_training_rows_or_rows(spark):
     r = katz.score(docs_of(spark, ["a b"]), held_out="true").first()
     assert (r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0)
