@@ -34,7 +34,7 @@ SMALL = 5  # counts with a Good-Turing discount
 TAIL = 0.5  # what larger counts lose
 BEGIN, END = U(0xA5A5A5A5A5A5A5A5), U(0x5C5C5C5C5C5C5C5C)
 #: A part's words are worked on in this many slices, one after the other, so that memory holds one slice's numbers.
-_SLICES = 4
+_SLICES = 6
 _BLOCK_DOCS = 60_000  # their places fit 16 bits
 
 
@@ -255,6 +255,8 @@ def _score_words(group: pa.Table, uni: Unigrams, parts: int) -> pa.Table:
             new, asked = _score_slice(group.select(["block", "n_train", "words", "of_word", "history", "times", "docs"]).take(rows).to_pylist(), uni, out, histories)
             sums = _merged(sums, new)
             asks += asked
+            del new, asked
+            _text.release()
     out += _history_rows(histories, parts)
     del histories
     refs, ints, nums = sums
@@ -338,9 +340,13 @@ def _history_sums(h: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple:
     order = np.argsort(h, kind="stable")
     h, c, p = h[order], c[order], p[order]
     if not len(h):
-        return h, np.zeros((0, _HISTORY), np.int64), p
+        return h, np.zeros((0, _HISTORY), np.int32), p
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    ints = np.stack([np.add.reduceat(x, begin) for x in (c, *((c == r).astype(np.int64) for r in range(1, SMALL + 1)), (c > SMALL).astype(np.int64))], 1)
+    ints = np.empty((len(begin), _HISTORY), np.int32)  # a part's tokens are far fewer than 2**31
+    ints[:, 0] = np.add.reduceat(c, begin)
+    for r in range(1, SMALL + 1):
+        ints[:, r] = np.add.reduceat((c == r).astype(np.int32), begin)
+    ints[:, SMALL + 1] = np.add.reduceat((c > SMALL).astype(np.int32), begin)
     return h[begin], ints, np.add.reduceat(p, begin)
 
 
