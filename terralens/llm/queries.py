@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from terralens.llm.chat_format import ORACLE_SQL as CHAT_SQL
 from terralens.llm.chat_format import op3_chat_format
+from terralens.llm.collocations import ORACLE_SQL as COLLOCATIONS_SQL
+from terralens.llm.collocations import op11_collocations
 from terralens.llm.decontam import op7_decontamination
 from terralens.llm.fm_toxicity import op9_toxicity
 from terralens.llm.forced_bpe import op6_forced_bpe
@@ -29,6 +31,7 @@ QUERIES = {
     "op8_katz": op8_katz,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": CHAT_SQL,
     "op5_host_rules": HOST_SQL,
     "op10_pii": PII_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
 }
