@@ -12,6 +12,8 @@ from terralens.llm.forced_bpe import op6_forced_bpe
 from terralens.llm.host_rules import ORACLE_SQL as HOST_SQL
 from terralens.llm.host_rules import op5_host_rules
 from terralens.llm.katz import op8_katz
+from terralens.llm.merkle import ORACLE_SQL as MERKLE_SQL
+from terralens.llm.merkle import op12_merkle_manifest
 from terralens.llm.ngram_jaccard import ORACLE_SQL as JACCARD_SQL
 from terralens.llm.ngram_jaccard import op2_ngram_jaccard
 from terralens.llm.pii import ORACLE_SQL as PII_SQL
@@ -32,6 +34,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op11_collocations": op11_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -41,4 +44,5 @@ ORACLES: dict[str, str] = {
     "op5_host_rules": HOST_SQL,
     "op10_pii": PII_SQL,
     "op11_collocations": COLLOCATIONS_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
