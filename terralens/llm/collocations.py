@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
@@ -53,7 +53,8 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     sizes = ends - starts
     at = np.zeros(len(starts) + 1, np.int32 if int(sizes.sum()) < 2**31 else np.int64)
     np.cumsum(sizes, out=at[1:])
-    take = np.arange(int(at[-1])) + np.repeat(starts - at[:-1], sizes)
+    take = np.arange(int(at[-1]), dtype=at.dtype)
+    take += np.repeat((starts - at[:-1]).astype(at.dtype), sizes)
     kind = pa.string() if at.dtype == np.int32 else pa.large_string()
     return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[take]))])
 
@@ -72,14 +73,14 @@ def _bits(lang: np.ndarray, words: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def _counter(order: int, size: int, known):
-    """The task that turns (lang, text) into rows of one order, summed within each few megabytes of text.
+    """The task that turns (lang, text) into rows of one order, summed within each two megabytes of text.
 
     Order one also gives each language's number of words, as the phrase ''.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in _text.pieces(batch, most=4 << 20):
+            for piece in _text.pieces(batch, most=2 << 20):
                 data, at = _text.buffers(piece.column("text"))
                 data = _FOLD[data]
                 starts, ends, owner, goes_on = words_of(data, at)
@@ -126,7 +127,7 @@ def _counter(order: int, size: int, known):
                     many = np.bincount(lang, minlength=len(langs.dictionary)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([langs.dictionary, pa.array([""] * len(many), pa.string()), pa.array(many)], ["lang", "phrase", "f"])
 
-    return _text.tidied(run)
+    return _text.tidied(run, every=1)
 
 
 def _marks(parts: DataFrame, order: int, size: int) -> np.ndarray:
@@ -180,6 +181,12 @@ def _parts(phrases: DataFrame, salts: int) -> DataFrame:
     return cut.withColumn("first_salt", F.when(F.col("cut") == 1, salt).otherwise(0)).withColumn("rest_salt", F.when(F.col("size") - F.col("cut") == 1, salt).otherwise(0))
 
 
+def weak_score() -> Column:
+    """floor(1000000 a² / (l r)), exact for counts up to 10^15."""
+    whole = lambda c: f"cast({c} as decimal(15,0))"
+    return F.expr(f"{whole('a')} * {whole('a')} * cast(1000000 as decimal(7,0)) div ({whole('l')} * {whole('r')})")
+
+
 def mine(docs: DataFrame, max_n: int = 3, min_count: int = 10, top: int = 2000, cover_percent: int = 50, salts: int = 16) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score.
 
@@ -207,7 +214,7 @@ def mine(docs: DataFrame, max_n: int = 3, min_count: int = 10, top: int = 2000,
     left = part.select("lang", F.col("phrase").alias("first"), F.col("salt").alias("first_salt"), F.col("f").alias("l"))
     right = part.select("lang", F.col("phrase").alias("rest"), F.col("salt").alias("rest_salt"), F.col("f").alias("r"))
     cuts = _parts(free, salts).join(left, ["lang", "first", "first_salt"]).join(right, ["lang", "rest", "rest_salt"])
-    scored = cuts.withColumn("score", F.expr("cast((cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0))) as long)"))
+    scored = cuts.withColumn("score", weak_score())
     weakest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("w")).select("lang", "phrase", "a", "w.l", "w.r", "w.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     first = weakest.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
