@@ -154,3 +154,8 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(_CODE[data] * power[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * unpower[starts])
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes stand between words."""
+    return _SPACE[data]

@@ -286,6 +286,8 @@ def checked(docs: DataFrame, fanout: int = 2, tampered: Column | None = None, bl
     leaf as it is now (changed where `tampered`), and verified says that it is the manifest's. See manifest for nulls,
     ties, repeated rows and empty tables.
     """
+    if fanout < 2:
+        raise ValueError("a fanout of 2 at least")
     scratch = Scratch(docs.sparkSession, "merkle")
     by_lang, over = manifest(docs, scratch, fanout, tampered)
 

@@ -16,6 +16,7 @@ from terralens.llm.merkle import ORACLE_SQL as MERKLE_SQL
 from terralens.llm.merkle import op12_merkle_manifest
 from terralens.llm.ngram_jaccard import ORACLE_SQL as JACCARD_SQL
 from terralens.llm.ngram_jaccard import op2_ngram_jaccard
+from terralens.llm.passage_mil import op13_passage_quality
 from terralens.llm.pii import ORACLE_SQL as PII_SQL
 from terralens.llm.pii import op10_pii
 from terralens.llm.secret_scan import ORACLE_SQL as SECRETS_SQL
@@ -35,6 +36,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_passage_quality": op13_passage_quality,
 }
 
 ORACLES: dict[str, str] = {
