@@ -229,6 +229,7 @@ def proofs(forest: Forest, above: DataFrame, result, schema: str, scratch: Scrat
         base, span = tier * k, f**k
         items = forest.nodes.filter(f"level = {base} and size > {f**base}").select("tree", "size", "index", "digest") if tier else forest.leaves
         items = items.withColumn("block", F.expr(f"index div {span}"))
+        items = items.toDF(*items.columns)  # columns of its own, as both sides may come from the node records
         inside = forest.nodes.filter(f"level >= {max(base, 1)} and level < {base + k} and size > {f**base}")
         inside = inside.select("tree", F.expr(f"index div cast({span} / power({f}, level - {base}) as long)").alias("block"), "level", "index", "digest")
         # blocks that reach the root of their tree have its path; the others that of their own place one tier up

@@ -101,11 +101,12 @@ class Model:
         return z @ c + d[0], a, h, t, s, of, z
 
     def scores(self, x: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' scores and the passages' weights."""
+        """The texts' scores and the passages' weights, in double precision and to nine places, so that they don't depend on a text's neighbours."""
         if len(top) < 2:
             return np.zeros(0), np.zeros(0)
-        y, a, *_ = self.forward(x, top)
-        return 1 / (1 + np.exp(-y.astype(np.float64).clip(-60, 60))), a
+        fine = Model(self.mean.astype(np.float64), self.scale.astype(np.float64), tuple(p.astype(np.float64) for p in self.parts))
+        y, a, *_ = fine.forward(x.astype(np.float64), top)
+        return np.round(1 / (1 + np.exp(-y.clip(-60, 60))), 9), a
 
 
 def constant(share: float) -> Model:
