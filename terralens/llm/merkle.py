@@ -28,8 +28,8 @@ from terralens.llm._tables import Scratch, table
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _NODE = "tree string, size long, level int, index long, digest string, open boolean"
-_PEAKS_A_TASK = 100_000
-_MOST_SPANS = 100_000
+#: Rows that one task, or a broadcast, may get whole: about 10 MB of digests.
+_FEW = 100_000
 
 
 def H(*parts: str) -> str:
@@ -121,22 +121,27 @@ class Forest:
     fanout: int
 
 
-def grow(rows: DataFrame, order: list[Column], fanout: int, scratch: Scratch, name: str) -> Forest:
+def grow(rows: DataFrame, order: list[Column], fanout: int, scratch: Scratch, name: str, few_trees: bool = False) -> Forest:
     """The trees of rows that have a tree (a string, not null) and a digest; `order` sorts the leaves of a tree.
 
     Rows that are equal in order and digest may stand in any order; they may be most of the table, so ranges are cut
-    inside them too. A tree may hold most rows: its ranges are of bounded size like all others.
+    inside them too. A tree may hold most rows: its ranges are of bounded size like all others. few_trees: the rows were
+    counted before (they are another forest's roots), so counting is cheap, and if they are few one range will do.
     """
     sort = [F.col("tree"), *order, F.col("digest")]
-    spread = F.monotonically_increasing_id()
-    ranged = rows.withColumn("__spread", spread).repartitionByRange(*sort, "__spread").sortWithinPartitions(*sort).drop("__spread")
+    if few_trees and rows.count() <= _FEW:
+        ranged = rows.coalesce(1).sortWithinPartitions(*sort)
+    else:
+        ranged = rows.withColumn("__spread", F.monotonically_increasing_id()).repartitionByRange(*sort, "__spread").sortWithinPartitions(*sort).drop("__spread")
     placed = scratch.put(ranged.withColumn("__place", F.monotonically_increasing_id()), f"{name}-placed")
     part = F.shiftright("__place", 33)
     found = placed.groupBy(part.alias("__part"), "tree").agg(F.count(F.lit(1)).alias("n"), F.min("__place").alias("first"))
     found = scratch.put(found, f"{name}-spans")  # about one a range and tree
+    few = found.count() <= _FEW
+    found = found.coalesce(1) if few else found
     ahead = Window.partitionBy("tree").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("__part", "tree", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("tree")).alias("size"))
-    indexed = placed.withColumn("__part", part).join(F.broadcast(spans) if found.count() <= _MOST_SPANS else spans, ["__part", "tree"])
+    indexed = placed.withColumn("__part", part).join(F.broadcast(spans) if few else spans, ["__part", "tree"])
     indexed = indexed.withColumn("index", F.col("__place") - F.col("first") + F.col("before")).drop("first", "before")
     leaves = scratch.put(indexed.sortWithinPartitions("__part", "__place").drop("__part", "__place"), f"{name}-leaves")
     scratch.drop(f"{name}-placed")
@@ -149,14 +154,16 @@ def grow(rows: DataFrame, order: list[Column], fanout: int, scratch: Scratch, na
         written.append(climbed.filter("not open").drop("open"))
         peaks = climbed.filter("open").drop("open")
         # an open node stays a node: it gets its record when its group is complete
-        waiting = peaks.count()
+        waiting, most = peaks.count(), max(_FEW, 4096 * fanout)
         if not waiting:
             break
-        level_rows = peaks.repartitionByRange(-(-waiting // max(_PEAKS_A_TASK, 4096 * fanout)), "tree", start).sortWithinPartitions("tree", start, "level")
+        dealt = peaks.repartitionByRange(-(-waiting // most), "tree", start) if waiting > most else peaks.coalesce(1)
+        level_rows = dealt.sortWithinPartitions("tree", start, "level")
     nodes = written[0]
     for w in written[1:]:
         nodes = nodes.unionByName(w)
-    tops = nodes.groupBy("tree").agg(F.max("size").alias("size"), F.max_by("digest", "level").alias("digest"))
+    # the only node that no level above covers
+    tops = nodes.filter(F.pow(F.lit(float(fanout)), F.col("level")) >= F.col("size")).select("tree", "size", "digest")
     return Forest(leaves, nodes, scratch.put(tops, f"{name}-roots"), fanout)
 
 
@@ -214,16 +221,37 @@ def _tier(base: int, levels: int, fanout: int, result):
     return run
 
 
+def _by_block(left: DataFrame, right: DataFrame, task, schema: str, few: bool) -> DataFrame:
+    """task(left, right) for each (tree, block), by a cogroup, or in one task where both sides are few rows."""
+    if not few:
+        return left.groupBy("tree", "block").cogroup(right.groupBy("tree", "block")).applyInArrow(task, schema)
+    both = left.withColumn("__left", F.lit(True)).unionByName(right.withColumn("__left", F.lit(False)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_of = [b for b in batches if b.num_rows]
+        if not all_of:
+            return
+        rows = pa.Table.from_batches(all_of)
+        places: dict[tuple, tuple[list[int], list[int]]] = {}
+        for i, (tree, block, is_left) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("tree", "block", "__left")), strict=True)):
+            places.setdefault((tree, block), ([], []))[0 if is_left else 1].append(i)
+        for one, other in places.values():
+            yield from task(rows.take(one), rows.take(other)).to_batches()
+
+    return both.coalesce(1).mapInArrow(run, schema)
+
+
 def proofs(forest: Forest, above: DataFrame, result, schema: str, scratch: Scratch, block: int = 4096) -> DataFrame:
     """`result` of each leaf with its path: siblings come from the node records, a block of leaves at a time.
 
     above: (tree, path), what lies over each tree's root, with words for `result` behind it. Blocks of leaves get the path
-    over their block from blocks of blocks, so no task sees more than `block` nodes of a level.
+    over their block from blocks of blocks, so no task sees more than `block` nodes of a level, or _FEW rows in all.
     """
     f = forest.fanout
     k = max(1, int(math.log(block, f) + 1e-9))
-    tall = forest.roots.agg(F.max("size")).first()[0]
+    n_trees, tall, n = forest.roots.agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()
     tiers = max(1, -(-(len(sizes(tall or 1, f)) - 1) // k))
+    top = forest.roots.join(F.broadcast(above) if n_trees <= _FEW else above, "tree").select("tree", "size", "path")
     upper, out = None, None
     for tier in range(tiers - 1, -1, -1):
         base, span = tier * k, f**k
@@ -234,10 +262,12 @@ def proofs(forest: Forest, above: DataFrame, result, schema: str, scratch: Scrat
         inside = inside.select("tree", F.expr(f"index div cast({span} / power({f}, level - {base}) as long)").alias("block"), "level", "index", "digest")
         # blocks that reach the root of their tree have its path; the others that of their own place one tier up
         over = lambda rows, at: rows.select("tree", F.col(at).cast("long").alias("block"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("index"), F.col("path").alias("digest"))
-        low = forest.roots.filter(f"size <= {f ** (base + k)} and size > {f**base if tier else 0}")
-        inside = inside.unionByName(over(low.join(above, "tree").withColumn("at", F.lit(0)), "at"))
+        low = top.filter(f"size <= {f ** (base + k)} and size > {f**base if tier else 0}")
+        inside = inside.unionByName(over(low.withColumn("at", F.lit(0)), "at"))
         if upper is not None:
             inside = inside.unionByName(over(upper, "index"))
+        # nodes of a level: one of f**base leaves, and one more for each tree; its siblings above are fewer again
+        few = 3 * ((n or 0) // f**base + n_trees) <= _FEW if tier else 3 * (n or 0) <= _FEW // 10
         if tier:
 
             def up(left: pa.Table, paths, tops) -> pa.Table:
@@ -246,9 +276,9 @@ def proofs(forest: Forest, above: DataFrame, result, schema: str, scratch: Scrat
             task, kind = _tier(base, k, f, up), "tree string, index long, path string"
         else:
             task, kind = _tier(base, k, f, result), schema
-        out = items.groupBy("tree", "block").cogroup(inside.groupBy("tree", "block")).applyInArrow(task, kind)
+        out = _by_block(items, inside, task, kind, few)
         if tier:
-            upper = scratch.put(out, f"tier-{tier}")
+            upper = scratch.put(out, f"tier-{len(scratch.names)}")
     return out
 
 
@@ -277,7 +307,7 @@ def manifest(docs: DataFrame, scratch: Scratch, fanout: int = 2, tampered: Colum
     """
     by_lang = grow(leaf_digests(docs, tampered), [F.asc_nulls_first("doc_id")], fanout, scratch, "lang")
     over = by_lang.roots.select(F.lit("").alias("tree"), F.col("tree").alias("member"), "digest")
-    return by_lang, grow(over, [F.col("member")], fanout, scratch, "over")
+    return by_lang, grow(over, [F.col("member")], fanout, scratch, "over", few_trees=True)
 
 
 def checked(docs: DataFrame, fanout: int = 2, tampered: Column | None = None, block: int = 4096) -> DataFrame:

@@ -144,7 +144,9 @@ def shelves(n, langs):
 
 
 @pytest.mark.parametrize(("n", "langs", "fanout", "block"), [(203, ["en", None, "", "én", "en", "-", "="], 2, 8), (203, ["en", "de"], 3, 9), (64, ["en"], 2, 4096), (1, [None], 2, 4), (7, list("abcdefg"), 2, 2), (100, ["x", "y"], 7, 50)])
-def test_manifest_equals_brute_force(spark, n, langs, fanout, block):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_manifest_equals_brute_force(spark, monkeypatch, n, langs, fanout, block, few):
+    monkeypatch.setattr(merkle, "_FEW", few)  # whether few rows meet in one task, or shuffles do it all
     rows = shelves(n, langs)
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     got = sorted((tuple(r) for r in merkle.checked(docs_of(spark, rows).repartition(5), fanout, tampered, block).collect()), key=str)
