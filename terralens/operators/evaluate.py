@@ -2,58 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralens.functions.geo import haversine_km
 
 
-def nearest_point(points: DataFrame, places: DataFrame, point_id: str, place_id: str, cell: float | None = None, few: int = 1000) -> DataFrame:
-    """(point_id, place_id, dist_km): each point's nearest place, the least id on ties.
+@dataclass(frozen=True)
+class SphereTree:
+    """Splits of the unit sphere by medians of places: node k has the children 2k + 1 and 2k + 2, the last level are the leaves.
+
+    near holds some places of each leaf, which bound how far a point's nearest place can be.
+    """
 
-    Up to `few` places go to every task and all distances are taken. More are searched ring by ring on a grid, whose
-    cells (degrees) hold about eight places where these lie evenly.
+    dims: np.ndarray
+    cuts: np.ndarray
+    depth: int
+    near: np.ndarray
+
+    @staticmethod
+    def of(sample: np.ndarray, leaves: int, kept: int = 4) -> SphereTree:
+        """From unit vectors, one at least; `leaves` is a power of two at most as large as their number."""
+        depth = leaves.bit_length() - 1
+        dims, cuts = np.zeros(leaves - 1, np.int8), np.zeros(leaves - 1)
+        groups = [(np.arange(len(sample)), True)]  # and whether they lie inside; an empty node keeps its parent's for its bound
+        for level in range(depth):
+            below = []
+            for k, (rows, inside) in enumerate(groups):
+                node, at = 2**level - 1 + k, sample[rows]
+                dims[node] = d = int(np.argmax(np.ptp(at, axis=0)))
+                cuts[node] = np.median(at[:, d])
+                for part in (rows[at[:, d] < cuts[node]], rows[at[:, d] >= cuts[node]]):
+                    below.append((part, True) if inside and len(part) else (rows, False))
+            groups = below
+        near = np.stack([sample[rows[np.linspace(0, len(rows) - 1, kept).astype(int)]] for rows, _ in groups])
+        return SphereTree(dims, cuts, depth, near)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.dims[node]] >= self.cuts[node])
+        return node - (2**self.depth - 1)
+
+    def reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and leaves that hold every place as near as the nearest one of each point, and each point's bound as a squared chord."""
+        first = self.near[self.leaf(x)]
+        bound = ((first - x[:, None]) ** 2).sum(2).min(1)
+        bound = np.minimum(bound, 4.0) * (1 + 1e-9) + 1e-15  # rounding, and ties in the ninth decimal of a kilometer
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        gap = np.zeros((len(x), 3))  # how far the node's box is from the point, along each axis
+        for _ in range(self.depth):
+            d = self.dims[node]
+            off = x[rows, d] - self.cuts[node]
+            over = gap.copy()
+            np.put_along_axis(over, d[:, None].astype(np.int64), np.maximum(np.abs(off), np.take_along_axis(gap, d[:, None].astype(np.int64), 1)[:, 0])[:, None], 1)
+            other = (over**2).sum(1) <= bound[rows]
+            own = 2 * node + 1 + (off >= 0)
+            far = 2 * node + 1 + (off < 0)
+            rows, node, gap = np.concatenate([rows, rows[other]]), np.concatenate([own, far[other]]), np.concatenate([gap, over[other]])
+        return rows, node - (2**self.depth - 1), bound
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    lon, lat = (np.radians(b.column(c).to_numpy(zero_copy_only=False)) for c in ("lon", "lat"))
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1)
+
+
+def nearest_point(points: DataFrame, places: DataFrame, point_id: str, place_id: str, per_leaf: int = 32, most_leaves: int = 1 << 16, sample: int = 1 << 18) -> DataFrame:
+    """(point_id, place_id, dist_km): each point's nearest place by great circle, the least id on ties (of distances to nine decimals).
+
+    The sphere is split at medians of places, at most `sample` of them taken by a hash, into leaves of about `per_leaf`
+    places (more where there are over per_leaf * most_leaves). A few places of its own leaf bound how far a point's nearest
+    one can be, and the point goes to each leaf that reaches into that bound: one join by leaf finds the place, and what
+    every task gets is bounded by most_leaves. Vectors on the sphere know no date line and no pole.
+
+    Places that share a spot count as their least id, so no leaf is larger than its spots; a leaf that most points lie in is
+    a skewed side of a plain join, which Spark splits. Rows without coordinates (null, NaN) are left out, and all points
+    where there are no places. Point ids are distinct.
     """
-    span = lambda c: F.max(c) - F.min(c)
-    n, wide, high = places.agg(F.count(F.lit(1)), span("lon"), span("lat")).first()
-    if n > few and cell is None:
-        cell = min(10.0, max(0.005, (max(wide, 0.01) * max(high, 0.01) * 8 / n) ** 0.5))
-        cell = 360 / int(360 / cell)  # whole cells around the globe
-    if n <= few:
-        pairs = points.select(point_id, F.col("lon").alias("__lon"), F.col("lat").alias("__lat")).crossJoin(F.broadcast(places.select(place_id, "lon", "lat")))
-        d = haversine_km(F.col("__lon"), F.col("__lat"), F.col("lon"), F.col("lat"))
-        best = pairs.groupBy(point_id).agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col(place_id).alias("id"))).alias("b"))
-        return best.select(point_id, F.col("b.id").alias(place_id), F.col("b.d").alias("dist_km"))
-    return _nearest_by_rings(points, places, point_id, place_id, cell)
-
-
-def _nearest_by_rings(points: DataFrame, places: DataFrame, point_id: str, place_id: str, cell: float) -> DataFrame:
-    """Widens the searched square of cells until the best place found is nearer than anything outside can be."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    grid = places.select(place_id, F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"), at("lon").alias("cx"), at("lat").alias("cy"))
-    open_, out, r = points.select(point_id, "lon", "lat"), None, 1
-    around = round(360 / cell)
-    while True:
-        near = open_.withColumn("cy", F.explode(F.sequence(at("lat") - r, at("lat") + r)))
-        wide = min(around, 2 * r + 1)
-        near = near.withColumn("cx0", F.explode(F.sequence(at("lon") - r, at("lon") - r + wide - 1)))
-        low = round(-180 / cell)
-        near = near.withColumn("cx", F.pmod(F.col("cx0") - low, F.lit(around)) + low)
-        d = haversine_km(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))
-        best = near.join(grid, ["cx", "cy"], "left").groupBy(point_id, "lon", "lat").agg(F.min(F.when(F.col("p_lon").isNotNull(), F.struct(F.round(d, 9).alias("d"), F.col(place_id).alias("id")))).alias("b"))
-        # nothing outside the square is nearer than its border, which is narrowest at the highest latitude
-        top = F.radians(F.least(F.lit(90.0), F.abs("lat") + (r + 1) * cell))
-        border = F.least(F.lit(111.0 * r * cell), F.lit(6371.0) * F.asin(F.least(F.lit(1.0), F.cos(top) * F.sin(F.radians(F.least(F.lit(90.0), F.lit(float(r * cell))))))))
-        whole = 2 * r + 1 >= around and r * cell >= 180
-        done = F.col("b").isNotNull() & (F.lit(whole) | (F.col("b.d") <= border))
-        found = best.filter(done).select(point_id, F.col("b.id").alias(place_id), F.col("b.d").alias("dist_km"))
-        out = found if out is None else out.unionByName(found)
-        if whole:
-            return out
-        open_ = best.filter(~done).select(point_id, "lon", "lat")
-        if open_.isEmpty():
-            return out
-        r *= 2
+    at = lambda df, key: df.select(F.col(key).alias("id"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
+    spots = at(places, place_id).groupBy("lon", "lat").agg(F.min("id").alias("id"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((points, point_id), (places, place_id))}
+    n = spots.count()
+    if not n:
+        return points.sparkSession.createDataFrame([], f"`{point_id}` {kinds[point_id]}, `{place_id}` {kinds[place_id]}, dist_km double")
+    share = min(1.0, sample / n)
+    some = spots.filter(F.pmod(F.xxhash64("lon", "lat"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else spots
+    found = some.select("lon", "lat").toArrow().combine_chunks()
+    vectors = _vectors(found.to_batches()[0]) if found.num_rows else np.zeros((0, 3))
+    leaves = 1 << max(0, (min(n // per_leaf, most_leaves, len(vectors)) or 1).bit_length() - 1)
+    # sorted, so that the tree does not depend on the order of rows
+    tree = SphereTree.of(vectors[np.lexsort(vectors.T)], leaves)
+    shared = points.sparkSession.sparkContext.broadcast(tree)  # most_leaves * 12 numbers at most
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _vectors(b)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.leaf(x)), *(pa.array(c) for c in x.T)], ["id", "p_lon", "p_lat", "leaf", "p_x", "p_y", "p_z"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _vectors(b)
+            rows, leaf, bound = shared.value.reach(x)
+            columns = b.take(pa.array(rows)).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(leaf), *(pa.array(c) for c in x[rows].T), pa.array(bound[rows])], ["point", "lon", "lat", "leaf", "x", "y", "z", "bound"])
+
+    held = spots.select("id", "lon", "lat").mapInArrow(routed, f"id {kinds[place_id]}, p_lon double, p_lat double, leaf long, p_x double, p_y double, p_z double")
+    wanted = at(points, point_id).mapInArrow(asked, f"point {kinds[point_id]}, lon double, lat double, leaf long, x double, y double, z double, bound double")
+    chord = F.expr("(x - p_x) * (x - p_x) + (y - p_y) * (y - p_y) + (z - p_z) * (z - p_z)")
+    pairs = wanted.join(held, "leaf").filter(chord <= F.col("bound"))
+    d = haversine_km(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"))
+    best = pairs.groupBy("point").agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col("id"))).alias("b"))
+    return best.select(F.col("point").alias(point_id), F.col("b.id").alias(place_id), F.col("b.d").alias("dist_km"))
 
 
 def truth_within(truth: DataFrame, tolerance_km: float) -> DataFrame:

@@ -573,6 +573,77 @@ def _pictures(spark, d) -> DataFrame:
     return _t(spark, d, "pages").select(F.col("page_id").alias("patch_id"), image.alias("image"))
 
 
+def _with_pixel_sum(df: DataFrame) -> DataFrame:
+    """df with the sum of the bytes of `data` in its place."""
+    import numpy as np
+    import pyarrow as pa
+
+    kept = [c for c in df.columns if c != "data"]
+
+    def run(batches):
+        for b in batches:
+            sums = [int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sums, pa.int64())], [*kept, "pixel_sum"])
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", pixel_sum bigint")
+
+
+_PICTURE_SQL = """code AS (SELECT page_id, to_base64(encode(html)) AS code FROM pages),
+pic AS (SELECT page_id, rpad(code, (64 * greatest(64, ceil(len(code) / 64)))::INT, 'A') AS px, greatest(64, ceil(len(code) / 64))::BIGINT AS n FROM code)"""
+
+
+@query(f"""WITH {_PICTURE_SQL},
+lv AS (SELECT page_id, l AS level, (64 // (1 << l)) AS wl, CASE l WHEN 0 THEN n WHEN 1 THEN (n + 1) // 2 ELSE ((n + 1) // 2 + 1) // 2 END AS hl FROM pic, (SELECT unnest([0, 1, 2]) AS l)),
+win AS (
+  SELECT page_id, 0 AS w, page_id % 40 AS x, (page_id * 7) % n AS y, 24 AS out_w, 24 AS out_h, n, px FROM pic
+  UNION ALL
+  SELECT page_id, 1, 0, 0, greatest(1, round_even(64 * least(1.0::DOUBLE, 32 / n::DOUBLE), 0))::BIGINT, greatest(1, round_even(n * least(1.0::DOUBLE, 32 / n::DOUBLE), 0))::BIGINT, n, px FROM pic),
+taken AS (SELECT win.*, level, wl, hl FROM win JOIN lv USING (page_id) WHERE (w = 0 AND level = 0) OR (w = 1 AND wl >= out_w AND hl >= out_h) QUALIFY row_number() OVER (PARTITION BY page_id, w ORDER BY level DESC) = 1),
+counted AS (SELECT *, CASE WHEN w = 1 THEN ceil(wl / 16) * ceil(hl / 16)
+  ELSE (least(3, (x + 24) // 16) - greatest(0, floor((x - 1) / 16)) + 1) * (least(ceil(n / 16) - 1, (y + 24) // 16) - greatest(0, floor((y - 1) / 16)) + 1) END::BIGINT AS n_tiles FROM taken)
+SELECT page_id, w AS window_no, level, out_w::BIGINT AS out_w, out_h::BIGINT AS out_h, n_tiles, n_tiles * 256 AS tile_bytes, CASE WHEN w = 1 THEN 1.0::DOUBLE ELSE round((least(y + 24, n) - y) / 24, 6) END AS valid_fraction,
+  CASE WHEN w = 0 THEN list_sum(list_transform(range(y, least(y + 24, n)), lambda k: list_sum(list_transform(string_split(substr(px, k * 64 + x + 1, 24), ''), lambda c: ascii(c)))))::BIGINT END AS pixel_sum
+FROM counted""")
+def raster_windows(spark, d):
+    """Each page's picture as a tiled raster with overviews in a store of byte blocks: a window of it, and the whole reduced.
+
+    Only the bytes of touched tiles are asked for; windows reach beyond rasters.
+    """
+    from terralens.sources import raster_windows as rw
+    from terralens.sources import tables
+
+    pictures = _pictures(spark, d)
+    blocks = tables.once(rw.byte_blocks(rw.as_tiled(pictures.select(F.col("patch_id").cast("string").alias("path"), "image"), tile=16, overviews=2, deflate=False)).sortWithinPartitions("path", "begin"))
+    shapes = pictures.select("patch_id", F.col("image.height").alias("n"), F.col("patch_id").cast("string").alias("path"))
+    part = shapes.select((F.col("patch_id") * 2).alias("window_id"), "path", (F.col("patch_id") % 40).alias("x"), (F.col("patch_id") * 7 % F.col("n")).alias("y"), F.lit(24).alias("w"), F.lit(24).alias("h"))
+    whole = shapes.select((F.col("patch_id") * 2 + 1).alias("window_id"), "path", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(64).alias("w"), F.col("n").alias("h"))
+    windows = part.unionByName(whole)
+    levels, tiles = rw.tile_index(shapes.select("path"), blocks=blocks)
+    got = rw.read_windows(windows, levels, tiles, max_px=32, blocks=blocks)
+    got = _with_pixel_sum(got.select(*(c for c in got.columns if c not in ("path", "bands", "kind"))))
+    return got.select(
+        F.expr("window_id div 2").alias("page_id"), (F.col("window_id") % 2).cast("int").alias("window_no"), "level", F.col("out_w").cast("long").alias("out_w"), F.col("out_h").cast("long").alias("out_h"),
+        "n_tiles", "tile_bytes", F.round("valid_fraction", 6).alias("valid_fraction"), F.when(F.col("window_id") % 2 == 0, F.col("pixel_sum")).alias("pixel_sum"),
+    )
+
+
+@query(f"""WITH {_PICTURE_SQL},
+win AS (SELECT page_id, n, translate(px, 'A', chr(1)) AS px, unnest(range(0, 64 - 32 + 1, 24)) AS col_off FROM pic),
+cut AS (SELECT page_id, col_off, px, unnest(range(0, n - 32 + 1, 24)) AS row_off FROM win),
+patch AS (SELECT page_id, col_off, row_off, list_reduce(list_transform(range(row_off, row_off + 32), lambda k: substr(px, k * 64 + col_off + 1, 32)), lambda a, b: a || b) AS p FROM cut)
+SELECT page_id, col_off, row_off, round(len(replace(p, chr(1), '')) / 1024, 6) AS valid_fraction, list_sum(list_transform(string_split(replace(p, chr(1), ''), ''), lambda c: ascii(c)))::BIGINT AS pixel_sum, 32::BIGINT AS height FROM patch""")
+def mosaic_patches(spark, d):
+    """Patches of a regular overlapping grid over rasters that come as blocks of another size, put together across the blocks' seams."""
+    from terralens.operators import overlay
+
+    black = F.replace(F.col("image.data").cast("string"), F.lit("A"), F.lit("\0")).cast("binary")
+    rasters = _pictures(spark, d).select(F.col("patch_id").alias("raster_id"), F.col("image").withField("data", black).alias("image"))
+    shapes = rasters.select("raster_id", F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"))
+    got = overlay.mosaic_patches(overlay.split_blocks(rasters, 40), tiling.tile_grid(shapes, 32, 0.25), 40)
+    got = got.select(F.col("raster_id").alias("page_id"), "col_off", "row_off", F.round("valid_fraction", 6).alias("valid_fraction"), F.col("image.height").cast("long").alias("height"), F.col("image.data").alias("data"))
+    return _with_pixel_sum(got)
+
+
 @query()
 def lcn_clahe(spark, d):
     from terralens.operators import image

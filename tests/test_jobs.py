@@ -52,15 +52,6 @@ def test_flat_index_is_saved_in_several_files(spark, tmp_path, monkeypatch):
     assert again.stats() == index.stats() and again.lists.count() == 500
 
 
-def test_nearest_point_on_a_grid_equals_all_pairs(spark):
-    rng = np.random.default_rng(4)
-    lon, lat = np.concatenate([rng.uniform(-180, 180, 600), rng.normal(30, 0.2, 900)]), np.concatenate([rng.uniform(-85, 85, 600), rng.normal(50, 0.2, 900)])
-    places = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat, strict=True))], "patch_id long, lon double, lat double")
-    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-180, 180, 60), rng.uniform(-88, 88, 60), strict=True))] + [(99, 30.01, 50.01)], "point_id long, lon double, lat double")
-    grid, brute = (sorted(map(tuple, evaluate.nearest_point(points, places, "point_id", "patch_id", few=few).collect())) for few in (100, 10_000))
-    assert grid == brute and len(grid) == 61
-
-
 def test_descriptor_lists_become_matrices(spark):
     import pyarrow as pa
 

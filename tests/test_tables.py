@@ -93,13 +93,42 @@ def test_utm_inverse(spark):
     assert abs(r["b"]["lon"] - 2.2945) < 1e-4 and abs(r["b"]["lat"] - 48.8582) < 1e-4
 
 
-def test_nearest_by_rings_equals_all_pairs(spark):
+def haversine(a, b):
+    (lon0, lat0), (lon1, lat1) = np.radians(a), np.radians(b)
+    h = np.sin((lat1 - lat0) / 2) ** 2 + np.cos(lat0) * np.cos(lat1) * np.sin((lon1 - lon0) / 2) ** 2
+    return 2 * 6371 * np.arcsin(np.sqrt(min(1.0, h)))
+
+
+def test_nearest_point_equals_all_pairs(spark):
     r = np.random.default_rng(6)
-    pts = spark.createDataFrame([(i, float(r.uniform(-180, 180)), float(r.uniform(-85, 85))) for i in range(40)], "p long, lon double, lat double")
-    places = spark.createDataFrame([(i, float(r.uniform(-180, 180)), float(r.uniform(-85, 85))) for i in range(80)], "q long, lon double, lat double")
-    a = sorted((x["p"], x["q"]) for x in evaluate.nearest_point(pts, places, "p", "q").collect())
-    b = sorted((x["p"], x["q"]) for x in evaluate._nearest_by_rings(pts, places, "p", "q", 10.0).collect())
-    assert a == b
+    around = lambda lon, lat, n, s: np.stack([(r.normal(lon, s, n) + 180) % 360 - 180, np.clip(r.normal(lat, s, n), -90, 90)], 1)
+    sets = {
+        "even": (np.stack([r.uniform(-180, 180, 300), r.uniform(-90, 90, 300)], 1), np.stack([r.uniform(-180, 180, 200), r.uniform(-90, 90, 200)], 1)),
+        "clusters": (np.concatenate([around(30, 50, 900, 0.2), around(-70, -20, 50, 3)]), np.concatenate([around(30, 50, 80, 0.3), around(100, 0, 40, 60)])),
+        "date line and poles": (np.concatenate([around(180, 10, 60, 2), around(0, 90, 60, 1), around(0, -90, 5, 1)]), np.concatenate([around(-179.5, 10, 60, 3), around(90, 89.5, 40, 1), around(10, -89, 10, 2)])),
+        "one place": (np.array([[5.0, 5.0]]), around(0, 0, 30, 50)),
+        "one spot": (np.array([[5.0, 5.0]] * 200 + [[6.0, 5.0]]), around(5, 5, 50, 2)),
+        "ties": (np.array([[x, y] for x in range(-5, 6) for y in range(-5, 6)], float), np.array([[x + 0.5, 0.0] for x in range(-5, 5)])),
+    }
+    for name, (places, points) in sets.items():
+        p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "p long, lon double, lat double")
+        q = spark.createDataFrame([(1000 - i, float(a), float(b)) for i, (a, b) in enumerate(places)], "q long, lon double, lat double")
+        want = [(i, *min((round(haversine(x, y), 9), 1000 - j) for j, y in enumerate(places))) for i, x in enumerate(points)]
+        for leaf in (2, 32):
+            got = sorted((x["p"], x["dist_km"], x["q"]) for x in evaluate.nearest_point(p, q, "p", "q", per_leaf=leaf).collect())
+            assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 3e-9 for g, w in zip(got, want, strict=True)), name
+            assert all(g[2] == w[2] or abs(haversine(points[g[0]], places[1000 - g[2]]) - w[1]) < 3e-9 for g, w in zip(got, want, strict=True)), name
+        few = sorted((x["p"], x["dist_km"]) for x in evaluate.nearest_point(p, q, "p", "q", per_leaf=1, most_leaves=16, sample=len(places) // 3).collect())
+        assert all(a[0] == w[0] and abs(a[1] - w[1]) < 3e-9 for a, w in zip(few, want, strict=True)), name
+
+
+def test_nearest_point_without_places_or_coordinates(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0)], "p long, lon double, lat double")
+    none = spark.createDataFrame([], "q string, lon double, lat double")
+    assert evaluate.nearest_point(p, none, "p", "q").collect() == []
+    some = spark.createDataFrame([("b", 1.0, 0.0), ("a", 1.0, 0.0), ("z", None, 0.0)], "q string, lon double, lat double")
+    assert [tuple(x)[:2] for x in evaluate.nearest_point(p, some, "p", "q").collect()] == [(1, "a")]
+    assert evaluate.nearest_point(p.filter("p > 9"), some, "p", "q").collect() == []
 
 
 def test_truth_too_far_is_an_error(spark):
