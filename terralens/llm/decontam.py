@@ -11,7 +11,8 @@ gaps between them has 15 words at least (9 below 22 words). So items are cut int
 in such a gap, and every window of as many words of a document is looked up among them. A candidate is verified by the
 weighted Jaccard similarity of a window's 5-word shingles with the item's, a shingle weighing log(1 + items / items with
 it): of the item-sized window, or where that falls short of the best one around. A window reaches the threshold t if
-shared weight - t * other weight of the window >= t * the item's, so the run of shingles with the largest left side is it.
+shared weight - t * other weight of the window >= t * the item's, each shingle counted once, so the window with the
+largest left side is it: a running sum finds it, or where shingles repeat one sum for each place to begin.
 """
 
 from __future__ import annotations
@@ -174,13 +175,27 @@ class Items:
         return np.where(self.shingles[place] == shingles, self.weights[place], self.unknown)
 
     def best_window(self, item: int, words: np.ndarray, least: float) -> tuple[int, int]:
-        """(first word, words) of the window that is likeliest to reach `least`; see the module."""
+        """(first word, words) of the window that reaches `least` if any does; see the module.
+
+        A shingle counts once in a window, so its second place adds only to windows that begin after its first one.
+        """
         of = _text.shingles(words, np.array([0, len(words)]), self.k)[0]
         weight = self.weight(of)
-        sums = np.concatenate([[0.0], np.cumsum(np.where(np.isin(of, self.sets[item]), weight, -least * weight))])
-        low = np.minimum.accumulate(sums[:-1])
-        end = int(np.argmax(sums[1:] - low))
-        begin = int(np.argmin(sums[: end + 1]))
+        value = np.where(np.isin(of, self.sets[item]), weight, -least * weight)
+        order = np.argsort(of, kind="stable")
+        again = np.flatnonzero(of[order][1:] == of[order][:-1])
+        if not len(again):
+            sums = np.concatenate([[0.0], np.cumsum(value)])
+            end = int(np.argmax(sums[1:] - np.minimum.accumulate(sums[:-1])))
+            begin = int(np.argmin(sums[: end + 1]))
+            return begin, end + 1 - begin + self.k - 1
+        before = np.full(len(of), -1)
+        before[order[again + 1]] = order[again]
+        total, best, begin, end = np.zeros(len(of)), 0.0, 0, 0  # for each first shingle, the window up to the present one
+        for j, (v, i) in enumerate(zip(value.tolist(), before.tolist(), strict=True)):
+            total[i + 1 : j + 1] += v
+            if v > 0 and (top := float(total[: j + 1].max())) > best:
+                best, begin, end = top, int(np.argmax(total[: j + 1])), j
         return begin, end + 1 - begin + self.k - 1
 
     def similarity(self, item: int, words: np.ndarray) -> float:

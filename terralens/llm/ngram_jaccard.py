@@ -48,7 +48,7 @@ _SKETCH = 24
 _SMALL_SET = 19
 _COUNTERS = 64
 #: Pairs of entries that are looked at together.
-_PAIRS = 1 << 22
+_PAIRS = 1 << 20
 
 
 def band_starts(longest: int) -> np.ndarray:
@@ -403,29 +403,32 @@ def _starred(keys: np.ndarray, nodes: np.ndarray, leads: np.ndarray) -> list[tup
 
 
 def matched(keys: np.ndarray, docs: np.ndarray, spots: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (a, b) of sorted groups of differences that may link, by their places in both lists; see the module."""
-    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    many = np.diff(np.append(begin, len(keys)))
+    """Pairs (a, b) of sorted groups of differences that may link, by their places in both lists; see the module.
+
+    An entry meets those after it in its group that probe with the element and have few enough more differences: a run, as
+    groups stand in the order of differences. Runs are compared a few million pairs at a time, cut inside a group and inside
+    a run too, so memory does not depend on a group's size.
+    """
     out = [np.zeros((0, 2), np.int64)]
-    squares = np.cumsum(many.astype(np.int64) ** 2)
-    cuts = np.searchsorted(squares, np.arange(_PAIRS, (squares[-1] if len(squares) else 0) + _PAIRS, _PAIRS))
-    done = 0
-    for cut in np.minimum(cuts + 1, len(begin)):
-        b, m = begin[done:cut], many[done:cut]
-        done = max(done, cut)
-        if not len(b):
-            continue
-        here = np.repeat(m, m)  # of each entry, its group's size
-        entry = np.arange(b[0], b[0] + len(here))
-        left = np.repeat(entry, here)
-        right = np.repeat(np.repeat(b, m), here) + np.arange(len(left)) - np.repeat(np.cumsum(here) - here, here)
-        # entries stand in the order of (differences, node), so the one with fewer is on the left
-        ok = (left < right) & (spots[left] < docs["index"][left]) & (spots[right] < docs["probe"][right]) & (docs["comp"][left] != docs["comp"][right])
-        left, right = left[ok], right[ok]
-        n, m2 = docs["n"][left].astype(np.int64), docs["n"][right].astype(np.int64)
-        most, gap = apart(n, m2, percent) + _SLACK, docs["pref"][right].astype(np.int64) - docs["pref"][left]
-        ok = (100 * np.minimum(n, m2) >= percent * np.maximum(n, m2)) & (gap <= most) & (2 * spots[left] <= most - gap) & (2 * spots[right] <= most + gap)
-        out.append(_distinct(np.stack([docs["node"][left[ok]], docs["node"][right[ok]]], 1)))
+    n, pref = docs["n"].astype(np.int64), docs["pref"].astype(np.int64)
+    group = np.cumsum(np.append(True, keys[1:] != keys[:-1])[: len(keys)]) - 1
+    left, right = np.flatnonzero(spots < docs["index"]), np.flatnonzero(spots < docs["probe"])
+    # one order over all groups: the group, then the differences
+    wide = int(pref.max(initial=0)) + 1
+    most = np.minimum(apart(n[left], 100 * n[left] // percent, percent) + _SLACK, wide)
+    place = group[right] * (2 * wide) + pref[right]
+    begin = np.searchsorted(right, left, "right")
+    many = np.maximum(np.searchsorted(place, group[left] * (2 * wide) + pref[left] + most, "right") - begin, 0)
+    ends = np.cumsum(many)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, _PAIRS):
+        pair = np.arange(at, min(at + _PAIRS, int(ends[-1])))
+        run = np.searchsorted(ends, pair, "right")
+        a, b = left[run], right[begin[run] + pair - (ends[run] - many[run])]
+        ok = docs["comp"][a] != docs["comp"][b]
+        a, b = a[ok], b[ok]
+        gap, far = pref[b] - pref[a], apart(n[a], n[b], percent) + _SLACK
+        ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (gap <= far) & (2 * spots[a] <= far - gap) & (2 * spots[b] <= far + gap)
+        out.append(_distinct(np.stack([docs["node"][a[ok]], docs["node"][b[ok]]], 1)))
     return _distinct(np.concatenate(out))
 
 
@@ -630,7 +633,8 @@ class _Join:
         size, members = mixed.join(self.maps.select("node", "n"), "node").agg(F.sum("n"), F.count(F.lit(1))).first()
         sized = F.broadcast if members <= self.few else (lambda df: df)
         cells, parts, percent, plan = max(self.tasks, int(size or 0) // 2_000_000), max(self.tasks, int(size or 0) // 6_000_000), self.percent, self.plan
-        hot, dense = self.hot << 2 * self.step, self.dense << 2 * self.step  # so that rounds come to an end
+        # A star's group is a smaller star, without its centre, so rounds come to an end; late ones compare larger groups.
+        hot, dense = self.hot << 2 * self.step, self.dense << max(0, self.step - 6)
 
         def differences(group: pa.Table) -> pa.Table:
             box, out = _Outbox(parts, _CHANGED, hot), []

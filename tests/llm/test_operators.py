@@ -219,6 +219,52 @@ def test_a_star_of_unlinked_documents_makes_few_pairs(spark):
     assert join.pairs(join.changed(mixed)).count() < 200_000  # of 12.5 million
 
 
+def group_of(rows, entries):
+    """A part of packed entries: rows (node, differences, component, size, index, probe) by number, entries (key, row, spot)."""
+    box = ngram_jaccard._Outbox(1, ngram_jaccard._CHANGED, 1 << 40)
+    by = defaultdict(list)
+    for key, row, spot in entries:
+        by[row].append((spot, key))
+    for row, of in by.items():
+        box.add(rows[row], np.array([k for _, k in sorted(of)], np.uint64))
+    return pa.Table.from_batches([box.flush()])
+
+
+def test_large_groups_of_differences_are_compared_in_bounded_memory():
+    import resource
+
+    m, rng = 20_000, np.random.default_rng(7)
+    rows = [(i, int(rng.integers(8, 20)), i, 150, 1, 1) for i in range(m)]  # all share their first difference, and nothing else
+    group = group_of(rows, [(5, i, 0) for i in range(m)])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    kinds = Counter(ngram_jaccard._met(group, 75, 2048).column("kind").to_pylist())
+    assert kinds == {ngram_jaccard._STAR: m - 1}  # a star of the next round, not pairs
+    keys, docs, spots, *_ = ngram_jaccard._unpacked(group, ngram_jaccard._CHANGED)
+    docs["pref"] = np.sort(rng.integers(0, 4000, m))  # few are near enough
+    assert len(ngram_jaccard.matched(keys, docs, spots, 75)) < 5_000_000  # of 200 million: 44 differences apart at most
+    docs["comp"] = 1  # and none of one component is a pair
+    docs["pref"] = 9
+    assert len(ngram_jaccard.matched(keys, docs, spots, 75)) == 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000 and time.perf_counter() - began < 60
+
+
+def test_matched_pairs_are_those_of_all_pairs():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        rows = [(i, int(rng.integers(1, 30)), int(rng.integers(0, 5)), int(rng.integers(20, 60)), int(rng.integers(0, 10)), int(rng.integers(0, 12))) for i in range(30)]
+        entries = sorted({(int(rng.integers(0, 6)), int(rng.integers(0, 30))) for _ in range(120)}, key=lambda e: (e[0], rows[e[1]][1], e[1]))
+        docs, spots = np.array([rows[i] for _, i in entries], ngram_jaccard._CHANGED), rng.integers(0, 12, len(entries))
+        want = set()
+        for i, (k, a) in enumerate(entries):
+            for j in range(i + 1, len(entries)):
+                (k2, b), (_, p, ca, na, index, _), (_, q, cb, nb, _, probe) = entries[j], rows[a], rows[entries[j][1]]
+                most = ngram_jaccard.apart(na, nb, 75) + ngram_jaccard._SLACK
+                if k == k2 and ca != cb and spots[i] < index and spots[j] < probe and 100 * min(na, nb) >= 75 * max(na, nb) and q - p <= most and 2 * spots[i] <= most - q + p and 2 * spots[j] <= most + q - p:
+                    want.add((a, b))
+        got = ngram_jaccard.matched(np.array([k for k, _ in entries], np.uint64), docs, spots, 75)
+        assert sorted(map(tuple, got.tolist())) == sorted(want)
+
+
 def test_one_row_of_each_class_stays(spark):
     a, b = "a b c d e f g", "q r s t u v w x"
     ids, texts = [3, 5, 5, 7, 7, 9, 9, None, None, 8, None], [a, a, b, a, b, "", "", b, "z y x w v", "k l m n o p", None]
@@ -459,6 +505,52 @@ def test_edited_passages_are_found_whatever_the_edits():
         assert like >= 0.75 and 0 <= at < first[d + 1] - first[d]
 
 
+def test_repeated_phrases_around_a_passage_lose_no_leak():
+    """Headings, refrains and tails repeat some of the item's words before, within and after the edited passage."""
+    rng = np.random.default_rng(23)
+    prose = lambda n: [f"w{i}" for i in rng.integers(0, 20_000, n)]
+    texts = [prose(int(n)) for n in rng.integers(12, 60, 120)]
+    for t in texts[::3]:
+        t[-6:] = t[:6]  # the item's own first words return at its end
+    items = decontam.Items(list(range(len(texts))), [" ".join(t) for t in texts])
+    docs, owner = [], []
+    for i, t in enumerate(texts):
+        for kind in range(4):
+            w = list(t)
+            for _ in range(int(rng.integers(0, 3))):
+                at = int(rng.integers(1, len(w)))
+                w[at : at + int(rng.integers(0, 2))] = prose(1) if rng.random() < 0.6 else []
+            n = int(rng.integers(6, 10))
+            body = ([*t[:n], *w], [*w, *t[-n:]], [*t[:n], *prose(3), *w, *t[2 : 2 + n]], [*w[: len(w) // 2], *t[:n], *w[len(w) // 2 :]])[kind]
+            docs.append(" ".join([*prose(25), *body, *prose(25)]))
+            owner.append(i)
+    hashes, first = _text.word_hashes(*_text.buffers(pa.array(docs)))
+    found, want = items.leaks(hashes, first, 0.75), set()
+    for d, i in enumerate(owner):
+        own = hashes[first[d] : first[d + 1]]
+        n = len(items.words[i])
+        if max(items.similarity(i, own[b : b + size]) for b in range(15, len(own) - 15) for size in range(max(5, 3 * n // 4), 4 * n // 3 + 2)) >= 0.75:
+            want.add((d, i))
+    assert len(want) > 200 and len(want - set(found)) <= 0.01 * len(want)
+    for (d, i), (like, _) in found.items():
+        assert i == owner[d] and like >= 0.75
+
+
+def test_best_window_is_the_best_of_all():
+    rng = np.random.default_rng(24)
+    for _ in range(40):
+        words = rng.integers(1, 9, int(rng.integers(6, 40))).astype(np.uint64)
+        item = decontam.Items([0, 1], [" ".join(map(str, rng.integers(1, 9, 9))), "other words"])
+        item.sets[0] = np.unique(_text.shingles(words[3:15], np.array([0, len(words[3:15])]), 5)[0])
+        of = _text.shingles(words, np.array([0, len(words)]), 5)[0]
+        weight = dict(zip(of.tolist(), item.weight(of).tolist(), strict=True))
+        own = set(item.sets[0].tolist())
+        value = lambda a, n: sum(weight[s] * (1 if s in own else -0.75) for s in set(of[a : a + n - 4].tolist()))  # noqa: B023, E731
+        best = max(value(a, n) for a in range(len(words) - 4) for n in range(5, len(words) - a + 1))
+        if best > 0:
+            assert abs(value(*item.best_window(0, words, 0.75)) - best) < 1e-9
+
+
 def test_items_of_any_type_weigh_alike_in_groups(spark):
     rng = np.random.default_rng(22)
     shared = prose(rng, 30)
