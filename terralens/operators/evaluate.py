@@ -94,7 +94,9 @@ def nearest_point(points: DataFrame, places: DataFrame, point_id: str, place_id:
     share = min(1.0, sample / n)
     some = spots.filter(F.pmod(F.xxhash64("lon", "lat"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else spots
     found = some.select("lon", "lat").toArrow().combine_chunks()
-    vectors = _vectors(found.to_batches()[0]) if found.num_rows else np.zeros((0, 3))
+    if not found.num_rows:  # a sample of next to nothing
+        found = spots.select("lon", "lat").limit(1).toArrow().combine_chunks()
+    vectors = _vectors(found.to_batches()[0])
     leaves = 1 << max(0, (min(n // per_leaf, most_leaves, len(vectors)) or 1).bit_length() - 1)
     # sorted, so that the tree does not depend on the order of rows
     tree = SphereTree.of(vectors[np.lexsort(vectors.T)], leaves)

@@ -599,9 +599,9 @@ win AS (
   UNION ALL
   SELECT page_id, 1, 0, 0, greatest(1, round_even(64 * least(1.0::DOUBLE, 32 / n::DOUBLE), 0))::BIGINT, greatest(1, round_even(n * least(1.0::DOUBLE, 32 / n::DOUBLE), 0))::BIGINT, n, px FROM pic),
 taken AS (SELECT win.*, level, wl, hl FROM win JOIN lv USING (page_id) WHERE (w = 0 AND level = 0) OR (w = 1 AND wl >= out_w AND hl >= out_h) QUALIFY row_number() OVER (PARTITION BY page_id, w ORDER BY level DESC) = 1),
-counted AS (SELECT *, CASE WHEN w = 1 THEN ceil(wl / 16) * ceil(hl / 16)
-  ELSE (least(3, (x + 24) // 16) - greatest(0, floor((x - 1) / 16)) + 1) * (least(ceil(n / 16) - 1, (y + 24) // 16) - greatest(0, floor((y - 1) / 16)) + 1) END::BIGINT AS n_tiles FROM taken)
-SELECT page_id, w AS window_no, level, out_w::BIGINT AS out_w, out_h::BIGINT AS out_h, n_tiles, n_tiles * 256 AS tile_bytes, CASE WHEN w = 1 THEN 1.0::DOUBLE ELSE round((least(y + 24, n) - y) / 24, 6) END AS valid_fraction,
+counted AS (SELECT *, CASE WHEN w = 1 THEN ceil(wl / 32) * ceil(hl / 32)
+  ELSE (least(1, (x + 24) // 32) - greatest(0, floor((x - 1) / 32)) + 1) * (least(ceil(n / 32) - 1, (y + 24) // 32) - greatest(0, floor((y - 1) / 32)) + 1) END::BIGINT AS n_tiles FROM taken)
+SELECT page_id, w AS window_no, level, out_w::BIGINT AS out_w, out_h::BIGINT AS out_h, n_tiles, n_tiles * 1024 AS tile_bytes, CASE WHEN w = 1 THEN 1.0::DOUBLE ELSE round((least(y + 24, n) - y) / 24, 6) END AS valid_fraction,
   CASE WHEN w = 0 THEN list_sum(list_transform(range(y, least(y + 24, n)), lambda k: list_sum(list_transform(string_split(substr(px, k * 64 + x + 1, 24), ''), lambda c: ascii(c)))))::BIGINT END AS pixel_sum
 FROM counted""")
 def raster_windows(spark, d):
@@ -613,7 +613,7 @@ def raster_windows(spark, d):
     from terralens.sources import tables
 
     pictures = _pictures(spark, d)
-    blocks = tables.once(rw.byte_blocks(rw.as_tiled(pictures.select(F.col("patch_id").cast("string").alias("path"), "image"), tile=16, overviews=2, deflate=False)).sortWithinPartitions("path", "begin"))
+    blocks = tables.once(rw.byte_blocks(rw.as_tiled(pictures.select(F.col("patch_id").cast("string").alias("path"), "image"), tile=32, overviews=2, deflate=False)).sortWithinPartitions("path", "begin"))
     shapes = pictures.select("patch_id", F.col("image.height").alias("n"), F.col("patch_id").cast("string").alias("path"))
     part = shapes.select((F.col("patch_id") * 2).alias("window_id"), "path", (F.col("patch_id") % 40).alias("x"), (F.col("patch_id") * 7 % F.col("n")).alias("y"), F.lit(24).alias("w"), F.lit(24).alias("h"))
     whole = shapes.select((F.col("patch_id") * 2 + 1).alias("window_id"), "path", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(64).alias("w"), F.col("n").alias("h"))

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terralens.functions import geo
 from terralens.operators import overlay
-from terralens.sources import tiff
+from terralens.sources import tables, tiff
 from terralens.sources.files import retried
 
 Ranges = Callable[[int, int], bytes]
@@ -54,6 +54,7 @@ def file_or_http(path: str) -> Ranges:
 
 _LEVEL = "level int, width long, height long, tile_w long, tile_h long, across long, down long, samples int, kind string, packing int, predictor int, apart boolean"
 _PLACE = "west double, north double, px double, py double, epsg int"
+_INDEX = f"{_LEVEL}, {_PLACE}, offsets array<bigint>, sizes array<bigint>, err string"
 
 
 def _index_rows(head: Callable[[dict], Ranges]):
@@ -78,25 +79,32 @@ def _index_rows(head: Callable[[dict], Ranges]):
     return run
 
 
-def tile_index(paths: DataFrame, open_: Callable[[str], Ranges] = file_or_http, blocks: DataFrame | None = None, head_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def tile_index(paths: DataFrame, open_: Callable[[str], Ranges] = file_or_http, blocks: DataFrame | None = None, block: int = 1 << 16, head_blocks: int = 1) -> tuple[DataFrame, DataFrame]:
     """levels (path, level, its size, tiles and packing, west, north, px, py, epsg, err) and tiles (path, level, tile, offset, size).
 
-    paths (path). A file that can't be read has one row of levels, with err. From `blocks` (see byte_blocks) the first
-    head_bytes are taken, which must hold the directories, as in files made for remote reading.
+    paths (path). A file that can't be read has one row of levels, with err. Of `blocks` (see byte_blocks) the first ones of
+    each file are taken, which must hold the directories, as in files made for remote reading. The tables are written, so
+    that files are opened once however often they are used.
     """
-    kind = f"path string, {_LEVEL}, {_PLACE}, offsets array<bigint>, sizes array<bigint>, err string"
     if blocks is None:
-        rows = paths.select("path").mapInArrow(_index_rows(lambda row: open_(row["path"])), kind)
+        rows = paths.select("path").mapInArrow(_index_rows(lambda row: open_(row["path"])), f"path string, {_INDEX}")
+        rows = tables.once(rows)
     else:
-        first = blocks.filter(F.col("begin") < head_bytes).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("begin", "data"))).alias("b"))
-        heads = paths.select("path").distinct().join(first, "path", "left").select("path", F.coalesce("b.data", F.array().cast("array<binary>")).alias("data"))
+        heads = blocks.filter(F.col("begin") < block * head_blocks)
+        if head_blocks > 1:
+            heads = heads.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("begin", "data"))).alias("b")).select("path", "b.data")
+        else:
+            heads = heads.select("path", F.array("data").alias("data"))
 
         def held(row: dict) -> Ranges:
             data = b"".join(row["data"])
             return lambda offset, n: data[offset : offset + n]
 
-        rows = heads.mapInArrow(_index_rows(held), kind)
-    tiles = rows.select("path", "level", F.posexplode(F.arrays_zip("offsets", "sizes")).alias("tile", "t")).select("path", "level", "tile", F.col("t.offsets").alias("offset"), F.col("t.sizes").alias("size"))
+        known = tables.once(heads.mapInArrow(_index_rows(held), f"path string, {_INDEX}"))
+        asked = paths.select("path").distinct().join(known, "path", "left")
+        rows = asked.withColumn("err", F.when(F.col("level").isNull(), F.coalesce("err", F.lit("no such file"))))
+    pairs = F.posexplode(F.arrays_zip("offsets", "sizes")).alias("tile", "t")
+    tiles = rows.select("path", "level", pairs).select("path", "level", "tile", F.col("t.offsets").alias("offset"), F.col("t.sizes").alias("size"))
     return rows.drop("offsets", "sizes"), tiles
 
 
@@ -239,7 +247,7 @@ def read_windows(windows: DataFrame, levels: DataFrame, tiles: DataFrame, max_px
     Each tile is read and unpacked once, however many windows touch it.
     """
     plan = planned(windows, levels, max_px)
-    near = touched(plan, tiles)
+    plan, near = tables.once(plan), tables.once(touched(plan, tiles))  # small, and used several times
     pixels = decoded_tiles(byte_runs(near, most_gap), open_, blocks, block)
     asked = near.select("window_id", "path", "level", "tile", "plane", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("w0").alias("w"), F.col("h0").alias("h"))
     pieces = overlay.crops(asked, pixels.drop("plane"), ["path", "level", "tile"])

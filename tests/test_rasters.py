@@ -114,7 +114,7 @@ def test_windows_equal_crops_of_the_whole(spark, rasters, store):
     if store == "blocks":
         content = spark.createDataFrame([(p, open(p, "rb").read()) for p in files.values()], "path string, content binary")
         more = {"blocks": rw.byte_blocks(content, 512), "block": 512}
-    levels, tiles = rw.tile_index(paths, **({"blocks": more["blocks"]} if more else {}))
+    levels, tiles = rw.tile_index(paths, **more, **({"head_blocks": 2000} if more else {}))
     assert levels.filter("err is not null").count() == 1
     got = {r["window_id"]: r for r in rw.read_windows(df, levels, tiles, max_px=48, **more).collect()}
     assert set(got) == {w[0] for w in windows} - {3, 4}
