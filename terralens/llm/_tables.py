@@ -55,6 +55,17 @@ def freed(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front where a column is called so already (Spark does not tell case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

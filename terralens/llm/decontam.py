@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from terralens.llm import _text
-from terralens.llm._tables import table
+from terralens.llm._tables import free, table
 
 U = np.uint64
 RADIUS = 11
@@ -344,20 +344,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, most_items
 
     Null and empty texts contain nothing and stay, repeated rows are judged alike, an empty benchmark keeps all.
     """
-    spark = docs.sparkSession
+    spark, (whole,) = docs.sparkSession, free(docs.columns, "__text")
     for items in _item_groups(benchmark, most_items):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for piece in _text.pieces(b, "__text", PIECE):
-                    found = shared.value.leaks(*_text.word_hashes(*_text.buffers(piece.column("__text"))), least)
+                for piece in _text.pieces(b, whole, PIECE):
+                    found = shared.value.leaks(*_text.word_hashes(*_text.buffers(piece.column(whole))), least)
                     keep = np.ones(piece.num_rows, bool)
                     keep[[t for t, _ in found]] = False
-                    yield piece.drop_columns("__text").filter(pa.array(keep))
+                    yield piece.drop_columns(whole).filter(pa.array(keep))
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        docs = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(_text.tidied(run, 200), kinds)
+        docs = docs.withColumn(whole, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(_text.tidied(run, 200), kinds)
     return docs
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
-from terralens.llm._tables import Scratch, table, texts
+from terralens.llm._tables import Scratch, free, table, texts
 
 SLOTS = 1 << 18
 
@@ -169,15 +169,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
 def score(docs: DataFrame, machine: Machine, *keep: str, name: str = "score") -> DataFrame:
     """The named columns and the score (0 to 1, in column `name`) of each row; null texts count as empty, empty ones get the bias's score."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most most_slots rows
+    (whole,) = free([*docs.columns, name], "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [b.column(c) for c in keep]
-            filled = pa.RecordBatch.from_arrays([b.column("__text")], ["text"])
+            filled = pa.RecordBatch.from_arrays([b.column(whole)], ["text"])
             yield pa.RecordBatch.from_arrays([*kept, pa.array(shared.value.scores(term_slots(filled)), pa.float64())], [*keep, name])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(_text.tidied(run), f"{kinds}, `{name}` double")
+    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(whole)).mapInArrow(_text.tidied(run), f"{kinds}, `{name}` double")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -193,5 +194,6 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts have the bias's score; rows that repeat are judged alike; an empty table gives none.
     """
-    scored = score(docs, train(docs, labels), *docs.columns, name="__toxicity")
-    return scored.filter("__toxicity < 0.5").drop("__toxicity")
+    (name,) = free(docs.columns, "__toxicity")
+    scored = score(docs, train(docs, labels), *docs.columns, name=name)
+    return scored.filter(F.col(name) < 0.5).drop(name)

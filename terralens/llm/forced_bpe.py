@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm._tables import table
+from terralens.llm._tables import free, table
 from terralens.llm._text import pieces, tidied
 from terralens.llm.sst import WordMemory, packed_ids, plain_merges, spelled, word_finder
 
@@ -113,15 +113,16 @@ def encode(docs: DataFrame, vocabulary: str, *keep: str) -> DataFrame:
     Null texts are empty and have no ids; one row out for each row in, repeated or not; an empty table gives none.
     Texts are read in pieces of about 1 MB. `vocabulary` must be a path that every executor has.
     """
+    (whole,) = free([*keep, "ids"], "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (piece for batch in batches for piece in pieces(batch, "__text")):
-            ids = [coder(vocabulary).encode(t.as_py()) for t in b.column("__text")]
+        for b in (piece for batch in batches for piece in pieces(batch, whole)):
+            ids = [coder(vocabulary).encode(t.as_py()) for t in b.column(whole)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
         coder(vocabulary).forget()  # the worker lives on beside others
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    filled = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    filled = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(whole))
     return filled.mapInArrow(tidied(run, 30), f"{kinds}ids binary")
 
 
@@ -144,6 +145,11 @@ def vocabulary_path() -> str:
 
 
 def op6_forced_bpe(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text of each row of `documents`.
+
+    Null texts count as empty and have no ids, repeated rows are encoded alike, an empty table gives none, other columns
+    are ignored; see encode and decode.
+    """
     path = vocabulary_path()
     docs = table(spark, sf_dir, "documents")
 

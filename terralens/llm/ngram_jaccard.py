@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
-from terralens.llm._tables import Scratch, freed, table, texts
+from terralens.llm._tables import Scratch, free, freed, table, texts
 from terralens.llm.components import components
 
 U = np.uint64
@@ -736,13 +736,14 @@ def keep_one(docs: DataFrame, percent: int = 75, broadcast_rows: int = 1_000_000
     scratch = Scratch(docs.sparkSession, "kept")
     least = scratch.put(placed.filter("component is not null").groupBy("component").agg(F.min(place).alias("least")), "least")
     extra = placed.join(least, "component").filter(F.col("row") != F.col("least.row")).select("row").distinct()
-    extra = scratch.put(extra.select(F.col("row").alias("__row")), "extra")
+    (name,) = free(docs.columns, "__row")
+    extra = scratch.put(extra.select(F.col("row").alias(name)), "extra")
     sized = F.broadcast if extra.count() <= broadcast_rows else (lambda df: df)
-    kept = docs.withColumn("__row", F.xxhash64(*docs.columns)).join(sized(extra), "__row", "left_anti")
-    twice = scratch.put(placed.filter("component is not null").groupBy(F.col("row").alias("__row")).count().filter("count > 1").select("__row").join(extra, "__row", "left_anti"), "twice")
+    kept = docs.withColumn(name, F.xxhash64(*docs.columns)).join(sized(extra), name, "left_anti")
+    twice = scratch.put(placed.filter("component is not null").groupBy(F.col("row").alias(name)).count().filter("count > 1").select(name).join(extra, name, "left_anti"), "twice")
     if not twice.isEmpty():
         again = F.broadcast if twice.count() <= broadcast_rows else (lambda df: df)
-        kept = kept.join(again(twice), "__row", "left_anti").unionByName(kept.join(again(twice), "__row", "left_semi").dropDuplicates(["__row"]))
+        kept = kept.join(again(twice), name, "left_anti").unionByName(kept.join(again(twice), name, "left_semi").dropDuplicates([name]))
     return kept.select(*docs.columns)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralens.llm import _text
-from terralens.llm._tables import Scratch, table, texts
+from terralens.llm._tables import Scratch, free, table, texts
 
 WORDS, SLOTS, HIDDEN, GATE = 64, 128, 32, 16
 _BYTES = 130  # ASCII by byte, first bytes of other characters, their further bytes
@@ -216,17 +216,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
 def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
     """The named columns and the score (0 to 1, in column `name`) of each row's whole text; null texts count as empty ones, which are one passage without words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 12,000 numbers
+    (whole,) = free([*docs.columns, name], "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in _text.pieces(b, "__text"):
-                scores, _ = shared.value.scores(*encode(*_text.buffers(piece.column("__text"))))
+            for piece in _text.pieces(b, whole):
+                scores, _ = shared.value.scores(*encode(*_text.buffers(piece.column(whole))))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, name])
 
-    if {"__text", name} & set(keep):
-        raise ValueError(f"the columns __text and {name} are taken")
+    if name in keep:
+        raise ValueError(f"the column {name} is taken")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(_text.tidied(run), f"{kinds}, `{name}` double")
+    return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(whole)).mapInArrow(_text.tidied(run), f"{kinds}, `{name}` double")
 
 
 def op13_passage_quality(spark, sf_dir: str) -> DataFrame:

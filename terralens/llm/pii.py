@@ -27,6 +27,8 @@ _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | {"-"}
 _PHONE = _DIGITS | frozenset(" ().-")
 _USERINFO = _ALNUM | frozenset("._~%!$&'()*+,;=:-")
+#: What may stand between a cue and a code.
+_BETWEEN = frozenset(" \t:#=")
 #: Words that announce an account number, folded.
 CUES = ("account", "acct", "iban", "konto", "compte", "cuenta")
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
@@ -183,10 +185,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((4, *hit))
                 done["login"] = hit[1]
         else:
-            near = text[last + 1 : last + 80]
-            lead = len(near) - len(near.lstrip(" \t:#="))
-            if (m := _IBAN.match(near, lead)) and _iban_valid(m[0]):
-                out.append((5, last + 1 + m.start(), last + 1 + m.end()))
+            if (m := _IBAN.match(text, _run_right(text, last + 1, _BETWEEN))) and _iban_valid(m[0]):
+                out.append((5, m.start(), m.end()))
                 done["account"] = out[-1][2]
             elif m := _AFTER_CUE.match(text, last + 1):
                 out.append((6, m.start(1), m.end(1)))

@@ -19,7 +19,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralens.llm._tables import table, texts, written
+from terralens.llm._tables import free, table, texts, written
 
 
 @dataclass(frozen=True)
@@ -215,18 +215,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int =
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries if q for c in q for t in c})
     index = written(build_index(base, trigrams), "trigram-index")
-    hits = written(candidates(index, trigrams, queries), "secret-candidates").withColumnsRenamed({"key": "__key", "rules": "__rules"})
+    key, bits, whole = free(docs.columns, "__key", "__rules", "__text")
+    hits = written(candidates(index, trigrams, queries), "secret-candidates").withColumnsRenamed({"key": key, "rules": bits})
     hits = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
     others = [c for c in docs.columns if c not in ("text", "secrets")]
-    rows = docs.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.col("text").alias("__text")] if "text" in docs.columns else []))
-    joined = rows.withColumn("__key", _key()).join(hits, "__key", "left")
+    rows = docs.select(*others, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("text").alias(whole))
+    joined = rows.withColumn(key, _key()).join(hits, key, "left")
     none = F.array().cast(_SPANS)
     found = []
     for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         # a cheap look for any match first, so that texts without one are not taken apart
-        asked = F.lit(True) if query is None else F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
+        asked = F.lit(True) if query is None else F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0
         found.append(F.when(asked & F.col("text").rlike(rule.pattern), _spans(rule, k)).otherwise(none))
-    return joined.select(*others, F.col("__text").alias("text"), F.array_sort(F.concat(*found)).alias("secrets"))
+    return joined.select(*others, F.col(whole).alias("text"), F.array_sort(F.concat(*found)).alias("secrets"))
 
 
 def digest(secrets: Column, rules: tuple[Rule, ...], most: int | None = None) -> Column:
@@ -251,6 +252,11 @@ def redacted(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256 and spans of each row of `documents`.
+
+    Null texts count as empty and have no spans, repeated rows each have theirs, spans that start together stand in the
+    order of rules, an empty table gives none, other columns are ignored; see scan.
+    """
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
     return found.select(

@@ -272,7 +272,8 @@ def test_scores_of_awkward_rows_and_few_labels(spark):
         assert given is not none or {r["score"] for r in got} == {0.5}
     assert passage_mil.score(docs_of(spark, []), model, "doc_id").collect() == []
     with pytest.raises(ValueError):
-        passage_mil.score(docs, model, "__text")
+        passage_mil.score(docs, model, "doc_id", name="doc_id")
+    assert passage_mil.score(docs, model, "__text").count() == len(rows)
     # the score is the model's, passage by passage
     x, top = passage_mil.encode(*_text.buffers(pa.array([t or "" for _, t, *_ in rows])))
     want = Counter(np.round(model.scores(x, top)[0], 6).tolist())

@@ -509,7 +509,7 @@ def test_repeated_phrases_around_a_passage_lose_no_leak():
     """Headings, refrains and tails repeat some of the item's words before, within and after the edited passage."""
     rng = np.random.default_rng(23)
     prose = lambda n: [f"w{i}" for i in rng.integers(0, 20_000, n)]
-    texts = [prose(int(n)) for n in rng.integers(12, 60, 120)]
+    texts = [prose(int(n)) for n in rng.integers(12, 50, 40)]
     for t in texts[::3]:
         t[-6:] = t[:6]  # the item's own first words return at its end
     items = decontam.Items(list(range(len(texts))), [" ".join(t) for t in texts])
@@ -531,7 +531,7 @@ def test_repeated_phrases_around_a_passage_lose_no_leak():
         n = len(items.words[i])
         if max(items.similarity(i, own[b : b + size]) for b in range(15, len(own) - 15) for size in range(max(5, 3 * n // 4), 4 * n // 3 + 2)) >= 0.75:
             want.add((d, i))
-    assert len(want) > 200 and len(want - set(found)) <= 0.01 * len(want)
+    assert len(want) > 70 and want <= set(found)
     for (d, i), (like, _) in found.items():
         assert i == owner[d] and like >= 0.75
 
@@ -843,6 +843,27 @@ def test_stages_on_awkward_and_on_no_rows(spark, sf):
     assert ids_of[None] == ids_of[0] == ids_of[1] == (0, b"") and ids_of[6] == ids_of[7]
 
 
+def test_columns_may_be_called_as_the_operators_call_theirs(spark):
+    rng = np.random.default_rng(31)
+    names = ["__rules", "__text", "__toxicity", "__row", "__key", "__ROW", "key", "rules", "row"]
+    texts = [prose(rng, 60), None, "token = abcdef123456789", prose(rng, 40)]
+    df = docs_of(spark, texts).drop("key")
+    for k, n in enumerate(x for x in names if x != "__ROW"):
+        df = df.withColumn(n, F.lit(f"kept{k}"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string")
+    want = {tuple(r) for r in df.drop("text").collect()}
+    for out in (secret_scan.scan(df).drop("secrets"), decontam.clean(df, bench), ngram_jaccard.keep_one(df), forced_bpe.encode(df, forced_bpe.vocabulary_path(), *[c for c in df.columns if c != "text"]).drop("ids")):
+        assert {tuple(r) for r in out.drop("text").select(*[c for c in df.columns if c != "text"]).collect()} == want
+    assert set(fm_toxicity.clean(df, labels).columns) == set(df.columns)
+
+
+def test_account_codes_far_from_their_cue():
+    for n in (0, 1, 57, 60, 500):
+        text = "IBAN" + " " * n + ":DE89370400440532013000 x"
+        assert (5, 5 + n, 27 + n) in pii.spans(text)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
