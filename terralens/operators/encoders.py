@@ -8,12 +8,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions import vectors as V
 from terralens.operators.knn import assign, kmeans, matrix
 from terralens.operators.matching import nested
+from terralens.sources import tables
 
 
 def sample_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
@@ -22,16 +25,20 @@ def sample_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFram
     return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
-def idf(words: DataFrame, doc: str, word: str) -> DataFrame:
-    """(word, df, idf): ln(N / (df + 1)) + 1 over the documents that have words."""
-    n = words.agg(F.countDistinct(doc).alias("n"))
-    df = words.select(doc, word).distinct().groupBy(word).agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select(word, "df", (F.ln(F.col("n") / (F.col("df") + 1)) + 1).alias("idf"))
+def word_counts(words: DataFrame, doc: str, word: str) -> DataFrame:
+    """(doc, word, n): how often each document has each word, written once. It is all that document frequencies and term shares need."""
+    return tables.once(words.groupBy(doc, word).agg(F.count(F.lit(1)).alias("n")))
 
 
-def tfidf(words: DataFrame, weights: DataFrame, doc: str, word: str) -> DataFrame:
-    """(doc, word, tf, weight): term shares times idf, each document of unit length if its norm exceeds 1e-8."""
-    counts = words.groupBy(doc, word).agg(F.count(F.lit(1)).alias("n"))
+def idf(counts: DataFrame, doc: str, word: str) -> DataFrame:
+    """(word, df, idf): ln(N / (df + 1)) + 1 over the documents that have words, from word_counts."""
+    n = counts.agg(F.countDistinct(doc).alias("n_docs"))
+    df = counts.groupBy(word).agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(n)).select(word, "df", (F.ln(F.col("n_docs") / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def tfidf(counts: DataFrame, weights: DataFrame, doc: str, word: str) -> DataFrame:
+    """(doc, word, tf, weight): term shares times idf, each document of unit length if its norm exceeds 1e-8, from word_counts."""
     per = Window.partitionBy(doc)
     h = counts.join(weights.select(word, "idf"), word).withColumn("tf", F.col("n") / F.sum("n").over(per)).withColumn("h", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("h") * F.col("h")).over(per))
@@ -41,11 +48,12 @@ def tfidf(words: DataFrame, weights: DataFrame, doc: str, word: str) -> DataFram
 def residual_sums(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     """(bag, cid, pos, r): for each bag and centroid the sum of its descriptors' residuals, by dimension.
 
-    rows (bag, cid, vec), centroids (cid, vec). Sums are partial before the shuffle.
+    rows (bag, cid, vec), centroids (cid, vec). A descriptor stays one row; sums of vectors are partial before the shuffle.
     """
-    xs = rows.select("bag", "cid", F.posexplode("vec").alias("pos", "x"))
-    cs = centroids.select("cid", F.posexplode("vec").alias("pos", "c"))
-    return xs.join(F.broadcast(cs), ["cid", "pos"]).groupBy("bag", "cid", "pos").agg(F.sum(F.col("x").cast("double") - F.col("c").cast("double")).alias("r"))
+    book = centroids.select("cid", F.col("vec").cast("array<double>").alias("__c"))
+    off = F.zip_with(F.col("vec").cast("array<double>"), "__c", lambda x, c: x - c)
+    sums = rows.join(F.broadcast(book), "cid").groupBy("bag", "cid").agg(Summarizer.sum(array_to_vector(off)).alias("s"))
+    return sums.select("bag", "cid", F.posexplode(vector_to_array("s")).alias("pos", "r"))
 
 
 def vlad_components(residuals: DataFrame) -> DataFrame:
@@ -217,7 +225,7 @@ class BovwEncoder(_Encoder):
         rows = assign(kept, book).select("patch_id", "cid")
         n = kept.select("patch_id").distinct().count()
         self.idf = np.full(len(self.centroids), np.log(n) + 1)
-        for r in idf(rows, "patch_id", "cid").collect():  # one row a word
+        for r in idf(word_counts(rows, "patch_id", "cid"), "patch_id", "cid").collect():  # one row a word
             self.idf[r["cid"]] = r["idf"]
         return self
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions.vectors import squared_l2
+from terralens.sources import tables
 
 FOUND = "query_id long, patch_id long, distance double"
 QUERY_BLOCK = 4096
@@ -130,6 +131,30 @@ def ivf_knn(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int,
     return ranked(hits, k)
 
 
+def ivf_knn_exact(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, n_probe: int, list_rows: int = 100_000) -> DataFrame:
+    """Exact search over lists: the n_probe nearest ones give a bound, and then every list that may hold something nearer.
+
+    A vector's distance is at least its centroid's less the list's radius, so a list farther than that from a query whose k
+    nearest are known to be nearer is left out, and no neighbour is lost. Lists over list_rows vectors are joined in parts.
+    """
+    ids = centroids.select("list_id", F.col("vec").alias("c"))
+    far = lists.join(F.broadcast(ids), "list_id").groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(squared_l2(F.col("vec"), F.col("c")))).alias("radius"))
+    shapes = tables.once(far.withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int")))  # a row a list, as the centroids
+    pairs = queries.select("query_id", F.col("vec").alias("q")).crossJoin(F.broadcast(ids.join(shapes, "list_id")))
+    w = Window.partitionBy("query_id").orderBy(F.round(squared_l2(F.col("q"), F.col("c")), 9), "list_id")
+    asked = pairs.withColumns({"r": F.row_number().over(w), "least": F.greatest(F.lit(0.0), F.sqrt(squared_l2(F.col("q"), F.col("c"))) - F.col("radius"))}).drop("c", "n", "radius")
+    dealt = lists.join(F.broadcast(shapes.select("list_id", "parts")), "list_id").withColumn("part", F.pmod(F.xxhash64("patch_id"), F.col("parts"))).drop("parts")
+
+    def hits(probed: DataFrame) -> DataFrame:
+        probes = probed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("query_id", "q", "list_id", "part")
+        return dealt.join(probes, ["list_id", "part"]).select("query_id", "patch_id", squared_l2(F.col("q"), F.col("vec")).alias("distance"))
+
+    near = tables.once(ranked(hits(asked.filter(F.col("r") <= n_probe)), k).drop("rank"))
+    bounds = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance"))).alias("bound"))
+    more = asked.filter(F.col("r") > n_probe).join(bounds, "query_id", "left").filter(F.col("bound").isNull() | (F.col("least") <= F.col("bound") + 1e-6))
+    return ranked(near.unionByName(hits(more)), k)
+
+
 @dataclass
 class VectorIndex:
     """Flat or inverted lists over (patch_id, vec). Searching or saving before training raises RuntimeError."""

@@ -18,19 +18,22 @@ from terralens.operators.image import IMAGE, from_struct, to_struct
 _IMAGE = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
 
 
-def crops(asked: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
+def crops(asked: DataFrame, blocks: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """asked with `row`, `col`, `lines`: where in the window the block's part begins, and its rows of bytes.
 
     asked has the window as x, y, w, h (pixels; it may reach beyond all blocks) and the columns `on`, a row for each block
     that it may touch. blocks have `on`, x0, y0, bw, bh, unit (bytes a pixel) and data (rows of pixels). Only the touched
     columns and rows are kept. A block that most windows ask for is a skewed side of a plain join, which Spark splits.
+    how: with "left" what meets no pixels stays, without lines.
     """
-    met = asked.join(blocks.select(*on, "x0", "y0", "bw", "bh", "unit", "data"), on)
+    met = asked.join(blocks.select(*on, "x0", "y0", "bw", "bh", "unit", "data"), on, how)
     left, top = F.greatest("x", "x0"), F.greatest("y", "y0")
     right, bottom = F.least(F.col("x") + F.col("w"), F.col("x0") + F.col("bw")), F.least(F.col("y") + F.col("h"), F.col("y0") + F.col("bh"))
-    met = met.withColumns({"__l": left, "__t": top, "__r": right, "__b": bottom}).filter("__l < __r and __t < __b")
+    met = met.withColumns({"__l": left, "__t": top, "__r": right, "__b": bottom})
+    some = F.expr("data is not null and __l < __r and __t < __b")
+    met = met.filter(some) if how == "inner" else met
     line = "substring(data, cast(((k - y0) * bw + __l - x0) * unit + 1 as int), cast((__r - __l) * unit as int))"
-    out = met.withColumn("lines", F.expr(f"transform(sequence(__t, __b - 1), k -> {line})"))
+    out = met.withColumn("lines", F.when(some, F.expr(f"transform(sequence(__t, __b - 1), k -> {line})")))
     return out.withColumns({"row": F.col("__t") - F.col("y"), "col": F.col("__l") - F.col("x")}).drop("x0", "y0", "bw", "bh", "data", "__l", "__t", "__r", "__b")
 
 
@@ -53,22 +56,30 @@ def mosaic_patches(blocks: DataFrame, windows: DataFrame, block_px: int, *keep:
 
     blocks (raster_id, col_off, row_off, image) lie on a grid of block_px pixels, the last ones of each row and column cut;
     windows (raster_id, col_off, row_off, w, h and the columns of `keep`) lie anywhere. Pixels of missing blocks, or
-    outside, are 0; a window that stands twice has one row; valid_fraction is the share of pixels that aren't black in all channels. Blocks of one raster have
+    outside, are 0; a window across seams that stands twice has one row; valid_fraction is the share of pixels that aren't black in all channels. Blocks of one raster have
     equally many channels (else err, and no image); a window that touches no block has one black channel.
     """
     cells = lambda at, size: F.sequence(F.floor(F.col(at) / block_px), F.floor((F.col(at) + F.col(size) - 1) / block_px))
     asked = windows.select("raster_id", *keep, F.col("col_off").alias("x"), F.col("row_off").alias("y"), F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h")).filter("w > 0 and h > 0")
-    met = asked.withColumn("bx", F.explode(cells("x", "w"))).withColumn("by", F.explode(cells("y", "h")))
+    across, down = cells("x", "w"), cells("y", "h")
+    sized = asked.withColumn("__one", (F.size(across) == 1) & (F.size(down) == 1))
+    asked_across = sized.filter("not __one").drop("__one")
+    cut = sized.withColumn("bx", F.explode(across)).withColumn("by", F.explode(down))
+    met, inside = cut.filter("not __one").drop("__one"), cut.filter("__one").drop("__one")
     size = lambda c: F.col(f"image.{c}").cast("long")
     grid = blocks.select(
         "raster_id", F.floor(F.col("col_off") / block_px).alias("bx"), F.floor(F.col("row_off") / block_px).alias("by"), F.col("col_off").cast("long").alias("x0"), F.col("row_off").cast("long").alias("y0"),
         size("width").alias("bw"), size("height").alias("bh"), size("nChannels").alias("unit"), F.col("image.data").alias("data"),
     )
     key = ["raster_id", *keep, "x", "y", "w", "h"]
-    found = crops(met, grid, ["raster_id", "bx", "by"]).select(*key, F.struct("row", "col", "lines", "unit").alias("piece"))
+    on, piece = ["raster_id", "bx", "by"], F.struct("row", "col", "lines", "unit")
+    found = crops(met, grid, on).select(*key, piece.alias("piece"))
     # windows without blocks have no crop, but a row
-    every = found.unionByName(asked.select(*key), allowMissingColumns=True)
+    every = found.unionByName(asked_across, allowMissingColumns=True)
     joined = every.groupBy(*key).agg(F.collect_list("piece").alias("pieces"))
+    # what lies in one block is whole as soon as it is cut, and most windows do where blocks are large
+    whole = crops(inside, grid, on, "left").select(*key, F.when(F.col("lines").isNotNull(), F.array(piece)).otherwise(F.array()).alias("pieces"))
+    joined = joined.unionByName(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,12 +7,14 @@ log, orders and customer for patches and source tiles. Floating-point results ar
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralens.functions import fields, geo
 from terralens.functions import vectors as V
-from terralens.operators import catalog, encoders, evaluate, knn, matching, tiling
+from terralens.operators import catalog, encoders, evaluate, knn, matching, quantiles, tiling
 from terralens.plans import numbering
 from terralens.sources import files
 
@@ -85,14 +87,11 @@ def flat_knn_lateral(spark, d):
     return _found(knn.ranked(found, 10))
 
 
-@query(f"""WITH {_SQL_Q}, {_SQL_CELLS},
-p AS (SELECT query_id, q, cid FROM (SELECT query_id, q, cid, row_number() OVER (PARTITION BY query_id ORDER BY round({_l2('q', 'vec')}, 9), cid) AS r FROM q, cells) WHERE r <= 3),
-d AS (SELECT query_id, vec_id AS patch_id, {_l2('q', 'embedding')} AS distance FROM p JOIN embeddings ON label = cid),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), patch_id) AS rank FROM d)
-SELECT query_id, patch_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 10""")
+@query(_FLAT)
 def ivf_probe_knn(spark, d):
+    """Search by lists that loses no neighbour: three lists give a bound, distance bounds choose the others."""
     lists = _vectors(spark, d).withColumnRenamed("label", "list_id")
-    return _found(knn.ivf_knn(_queries(spark, d), lists, _cells(spark, d).withColumnRenamed("cid", "list_id"), 10, 3))
+    return _found(knn.ivf_knn_exact(_queries(spark, d), lists, _cells(spark, d).withColumnRenamed("cid", "list_id"), 10, 3))
 
 
 @query("SELECT label AS list_id, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id, min(len(embedding))::BIGINT AS dim FROM embeddings GROUP BY label")
@@ -160,15 +159,15 @@ _IDF = "i AS (SELECT word, count(DISTINCT doc_id) AS df, ln((SELECT count(DISTIN
 
 @query(f"WITH {_WORDS}, {_IDF} SELECT word, df, round(idf, 6) AS idf FROM i")
 def idf_table(spark, d):
-    return encoders.idf(_words(spark, d), "doc_id", "word").select("word", "df", F.round("idf", 6).alias("idf"))
+    return encoders.idf(encoders.word_counts(_words(spark, d), "doc_id", "word"), "doc_id", "word").select("word", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {_WORDS}, {_IDF}, t AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY doc_id, word),
 h AS (SELECT doc_id, word, n / sum(n) OVER (PARTITION BY doc_id) AS tf, n / sum(n) OVER (PARTITION BY doc_id) * idf AS h FROM t JOIN i USING (word))
 SELECT doc_id, word, round(tf, 6) AS tf, round(CASE WHEN sqrt(sum(h * h) OVER (PARTITION BY doc_id)) > 1e-8 THEN h / sqrt(sum(h * h) OVER (PARTITION BY doc_id)) ELSE h END, 5) AS weight FROM h""")
 def bovw_tfidf(spark, d):
-    w = _words(spark, d)
-    out = encoders.tfidf(w, encoders.idf(w, "doc_id", "word"), "doc_id", "word")
+    counts = encoders.word_counts(_words(spark, d), "doc_id", "word")
+    out = encoders.tfidf(counts, encoders.idf(counts, "doc_id", "word"), "doc_id", "word")
     return out.select("doc_id", "word", F.round("tf", 6).alias("tf"), F.round("weight", 5).alias("weight"))
 
 
@@ -378,7 +377,7 @@ def web_mercator(spark, d):
 SELECT band, round(lo, 4) AS lo, round(hi, 4) AS hi, round(avg(least(255, greatest(0, (l_extendedprice - lo) / (hi - lo) * 255))), 4) AS mean_dn FROM lineitem JOIN p ON band = l_returnflag GROUP BY band, lo, hi""")
 def percentile_stretch(spark, d):
     x = _t(spark, d, "lineitem").select(F.col("l_returnflag").alias("band"), F.col("l_extendedprice").alias("v"))
-    p = x.filter("v <> 0").groupBy("band").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
+    p = quantiles.exact_quantiles(x.filter("v <> 0"), ["band"], "v", [0.02, 0.98]).withColumnRenamed("quantiles", "p")
     dn = F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col("v") - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0]) * 255))
     out = x.join(p, "band").groupBy("band", "p").agg(F.avg(dn).alias("m"))  # one row of percentiles a band
     return out.select("band", F.round(F.col("p")[0], 4).alias("lo"), F.round(F.col("p")[1], 4).alias("hi"), F.round("m", 4).alias("mean_dn"))
@@ -516,6 +515,53 @@ def upload_codes(spark, d):
 # --- without SQL ------------------------------------------------------------------------------------------------
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 35 = 0 THEN 'N' WHEN o_orderkey % 5 = 0 THEN 'U' ELSE o_orderstatus END AS status,
+round(CASE WHEN o_orderkey % 35 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 2 * o_totalprice ELSE o_totalprice END, 4) AS price
+FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 35 = 0""")
+def snapshot_merge(spark, d):
+    """A table by key through changes: rows, new versions of some, deletions, a compaction, and some rows again."""
+    from terralens.sources import tables
+    from terralens.sources.snapshots import SnapshotTable
+
+    at = f"{tables.shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    orders = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    table = SnapshotTable(spark, at, "o_orderkey long, status string, price double", "o_orderkey")
+    table.put(orders)
+    table.put(orders.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("U").alias("status"), (F.col("price") * 2).alias("price")))
+    table.compact()
+    table.delete(orders.filter("o_orderkey % 7 = 0"))
+    table.put(orders.filter("o_orderkey % 35 = 0").select("o_orderkey", F.lit("N").alias("status"), F.lit(1.0).alias("price")))
+    return table.read().select("o_orderkey", "status", F.round("price", 4).alias("price"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 36000 / 100.0 - 180 AS lon, (o_orderkey * 104729) % 17000 / 100.0 - 85 AS lat FROM orders),
+q AS (SELECT s_suppkey, (s_suppkey * 997) % 340 - 170 AS a, (s_suppkey * 619) % 150 - 75 AS b FROM supplier)
+SELECT s_suppkey, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM q JOIN b ON lon + 0.25 >= q.a AND lon <= q.a + 8 AND lat + 0.25 >= q.b AND lat <= q.b + 6 GROUP BY s_suppkey""")
+def stored_boxes(spark, d):
+    """Box searches over rows stored along a curve; each opens the files whose bounds it meets."""
+    from terralens.sources import boxes, tables
+
+    at = f"{tables.shared_dir(spark)}/boxes-{uuid.uuid4().hex}"
+    lon, lat = (F.col("o_orderkey") * 7919 % 36000) / 100.0 - 180, (F.col("o_orderkey") * 104729 % 17000) / 100.0 - 85
+    made = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), lon.alias("lon_min"), lat.alias("lat_min"), (lon + 0.25).alias("lon_max"), (lat + 0.25).alias("lat_max"))
+    boxes.write_boxes(made, at, 64)
+    asked = _t(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 997 % 340 - 170).cast("double").alias("lon_min"), (F.col("s_suppkey") * 619 % 150 - 75).cast("double").alias("lat_min"))
+    asked = asked.withColumn("lon_max", F.col("lon_min") + 8).withColumn("lat_max", F.col("lat_min") + 6)
+    found = boxes.meeting(spark, at, asked)
+    return found.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query()
+def minibatch_quality(spark, d):
+    """Sizes and costs of the clusters that mini-batch k-means finds."""
+    from terralens.operators.minibatch import minibatch_kmeans
+
+    v = _vectors(spark, d)
+    centers, cost = minibatch_kmeans(v, 8)
+    book = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cid int, vec array<double>")
+    return knn.assign(v, book).groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("cost"))
+
+
 @query()
 def kmeans_ml(spark, d):
     """Sizes and costs of the best of three k-means runs."""

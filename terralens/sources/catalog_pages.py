@@ -15,7 +15,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from terralens.sources.files import retried
 
@@ -49,7 +49,10 @@ class CatalogQuery:
 
 
 class PageClient:
-    """Pages by number; subclasses fetch them from where the catalog is."""
+    """Pages by number; subclasses fetch them from where the catalog is.
+
+    Besides pages of files, `after` gives products in the order of (start, product_id), as catalogs do with $orderby, $skip and $top.
+    """
 
     def __init__(self, options: dict) -> None:
         self.root = options["root"]
@@ -61,11 +64,38 @@ class PageClient:
         with open(os.path.join(self.root, f"page-{number}.json"), encoding="utf-8") as f:
             return [p for p in json.load(f) if query.admits(p)]
 
+    def after(self, last: tuple[str, str] | None, query: CatalogQuery, skip: int, top: int) -> list[dict]:
+        """`top` products behind (start, product_id) = last, the first `skip` of them left out; fewer at the end."""
+        found = [p for k in range(self.pages()) for p in self.page(k, query) if p.get("start") and (last is None or place_of(p) > tuple(last))]
+        return sorted(found, key=place_of)[skip : skip + top]
+
+
+def place_of(product: dict) -> tuple[str, str]:
+    """Where a product stands in the order of starts; ISO times in one form sort as text."""
+    return moment(product["start"]).isoformat(timespec="microseconds"), product.get("product_id") or ""
+
+
+def paged(client: PageClient, query: CatalogQuery, last: tuple[str, str] | None = None, most: int | None = None, top: int = 100, first_wait: float = 1.0) -> Iterator[dict]:
+    """Products in order, page by page until one is short or `most` are there: the number of pages is not known before."""
+    given = 0
+    while most is None or given < most:
+        n = top if most is None else min(top, most - given)
+        page = retried(lambda n=n: client.after(last, query, given, n), 5, first_wait)  # noqa: B023
+        yield from page
+        given += len(page)
+        if len(page) < n:
+            return
+
 
 class _Page(InputPartition):
     pass
 
 
+def _row(p: dict) -> tuple:
+    start = moment(p["start"]) if p.get("start") else None
+    return (p.get("product_id"), p.get("name"), p.get("collection"), p.get("product_type"), start, p.get("cloud_cover"), *(p.get(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.client, self.query = PageClient(options), CatalogQuery()
@@ -83,8 +113,56 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for p in retried(lambda: self.client.page(partition.value, self.query), 5, self.first_wait):
-            start = moment(p["start"]) if p.get("start") else None
-            yield (p.get("product_id"), p.get("name"), p.get("collection"), p.get("product_type"), start, p.get("cloud_cover"), *(p.get(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max")))
+            yield _row(p)
+
+
+class _Arrivals(DataSourceStreamReader):
+    """Products behind the last one seen, in the order of (start, product_id): an offset is that pair.
+
+    Options: cloud_max, collection; per_batch, the most products of a micro-batch; per_page, those of a page, a partition each.
+    A product that appears later with an earlier start than the offset is not seen, as the catalog's order says nothing of it.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.client, self.query = PageClient(options), CatalogQuery()
+        if "cloud_max" in options:
+            self.query.limits["cloud_cover", "max"] = float(options["cloud_max"])
+        if "collection" in options:
+            self.query.limits["collection", "is"] = options["collection"]
+        self.per_batch, self.per_page = int(options.get("per_batch", 1000)), int(options.get("per_page", 100))
+        self.first_wait = float(options.get("first_wait", 1.0))
+        self.known: tuple[str, str] | None = None
+
+    @staticmethod
+    def _last(offset: dict) -> tuple[str, str] | None:
+        return (offset["start"], offset["product_id"]) if offset.get("start") else None
+
+    def initialOffset(self) -> dict:
+        return {"start": "", "product_id": ""}
+
+    def latestOffset(self) -> dict:
+        for p in paged(self.client, self.query, self.known, self.per_batch, self.per_page, self.first_wait):
+            self.known = place_of(p)
+        return {"start": self.known[0], "product_id": self.known[1]} if self.known else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        last, until = self._last(start), self._last(end)
+        self.known = self.known or until  # a restarted stream goes on behind what it had planned
+        n = 0
+        for p in paged(self.client, self.query, last, None, self.per_page, self.first_wait):
+            if until is None or place_of(p) > until:
+                break
+            n += 1
+        return [_Page((last, until, skip, min(self.per_page, n - skip))) for skip in range(0, n, self.per_page)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        last, until, skip, top = partition.value
+        for p in retried(lambda: self.client.after(last, self.query, skip, top), 5, self.first_wait):
+            if place_of(p) <= tuple(until):
+                yield _row(p)
+
+    def commit(self, end: dict) -> None:
+        self.known = max(filter(None, (self.known, self._last(end))), default=None)
 
 
 class CatalogSource(DataSource):
@@ -98,6 +176,15 @@ class CatalogSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Arrivals(dict(self.options))
+
+
+def arrivals(spark: SparkSession, root: str, **options) -> DataFrame:
+    """A stream of the catalog's products, those since the last run when its query has a checkpoint; see _Arrivals for options."""
+    spark.dataSource.register(CatalogSource)
+    return spark.readStream.format("catalog_pages").options(root=root, **options).load()
+
 
 def search(spark: SparkSession, root: str, bbox: tuple[float, float, float, float], date_from: str, date_to: str, cloud_max: float = 20.0, collection: str | None = None, product_type: str | None = None, max_results: int = 100) -> DataFrame:
     """Products that meet the box (borders count) in a closed range of days, the oldest first."""
