@@ -123,16 +123,11 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
-def resize_by_scale(image: np.ndarray, scale: float) -> np.ndarray:
-    if scale == 1.0:
-        return image
-    return resize(image, max(1, round(image.shape[0] * scale)), max(1, round(image.shape[1] * scale)))
-
-
-def resize_to_gsd(image: np.ndarray, source_m: float, target_m: float) -> np.ndarray:
-    if source_m <= 0 or target_m <= 0:
-        raise ValueError("ground sampling distances are positive")
-    return resize_by_scale(image, source_m / target_m)
+def wanted_size(height: int, width: int, factor: float = 1.0) -> tuple[int, int]:
+    """Rows and columns of an image of which `factor` pixels stand for one along each side; one at least."""
+    if factor <= 0:
+        raise ValueError("a size factor is positive")
+    return tuple(max(1, round(n * factor)) for n in (height, width))
 
 
 def cap_long_side(image: np.ndarray, most: int = 1024) -> np.ndarray:
@@ -142,21 +137,27 @@ def cap_long_side(image: np.ndarray, most: int = 1024) -> np.ndarray:
     return resize(image, max(1, int(h * most / max(h, w))), max(1, int(w * most / max(h, w))))
 
 
-def stretch(channel: np.ndarray, low: float = 2, high: float = 98, flat: int = 128) -> np.ndarray:
-    """Percentiles of the non-zero pixels to 0 and 255; all zero gives 0, a flat channel the value `flat`."""
-    some = channel[channel > 0]
-    if not some.size:
-        return np.zeros(channel.shape, np.uint8)
-    lo, hi = np.percentile(some, [low, high])
-    if hi <= lo:
-        return np.full(channel.shape, flat, np.uint8)
-    return np.clip((channel.astype(np.float64) - lo) / (hi - lo) * 255, 0, 255).astype(np.uint8)
+def stretched(image: np.ndarray, low: float = 2, high: float = 98, flat: int = 128) -> np.ndarray:
+    """Every band of a gray or many-banded image, of 8 or 16 bits, mapped so that the two percentiles of its pixels over 0 become 0 and 255.
 
-
-def normalize_channels(image: np.ndarray, low: float = 2, high: float = 98) -> np.ndarray:
-    if image.ndim == 2:
-        return stretch(image, low, high)
-    return np.stack([stretch(image[..., c], low, high) for c in range(image.shape[2])], -1)
+    A band's histogram gives its percentiles (linear between neighbours) and its table of new values, in which all pixels
+    are then looked up. A band whose percentiles are equal becomes `flat`, one without pixels over 0 becomes 0.
+    """
+    bands = image.reshape(*image.shape[:2], -1)
+    levels = np.arange(np.iinfo(image.dtype).max + 1)
+    out = np.empty(bands.shape, np.uint8)
+    for k in range(bands.shape[2]):
+        counts = np.bincount(bands[..., k].ravel(), minlength=len(levels))
+        upto = np.cumsum(counts) - counts[0]
+        if not upto[-1]:
+            out[..., k] = 0
+            continue
+        place = np.array([low, high]) / 100 * (upto[-1] - 1)
+        below, above = (np.searchsorted(upto, np.floor(p) + 1) for p in (place, np.ceil(place)))
+        lo, hi = below + (above - below) * (place - np.floor(place))
+        table = np.full(len(levels), flat, np.uint8) if hi <= lo else np.clip((levels - lo) / max(hi - lo, 1e-12) * 255, 0, 255).astype(np.uint8)
+        out[..., k] = table[bands[..., k]]
+    return out.reshape(image.shape)
 
 
 def clahe(image: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
@@ -208,8 +209,8 @@ def local_contrast(image: np.ndarray, sigma: float = 8.0, eps: float = 1e-3, cli
 
 def preprocess(image: np.ndarray, scale: float = 1.0, normalize: bool = False, use_clahe: bool = False, lcn: bool = False) -> np.ndarray:
     """Resize, stretch, gray, equalize, local contrast: in this order, each if asked; gray always."""
-    image = resize_by_scale(image, scale)
-    image = gray(normalize_channels(image) if normalize else image)
+    image = resize(image, *wanted_size(*image.shape[:2], scale))
+    image = gray(stretched(image) if normalize else image)
     image = clahe(image) if use_clahe else image
     return local_contrast(image) if lcn else image
 

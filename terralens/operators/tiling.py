@@ -108,7 +108,7 @@ def cut_raster(rasters: DataFrame, size: int = 256, overlap: float = 0.25, min_c
     Coverage is the share of pixels with some band over 0, or with a non-zero first (red) band; a window under the
     threshold drops. Bands are stretched window by window if asked.
     """
-    from terralens.operators.image import from_struct, stretch, to_struct
+    from terralens.operators.image import from_struct, stretched, to_struct
 
     if not 0 <= overlap < 1:
         raise ValueError("overlap lies in [0, 1)")
@@ -126,7 +126,7 @@ def cut_raster(rasters: DataFrame, size: int = 256, overlap: float = 0.25, min_c
                         part = bands[r : r + size, c : c + size]
                         filled = (part > 0).any(-1) if any_band else part[..., -1] != 0  # red is the last of BGR
                         if (share := float(filled.mean())) >= min_coverage:
-                            cut = np.stack([stretch(part[..., k], flat=0) for k in range(part.shape[2])], -1) if normalize else part
+                            cut = stretched(part, flat=0) if normalize else part
                             out.append((key, c, r, share, to_struct(cut if image.ndim == 3 else cut[..., 0], x["origin"])))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("raster_id").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], kind)], names)

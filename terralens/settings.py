@@ -16,6 +16,8 @@ class Settings:
     resize_scale: float = 1.0
     query_resize_scale: float | None = None
     patch_resize_scale: float | None = None
+    #: meters a pixel of a query's photo; with it queries are sized to the ground distance of patches
+    query_gsd_m: float | None = None
     normalize: bool = False
     clahe: bool = False
     lcn: bool = False
@@ -56,6 +58,11 @@ class Settings:
     exhaustive: bool = False
 
     def query_scale(self) -> float:
+        """Pixels of a query that stand for one of its photo: by ground distances if the photo's is known."""
+        if self.query_gsd_m is not None:
+            if self.query_gsd_m <= 0 or self.gsd_m <= 0:
+                raise ValueError("ground sampling distances are positive")
+            return self.query_gsd_m / self.gsd_m
         return self.resize_scale if self.query_resize_scale is None else self.query_resize_scale
 
     def patch_scale(self) -> float:

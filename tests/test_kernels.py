@@ -6,6 +6,7 @@ import pytest
 from terralens.operators import image, matching
 from terralens.operators.encoders import BovwEncoder, TokenPoolEncoder, TokenVladEncoder, VladEncoder, Whitening, encoder
 from terralens.operators.knn import VectorIndex, distractors
+from terralens.settings import Settings
 
 RNG = np.random.default_rng(5)
 
@@ -38,18 +39,27 @@ def test_spark_reads_our_png(spark, tmp_path):
 def test_resize_by_area_keeps_the_mean_and_is_a_no_op_at_one():
     a = RNG.integers(0, 256, (40, 60)).astype(np.uint8)
     assert abs(float(image.resize(a, 20, 30).mean()) - float(a.mean())) < 1
-    assert image.resize_by_scale(a, 1.0) is a
-    assert image.resize_to_gsd(a, 1.0, 2.0).shape == (20, 30)
+    assert (image.resize(a, *image.wanted_size(40, 60)) == a).all()
+    assert image.resize(a, *image.wanted_size(40, 60, Settings(query_gsd_m=5.0).query_scale())).shape == (20, 30)
+    assert image.wanted_size(40, 60, 0.001) == (1, 1) and image.wanted_size(3, 5, 0.5) == (2, 2)
+    for bad in (lambda: image.wanted_size(4, 4, 0), lambda: Settings(query_gsd_m=0.0).query_scale()):
+        with pytest.raises(ValueError):
+            bad()
     assert image.cap_long_side(np.zeros((2000, 1001), np.uint8)).shape == (1024, 512)
 
 
 def test_stretch_of_flat_and_empty_channels():
-    assert image.stretch(np.zeros((4, 4), np.uint8)).max() == 0
-    assert (image.stretch(np.full((4, 4), 9, np.uint8)) == 128).all()
-    assert (image.stretch(np.full((4, 4), 9, np.uint8), flat=0) == 0).all()
-    a = np.arange(1, 101, dtype=np.uint8).reshape(10, 10)
-    lo, hi = np.percentile(a, [2, 98])
-    assert image.stretch(a)[0, 50 % 10] == int(np.clip((a[0, 0] - lo) / (hi - lo) * 255, 0, 255)) == 0
+    assert image.stretched(np.zeros((4, 4), np.uint8)).max() == 0
+    assert (image.stretched(np.full((4, 4), 9, np.uint8)) == 128).all()
+    assert (image.stretched(np.full((4, 4), 9, np.uint8), flat=0) == 0).all()
+    for kind, shape in ((np.uint8, (40, 30)), (np.uint8, (20, 20, 3)), (np.uint16, (20, 30, 2))):
+        a = (RNG.integers(0, np.iinfo(kind).max // 2, shape) * (RNG.random(shape) < 0.8)).astype(kind)
+        got = image.stretched(a)
+        for k in range(1 if a.ndim == 2 else shape[2]):
+            band, out = (a, got) if a.ndim == 2 else (a[..., k], got[..., k])
+            lo, hi = np.percentile(band[band > 0], [2, 98])
+            assert np.abs(out.astype(int) - np.clip((band - lo) / (hi - lo) * 255, 0, 255).astype(int)).max() <= (0 if kind is np.uint8 else 1)
+            assert (out[band == 0] == 0).all()
 
 
 def test_gaussian_keeps_constants_and_local_contrast_maps_them_to_the_middle():
