@@ -427,6 +427,15 @@ def map_images(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], column
     return df.select(*names, column).mapInArrow(run, f"{kinds}`{column}` {IMAGE}, `{err}` string")
 
 
+def _nested(rows: list[np.ndarray]) -> pa.Array:
+    """Matrices as lists of lists of floats, from one flat array."""
+    many, width = [len(r) for r in rows], [r.shape[1] if r.ndim == 2 and len(r) else 0 for r in rows]
+    outer = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+    inner = np.concatenate([[0], np.cumsum(np.repeat(width, many))]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.float32), *(r.astype(np.float32).ravel() for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(flat)))
+
+
 def describe(df: DataFrame, key: str = "patch_id", column: str = "image", **params) -> DataFrame:
     """(key, xy, descs, err): local features of each image; a flat image has none, a broken one its message."""
 
@@ -436,15 +445,14 @@ def describe(df: DataFrame, key: str = "patch_id", column: str = "image", **para
             for x in b.column(column).to_pylist():
                 try:
                     p, d = sift(from_struct(x), **params)
-                    xy.append(p[:, :2].tolist())
-                    descs.append(d.tolist())
+                    xy.append(p[:, :2])
+                    descs.append(d)
                     errors.append(None)
                 except Exception as e:  # reported in the row
-                    xy.append([])
-                    descs.append([])
+                    xy.append(np.zeros((0, 2)))
+                    descs.append(np.zeros((0, 0)))
                     errors.append(str(e)[:200] or type(e).__name__)
-            lists = pa.list_(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(xy, lists), pa.array(descs, lists), pa.array(errors, pa.string())], [key, "xy", "descs", "err"])
+            yield pa.RecordBatch.from_arrays([b.column(key), _nested(xy), _nested(descs), pa.array(errors, pa.string())], [key, "xy", "descs", "err"])
 
     return df.select(key, column).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, xy array<array<float>>, descs array<array<float>>, err string")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions.vectors import squared_l2
+from terralens.operators.knn import matrix
 
 
 def nested(column: pa.Array, row: int) -> np.ndarray:
@@ -46,6 +47,53 @@ def ratio_matches(pairs: DataFrame, group: str, ratio: float = 0.75, by: str = "
     return best.filter(F.col("b.distance") < F.lit(ratio) * F.col("second")).select(group, by, f"b.{other}", "b.distance", "second")
 
 
+def _two_of_block(digits: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The two nearest candidates of each query descriptor of a block: products find some, differences rank them."""
+        q, c = (matrix(t.column(n).combine_chunks()) for t, n in ((left, "q"), (right, "c")))
+        ids, other = left.column("q_idx").to_numpy(), right.column("c_idx").to_numpy()
+        n = min(8, len(c))
+        rows: list[tuple] = []
+        if len(q) and n:
+            about = (c * c).sum(1)[None] - 2 * q @ c.T
+            near = np.argpartition(about, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(n), (len(q), 1))
+            exact = np.sqrt(((q[:, None] - c[near]) ** 2).sum(2))
+            order = np.lexsort((other[near], np.round(exact, digits)), axis=1)[:, :2]
+            best, d = np.take_along_axis(other[near], order, 1), np.take_along_axis(exact, order, 1)
+            rows = [(np.repeat(ids, order.shape[1]), best.ravel(), d.ravel())]
+        q_idx, c_idx, distance = rows[0] if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        g = left.column("g").slice(0, 1) if left.num_rows else pa.chunked_array([pa.nulls(0, left.schema.field("g").type)])
+        spoken = pa.array(g.to_pylist() * len(q_idx), left.schema.field("g").type)
+        return pa.table({"g": spoken, "q_idx": pa.array(q_idx, pa.int64()), "c_idx": pa.array(c_idx, pa.int64()), "distance": pa.array(distance, pa.float64())})
+
+    return run
+
+
+def nearest_two(query: DataFrame, cand: DataFrame, group: str, chunk: int = 2048, digits: int = 9) -> DataFrame:
+    """(group, q_idx, c_idx, distance): the two nearest candidates of each query descriptor in its group, or the one there is.
+
+    query (group, q_idx, q), cand (group, c_idx, c), ids of longs. Both sides of a group are cut into chunks by a hash and
+    every pair of chunks is a matrix product, so no task holds a group; two rows a descriptor and chunk meet for the rest.
+    Which come first in a chunk is decided by products, which differ from distances by rounding only.
+    """
+    most = [max(1, -(-(df.groupBy(group).count().agg(F.max("count")).first()[0] or 0) // chunk)) for df in (query, cand)]
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = query.select(F.col(group).alias("g"), "q_idx", "q", mine("q_idx", most[0]).alias("i")).withColumn("j", all_of(most[1]))
+    right = cand.select(F.col(group).alias("g"), "c_idx", "c", mine("c_idx", most[1]).alias("j")).withColumn("i", all_of(most[0]))
+    kind = query.schema[group].dataType.simpleString()
+    found = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInArrow(_two_of_block(digits), f"g {kind}, q_idx long, c_idx long, distance double")
+    return found.withColumnRenamed("g", group)
+
+
+def mutual_of(query: DataFrame, cand: DataFrame, group: str, ratio: float = 0.75) -> DataFrame:
+    """Matches that pass the ratio test in both directions, from descriptors."""
+    forward = ratio_matches(nearest_two(query, cand, group), group, ratio)
+    turned = nearest_two(cand.withColumnsRenamed({"c_idx": "q_idx", "c": "q"}), query.withColumnsRenamed({"q_idx": "c_idx", "q": "c"}), group)
+    back = ratio_matches(turned, group, ratio).select(group, F.col("c_idx").alias("q_idx"), F.col("q_idx").alias("c_idx"))
+    return forward.join(back, [group, "q_idx", "c_idx"], "left_semi")
+
+
 def mutual_matches(pairs: DataFrame, group: str, ratio: float = 0.75) -> DataFrame:
     """Matches that pass the ratio test in both directions."""
     forward = ratio_matches(pairs, group, ratio)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from terralens.operators.image import IMAGE, from_struct, to_struct
 
-_IMAGE = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+IMAGE_TYPE = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
 
 
 def crops(asked: DataFrame, blocks: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -95,7 +95,7 @@ def mosaic_patches(blocks: DataFrame, windows: DataFrame, block_px: int, *keep:
                 images.append(to_struct(out if out.shape[2] > 1 else out[..., 0]))
                 shares.append(float(out.any(2).mean()))
                 errors.append(None)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in key), pa.array(images, _IMAGE), pa.array(shares, pa.float64()), pa.array(errors, pa.string())], [*key, "image", "valid_fraction", "err"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in key), pa.array(images, IMAGE_TYPE), pa.array(shares, pa.float64()), pa.array(errors, pa.string())], [*key, "image", "valid_fraction", "err"])
 
     kinds = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in key)
     out = joined.mapInArrow(run, f"{kinds}, image {IMAGE}, valid_fraction double, err string")
@@ -113,7 +113,7 @@ def split_blocks(rasters: DataFrame, block_px: int) -> DataFrame:
                     for c in range(0, image.shape[1], block_px):
                         rows.append((key, c, r, to_struct(image[r : r + block_px, c : c + block_px], x["origin"])))
                 if rows:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (b.schema.field("raster_id").type, pa.int64(), pa.int64(), _IMAGE), strict=True)]
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (b.schema.field("raster_id").type, pa.int64(), pa.int64(), IMAGE_TYPE), strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, ["raster_id", "col_off", "row_off", "image"])
 
     id_type = rasters.schema["raster_id"].dataType.simpleString()

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import time
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralens import schemas
 from terralens.functions import fields, geo
-from terralens.operators import catalog, evaluate, image, tiling
-from terralens.operators.encoders import ENCODERS, encoder
+from terralens.operators import catalog, evaluate, image, overlay, tiling
+from terralens.operators.encoders import ENCODERS, TokenPoolEncoder, encoder
 from terralens.operators.knn import VectorIndex, distractors, flat_knn_blocks
 from terralens.operators.matching import Verifier, top_results
 from terralens.settings import Settings
-from terralens.sources import tables
+from terralens.sources import files, tables, tiff
 
 
 # --- ingest -----------------------------------------------------------------------------------------------------
@@ -56,6 +58,51 @@ def ingest(rasters: DataFrame, root: str, settings: Settings, aoi: tuple[float,
     return {"patches_created": created, "skipped": skipped}
 
 
+def region_patches(regions: DataFrame, fetch, settings: Settings, block_px: int = 1024, workers: int = 8, decode=None) -> tuple[DataFrame, DataFrame]:
+    """Patches of regions that come as exported blocks, and the blocks that failed.
+
+    regions (region_id, lon_min, lat_min, lon_max, lat_max). A region is asked for in blocks of block_px pixels at most;
+    fetch(row) gives the encoded image of a block from its xmin .. ymax (Web Mercator), w and h, in the tasks; decode turns
+    it into pixels (default: TIFF). Patches of the overlapping grid are put together across the blocks' seams, and those
+    with too few pixels go: (region_id, col_off, row_off, image, valid_fraction, lon_min, lat_min, lon_max, lat_max).
+    A block that failed, or has another size than was asked for, is black in its patches and stands in the second table
+    (region_id, col_off, row_off, err). No task holds a region.
+    """
+    decode = decode or tiff.whole
+    blocks = tiling.export_blocks(regions, settings.gsd_m, block_px)
+    got = files.fetched(blocks, fetch, workers)
+    kinds = f"region_id {regions.schema['region_id'].dataType.simpleString()}, col_off long, row_off long, image {image.IMAGE}, err string"
+
+    def run(batches):
+        for b in batches:
+            images, errors = [], []
+            for row in b.to_pylist():
+                try:
+                    if row["err"]:
+                        raise ValueError(row["err"])
+                    x = decode(row["content"])
+                    if x.shape[:2] != (row["h"], row["w"]):
+                        raise ValueError(f"{x.shape[1]} x {x.shape[0]} pixels instead of {row['w']} x {row['h']}")
+                    images.append(image.to_struct(x))
+                    errors.append(None)
+                except Exception as e:  # reported in the row
+                    images.append(None)
+                    errors.append(str(e)[:200] or type(e).__name__)
+            kept = [b.column("region_id"), b.column("col_off").cast(pa.int64()), b.column("row_off").cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(images, overlay.IMAGE_TYPE), pa.array(errors, pa.string())], ["region_id", "col_off", "row_off", "image", "err"])
+
+    wanted = got.select("region_id", "col_off", "row_off", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"), "content", "err")
+    ready = tables.once(wanted.mapInArrow(run, kinds))  # fetched once
+    shapes = blocks.groupBy("region_id", "lon_min", "lat_min", "lon_max", "lat_max").agg(F.max("width").cast("long").alias("width"), F.max("height").cast("long").alias("height"))
+    grid = tiling.tile_grid(shapes.select("region_id", "width", "height"), settings.patch_size, settings.overlap)
+    cut = overlay.mosaic_patches(ready.filter("err is null").withColumnRenamed("region_id", "raster_id"), grid.withColumnRenamed("region_id", "raster_id"), block_px)
+    cut = cut.filter((F.col("err").isNull()) & (F.col("valid_fraction") >= settings.min_coverage)).drop("err").withColumnRenamed("raster_id", "region_id")
+    x0, x1, y0, y1 = geo.mercator_x(F.col("lon_min")), geo.mercator_x(F.col("lon_max")), geo.mercator_y(F.col("lat_min")), geo.mercator_y(F.col("lat_max"))
+    affine = shapes.select("region_id", ((x1 - x0) / F.col("width")).alias("a"), F.lit(0.0).alias("b"), x0.alias("c"), F.lit(0.0).alias("d"), ((y0 - y1) / F.col("height")).alias("e"), y1.alias("f"))
+    placed = tiling.georeferenced(cut.join(affine, "region_id"), "EPSG:3857")
+    return placed.drop("a", "b", "c", "d", "e", "f", "w", "h"), ready.filter("err is not null").select("region_id", "col_off", "row_off", "err")
+
+
 # --- index ------------------------------------------------------------------------------------------------------
 
 
@@ -86,11 +133,35 @@ class Engine:
         if bags.isEmpty():
             raise ValueError("no patches to index")
         model = encoder(settings.coarse_method, **params).fit(bags)
-        vectors = model.transform(bags).persist()
+        vectors = tables.once(model.transform(bags))  # encoded once for training, lists and searches
         index = VectorIndex.chosen(vectors.count(), settings.coarse_method, settings.flat_below, n_lists=settings.n_lists, n_probe=settings.n_probe)
         index.train(vectors).add(vectors)
         return Engine(settings.coarse_method, model, index, patches, features, settings)
 
+    def save(self, path: str) -> None:
+        """Encoder, index, patches, features and settings as tables under a path; features by patch, so candidates are found in few files."""
+        spark = self.patches.sparkSession
+        if isinstance(self.encoder, TokenPoolEncoder):
+            spark.createDataFrame([(self.encoder.pooling, self.encoder.p)], "pooling string, p double").write.mode("overwrite").parquet(f"{path}/encoder")
+        else:
+            self.encoder.save(spark, f"{path}/encoder")
+        self.index.save(f"{path}/index")
+        self.patches.write.mode("overwrite").parquet(f"{path}/patches")
+        self.features.repartitionByRange("patch_id").sortWithinPartitions("patch_id").write.mode("overwrite").parquet(f"{path}/features")
+        spark.createDataFrame([(self.method, json.dumps(asdict(self.settings)))], "method string, settings string").write.mode("overwrite").parquet(f"{path}/engine")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Engine:
+        """An engine that answers as the saved one does, in any session."""
+        method, settings = spark.read.parquet(f"{path}/engine").first()
+        kind = ENCODERS[method][0]
+        if kind is TokenPoolEncoder:
+            model = TokenPoolEncoder(*spark.read.parquet(f"{path}/encoder").select("pooling", "p").first())
+        else:
+            model = kind.load(spark, f"{path}/encoder")
+        patches, features = spark.read.parquet(f"{path}/patches"), spark.read.parquet(f"{path}/features")
+        return Engine(method, model, VectorIndex.load(spark, f"{path}/index"), patches, features, Settings(**json.loads(settings)))
+
     def localize(self, queries: DataFrame, top_n: int | None = None, query_tokens: DataFrame | None = None) -> DataFrame:
         """Ranked places of many queries (query_id, xy, descs): coarse search, then verification of the candidates.
 

@@ -191,12 +191,11 @@ def mean_pool(spark, d):
     return encoders.mean_pool(_vectors(spark, d), "label").select("label", F.col("pos").cast("long").alias("pos"), (F.round("v", 6) + 0).alias("v"))
 
 
-def _pairs(spark, d) -> DataFrame:
-    """Descriptor distances of each label's vectors to the next label's."""
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each label's vectors as descriptors of a query, and those of the next label as their candidates."""
     v = _vectors(spark, d)
     q = v.select(F.col("label").alias("g"), F.col("patch_id").alias("q_idx"), F.col("vec").alias("q"))
-    c = v.select(F.pmod(F.col("label") - 1, F.lit(10)).alias("g"), F.col("patch_id").alias("c_idx"), F.col("vec").alias("c"))
-    return matching.pair_distances(q, c, "g")
+    return q, v.select(F.pmod(F.col("label") - 1, F.lit(10)).alias("g"), F.col("patch_id").alias("c_idx"), F.col("vec").alias("c"))
 
 
 _PAIRS = f"""p AS (SELECT a.label AS g, a.vec_id AS q_idx, b.vec_id AS c_idx, sqrt({_l2('a.embedding', 'b.embedding')}) AS distance FROM embeddings a JOIN embeddings b ON b.label = (a.label + 1) % 10),
@@ -207,21 +206,21 @@ _RATIO = 0.95
 
 @query(f"WITH {_PAIRS.format(_RATIO)} SELECT g, q_idx, c_idx, round(distance, 6) AS distance, round(second, 6) AS second FROM f")
 def lowe_ratio_matches(spark, d):
-    return matching.ratio_matches(_pairs(spark, d), "g", _RATIO).select("g", "q_idx", "c_idx", F.round("distance", 6).alias("distance"), F.round("second", 6).alias("second"))
+    return matching.ratio_matches(matching.nearest_two(*_sides(spark, d), "g"), "g", _RATIO).select("g", "q_idx", "c_idx", F.round("distance", 6).alias("distance"), F.round("second", 6).alias("second"))
 
 
 @query(f"WITH {_PAIRS.format(_RATIO)} SELECT g, q_idx, c_idx, round(distance, 6) AS distance FROM f SEMI JOIN b USING (g, q_idx, c_idx)")
 def mutual_matches(spark, d):
-    return matching.mutual_matches(_pairs(spark, d), "g", _RATIO).select("g", "q_idx", "c_idx", F.round("distance", 6).alias("distance"))
+    return matching.mutual_of(*_sides(spark, d), "g", _RATIO).select("g", "q_idx", "c_idx", F.round("distance", 6).alias("distance"))
 
 
 @query(f"""WITH {_PAIRS.format(_RATIO)}, s AS (SELECT g AS patch_id, count(*) AS good, count(b.g) AS inliers FROM f LEFT JOIN b USING (g, q_idx, c_idx) GROUP BY g),
 t AS (SELECT patch_id, good, inliers, round(inliers / good, 4) AS inlier_ratio, round(least(inliers / 50.0, 1), 4) AS confidence, round(inliers * (inliers / good) * 1.0, 4) AS score FROM s WHERE inliers > 0)
 SELECT patch_id, good, inliers, inlier_ratio, confidence::DOUBLE AS confidence, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, patch_id) AS rank FROM t) WHERE rank <= 5""")
 def match_score_topn(spark, d):
-    pairs = _pairs(spark, d)
-    good = matching.ratio_matches(pairs, "g", _RATIO).groupBy("g").agg(F.count(F.lit(1)).alias("good"))
-    mutual = matching.mutual_matches(pairs, "g", _RATIO).groupBy("g").agg(F.count(F.lit(1)).alias("inliers"))
+    q, c = _sides(spark, d)
+    good = matching.ratio_matches(matching.nearest_two(q, c, "g"), "g", _RATIO).groupBy("g").agg(F.count(F.lit(1)).alias("good"))
+    mutual = matching.mutual_of(q, c, "g", _RATIO).groupBy("g").agg(F.count(F.lit(1)).alias("inliers"))
     both = good.join(mutual, "g").select(F.lit(0).alias("query_id"), F.col("g").alias("patch_id"), "good", "inliers", F.lit(1.0).alias("photometric"))
     return matching.top_results(matching.scored(both), 5).select("patch_id", "good", "inliers", "inlier_ratio", "confidence", "score", F.col("rank").cast("long").alias("rank"))
 

@@ -148,3 +148,62 @@ def test_png_tables_and_backbone_input(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 3
     x = image.backbone_input(np.full((30, 40, 3), 255, np.uint8), 16)
     assert x.shape == (3, 16, 16) and np.allclose(x[0], (1 - 0.485) / 0.229, atol=1e-4)
+
+
+@pytest.mark.parametrize("method", ["vlad", "bovw", "dino"])
+def test_a_stored_engine_answers_in_another_session(spark, tmp_path, method):
+    rng = np.random.default_rng(6)
+    places = spark.createDataFrame([(i, (30.0 + i, 50.0), (29.5, 49.5, 30.5, 50.5), f"p/{i}.png") for i in range(12)], "patch_id long, center struct<lon:double,lat:double>, bbox struct<lon_min:double,lat_min:double,lon_max:double,lat_max:double>, path string")
+    bag = lambda i: (rng.random((40, 2)) * 200, np.random.default_rng(i).random((40, 16)))
+    rows = [(i, *(x.tolist() for x in bag(i))) for i in range(12)]
+    features = spark.createDataFrame(rows, "patch_id long, xy array<array<float>>, descs array<array<float>>")
+    settings = Settings(coarse_method=method, vlad_centroids=4, vlad_restarts=1, vlad_pca_dim=8, bovw_words=16, bovw_restarts=1, n_lists=2, n_probe=2, coarse_top_n=5, token_top_k=5)
+    tokens = features.select("patch_id", "descs")
+    engine = pipelines.Engine.build(places, features, settings, tokens=tokens)
+    engine.save(str(tmp_path / "e"))
+    queries = features.withColumnRenamed("patch_id", "query_id")
+    asked = lambda e: sorted((r["query_id"], r["rank"], r["patch_id"], r["score"]) for r in e.localize(queries, query_tokens=queries.select("query_id", "descs")).collect())
+    again = pipelines.Engine.load(spark.newSession(), str(tmp_path / "e"))
+    assert again.settings == settings and again.method == method
+    first = asked(engine)
+    assert first and asked(again) == first and all(q == p for q, rank, p, _ in first if rank == 1)
+
+
+def test_regions_are_cut_across_exported_blocks(spark):
+    from terralens.sources import tiff
+
+    regions = spark.createDataFrame([(1, 10.0, 50.0, 10.001, 50.0007), (2, -20.0, 0.0, -19.9995, 0.0004)], "region_id long, lon_min double, lat_min double, lon_max double, lat_max double")
+    world = lambda x, y: ((np.floor(x) * 7 + np.floor(y) * 13) % 251 + 1).astype(np.uint8)
+
+    def render(row):
+        if row["region_id"] == 2 and row["col_off"] == 0 and row["row_off"] == 0:
+            raise OSError("no such block")
+        w, h = row["w"], row["h"]
+        x = row["xmin"] + (np.arange(w) + 0.5) * (row["xmax"] - row["xmin"]) / w
+        y = row["ymax"] - (np.arange(h) + 0.5) * (row["ymax"] - row["ymin"]) / h
+        gray = world(x[None], y[:, None])
+        return tiff.tiled(np.stack([gray, gray // 2, gray // 3 + 1], 2), 16)
+
+    settings = Settings(gsd_m=1.0, patch_size=32, overlap=0.25, min_coverage=0.5)
+    patches, failed = pipelines.region_patches(regions, render, settings, block_px=40, workers=3)
+    rows = {(r["region_id"], r["col_off"], r["row_off"]): r for r in patches.collect()}
+    bad = failed.collect()
+    assert [(r["region_id"], r["col_off"], r["row_off"]) for r in bad] == [(2, 0, 0)] and "no such block" in bad[0]["err"]
+    radius = 6378137.0
+    for region, lon0, lat0, lon1, lat1 in ((1, 10.0, 50.0, 10.001, 50.0007), (2, -20.0, 0.0, -19.9995, 0.0004)):
+        mx = lambda v: radius * np.radians(v)
+        my = lambda v: radius * np.log(np.tan(np.pi / 4 + np.radians(v) / 2))
+        w, h = round(mx(lon1) - mx(lon0)), round(my(lat1) - my(lat0))
+        x = mx(lon0) + (np.arange(w) + 0.5) * (mx(lon1) - mx(lon0)) / w
+        y = my(lat1) - (np.arange(h) + 0.5) * (my(lat1) - my(lat0)) / h
+        whole = world(x[None], y[:, None])
+        if region == 2:
+            whole[:40, :40] = 0
+        want = {(region, c, r) for r in range(0, h - 31, 24) for c in range(0, w - 31, 24) if (whole[r : r + 32, c : c + 32] > 0).mean() >= 0.5}
+        assert want and want == {k for k in rows if k[0] == region}
+        for key in want:
+            r, cut = rows[key], whole[key[2] : key[2] + 32, key[1] : key[1] + 32]
+            have = image.from_struct(r["image"])
+            off = (have[..., 0].astype(int) != cut).mean()
+            assert off < 0.1  # pixels that fall on a whole meter may round to either side
+            assert abs(r["lon_min"] - (lon0 + key[1] * (lon1 - lon0) / w)) < 1e-9 and abs(r["valid_fraction"] - (cut > 0).mean()) < 1e-9
