@@ -71,7 +71,7 @@ def region_patches(regions: DataFrame, fetch, settings: Settings, block_px: int
     decode = decode or tiff.whole
     blocks = tiling.export_blocks(regions, settings.gsd_m, block_px)
     got = files.fetched(blocks, fetch, workers)
-    kinds = f"region_id {regions.schema['region_id'].dataType.simpleString()}, col_off long, row_off long, image {image.IMAGE}, err string"
+    kinds = f"region_id {regions.schema['region_id'].dataType.simpleString()}, width long, height long, col_off long, row_off long, image {image.IMAGE}, err string"
 
     def run(batches):
         for b in batches:
@@ -88,14 +88,13 @@ def region_patches(regions: DataFrame, fetch, settings: Settings, block_px: int
                 except Exception as e:  # reported in the row
                     images.append(None)
                     errors.append(str(e)[:200] or type(e).__name__)
-            kept = [b.column("region_id"), b.column("col_off").cast(pa.int64()), b.column("row_off").cast(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(images, overlay.IMAGE_TYPE), pa.array(errors, pa.string())], ["region_id", "col_off", "row_off", "image", "err"])
+            names = ["region_id", "width", "height", "col_off", "row_off"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(images, overlay.IMAGE_TYPE), pa.array(errors, pa.string())], [*names, "image", "err"])
 
-    wanted = got.select("region_id", "col_off", "row_off", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"), "content", "err")
+    wanted = got.select("region_id", *(F.col(c).cast("long").alias(c) for c in ("width", "height", "col_off", "row_off", "w", "h")), "content", "err")
     ready = tables.once(wanted.mapInArrow(run, kinds))  # fetched once
     shapes = blocks.groupBy("region_id", "lon_min", "lat_min", "lon_max", "lat_max").agg(F.max("width").cast("long").alias("width"), F.max("height").cast("long").alias("height"))
-    grid = tiling.tile_grid(shapes.select("region_id", "width", "height"), settings.patch_size, settings.overlap)
-    cut = overlay.mosaic_patches(ready.filter("err is null").withColumnRenamed("region_id", "raster_id"), grid.withColumnRenamed("region_id", "raster_id"), block_px)
+    cut = overlay.grid_patches(ready.filter("err is null").withColumnRenamed("region_id", "raster_id"), settings.patch_size, settings.overlap)
     cut = cut.filter((F.col("err").isNull()) & (F.col("valid_fraction") >= settings.min_coverage)).drop("err").withColumnRenamed("raster_id", "region_id")
     x0, x1, y0, y1 = geo.mercator_x(F.col("lon_min")), geo.mercator_x(F.col("lon_max")), geo.mercator_y(F.col("lat_min")), geo.mercator_y(F.col("lat_max"))
     affine = shapes.select("region_id", ((x1 - x0) / F.col("width")).alias("a"), F.lit(0.0).alias("b"), x0.alias("c"), F.lit(0.0).alias("d"), ((y0 - y1) / F.col("height")).alias("e"), y1.alias("f"))

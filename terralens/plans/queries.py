@@ -657,13 +657,13 @@ def raster_windows(spark, d):
     from terralens.sources import raster_windows as rw
     from terralens.sources import tables
 
-    pictures = _pictures(spark, d)
-    blocks = tables.once(rw.byte_blocks(rw.as_tiled(pictures.select(F.col("patch_id").cast("string").alias("path"), "image"), tile=32, overviews=2, deflate=False)).sortWithinPartitions("path", "begin"))
-    shapes = pictures.select("patch_id", F.col("image.height").alias("n"), F.col("patch_id").cast("string").alias("path"))
-    part = shapes.select((F.col("patch_id") * 2).alias("window_id"), "path", (F.col("patch_id") % 40).alias("x"), (F.col("patch_id") * 7 % F.col("n")).alias("y"), F.lit(24).alias("w"), F.lit(24).alias("h"))
-    whole = shapes.select((F.col("patch_id") * 2 + 1).alias("window_id"), "path", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(64).alias("w"), F.col("n").alias("h"))
-    windows = part.unionByName(whole)
-    levels, tiles = rw.tile_index(shapes.select("path"), blocks=blocks)
+    files_ = rw.as_tiled(_pictures(spark, d).select(F.col("patch_id").cast("string").alias("path"), "image"), tile=32, overviews=2, deflate=False)
+    blocks = tables.once(rw.byte_blocks(files_).sortWithinPartitions("path", "begin"), compression="zstd")
+    levels, tiles = rw.tile_index(blocks.select("path"), blocks=blocks)
+    shapes = levels.filter("level = 0").select(F.col("path").cast("long").alias("page_id"), "path", F.col("height").alias("n"))
+    part = F.struct((F.col("page_id") * 2).alias("window_id"), (F.col("page_id") % 40).alias("x"), (F.col("page_id") * 7 % F.col("n")).alias("y"), F.lit(24).cast("long").alias("w"), F.lit(24).cast("long").alias("h"))
+    whole = F.struct((F.col("page_id") * 2 + 1).alias("window_id"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(64).cast("long").alias("w"), F.col("n").alias("h"))
+    windows = shapes.select("path", F.inline(F.array(part, whole)))
     got = rw.read_windows(windows, levels, tiles, max_px=32, blocks=blocks)
     got = _with_pixel_sum(got.select(*(c for c in got.columns if c not in ("path", "bands", "kind"))))
     return got.select(
@@ -683,8 +683,7 @@ def mosaic_patches(spark, d):
 
     black = F.replace(F.col("image.data").cast("string"), F.lit("A"), F.lit("\0")).cast("binary")
     rasters = _pictures(spark, d).select(F.col("patch_id").alias("raster_id"), F.col("image").withField("data", black).alias("image"))
-    shapes = rasters.select("raster_id", F.col("image.width").cast("long").alias("width"), F.col("image.height").cast("long").alias("height"))
-    got = overlay.mosaic_patches(overlay.split_blocks(rasters, 40), tiling.tile_grid(shapes, 32, 0.25), 40)
+    got = overlay.grid_patches(overlay.split_blocks(rasters, 40), 32, 0.25)
     got = got.select(F.col("raster_id").alias("page_id"), "col_off", "row_off", F.round("valid_fraction", 6).alias("valid_fraction"), F.col("image.height").cast("long").alias("height"), F.col("image.data").alias("data"))
     return _with_pixel_sum(got)
 

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from terralens.functions import geo
-from terralens.operators import overlay
 from terralens.sources import tables, tiff
 from terralens.sources.files import retried
 
@@ -168,53 +169,92 @@ def touched(plan: DataFrame, tiles: DataFrame) -> DataFrame:
     return rows.select("window_id", "path", "level", "tile", "plane", "x0", "y0", "w0", "h0", "width", "height", "tile_w", "tile_h", "across", "down", "samples", "kind", "packing", "predictor", "apart").join(tiles, ["path", "level", "tile"])
 
 
+_ASKS = 256
+
+
+def asked_tiles(near: DataFrame) -> DataFrame:
+    """A row for each touched tile and up to some hundred windows that touch it (asks); a tile of very many windows has several."""
+    tile = ["path", "level", "tile"]
+    many = near.groupBy(*tile).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = near.join(many, tile).withColumn("part", F.pmod(F.xxhash64("window_id"), F.ceil(F.col("__n") / _ASKS)))
+    about = [F.first(c).alias(c) for c in ("plane", "offset", "size", "width", "height", "tile_w", "tile_h", "across", "down", "samples", "kind", "packing", "predictor", "apart")]
+    return dealt.groupBy(*tile, "part").agg(*about, F.collect_list(F.struct("window_id", "x0", "y0", "w0", "h0")).alias("asks"))
+
+
 def byte_runs(tiles: DataFrame, most_gap: int = 0) -> DataFrame:
-    """(path, begin, length, tiles): tiles that follow each other in a file (gaps up to most_gap) as one request, of a few megabytes at most."""
-    distinct = tiles.filter("size > 0").dropDuplicates(["path", "level", "tile"]).withColumn("__part", F.floor(F.col("offset") / RUN_BYTES))
-    order = Window.partitionBy("path", "__part").orderBy("offset", "level", "tile")
+    """(path, begin, length, tiles): tiles of asked_tiles that follow each other in a file (gaps up to most_gap) as one request, of a few megabytes at most."""
+    distinct = tiles.filter("size > 0").withColumn("__near", F.floor(F.col("offset") / RUN_BYTES))
+    order = Window.partitionBy("path", "__near", "part").orderBy("offset", "level", "tile")
     end = F.max(F.col("offset") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("offset") > end + most_gap).cast("int"), F.lit(1))
     runs = distinct.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
-    inside = F.struct("level", "tile", "plane", "offset", "size", "tile_w", "tile_h", "across", "down", "width", "height", "samples", "kind", "packing", "predictor", "apart")
-    return runs.groupBy("path", "__part", "__run").agg(F.min("offset").alias("begin"), (F.max(F.col("offset") + F.col("size")) - F.min("offset")).alias("length"), F.collect_list(inside).alias("tiles")).drop("__part", "__run")
+    inside = F.struct(*(c for c in tiles.columns if c not in ("path", "part")))
+    return runs.groupBy("path", "__near", "part", "__run").agg(F.min("offset").alias("begin"), (F.max(F.col("offset") + F.col("size")) - F.min("offset")).alias("length"), F.collect_list(inside).alias("tiles")).drop("__near", "__run")
 
 
 _TILE = "path string, level int, tile int, plane int, x0 long, y0 long, bw long, bh long, unit long, data binary"
 
 
-def _decoded(rows: Iterator[tuple[dict, bytes]]) -> Iterator[pa.RecordBatch]:
+def _pixels(run: dict, content: bytes) -> Iterator[tuple[dict, int, int, np.ndarray]]:
+    """Each tile of a run with its first column and row and its pixels, cut at the raster's border."""
+    for t in run["tiles"]:
+        part = content[t["offset"] - run["begin"] : t["offset"] - run["begin"] + t["size"]]
+        pixels = tiff.unpacked(part, t["tile_w"], t["tile_h"], 1 if t["apart"] else t["samples"], t["kind"], t["packing"], t["predictor"])
+        r, c = t["tile"] % (t["across"] * t["down"]) // t["across"] * t["tile_h"], t["tile"] % t["across"] * t["tile_w"]
+        yield t, c, r, pixels[: t["height"] - r, : t["width"] - c]
+
+
+def _whole_tiles(run: dict, content: bytes) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-    for row, content in rows:
+    out = [(run["path"], t["level"], t["tile"], t["plane"], c, r, x.shape[1], x.shape[0], x.shape[2] * x.itemsize, np.ascontiguousarray(x).tobytes()) for t, c, r, x in _pixels(run, content)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _TILE.split(", ")])
+
+
+def _crops(rows: Iterator[tuple[dict, bytes]], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(window_id, plane, row, col, h, data): what each window takes of each tile."""
+    kinds = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    for run, content in rows:
         out = []
-        for t in row["tiles"]:
-            each = 1 if t["apart"] else t["samples"]
-            part = content[t["offset"] - row["begin"] : t["offset"] - row["begin"] + t["size"]]
-            pixels = tiff.unpacked(part, t["tile_w"], t["tile_h"], each, t["kind"], t["packing"], t["predictor"])
-            r, c = t["tile"] % (t["across"] * t["down"]) // t["across"] * t["tile_h"], t["tile"] % t["across"] * t["tile_w"]
-            pixels = np.ascontiguousarray(pixels[: t["height"] - r, : t["width"] - c])
-            out.append((row["path"], t["level"], t["tile"], t["plane"], c, r, pixels.shape[1], pixels.shape[0], each * pixels.itemsize, pixels.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _TILE.split(", ")])
-
-
-def decoded_tiles(runs: DataFrame, open_: Callable[[str], Ranges] = file_or_http, blocks: DataFrame | None = None, block: int = 1 << 16) -> DataFrame:
-    """(path, level, tile, plane, x0, y0, bw, bh, unit, data): the pixels of each tile of the runs, cut at the raster's border."""
+        for t, c, r, x in _pixels(run, content):
+            for ask in t["asks"]:
+                top, left = max(r, ask["y0"]), max(c, ask["x0"])
+                part = x[top - r : max(0, ask["y0"] + ask["h0"] - r), left - c : max(0, ask["x0"] + ask["w0"] - c)]
+                if part.size:
+                    out.append((ask["window_id"], t["plane"], top - ask["y0"], left - ask["x0"], len(part), np.ascontiguousarray(part).tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["window_id", "plane", "row", "col", "h", "data"])
+
+
+def cropped(runs: DataFrame, id_type: str, open_: Callable[[str], Ranges] = file_or_http, blocks: DataFrame | None = None, block: int = 1 << 16, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(window_id, plane, row, col, h, data): reads the runs, unpacks their tiles and cuts out what each window asks for.
+
+    From `blocks` only the bytes of runs travel: the list of wanted bytes goes to the blocks while it has broadcast_rows
+    rows at most (counted first), else both meet by a shuffle.
+    """
+    arrow_id = to_arrow_type(_parse_datatype_string(id_type))
+    schema = f"window_id {id_type}, plane int, row long, col long, h long, data binary"
     if blocks is None:
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield from _decoded((row, open_(row["path"])(row["begin"], row["length"])) for row in b.to_pylist())
-
-        return runs.mapInArrow(fetch, _TILE)
-    # the blocks that a run needs, a few as runs are short, joined by path and place
-    ask = runs.withColumn("__at", F.explode(F.expr(f"transform(sequence(begin div {block}, (begin + length - 1) div {block}), k -> k * {block})")))
-    have = blocks.select("path", F.col("begin").alias("__at"), "data")
-    got = ask.join(have, ["path", "__at"]).groupBy("path", "begin", "length", "tiles").agg(F.array_sort(F.collect_list(F.struct("__at", "data"))).alias("b"))
+                yield from _crops(((row, open_(row["path"])(row["begin"], row["length"])) for row in b.to_pylist()), arrow_id)
+
+        return runs.mapInArrow(fetch, schema)
+    runs = tables.once(runs)
+    span = F.expr(f"transform(sequence(begin div {block}, (begin + length - 1) div {block}), k -> k * {block})")
+    ask = runs.select("path", "part", F.col("begin").alias("first"), "length", F.explode(span).alias("begin"))
+    ask = F.broadcast(ask) if ask.count() <= broadcast_rows else ask
+    place = F.greatest(F.col("first") - F.col("begin"), F.lit(0))
+    held = F.expr("substring(data, cast(__from + 1 as int), cast(least(first + length - begin, octet_length(data)) - __from as int))")
+    parts = blocks.join(ask, ["path", "begin"]).withColumn("__from", place).select("path", "part", "first", "begin", held.alias("bytes"))
+    got = parts.groupBy("path", "part", "first").agg(F.array_sort(F.collect_list(F.struct("begin", "bytes"))).alias("b")).withColumnRenamed("first", "begin")
+    both = runs.join(got, ["path", "part", "begin"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _decoded((row, b"".join(x["data"] for x in row["b"])[row["begin"] - row["b"][0]["__at"] :][: row["length"]]) for row in b.to_pylist())
+            yield from _crops(((row, b"".join(x["bytes"] for x in row["b"])) for row in b.to_pylist()), arrow_id)
 
-    return got.mapInArrow(cut, _TILE)
+    return both.mapInArrow(cut, schema)
 
 
 def resampled(source: np.ndarray, x: float, y: float, w: float, h: float, out_w: int, out_h: int) -> np.ndarray:
@@ -248,11 +288,11 @@ def read_windows(windows: DataFrame, levels: DataFrame, tiles: DataFrame, max_px
     """
     plan = planned(windows, levels, max_px)
     plan, near = tables.once(plan), tables.once(touched(plan, tiles))  # small, and used several times
-    pixels = decoded_tiles(byte_runs(near, most_gap), open_, blocks, block)
-    asked = near.select("window_id", "path", "level", "tile", "plane", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("w0").alias("w"), F.col("h0").alias("h"))
-    pieces = overlay.crops(asked, pixels.drop("plane"), ["path", "level", "tile"])
+    id_type = windows.schema["window_id"].dataType.simpleString()
+    pieces = cropped(byte_runs(asked_tiles(near), most_gap), id_type, open_, blocks, block)
+    gathered = pieces.groupBy("window_id").agg(F.collect_list(F.struct("plane", "row", "col", "h", "data")).alias("pieces"))  # as large as the window
     counts = near.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_tiles"), F.sum("size").alias("tile_bytes"))
-    whole = plan.join(overlay.gathered(pieces, ["window_id"], "plane"), "window_id", "left").join(counts, "window_id", "left")
+    whole = plan.join(gathered, "window_id", "left").join(counts, "window_id", "left")
     whole = whole.select("window_id", "path", "level", "x", "y", "w", "h", "x0", "y0", "w0", "h0", "width", "height", "out_w", "out_h", "samples", "kind", "apart", "pieces", F.coalesce("n_tiles", F.lit(0)).alias("n_tiles"), F.coalesce("tile_bytes", F.lit(0)).alias("tile_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +302,11 @@ def read_windows(windows: DataFrame, levels: DataFrame, tiles: DataFrame, max_px
                 dtype = np.dtype(p["kind"]).newbyteorder("=")
                 planes = range(p["samples"]) if p["apart"] else (0,)
                 unit = dtype.itemsize * (1 if p["apart"] else p["samples"])
-                parts = [overlay.laid([x for x in p["pieces"] or () if x["plane"] == k], p["h0"], p["w0"], unit) for k in planes]
-                source = np.concatenate([np.ascontiguousarray(x).view(dtype) for x in parts], 2)
+                parts = np.zeros((len(planes), p["h0"], p["w0"], unit), np.uint8)
+                for x in p["pieces"] or ():
+                    part = np.frombuffer(x["data"], np.uint8).reshape(x["h"], -1, unit)
+                    parts[x["plane"], x["row"] : x["row"] + x["h"], x["col"] : x["col"] + part.shape[1]] = part
+                source = np.concatenate([x.view(dtype) for x in parts], 2)
                 # zeros beyond the border count as samples, so edges fade out as outside pixels are 0
                 out = resampled(source, p["x"] - p["x0"], p["y"] - p["y0"], p["w"], p["h"], p["out_w"], p["out_h"])
                 seen = out[..., 3] > 0 if out.shape[2] >= 4 else out.any(2)
@@ -272,8 +315,7 @@ def read_windows(windows: DataFrame, levels: DataFrame, tiles: DataFrame, max_px
             kept = [b.column(c) for c in ("window_id", "path", "level", "out_w", "out_h", "n_tiles", "tile_bytes", "samples")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(shares, pa.float64()), pa.array([k[1:] for k in b.column("kind").to_pylist()], pa.string()), pa.array(data, pa.binary())], ["window_id", "path", "level", "out_w", "out_h", "n_tiles", "tile_bytes", "bands", "valid_fraction", "kind", "data"])
 
-    of_id = windows.schema["window_id"].dataType.simpleString()
-    return whole.mapInArrow(run, f"window_id {of_id}, path string, level int, out_w int, out_h int, n_tiles long, tile_bytes long, bands int, valid_fraction double, kind string, data binary")
+    return whole.mapInArrow(run, f"window_id {id_type}, path string, level int, out_w int, out_h int, n_tiles long, tile_bytes long, bands int, valid_fraction double, kind string, data binary")
 
 
 # --- one raster as a data source ----------------------------------------------------------------------------------
@@ -312,10 +354,9 @@ class _TileReader(DataSourceReader):
         if partition is None:  # so Spark asks where there are no partitions
             return
         run = partition.value
-        for batch in _decoded([(run, file_or_http(run["path"])(run["begin"], run["length"]))]):
-            n = batch.num_rows
-            first = [run["length"]] + [0] * (n - 1)  # so that a sum over rows gives the bytes read
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64())], [*batch.schema.names, "bytes_read"])
+        batch = _whole_tiles(run, file_or_http(run["path"])(run["begin"], run["length"]))
+        first = [run["length"]] + [0] * (batch.num_rows - 1)  # so that a sum over rows gives the bytes read
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64())], [*batch.schema.names, "bytes_read"])
 
 
 class TileSource(DataSource):

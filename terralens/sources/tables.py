@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def once(df: DataFrame, *by: str) -> DataFrame:
+def once(df: DataFrame, *by: str, **options: str) -> DataFrame:
     """df, written to the shared folder and read again, so that all readers see the same rows; in folders by the named columns."""
     path = f"{shared_dir(df.sparkSession)}/once-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

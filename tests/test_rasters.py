@@ -214,6 +214,21 @@ def test_patches_across_seams_equal_those_of_the_whole(spark, channels):
         assert abs(r["valid_fraction"] - (want if want.ndim == 2 else want.any(2)).astype(bool).mean()) < 1e-12
 
 
+def test_grid_patches_are_those_of_the_join(spark):
+    rng = np.random.default_rng(12)
+    shapes = [(90, 131), (40, 40), (33, 7), (31, 300), (64, 200)]
+    rasters = spark.createDataFrame([(i, to_struct(rng.integers(0, 256, s).astype(np.uint8))) for i, s in enumerate(shapes)], "raster_id long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    shape = spark.createDataFrame([(i, s[1], s[0]) for i, s in enumerate(shapes)], "raster_id long, width long, height long")
+    for size, overlap, px in ((32, 0.25, 40), (16, 0.0, 7), (6, 0.5, 64)):
+        blocks = overlay.split_blocks(rasters, px)
+        rows = lambda df: {(r["raster_id"], r["col_off"], r["row_off"]): (r["w"], r["h"], bytes(r["image"]["data"]), r["valid_fraction"]) for r in df.collect()}
+        windows = tiling.tile_grid(shape, size, overlap)
+        got = rows(overlay.grid_patches(blocks, size, overlap))
+        assert got == rows(overlay.mosaic_patches(blocks, windows.select("raster_id", "col_off", "row_off", "w", "h"), px)) and len(got) == windows.count()
+    with pytest.raises(ValueError):
+        overlay.grid_patches(blocks, 4, 1.0)
+
+
 def test_blocks_of_different_channels_are_an_error_of_their_windows(spark):
     image = lambda *s: to_struct(np.ones(s, np.uint8))
     blocks = spark.createDataFrame([(1, 0, 0, image(8, 8)), (1, 8, 0, image(8, 8, 3))], "raster_id long, col_off long, row_off long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
