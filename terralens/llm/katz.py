@@ -38,6 +38,10 @@ _SLICES = 6
 _BLOCK_DOCS = 60_000  # their places fit 16 bits
 
 
+#: Words that every task may know the count of.
+_MOST_HOT = 1_000_000
+
+
 def discounts(of_counts: np.ndarray) -> np.ndarray:
     """d(1) .. d(SMALL) from the numbers of types that occur 1 .. SMALL + 1 times.
 
@@ -445,7 +449,8 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     base = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
     trains, size = base.agg(F.sum((~F.col("held_out")).cast("long")), F.sum(F.octet_length("text").cast("long"))).first()
     parts = max(8, -(-int(size or 0) // 20_000_000))
-    hot_from = int(hot_share * (size or 0) / 8 / parts) + 100  # about eight bytes a word
+    # about eight bytes a word; beyond a million words a part may be that much larger instead
+    hot_from = int(max(hot_share / parts, 1 / _MOST_HOT) * (size or 0) / 8) + 100
     counted = base.mapInArrow(lambda it: _count_words(it, parts, block_tokens), _COUNTED).groupBy("part").applyInArrow(lambda g: _word_statistics(g, hot_from), "r long, n long, word long")
     stats, hot = {}, []
     for r in counted.groupBy("r", "word").agg(F.sum("n").alias("n")).collect():
@@ -550,16 +555,24 @@ def evaluate(docs: DataFrame, tables: Tables) -> DataFrame:
     Documents may be others than those that the tables come from. Null texts are empty, repeated rows each have their
     score, an empty table gives none.
     """
+    scratch = Scratch(docs.sparkSession, "katz-scores")
     named = texts(docs, "doc_id").withColumn("row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    at = _tokens(named.dropDuplicates(["row"]), tables.order).withColumn("so_far", F.lit(0.0)).withColumn("done", F.lit(None).cast("double"))
+    at = _tokens(named.dropDuplicates(["row"]), tables.order).withColumn("so_far", F.lit(0.0))
+    known = None
     for k in range(tables.order, 0, -1):
-        at = at.withColumn("h", F.col(f"h{k}") if k > 1 else F.lit("")).join(tables.ngrams[k - 1], ["h", "w"], "left")
-        at = at.withColumn("done", F.coalesce("done", F.col("so_far") + F.log10("p"))).drop("p")
+        met = at.withColumn("h", F.col(f"h{k}") if k > 1 else F.lit("")).join(tables.ngrams[k - 1], ["h", "w"], "left")
+        met = scratch.put(met, f"order-{k}")
+        # tokens with their answer leave; the others back off
+        part = met.filter("p is not null").groupBy("row").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("so_far") + F.log10("p")).alias("score"))
+        known = part if known is None else known.unionByName(part)
+        at = met.filter("p is null").drop("p")
         if k > 1:
             at = at.join(tables.backoffs[k - 2], "h", "left").withColumn("so_far", F.col("so_far") + F.log10(F.coalesce("alpha", F.lit(1.0)))).drop("alpha")
         at = at.drop("h")
-    value = F.coalesce("done", F.col("so_far") + F.lit(float(np.log10(tables.unknown)) if tables.unknown > 0 else float("-inf")))
-    scores = at.groupBy("row").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(value).alias("score"))
+    unknown = F.lit(float(np.log10(tables.unknown)) if tables.unknown > 0 else float("-inf"))
+    known = known.unionByName(at.groupBy("row").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("so_far") + unknown).alias("score")))
+    scores = scratch.put(known.groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score")), "scores")
+    scratch.drop_all_but("scores")
     return named.select("doc_id", "row").join(scores, "row").select("doc_id", "n_tokens", "score")
 
 

@@ -610,6 +610,20 @@ def katz_by_force(rows):
     return [(i, out, len(t), sum(c1[w] > 0 for w in t), n, sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True))) for i, t, out in tokens]
 
 
+def test_discounts_are_good_turings():
+    """By hand: r* = (r + 1) n(r + 1) / n(r), renormalised so that counts above the last discounted one stay whole."""
+    n = {1: 1000, 2: 400, 3: 220, 4: 140, 5: 100, 6: 75, 7: 60}
+    got = katz.discounts(np.array([n[r] for r in range(1, katz.SMALL + 2)]))
+    last = katz.SMALL
+    share = (last + 1) * n[last + 1] / n[1]
+    for r in range(1, last + 1):
+        better = (r + 1) * n[r + 1] / n[r]
+        assert abs(got[r - 1] - (better / r - share) / (1 - share)) < 1e-12 and 0 < got[r - 1] < 1
+    # what the discounts take from seen types is what Good and Turing leave for unseen ones: n(1)
+    assert abs(sum(r * n[r] * (1 - got[r - 1]) for r in range(1, last + 1)) - n[1]) < 1e-9
+    assert all(0 < d < 1 for d in katz.discounts(np.zeros(last + 1)))
+
+
 def test_katz_scores_do_not_depend_on_arrow_batches(spark):
     docs = spark.range(0, 130_000).select(F.lit(2).alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
