@@ -693,6 +693,54 @@ def mosaic_patches(spark, d):
     return _with_pixel_sum(got)
 
 
+@query(f"""WITH {_PICTURE_SQL}, strips AS (SELECT page_id // 256 AS strip, sum(n)::BIGINT AS n FROM pic GROUP BY strip),
+g AS (SELECT count(*) AS strips, sum(2 * ((n - 32) // 24 + 1))::BIGINT AS cut FROM strips)
+SELECT 1 AS run, cut AS patches_created, 0::BIGINT AS skipped, cut AS stored FROM g UNION ALL SELECT 2, 0, strips, cut FROM g""")
+def ingest_run(spark, d):
+    """What two runs of the ingest job report for the same rasters, the pictures of 256 pages each: the second one stores nothing again."""
+    from terralens.plans import pipelines
+    from terralens.settings import Settings
+    from terralens.sources import tables
+
+    affine = [F.lit(v).alias(c) for c, v in zip("abcdef", (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), strict=True)]
+    pages = _pictures(spark, d).select(F.expr("patch_id div 256").alias("raster_id"), "patch_id", F.col("image.height").alias("height"), F.col("image.data").cast("string").alias("px"))
+    strips = pages.groupBy("raster_id").agg(F.sum("height").cast("int").alias("height"), F.array_sort(F.collect_list(F.struct("patch_id", "px"))).alias("p"))
+    strip = F.struct(F.lit("pages").alias("origin"), F.col("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.array_join("p.px", "").cast("binary").alias("data"))
+    rasters = tables.once(strips.select("raster_id", F.col("raster_id").cast("string").alias("product_id"), *affine, strip.alias("image")))
+    at, rows = f"{tables.shared_dir(spark)}/ingest-{uuid.uuid4().hex}", []
+    for run in (1, 2):
+        done = pipelines.ingest(rasters, at, Settings(patch_size=32, overlap=0.25))
+        rows.append((run, done["patches_created"], done["skipped"], spark.read.parquet(f"{at}/patches").select("patch_id").distinct().count()))
+    return spark.createDataFrame(rows, "run int, patches_created long, skipped long, stored long")
+
+
+@query(f"""WITH {_PICTURE_SQL}, v AS (SELECT page_id, ascii(unnest(string_split(px, ''))) AS v FROM pic),
+p AS (SELECT page_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM v GROUP BY page_id)
+SELECT page_id, count(*) AS pixels, sum(CASE WHEN hi <= lo THEN 128 ELSE floor(greatest(0, least(255, (v - lo) / (hi - lo) * 255))) END)::BIGINT AS pixel_sum FROM v JOIN p USING (page_id) GROUP BY page_id""")
+def band_stretch(spark, d):
+    """Each page's picture stretched between its own percentiles, by the kernel that ingest and preprocessing use."""
+    from terralens.operators import image
+
+    out = image.map_images(_pictures(spark, d), image.stretched)
+    data = out.select(F.col("patch_id").alias("page_id"), (F.col("image.height") * F.col("image.width")).cast("long").alias("pixels"), F.col("image.data").alias("data"))
+    return _with_pixel_sum(data)
+
+
+@query(f"""WITH {_SQL_Q}, {_SQL_D}, n AS (SELECT query_id, patch_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), patch_id) AS r FROM d) WHERE r = 2),
+m AS (SELECT query_id, vec_id AS patch_id, k AS method, {_l2("q[1:k]", "embedding[1:k]")} AS distance FROM q, embeddings, (SELECT unnest([8, 32, 64]) AS k)),
+r AS (SELECT method, query_id, patch_id, row_number() OVER (PARTITION BY method, query_id ORDER BY round(distance, 9), patch_id) AS rank FROM m),
+t AS (SELECT method, rank FROM n JOIN r USING (query_id, patch_id))
+SELECT 'first-' || method AS method, k, round(avg((rank <= k)::INT), 6) AS recall FROM t, (SELECT unnest([2, 5, 20]) AS k) GROUP BY method, k""")
+def method_recall(spark, d):
+    """Of each vector's nearest other one, how often vectors cut to fewer numbers still find it among the first k."""
+    from terralens.plans.pipelines import recall_report
+
+    v, q = _vectors(spark, d).select("patch_id", "vec"), _queries(spark, d).select("query_id", "vec")
+    truth = knn.flat_knn_blocks(q, v, 2).filter("rank = 2").select("query_id", "patch_id")
+    cut = lambda df: df.select(F.explode(F.array(*map(F.lit, (8, 32, 64)))).alias("k"), "*").withColumn("vec", F.expr("slice(vec, 1, k)")).withColumn("method", F.concat(F.lit("first-"), "k")).drop("k")
+    return recall_report(cut(q), cut(v), truth, [2, 5, 20]).select("method", "k", F.round("recall", 6).alias("recall"))
+
+
 @query()
 def lcn_clahe(spark, d):
     from terralens.operators import image
