@@ -170,6 +170,8 @@ def touched(plan: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 _ASKS = 256
+#: What a level's tiles have in common.
+_PACKED = ("width", "height", "tile_w", "tile_h", "across", "down", "samples", "kind", "packing", "predictor", "apart")
 
 
 def asked_tiles(near: DataFrame) -> DataFrame:
@@ -177,19 +179,21 @@ def asked_tiles(near: DataFrame) -> DataFrame:
     tile = ["path", "level", "tile"]
     many = near.groupBy(*tile).agg(F.count(F.lit(1)).alias("__n"))
     dealt = near.join(many, tile).withColumn("part", F.pmod(F.xxhash64("window_id"), F.ceil(F.col("__n") / _ASKS)))
-    about = [F.first(c).alias(c) for c in ("plane", "offset", "size", "width", "height", "tile_w", "tile_h", "across", "down", "samples", "kind", "packing", "predictor", "apart")]
+    about = [F.first(c).alias(c) for c in ("plane", "offset", "size", *_PACKED)]
     return dealt.groupBy(*tile, "part").agg(*about, F.collect_list(F.struct("window_id", "x0", "y0", "w0", "h0")).alias("asks"))
 
 
 def byte_runs(tiles: DataFrame, most_gap: int = 0) -> DataFrame:
-    """(path, begin, length, tiles): tiles of asked_tiles that follow each other in a file (gaps up to most_gap) as one request, of a few megabytes at most."""
+    """(path, level, begin, length, tiles): tiles of a level that follow each other in a file (gaps up to most_gap) as one request, of a few megabytes at most."""
     distinct = tiles.filter("size > 0").withColumn("__near", F.floor(F.col("offset") / RUN_BYTES))
-    order = Window.partitionBy("path", "__near", "part").orderBy("offset", "level", "tile")
+    order = Window.partitionBy("path", "level", "__near", "part").orderBy("offset", "tile")
     end = F.max(F.col("offset") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("offset") > end + most_gap).cast("int"), F.lit(1))
     runs = distinct.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
-    inside = F.struct(*(c for c in tiles.columns if c not in ("path", "part")))
-    return runs.groupBy("path", "__near", "part", "__run").agg(F.min("offset").alias("begin"), (F.max(F.col("offset") + F.col("size")) - F.min("offset")).alias("length"), F.collect_list(inside).alias("tiles")).drop("__near", "__run")
+    length = F.max(F.col("offset") + F.col("size")) - F.min("offset")
+    about = [F.first(c).alias(c) for c in _PACKED]
+    inside = F.collect_list(F.struct("tile", "plane", "offset", "size", "asks"))
+    return runs.groupBy("path", "level", "__near", "part", "__run").agg(F.min("offset").alias("begin"), length.alias("length"), *about, inside.alias("tiles")).drop("__near", "__run")
 
 
 _TILE = "path string, level int, tile int, plane int, x0 long, y0 long, bw long, bh long, unit long, data binary"
@@ -197,16 +201,18 @@ _TILE = "path string, level int, tile int, plane int, x0 long, y0 long, bw long,
 
 def _pixels(run: dict, content: bytes) -> Iterator[tuple[dict, int, int, np.ndarray]]:
     """Each tile of a run with its first column and row and its pixels, cut at the raster's border."""
+    across, w, h, width, height = (run[c] for c in ("across", "tile_w", "tile_h", "width", "height"))
+    each, kind, packing, predictor, begin = 1 if run["apart"] else run["samples"], run["kind"], run["packing"], run["predictor"], run["begin"]
     for t in run["tiles"]:
-        part = content[t["offset"] - run["begin"] : t["offset"] - run["begin"] + t["size"]]
-        pixels = tiff.unpacked(part, t["tile_w"], t["tile_h"], 1 if t["apart"] else t["samples"], t["kind"], t["packing"], t["predictor"])
-        r, c = t["tile"] % (t["across"] * t["down"]) // t["across"] * t["tile_h"], t["tile"] % t["across"] * t["tile_w"]
-        yield t, c, r, pixels[: t["height"] - r, : t["width"] - c]
+        at = t["offset"] - begin
+        pixels = tiff.unpacked(content[at : at + t["size"]], w, h, each, kind, packing, predictor)
+        r, c = divmod(t["tile"] % (across * run["down"]), across)
+        yield t, c * w, r * h, pixels[: height - r * h, : width - c * w]
 
 
 def _whole_tiles(run: dict, content: bytes) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-    out = [(run["path"], t["level"], t["tile"], t["plane"], c, r, x.shape[1], x.shape[0], x.shape[2] * x.itemsize, np.ascontiguousarray(x).tobytes()) for t, c, r, x in _pixels(run, content)]
+    out = [(run["path"], run["level"], t["tile"], t["plane"], c, r, x.shape[1], x.shape[0], x.shape[2] * x.itemsize, np.ascontiguousarray(x).tobytes()) for t, c, r, x in _pixels(run, content)]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _TILE.split(", ")])
 
 
@@ -242,13 +248,13 @@ def cropped(runs: DataFrame, id_type: str, open_: Callable[[str], Ranges] = file
         return runs.mapInArrow(fetch, schema)
     runs = tables.once(runs)
     span = F.expr(f"transform(sequence(begin div {block}, (begin + length - 1) div {block}), k -> k * {block})")
-    ask = runs.select("path", "part", F.col("begin").alias("first"), "length", F.explode(span).alias("begin"))
+    ask = runs.select("path", "level", "part", F.col("begin").alias("first"), "length", F.explode(span).alias("begin"))
     ask = F.broadcast(ask) if ask.count() <= broadcast_rows else ask
     place = F.greatest(F.col("first") - F.col("begin"), F.lit(0))
     held = F.expr("substring(data, cast(__from + 1 as int), cast(least(first + length - begin, octet_length(data)) - __from as int))")
-    parts = blocks.join(ask, ["path", "begin"]).withColumn("__from", place).select("path", "part", "first", "begin", held.alias("bytes"))
-    got = parts.groupBy("path", "part", "first").agg(F.array_sort(F.collect_list(F.struct("begin", "bytes"))).alias("b")).withColumnRenamed("first", "begin")
-    both = runs.join(got, ["path", "part", "begin"])
+    parts = blocks.join(ask, ["path", "begin"]).withColumn("__from", place).select("path", "level", "part", "first", "begin", held.alias("bytes"))
+    got = parts.groupBy("path", "level", "part", "first").agg(F.array_sort(F.collect_list(F.struct("begin", "bytes"))).alias("b")).withColumnRenamed("first", "begin")
+    both = runs.join(got, ["path", "level", "part", "begin"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,6 +275,11 @@ def resampled(source: np.ndarray, x: float, y: float, w: float, h: float, out_w:
         return np.clip(both, 0, most - 1), weights
 
     (r, wr), (c, wc) = axis(y, h, out_h, source.shape[0]), axis(x, w, out_w, source.shape[1])
+    if not wr[1].any() and not wc[1].any():  # pixel by pixel
+        out = source[r[0][:, None], c[0][None, :]]
+        out[wr[0] == 0] = 0
+        out[:, wc[0] == 0] = 0
+        return out
     out = np.zeros((out_h, out_w, source.shape[2]))
     for i in range(2):
         for j in range(2):
@@ -338,16 +349,16 @@ class _TileReader(DataSourceReader):
         cols = range(max(0, col // x.tile_w), min(x.across - 1, (col + w - 1) // x.tile_w) + 1)
         rows = range(max(0, row // x.tile_h), min(x.down - 1, (row + h - 1) // x.tile_h) + 1)
         planes = range(x.samples if x.apart else 1)
-        about = {c: getattr(x, c) for c in ("tile_w", "tile_h", "across", "down", "width", "height", "samples", "kind", "packing", "predictor", "apart")}
+        about = {c: getattr(x, c) for c in _PACKED}
         runs: list[dict] = []
         found = [(int(x.offsets[t]), int(x.sizes[t]), t, p) for p in planes for r in rows for c in cols for t in [p * x.across * x.down + r * x.across + c] if x.sizes[t]]
         for offset, size, t, p in sorted(found):
             last = runs[-1] if runs else None
             if last is None or offset > last["begin"] + last["length"] + self.most_gap or offset + size - last["begin"] > RUN_BYTES:
-                last = {"path": self.path, "begin": offset, "length": 0, "tiles": []}
+                last = {"path": self.path, "level": self.level, "begin": offset, "length": 0, "tiles": [], **about}
                 runs.append(last)
             last["length"] = offset + size - last["begin"]
-            last["tiles"].append({"level": self.level, "tile": t, "plane": p, "offset": offset, "size": size, **about})
+            last["tiles"].append({"tile": t, "plane": p, "offset": offset, "size": size})
         return [_Run(r) for r in runs]
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:

@@ -189,8 +189,13 @@ def tiled(image: np.ndarray, tile: int = 256, overviews: int = 0, west: float =
         end = at + size + len(extra)
         return body + struct.pack(f"<{word}", 0 if last else end + end % 2) + extra + b"\0" * (end % 2)
 
-    sizes = [len(directory(k, 0, [0] * len(p), True)) for k, p in enumerate(parts)]
-    sizes = [s + s % 2 for s in sizes]
+    def size_of(k: int) -> int:
+        rows = fields(k, [0] * len(parts[k]))
+        beyond = [len(v) * _TYPES[kind][1] for _, kind, v in rows]
+        n = (8 if big else 2) + entry * len(rows) + inline + sum(x + -x % 8 for x in beyond if x > inline)
+        return n + n % 2
+
+    sizes = [size_of(k) for k in range(len(parts))]
     starts = [head + sum(sizes[:k]) for k in range(len(parts))]
     at, places = head + sum(sizes), []
     for p in parts:
