@@ -119,23 +119,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
     rows = docs.select("doc_id").join(F.broadcast(known), "doc_id").count()
     row = F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row")
     picked = texts(docs, "doc_id").join(F.broadcast(known), "doc_id").select("label", "text", row).filter(F.pmod(F.col("row"), F.lit(1_000_000)) < share(rows))
-    # the pick itself: one row of each hash, the least ones
-    chosen = scratch.put(picked.groupBy("row").agg(F.max("label").alias("label")).orderBy("row").limit(max_labelled), "chosen")
+    # one row of each hash; its text is read and cut into terms once
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("label"), pa.array([t.astype("<i4").tobytes() for t in term_slots(b)], pa.binary())], ["row", "label", "terms"])
+
+    terms = scratch.put(picked.dropDuplicates(["row"]).mapInArrow(_text.tidied(cut), "row long, label int, terms binary"), "terms")
+    # the pick itself: the least ones
+    chosen = scratch.put(terms.select("row", "label").orderBy("row").limit(max_labelled), "chosen")
     n, positive = chosen.agg(F.count(F.lit(1)), F.sum("label")).first()
-    used = picked.select("row", "text").join(F.broadcast(chosen), "row").select("row", "label", "text")
+    used = terms.join(F.broadcast(chosen.select("row")), "row")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen = [np.zeros(SLOTS, np.int64) for _ in range(2)], set()
+        of = [np.zeros(SLOTS, np.int64) for _ in range(2)]
         for b in batches:
-            for r, y, terms in zip(b.column("row").to_pylist(), b.column("label").to_pylist(), term_slots(b), strict=True):
-                if r not in seen:
-                    seen.add(r)
-                    of[int(y > 0)][terms] += 1
+            for y, t in zip(b.column("label").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                of[int(y > 0)][np.frombuffer(t, "<i4")] += 1
         slots = np.flatnonzero(of[0] + of[1])
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(of[0][slots]), pa.array(of[1][slots])], ["slot", "with_0", "with_1"])
 
-    once = used if rows <= n else used.dropDuplicates(["row"])
-    found = once.mapInArrow(counts, "slot long, with_0 long, with_1 long").groupBy("slot").agg(F.sum("with_0").alias("with_0"), F.sum("with_1").alias("with_1")).toArrow()
+    found = used.mapInArrow(counts, "slot long, with_0 long, with_1 long").groupBy("slot").agg(F.sum("with_0").alias("with_0"), F.sum("with_1").alias("with_1")).toArrow()
     slots = np.zeros(0, np.int64)
     if n:
         slots = choose_slots(*(found.column(c).to_numpy() for c in ("slot", "with_0", "with_1")), n - positive, positive, most_slots)
@@ -145,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
         place = np.full(SLOTS, -1, np.int32)
         place[slots] = np.arange(len(slots))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("label"), pa.array([k[k >= 0].tobytes() for k in map(place.__getitem__, term_slots(b))], pa.binary())], ["row", "label", "marks"])
+            marked = [k[k >= 0].tobytes() for k in (place[np.frombuffer(t, "<i4")] for t in b.column("terms").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("label"), pa.array(marked, pa.binary())], ["row", "label", "marks"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {r: (y, np.frombuffer(m, np.int32)) for b in batches for r, y, m in zip(*(b.column(c).to_pylist() for c in ("row", "label", "marks")), strict=True)}
@@ -156,8 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled
         parts = [m.slots.astype("<i8").tobytes(), m.weight.astype("<f8").tobytes(), m.vectors.astype("<f8").tobytes()]
         yield pa.RecordBatch.from_arrays([*(pa.array([p], pa.binary()) for p in parts), pa.array([m.bias])], ["slots", "weight", "vectors", "bias"])
 
-    marked = scratch.put(once.mapInArrow(marks, "row long, label int, marks binary"), "marked")
-    got = marked.coalesce(1).mapInArrow(_text.tidied(fitted), "slots binary, weight binary, vectors binary, bias double").collect()
+    got = used.mapInArrow(marks, "row long, label int, marks binary").coalesce(1).mapInArrow(_text.tidied(fitted), "slots binary, weight binary, vectors binary, bias double").collect()
     scratch.drop_all_but()
     _text.release()
     if not got:
