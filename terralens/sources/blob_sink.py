@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,7 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict) -> None:
         self.root = options["path"].removeprefix("file://").removeprefix("file:").rstrip("/")
         self.pending = f"{self.root}/_pending-{uuid.uuid4().hex}"
+        os.makedirs(self.pending)  # here only: a task that outlives the abort must not make it again
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         folder, files = f"{self.pending}/{uuid.uuid4().hex}", []  # of this try of the task
@@ -38,7 +40,8 @@ class _Writer(DataSourceArrowWriter):
                 clean = os.path.normpath(path or "")
                 if not path or clean.startswith(("/", "..")) or clean == ".":
                     raise ValueError(f"not a path inside the folder: {path}")
-                os.makedirs(folder, exist_ok=True)
+                if not files:
+                    os.mkdir(folder)
                 name = f"{folder}/{len(files)}"
                 with open(name, "wb") as f:
                     f.write(content or b"")
@@ -59,7 +62,11 @@ class _Writer(DataSourceArrowWriter):
         shutil.rmtree(self.pending, ignore_errors=True)
 
     def abort(self, messages: list[Written]) -> None:
-        shutil.rmtree(self.pending, ignore_errors=True)
+        for _ in range(50):  # tasks that still run may put a file into a folder that is being emptied
+            shutil.rmtree(self.pending, ignore_errors=True)
+            if not os.path.exists(self.pending):
+                return
+            time.sleep(0.1)
 
 
 class BlobSink(DataSource):
