@@ -131,23 +131,48 @@ def ivf_knn(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int,
     return ranked(hits, k)
 
 
-def ivf_knn_exact(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, n_probe: int, list_rows: int = 100_000) -> DataFrame:
+def _nearest_of_block(k: int):
+    def run(base: pa.Table, queries: pa.Table) -> pa.Table:
+        """The k nearest vectors of a block for each of its queries, by a matrix product."""
+        ids, other = queries.column("query_id").to_numpy(), base.column("patch_id").to_numpy()
+        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(ids) and len(other):
+            q, v = matrix(queries.column("q").combine_chunks()), matrix(base.column("vec").combine_chunks())
+            rows = []
+            for at in range(0, len(q), 256):
+                some = q[at : at + 256]
+                d = np.maximum((some * some).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * some @ v.T, 0)
+                # ties at the border need their ids, so order by both
+                order = np.lexsort((np.broadcast_to(other, d.shape), np.round(d, 9)), axis=1)[:, :k]
+                rows.append((np.repeat(ids[at : at + 256], order.shape[1]), other[order].ravel(), np.take_along_axis(d, order, 1).ravel()))
+            out = tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "patch_id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+
+    return run
+
+
+def ivf_knn_exact(queries: DataFrame, lists: DataFrame, centroids: DataFrame, k: int, n_probe: int, list_rows: int = 20_000, query_rows: int = 4_096) -> DataFrame:
     """Exact search over lists: the n_probe nearest ones give a bound, and then every list that may hold something nearer.
 
     A vector's distance is at least its centroid's less the list's radius, so a list farther than that from a query whose k
-    nearest are known to be nearer is left out, and no neighbour is lost. Lists over list_rows vectors are joined in parts.
+    nearest are known to be nearer is left out, and no neighbour is lost. Lists over list_rows vectors, and queries over
+    query_rows, meet in parts by a hash: each pair of parts is a matrix product, which passes on its k best.
     """
     ids = centroids.select("list_id", F.col("vec").alias("c"))
     far = lists.join(F.broadcast(ids), "list_id").groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(squared_l2(F.col("vec"), F.col("c")))).alias("radius"))
-    shapes = tables.once(far.withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int")))  # a row a list, as the centroids
+    shapes = tables.once(far.withColumn("parts", F.ceil(F.col("n") / list_rows).cast("long")))  # a row a list, as the centroids
+    blocks = max(1, -(-queries.count() // query_rows))
     pairs = queries.select("query_id", F.col("vec").alias("q")).crossJoin(F.broadcast(ids.join(shapes, "list_id")))
     w = Window.partitionBy("query_id").orderBy(F.round(squared_l2(F.col("q"), F.col("c")), 9), "list_id")
     asked = pairs.withColumns({"r": F.row_number().over(w), "least": F.greatest(F.lit(0.0), F.sqrt(squared_l2(F.col("q"), F.col("c"))) - F.col("radius"))}).drop("c", "n", "radius")
-    dealt = lists.join(F.broadcast(shapes.select("list_id", "parts")), "list_id").withColumn("part", F.pmod(F.xxhash64("patch_id"), F.col("parts"))).drop("parts")
+    dealt = lists.join(F.broadcast(shapes.select("list_id", "parts")), "list_id").withColumn("part", F.pmod(F.xxhash64("patch_id"), F.col("parts"))).select("list_id", "part", "patch_id", "vec")
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def hits(probed: DataFrame) -> DataFrame:
-        probes = probed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("query_id", "q", "list_id", "part")
-        return dealt.join(probes, ["list_id", "part"]).select("query_id", "patch_id", squared_l2(F.col("q"), F.col("vec")).alias("distance"))
+        probes = probed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        probes = probes.select("query_id", "q", "list_id", "part", "block")
+        key = ["list_id", "part", "block"]
+        return dealt.groupBy(*key).cogroup(probes.groupBy(*key)).applyInArrow(_nearest_of_block(k), FOUND)
 
     near = tables.once(ranked(hits(asked.filter(F.col("r") <= n_probe)), k).drop("rank"))
     bounds = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("distance"))).alias("bound"))
