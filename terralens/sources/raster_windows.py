@@ -59,23 +59,22 @@ _INDEX = f"{_LEVEL}, {_PLACE}, offsets array<bigint>, sizes array<bigint>, err s
 
 
 def _index_rows(head: Callable[[dict], Ranges]):
+    names = [c.split()[0] for c in f"{_LEVEL}, {_PLACE}".split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    types = [pa.string(), *(kinds[c.split()[1]] for c in f"{_LEVEL}, {_PLACE}".split(", ")), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in f"{_LEVEL}, {_PLACE}".split(", ")]
         for b in batches:
+            rows = []
             for row in b.to_pylist():
-                rows, err = [], None
                 try:
                     levels, where = tiff.index(head(row))
-                    px, py = where["pixel"] or (None, None)
-                    for k, x in enumerate(levels):
-                        rows.append((k, x.width, x.height, x.tile_w, x.tile_h, x.across, x.down, x.samples, x.kind, x.packing, x.predictor, x.apart, where["west"], where["north"], px, py, where["epsg"], x.offsets.tolist(), x.sizes.tolist()))
+                    place = (where["west"], where["north"], *(where["pixel"] or (None, None)), where["epsg"])
+                    rows += [(row["path"], k, x.width, x.height, x.tile_w, x.tile_h, x.across, x.down, x.samples, x.kind, x.packing, x.predictor, x.apart, *place, x.offsets.tolist(), x.sizes.tolist(), None) for k, x in enumerate(levels)]
                 except Exception as e:  # reported in the row
-                    rows, err = [(None,) * (len(names) + 2)], str(e)[:200] or type(e).__name__
-                columns = list(zip(*rows, strict=True))
-                kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-                made = [pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, f"{_LEVEL}, {_PLACE}".split(", "), strict=False)]
-                made += [pa.array(c, pa.list_(pa.int64())) for c in columns[len(names) :]]
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(rows)), *made, pa.array([err] * len(rows), pa.string())], ["path", *names, "offsets", "sizes", "err"])
+                    rows.append((row["path"], *[None] * (len(types) - 2), str(e)[:200] or type(e).__name__))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", *names, "offsets", "sizes", "err"])
 
     return run
 
@@ -124,8 +123,16 @@ def as_tiled(images: DataFrame, tile: int = 256, overviews: int = 4, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            paths, content, size = [], [], 0
             for path, x in zip(b.column("path").to_pylist(), b.column("image").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([tiff.tiled(from_struct(x), tile, overviews, **options)], pa.binary())], ["path", "content"])
+                paths.append(path)
+                content.append(tiff.tiled(from_struct(x), tile, overviews, **options))
+                size += len(content[-1])
+                if size > RUN_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(content, pa.binary())], ["path", "content"])
+                    paths, content, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(content, pa.binary())], ["path", "content"])
 
     return images.select("path", "image").mapInArrow(run, "path string, content binary")
 
@@ -219,16 +226,23 @@ def _whole_tiles(run: dict, content: bytes) -> pa.RecordBatch:
 def _crops(rows: Iterator[tuple[dict, bytes]], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """(window_id, plane, row, col, h, data): what each window takes of each tile."""
     kinds = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["window_id", "plane", "row", "col", "h", "data"])
+
+    out, size = [], 0
     for run, content in rows:
-        out = []
         for t, c, r, x in _pixels(run, content):
             for ask in t["asks"]:
                 top, left = max(r, ask["y0"]), max(c, ask["x0"])
                 part = x[top - r : max(0, ask["y0"] + ask["h0"] - r), left - c : max(0, ask["x0"] + ask["w0"] - c)]
                 if part.size:
                     out.append((ask["window_id"], t["plane"], top - ask["y0"], left - ask["x0"], len(part), np.ascontiguousarray(part).tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["window_id", "plane", "row", "col", "h", "data"])
+                    size += part.nbytes
+                    if size > RUN_BYTES:
+                        yield batch(out)
+                        out, size = [], 0
+    if out:
+        yield batch(out)
 
 
 def cropped(runs: DataFrame, id_type: str, open_: Callable[[str], Ranges] = file_or_http, blocks: DataFrame | None = None, block: int = 1 << 16, broadcast_rows: int = 1_000_000) -> DataFrame:
