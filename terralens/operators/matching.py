@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralens.functions.vectors import squared_l2
-from terralens.operators.knn import matrix
+from terralens.operators.knn import matrix, products
 
 
 def nested(column: pa.Array, row: int) -> np.ndarray:
@@ -108,11 +108,12 @@ def two_nearest(q: np.ndarray, c: np.ndarray, ratio: float) -> list[tuple[int, i
     """(query, candidate) pairs that pass the ratio test; needs two candidates at least."""
     if len(q) == 0 or len(c) < 2:
         return []
-    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * q @ c.T, 0))
-    order = np.argsort(d, 1, kind="stable")[:, :2]
-    rows = np.arange(len(q))
-    good = d[rows, order[:, 0]] < ratio * d[rows, order[:, 1]]
-    return [(int(i), int(order[i, 0])) for i in np.flatnonzero(good)]
+    good = []
+    for at, d in products(q, c):  # some rows at a time: two large bags have more distances than memory holds
+        best, two = d.argmin(1), np.sqrt(np.partition(d, 1, 1)[:, :2])
+        for i in np.flatnonzero(two[:, 0] < ratio * two[:, 1]).tolist():
+            good.append((at + i, int(best[i])))
+    return good
 
 
 def _similarity(src: np.ndarray, dst: np.ndarray) -> tuple[complex, complex]:

@@ -195,3 +195,16 @@ def test_distractors_are_unit_and_repeatable(spark):
     a = sorted((r["patch_id"], tuple(r["vec"])) for r in distractors(base, 50).collect())
     assert a == sorted((r["patch_id"], tuple(r["vec"])) for r in distractors(base, 50).collect())
     assert len(a) == 50 and all(abs(np.linalg.norm(v) - 1) < 1e-9 for _, v in a)
+
+
+def test_large_bags_match_in_little_memory():
+    import tracemalloc
+
+    x = RNG.normal(size=(3000, 8))
+    y = np.concatenate([x[::-1], x[:1]])  # the first one has two equals and so no match
+    tracemalloc.start()
+    found = matching.two_nearest(x, y, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(i, 2999 - i) for i in range(1, 3000)]
+    assert peak < 40e6  # all distances at once are 72 MB
