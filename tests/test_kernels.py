@@ -208,3 +208,11 @@ def test_large_bags_match_in_little_memory():
     tracemalloc.stop()
     assert found == [(i, 2999 - i) for i in range(1, 3000)]
     assert peak < 40e6  # all distances at once are 72 MB
+
+
+def test_few_images_of_a_batch_are_objects_at_once(spark):
+    x = np.zeros((4, 4), np.uint8)
+    df = spark.createDataFrame([(i, image.to_struct(x)) for i in range(150)], f"patch_id long, image {image.IMAGE}").coalesce(1)
+    seen = image.map_images(df, lambda y: y + 1)
+    assert seen.count() == 150 and {bytes(r["image"]["data"]) for r in seen.collect()} == {bytes([1] * 16)}
+    assert image.PIECE <= 64
