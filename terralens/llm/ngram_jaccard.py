@@ -29,7 +29,7 @@ start, so copies never form pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ _SMALL_SET = 19
 _COUNTERS = 64
 #: Pairs of entries that are looked at together.
 _PAIRS = 1 << 20
+#: Members with no more shingles than this are never sliced.
+_TOGETHER = 20_000_000
 
 
 def band_starts(longest: int) -> np.ndarray:
@@ -487,10 +489,12 @@ def prefixes(n: int, differences: int, centre: int, outside: bool, percent: int)
 class _Join:
     """The steps of one run, which share its base table, survey and scratch folder."""
 
-    def __init__(self, base: DataFrame, percent: int, heavy_least: int, broadcast_nodes: int, hot: int = 64, dense: int = 2048) -> None:
+    def __init__(self, base: DataFrame, percent: int, heavy_least: int, broadcast_nodes: int, hot: int = 64, dense: int = 2048, together: float = 0.5) -> None:
         self.spark, self.base, self.percent, self.few = base.sparkSession, base, percent, broadcast_nodes
         #: entries of one key that a batch may send; members from which a group of differences is a star of the next round
         self.hot, self.dense = hot, dense
+        #: the share of all documents' shingles that members whose differences are looked at together have at most
+        self.together = together
         self.scratch = Scratch(self.spark, "jaccard")
         self.tasks = 4 * self.spark.sparkContext.defaultParallelism  # enough of them to keep all cores busy
         self.survey = self.scratch.put(base.mapInArrow(_text.tidied(_survey), _SURVEY), "survey", "kind")
@@ -514,6 +518,7 @@ class _Join:
             ok = [m for k, m in enumerate(_MULTIPLES) if not bad.get(k)]
             multiples[band] = ok[0] if ok else 1 << 32  # nearly every shingle a segment of its own
         parts = max(self.tasks, -(-int((total or 0) * 0.7) // 4_000_000))  # bounded memory in each
+        self.most_together = max(_TOGETHER, int((total or 0) * self.together))
         plan = Plan(multiples, cost, parts, longest or 1)
         plan.nearby = self._nearby(plan)
         _text.release()
@@ -535,6 +540,10 @@ class _Join:
     def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         return self.scratch.put(df, f"{name}-{self.step}", *by)
 
+    def done(self, *names: str) -> None:
+        """Deletes tables of this step."""
+        self.scratch.drop(*(f"{name}-{self.step}" for name in names))
+
     def signed(self) -> DataFrame:
         """What documents that share a signature make, see _FOUND."""
         plan, hot = self.plan, self.hot
@@ -554,9 +563,17 @@ class _Join:
         sent = self.base.select("text").mapInArrow(_text.tidied(send), _SENT)
         return sent.groupBy("part").applyInArrow(lambda g: _met(g, None), _FOUND)
 
-    def pairs(self, found: DataFrame) -> DataFrame:
-        """(a, b, wide): distinct pairs; wide ones are a centre and a member of a group of three or more."""
-        found = self.put(found, "found", "kind").select("kind", "a", "b", "key")
+    def pairs(self, made: DataFrame | Iterable[DataFrame]) -> DataFrame:
+        """(a, b, wide): distinct pairs; wide ones are a centre and a member of a group of three or more.
+
+        What is made is written one after the other, so one's shuffles are gone before the next begins.
+        """
+        names, found = [], None
+        for k, some in enumerate([made] if isinstance(made, DataFrame) else made):
+            names.append(f"found-{k}")
+            some = self.put(some, names[-1], "kind").select("kind", "a", "b", "key")
+            found = some if found is None else found.unionByName(some)
+            freed(self.spark)
         of = lambda kind: found.filter(F.col("kind") == kind)
         both = of(_PAIR).select("a", "b", F.lit(False).alias("wide")).unionByName(of(_STAR).select("a", "b", F.lit(True).alias("wide")))
         if not of(_HEAD).isEmpty():
@@ -564,7 +581,9 @@ class _Join:
             members = of(_MEMBER).select(F.col("a").alias("lead"), "b", "key").join(heads, ["lead", "key"]).select(F.col("centre").alias("a"), "b")
             more = members.unionByName(heads.select(F.col("centre").alias("a"), F.col("lead").alias("b"))).filter("a <> b")
             both = both.unionByName(more.withColumn("wide", F.lit(True)))
-        return self.put(both.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
+        out = self.put(both.groupBy("a", "b").agg(F.max("wide").alias("wide")), "pairs")
+        self.done(*names)
+        return out
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b): the pairs that link exactly."""
@@ -583,7 +602,9 @@ class _Join:
         if sets.count() > self.wanted:  # rows that repeat
             sets = self.put(sets.groupBy("node").agg(F.first("members").alias("members")), "sets-once")
         both = close.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        return self.put(both.mapInArrow(_text.tidied(run), "a long, b long"), "links")
+        out = self.put(both.mapInArrow(_text.tidied(run), "a long, b long"), "links")
+        self.done("close", "close-nodes", "sets", "sets-once")
+        return out
 
     def _close(self, pairs: DataFrame, maps: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and bitmaps admit a link; maps (node, n, bits).
@@ -619,13 +640,21 @@ class _Join:
         stars = named.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("own") != F.col("other")).alias("out")).filter("out and size > 1")
         return self.put(named.join(stars.select("c", "size"), "c"), "mixed")
 
-    def changed(self, mixed: DataFrame, chunk: int = 256) -> DataFrame:
+    def changed(self, mixed: DataFrame) -> Iterator[DataFrame]:
         """What members of a star that share differences to its centre make, see _FOUND.
 
-        A star's members are dealt in chunks, each with the centre's set, so no star meets in one task.
+        Members and their sets grow faster than the documents, as more of these share a passage. Stars are dealt to so many
+        slices that the sets of one, which are shuffled, stay a share of the input.
         """
+        size = mixed.join(self.maps.select("node", "n"), "node").agg(F.sum("n")).first()[0]
+        slices = max(1, -(-int(size or 0) // self.most_together))
+        for k in range(slices):
+            yield self._changed(mixed.filter(F.pmod(F.xxhash64("c"), F.lit(slices)) == k) if slices > 1 else mixed, f"mixed-{k}")
+
+    def _changed(self, mixed: DataFrame, name: str, chunk: int = 256) -> DataFrame:
+        """changed, of some stars. A star's members are dealt in chunks, each with the centre's set, so no star meets in one task."""
         nodes = mixed.select(F.explode(F.array("c", "node")).alias("node")).distinct()
-        sets = self.sets(nodes, "mixed", short=True)
+        sets = self.sets(nodes, name, short=True)
         chunks = F.ceil(F.col("size") / chunk).cast("int")
         stars = mixed.groupBy("c").agg(F.first("own").alias("own"), F.first("size").alias("size"))
         centres = stars.select("c", F.col("c").alias("node"), "own", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
@@ -667,7 +696,6 @@ class _Join:
     def labels(self) -> DataFrame:
         """(node, component) of all linked nodes."""
         pairs = self.pairs(self.signed())
-        freed(self.spark)
         links = self.links(pairs)
         labels = components(links, self.scratch)
         while True:
@@ -676,7 +704,6 @@ class _Join:
                 return labels
             self.step += 1
             pairs = self.pairs(self.changed(mixed))
-            freed(self.spark)
             more = self.links(pairs)
             if not more.isEmpty():
                 links = links.unionByName(more)
@@ -713,7 +740,7 @@ def classes(docs: DataFrame, percent: int = 75, heavy_least: int = 3, broadcast_
     gives none; other columns are ignored. Sets go by 64-bit hashes of their shingles. Counts cover all documents; only
     the bounded plan (bands, allocations, 16 MiB of costs) reaches the driver. Sets of candidates are picked by a
     broadcast list of up to `broadcast_nodes` nodes (counted first), beyond that by a shuffle. `bounds` are the sizes of
-    groups, `hot` and `dense`, from which another way is taken to the same result.
+    groups, `hot` and `dense`, from which another way is taken to the same result, and `together`, what is compared at a time.
     """
     placed = _placed(docs, ["doc_id", "text"], percent, heavy_least, broadcast_nodes, **bounds)
     least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))

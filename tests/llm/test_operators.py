@@ -202,6 +202,18 @@ def test_differences_to_a_centre_lose_no_link_and_keep_few_pairs(spark):
     assert len(want) > 50 and want <= found and len(found) < len(want) + len(crossing) / 5
 
 
+def test_stars_in_slices_give_the_same_classes(spark, monkeypatch):
+    """Sets of members are shuffled a slice of the stars at a time, and what is done with is deleted."""
+    rng = np.random.default_rng(21)
+    texts = [x for k in range(3) for x in family(rng, 60, 12, 3 + k % 2)]
+    slices, put = [], ngram_jaccard._Join.put
+    monkeypatch.setattr(ngram_jaccard, "_TOGETHER", 1)
+    monkeypatch.setattr(ngram_jaccard._Join, "put", lambda self, df, name, *by: (slices.append((self.step, name)), put(self, df, name, *by))[1])
+    got = ngram_jaccard.classes(docs_of(spark, texts), together=0.3).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes_by_force(list(enumerate(texts)))
+    assert (1, "found-1") in slices
+
+
 def test_a_star_of_unlinked_documents_makes_few_pairs(spark):
     rng = np.random.default_rng(6)
     base = prose(rng, 150).split()
