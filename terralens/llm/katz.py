@@ -18,6 +18,7 @@ evaluate() scores other documents with them, recursively: P(w | uv) = its own pr
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,10 @@ TAIL = 0.5  # what larger counts lose
 BEGIN, END = U(0xA5A5A5A5A5A5A5A5), U(0x5C5C5C5C5C5C5C5C)
 #: A part's words are worked on in this many slices, one after the other, so that memory holds one slice's numbers.
 _SLICES = 6
+#: A part has up to so many units of _SLICES slices each: what it finds of a document travels once, not once a unit.
+_UNITS = 8
+#: Documents whose sums a part holds at a time.
+_HELD_DOCS = 1 << 21
 _BLOCK_DOCS = 60_000  # their places fit 16 bits
 
 
@@ -159,23 +164,26 @@ def _word_statistics(group: pa.Table, hot_from: int) -> pa.Table:
 
 # --- bigrams, dealt by their second word ------------------------------------------------------------------------
 
+#: What _score_slice takes of _SENT.
+_SCORED = ["block", "n_train", "words", "of_word", "history", "times", "docs"]
 _SENT = "part int, slice int, block long, n_train int, words binary, of_word binary, history binary, times binary, docs binary, ids array<long>, held array<boolean>, n array<long>"
 
 
-def _send_bigrams(batches: Iterator[pa.RecordBatch], parts: int, uni: Unigrams, block_tokens: int) -> Iterator[pa.RecordBatch]:
+def _send_bigrams(batches: Iterator[pa.RecordBatch], parts: int, uni: Unigrams, block_tokens: int, units: int = 1) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     names = ["part", "slice", "block", "n_train", "words", "of_word", "history", "times", "docs", "ids", "held", "n"]
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
     for block, rows, n_train, history, word, doc in _blocks(batches, TaskContext.get().partitionId() << 20, block_tokens):
-        part = (word % U(parts * _SLICES)).astype(np.int16 if parts * _SLICES < 32_000 else np.int64)
+        slices = units * _SLICES
+        part = (word % U(parts * slices)).astype(np.int16 if parts * slices < 32_000 else np.int64)
         hot, _ = uni.is_hot(word)
-        part[hot] = _text.mix(word[hot] ^ history[hot]) % U(parts * _SLICES)
+        part[hot] = _text.mix(word[hot] ^ history[hot]) % U(parts * slices)
         order = np.lexsort((history, word, part))
         part, word, history, doc = part[order], word[order], history[order], doc[order].astype("<u2")
         del order
         out = []
-        for p, s in _sliced(part, parts * _SLICES):
+        for p, s in _sliced(part, parts * slices):
             w, h = word[s], history[s]
             new_w = np.append(True, w[1:] != w[:-1])
             new = new_w | np.append(True, h[1:] != h[:-1])
@@ -183,7 +191,7 @@ def _send_bigrams(batches: Iterator[pa.RecordBatch], parts: int, uni: Unigrams,
             times = np.diff(np.append(begin, len(w))).astype("<u4")
             first_w = np.flatnonzero(new_w[begin])
             of_word = np.diff(np.append(first_w, len(begin))).astype("<u4")
-            out.append((p // _SLICES, p % _SLICES, block, n_train, w[new_w].tobytes(), _short(of_word), _six(h[begin]), _short(times), doc[s].tobytes(), None, None, None))
+            out.append((p // slices, p % slices, block, n_train, w[new_w].tobytes(), _short(of_word), _six(h[begin]), _short(times), doc[s].tobytes(), None, None, None))
         ids, held, n = zip(*rows, strict=True)
         out.append((int(block % parts), 0, block, n_train, None, None, None, None, None, list(ids), list(held), list(n)))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -214,68 +222,85 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-#: key: a block or a part; lists by kind, see _score_words.
-_ROWS = "kind string, key long, ids array<long>, ints array<long>, nums array<double>"
+#: key: a block or a part; packed numbers by kind, see _score_words.
+_ROWS = "kind string, key long, ids binary, ints binary, nums binary"
 _INTS = 1 + SMALL  # of a document: known tokens, then bigrams with count 1 .. SMALL
 _HISTORY = 2 + SMALL  # of a history: count, followers with count 1 .. SMALL, followers with more
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    def lists(values: list, kind) -> pa.Array:
-        at = np.cumsum([0, *(0 if v is None else len(v) for v in values)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, kind), *(np.asarray(v, kind) for v in values if v is not None)])))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["kind", "key", "ids", "ints", "nums"])
 
-    return pa.table({
-        "kind": pa.array([r[0] for r in rows], pa.string()), "key": pa.array([r[1] for r in rows], pa.int64()),
-        "ids": lists([r[2] for r in rows], np.int64), "ints": lists([r[3] for r in rows], np.int64), "nums": lists([r[4] for r in rows], np.float64),
-    })
+
+def _refs(x: np.ndarray) -> bytes:
+    return x.astype("<u2").tobytes()  # a block's documents
+
+
+def _sum_rows(refs: np.ndarray, ints: np.ndarray | None, nums: np.ndarray) -> Iterator[tuple]:
+    """A row for each block of the sorted references."""
+    block = refs >> 16
+    begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(refs)])
+    for b, e in zip(begin, np.append(begin, len(refs))[1:], strict=True):
+        yield "sum", int(block[b]), _refs(refs[b:e] & 0xFFFF), None if ints is None else _short(ints[b:e].T.ravel()), np.ascontiguousarray(nums[b:e].T).tobytes()
 
 
-def _score_words(group: pa.Table, uni: Unigrams, parts: int) -> pa.Table:
+def _score_words(batches: Iterator[pa.RecordBatch], uni: Unigrams, keys: int) -> Iterator[pa.RecordBatch]:
     """All that a part's words know. Rows by kind:
 
-    sum: of a block, documents, their ints and (base score, score); alpha: of a part of the histories, histories, their
-    counts and the sum of their followers' P(w); ask: of such a part, histories and block * 65536 + document; docs: of a
-    block, doc_ids and (held out, tokens); stat: counts of counts of bigrams.
+    sum: of a block, documents, their ints and (base score, score); alpha: of one of so many keys of histories, histories,
+    their counts and the sum of their followers' P(w); ask: of such a key, histories and block * 65536 + document; docs: of
+    a block, doc_ids and (held out, tokens); stat: counts of counts of bigrams.
+
+    Histories go on after each unit of slices, documents' sums at the end or when there are many, so memory has a bound.
     """
-    out, of_slice = [], [[] for _ in range(_SLICES)]
-    place = group.column("slice").to_pylist()
-    for row, of in enumerate(place):
-        if group.column("ids")[row].is_valid:
-            r = group.slice(row, 1).to_pylist()[0]
+    of_slice: dict[int, list[pa.RecordBatch]] = {}
+    for b in batches:
+        place = b.column("slice").to_numpy()
+        is_docs = b.column("ids").is_valid().to_numpy(zero_copy_only=False)
+        out = []
+        for r in b.filter(pa.array(is_docs)).select(["block", "ids", "held", "n"]).to_pylist():
             flat = np.empty(2 * len(r["n"]), np.int64)
             flat[::2], flat[1::2] = r["held"], r["n"]
             # a null doc_id cannot be a number of the list: it is marked in the token count's sign
             null = np.array([i is None for i in r["ids"]])
             flat[1::2][null] *= -1
-            out.append(("docs", r["block"], [0 if i is None else i for i in r["ids"]], flat, None))
-        else:
-            of_slice[of].append(row)
-    sums = (np.zeros(0, np.int64), np.zeros((0, _INTS), np.int32), np.zeros((0, 2)))
-    asks: list[tuple[np.ndarray, np.ndarray]] = []
-    histories: list[tuple] = []
-    for rows in of_slice:
-        if rows:
-            new, asked = _score_slice(group.select(["block", "n_train", "words", "of_word", "history", "times", "docs"]).take(rows).to_pylist(), uni, out, histories)
-            sums = _merged(sums, new)
-            asks += asked
-            del new, asked
-            _text.release()
-    out += _history_rows(histories, parts)
-    del histories
-    refs, ints, nums = sums
-    block = refs >> 16
-    begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(refs)])
-    for b, e in zip(begin, np.append(begin, len(refs))[1:], strict=True):
-        out.append(("sum", int(block[b]), refs[b:e] & 0xFFFF, ints[b:e].ravel(), nums[b:e].ravel()))
-    if asks:
-        of_h, ref = (np.concatenate(x) for x in zip(*asks, strict=True))
-        part = ((of_h >> U(20)) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        for p, s in _sliced(part[order], parts):
-            out.append(("ask", p, of_h[order][s].view(np.int64), ref[order][s], None))
+            out.append(("docs", r["block"], np.array([0 if i is None else i for i in r["ids"]], np.int64).tobytes(), flat.tobytes(), None))
+        if out:
+            yield _batch(out)
+        for k in np.unique(place[~is_docs]).tolist():
+            of_slice.setdefault(k, []).append(b.select(_SCORED).filter(pa.array(~is_docs & (place == k))))
+    sums = none = (np.zeros(0, np.int64), np.zeros((0, _INTS), np.int32), np.zeros((0, 2)))
+    for unit in sorted({k // _SLICES for k in of_slice}):
+        out, asks, histories = [], [], []
+        for k in range(unit * _SLICES, (unit + 1) * _SLICES):
+            if k in of_slice:
+                blocks = [r for b in of_slice.pop(k) for r in b.to_pylist()]
+                new, asked = _score_slice(blocks, uni, out, histories)
+                sums = _merged(sums, new)
+                asks += asked
+                del blocks, new, asked
+                _text.release()
+        yield _batch(out)
+        yield from _few_rows(_history_rows(histories, keys))
+        del histories
+        if asks:
+            of_h, ref = (np.concatenate(x) for x in zip(*asks, strict=True))
+            part = ((of_h >> U(20)) % U(keys)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            of_h, ref = of_h[order], ref[order]
+            yield from _few_rows(("ask", p, _six(of_h[s]), ref[s].tobytes(), None) for p, s in _sliced(part[order], keys))
+        if len(sums[0]) > _HELD_DOCS:
+            yield from _few_rows(_sum_rows(*sums))
+            sums = none
+        _text.release()
+    yield from _few_rows(_sum_rows(*sums))
     _text.release()
-    return _table(out)
+
+
+def _few_rows(rows: Iterator[tuple], most: int = 64) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, most)):
+        yield _batch(some)
 
 
 def _merged(a: tuple, b: tuple) -> tuple:
@@ -313,7 +338,7 @@ def _score_slice(blocks: list[dict], uni: Unigrams, out: list, histories: list)
         seen = pair_count > 0
         of_c = pair_count[seen]
         histories.append(_history_sums(h[begin][seen], of_c, p_word[per_word[begin]][seen]))
-        out.append(("stat", 0, None, np.bincount(np.clip(of_c, 0, SMALL + 2), minlength=SMALL + 3)[1 : SMALL + 2], None))
+        out.append(("stat", 0, None, np.bincount(np.clip(of_c, 0, SMALL + 2), minlength=SMALL + 3)[1 : SMALL + 2].astype(np.int64).tobytes(), None))
         # terms of a bigram, then of the rows as they came
         base_w = np.log10((word_count + 1.0) / (uni.tokens + uni.distinct + 1.0))
         own_w = np.where((word_count > 0) & (w[begin_w] != END), -np.log10(np.maximum(word_count, 1)), 0.0)
@@ -354,9 +379,9 @@ def _history_sums(h: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple:
     return h[begin], ints, np.add.reduceat(p, begin)
 
 
-def _history_rows(slices: list[tuple], parts: int) -> Iterator[tuple]:
+def _history_rows(slices: list[tuple], keys: int) -> Iterator[tuple]:
     h = np.concatenate([np.zeros(0, U), *(x[0] for x in slices)])
-    part = ((h >> U(20)) % U(parts)).astype(np.int64)
+    part = ((h >> U(20)) % U(keys)).astype(np.int64)
     order = np.lexsort((h, part))
     h, part = h[order], part[order]
     if not len(h):
@@ -364,45 +389,42 @@ def _history_rows(slices: list[tuple], parts: int) -> Iterator[tuple]:
     begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     ints = np.add.reduceat(np.concatenate([x[1] for x in slices])[order], begin, axis=0)
     sums = np.add.reduceat(np.concatenate([x[2] for x in slices])[order], begin)
-    for k, s in _sliced(part[begin], parts):
-        yield ("alpha", k, h[begin][s].view(np.int64), ints[s].ravel(), sums[s])
+    for k, s in _sliced(part[begin], keys):
+        yield "alpha", k, _six(h[begin][s]), _short(ints[s].T.ravel()), sums[s].tobytes()
 
 
 def _answer(group: pa.Table, pair_discount: np.ndarray) -> pa.Table:
     """Rows of kind sum: log10(alpha(h) c(h)) of every unseen bigram's history, by block and document."""
     hs, ints, ps, asked, refs = [], [], [], [], []
     for r in range(group.num_rows):
-        values = lambda c, r=r: group.column(c)[r].values.to_numpy(zero_copy_only=False)
+        ids = _from_six(group.column("ids")[r].as_py())
         if group.column("kind")[r].as_py() == "alpha":
-            hs.append(values("ids").view(U))
-            ints.append(values("ints").reshape(-1, _HISTORY))
-            ps.append(values("nums"))
+            hs.append(ids)
+            ints.append(_long(group.column("ints")[r].as_py()).astype(np.int32).reshape(_HISTORY, -1).T)
+            ps.append(np.frombuffer(group.column("nums")[r].as_py(), np.float64))
         else:
-            asked.append(values("ids").view(U))
-            refs.append(values("ints"))
+            asked.append(ids)
+            refs.append(np.frombuffer(group.column("ints")[r].as_py(), np.int64))
     if not asked:
-        return _table([])
+        return pa.Table.from_batches([_batch([])])
     asked, refs = np.concatenate(asked), np.concatenate(refs)
     value = np.zeros(len(asked))
     if hs:
-        h, at = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.zeros((len(h), _HISTORY))
-        np.add.at(total, at, np.concatenate(ints))
-        p = np.bincount(at, np.concatenate(ps), len(h))
+        h = np.concatenate(hs)
+        wanted = np.isin(h, asked)  # few histories are asked for
+        h, at = np.unique(h[wanted], return_inverse=True)
+        counts = np.concatenate(ints)[wanted]
+        total = np.stack([np.bincount(at, counts[:, k], len(h)) for k in range(_HISTORY)], 1)
+        p = np.bincount(at, np.concatenate(ps)[wanted], len(h))
         weight = backoff(total, p, pair_discount)
-        place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
-        hit = h[place] == asked
-        value[hit] = (np.log10(weight) + np.log10(total[:, 0]))[place[hit]]
+        if len(h):
+            place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
+            hit = h[place] == asked
+            value[hit] = (np.log10(weight) + np.log10(total[:, 0]))[place[hit]]
     ref, at = np.unique(refs, return_inverse=True)
-    sums = np.bincount(at, value, len(ref))
-    block = ref >> 16
-    begin = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    out = []
-    for b, e in zip(begin, np.append(begin[1:], len(ref)), strict=True):
-        nums = np.zeros((e - b, 2))
-        nums[:, 1] = sums[b:e]
-        out.append(("sum", int(block[b]), ref[b:e] & 0xFFFF, np.zeros((e - b) * _INTS, np.int64), nums.ravel()))
-    return _table(out)
+    nums = np.zeros((len(ref), 2))
+    nums[:, 1] = np.bincount(at, value, len(ref))
+    return pa.Table.from_batches([_batch(list(_sum_rows(ref, None, nums)))])
 
 
 def backoff(counts: np.ndarray, seen_mass: np.ndarray, pair_discount: np.ndarray) -> np.ndarray:
@@ -412,10 +434,17 @@ def backoff(counts: np.ndarray, seen_mass: np.ndarray, pair_discount: np.ndarray
     return lost / counts[:, 0] / np.maximum(1 - seen_mass, 1e-300)
 
 
+def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(r, n) of each batch's stat rows."""
+    for b in batches:
+        n = sum((np.frombuffer(x.as_py(), np.int64) for x in b.column("ints")), np.zeros(SMALL + 1, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(range(SMALL + 1), pa.int32()), pa.array(n, pa.int64())], ["r", "n"])
+
+
 def _added_up(group: pa.Table, pair_discount: np.ndarray, uni: Unigrams) -> pa.Table:
     """One row for each document of a block."""
     kinds = group.column("kind").to_pylist()
-    values = lambda c, r: group.column(c)[r].values.to_numpy(zero_copy_only=False)
+    values = lambda c, r, kind=np.int64: np.frombuffer(group.column(c)[r].as_py(), kind)
     rows = [r for r, k in enumerate(kinds) if k == "docs"]
     if not rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
@@ -423,9 +452,10 @@ def _added_up(group: pa.Table, pair_discount: np.ndarray, uni: Unigrams) -> pa.T
     ints, nums = np.zeros((len(ids), _INTS), np.int64), np.zeros((len(ids), 2))
     for r, k in enumerate(kinds):
         if k == "sum":
-            at = values("ids", r)
-            ints[at] += values("ints", r).reshape(-1, _INTS)
-            nums[at] += values("nums", r).reshape(-1, 2)
+            at = values("ids", r, "<u2")
+            if (few := group.column("ints")[r].as_py()) is not None:
+                ints[at] += _long(few).reshape(_INTS, -1).T
+            nums[at] += values("nums", r, np.float64).reshape(2, -1).T
     score = nums[:, 1] + ints[:, 1:] @ np.log10(pair_discount) - (np.log10(uni.documents) if uni.documents else 0.0)
     return pa.table({
         "doc_id": pa.array(ids, pa.int64(), mask=flat[:, 1] < 0), "held_out": pa.array(flat[:, 0] == 1), "n_tokens": pa.array(np.abs(flat[:, 1])),
@@ -433,7 +463,7 @@ def _added_up(group: pa.Table, pair_discount: np.ndarray, uni: Unigrams) -> pa.T
     })
 
 
-def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", block_tokens: int = 1_000_000, hot_share: float = 0.25) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", block_tokens: int = 1_000_000, hot_share: float = 0.25, unit_bytes: int = 20_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Learns from the rows for which `held_out` (SQL) is not true. Tokens are the words (A-Z folded) and one end. n_known
@@ -442,16 +472,19 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     repeated rows count each time, an empty table gives none; without training rows the only words are unknown, with
     probability 1. Other columns are ignored. The rows must come in the same order when a task is run again (a table
     does). Words go by 64-bit hashes. What is gathered grows with the input and stays dealt out: only the counts of
-    counts and of hot words reach the driver; a word is hot with `hot_share` of a part's tokens, so there are at most
-    1 / hot_share of them for each part. A block has about `block_tokens` tokens.
+    counts and of hot words reach the driver; a word is hot with `hot_share` of a unit's tokens, so there are at most
+    1 / hot_share of them for each unit. A block has about `block_tokens` tokens, a unit the words of about `unit_bytes` of text.
     """
     spark = docs.sparkSession
     base = texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
     trains, size = base.agg(F.sum((~F.col("held_out")).cast("long")), F.sum(F.octet_length("text").cast("long"))).first()
-    parts = max(8, -(-int(size or 0) // 20_000_000))
+    # bounded work in each; a part has some of them, but there are parts for all cores to stay busy
+    keys = max(8, -(-int(size or 0) // unit_bytes))
+    units = max(1, min(_UNITS, keys // (2 * spark.sparkContext.defaultParallelism)))
+    parts = -(-keys // units)
     # about eight bytes a word; beyond a million words a part may be that much larger instead
-    hot_from = int(max(hot_share / parts, 1 / _MOST_HOT) * (size or 0) / 8) + 100
-    counted = base.mapInArrow(lambda it: _count_words(it, parts, block_tokens), _COUNTED).groupBy("part").applyInArrow(lambda g: _word_statistics(g, hot_from), "r long, n long, word long")
+    hot_from = int(max(hot_share / keys, 1 / _MOST_HOT) * (size or 0) / 8) + 100
+    counted = base.mapInArrow(lambda it: _count_words(it, keys, block_tokens), _COUNTED).groupBy("part").applyInArrow(lambda g: _word_statistics(g, hot_from), "r long, n long, word long")
     stats, hot = {}, []
     for r in counted.groupBy("r", "word").agg(F.sum("n").alias("n")).collect():
         if r["word"] is None:
@@ -466,11 +499,16 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     small = float((of_counts[:SMALL] * np.arange(1, SMALL + 1)).sum())
     kept = float((of_counts[:SMALL] * np.arange(1, SMALL + 1) * d).sum()) + (tokens - small) - TAIL * ((stats.get(0) or 0) - of_counts[:SMALL].sum())
     uni = Unigrams(tokens, stats.get(0) or 0, trains or 0, d, kept / tokens if tokens else 0.0, np.array([w for w, _ in hot], U), np.array([n for _, n in hot], np.int64))
-    rows = base.mapInArrow(lambda it: _send_bigrams(it, parts, uni, block_tokens), _SENT).groupBy("part").applyInArrow(lambda g: _score_words(g, uni, parts), _ROWS)
-    model = written(rows, "katz", "kind")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _score_words(batches, uni, keys)
+
+    rows = base.mapInArrow(lambda it: _send_bigrams(it, parts, uni, block_tokens, units), _SENT).groupBy("part").applyInArrow(scored, _ROWS)
+    # readers hold a row group's rows at a time
+    model = written(rows, "katz", "kind", **{"parquet.block.size": str(32 << 20), "compression": "zstd"})
     del rows
     freed(spark)
-    got = model.filter("kind = 'stat'").select(F.posexplode("ints").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+    got = model.filter("kind = 'stat'").select("ints").mapInArrow(_stats, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()
     of_pairs = np.zeros(SMALL + 1, np.int64)
     for r in got:
         of_pairs[r["r"]] = r["n"]

@@ -661,6 +661,20 @@ def test_katz_scores_equal_brute_force(spark):
             assert r["base_score"] == pytest.approx(x[5], rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(x[6], rel=1e-9, abs=1e-9)
 
 
+def test_katz_parts_of_many_units_give_the_same_scores(spark):
+    """A document's sums leave a part once, not once for each unit of its words."""
+    rng = np.random.default_rng(13)
+    texts = [*AWKWARD, *(prose(rng, int(n)) for n in rng.integers(1, 60, 40)), "often " * 900]
+    want = {x[0]: x for x in katz_by_force(list(enumerate(texts)))}
+    size = sum(len((t or "").encode()) for t in texts)
+    got = katz.score(docs_of(spark, texts), block_tokens=500, unit_bytes=size // (16 * spark.sparkContext.defaultParallelism)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        x = want[r["doc_id"]]
+        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (x[1], x[3], x[4])
+        assert r["base_score"] == pytest.approx(x[5], rel=1e-9, abs=1e-9) and r["score"] == pytest.approx(x[6], rel=1e-9, abs=1e-9)
+
+
 def ngram_model_by_force(rows, order):
     """P(w | history) of a Katz model as a function, from counts alone."""
     counts = [Counter() for _ in range(order)]
