@@ -122,6 +122,26 @@ def test_nearest_point_equals_all_pairs(spark):
         assert all(a[0] == w[0] and abs(a[1] - w[1]) < 3e-9 for a, w in zip(few, want, strict=True)), name
 
 
+def test_few_pairs_of_a_point_lie_within_its_bound():
+    r = np.random.default_rng(8)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(r.normal(size=(n, 3)))
+    places, points = unit(2048), unit(1000)
+    tree = evaluate.SphereTree.of(places, 64)
+    rows, leaf, bound = tree.reach(points)
+    held = tree.leaf(places)
+    pairs = sum(int((((places[held == k] - points[i]) ** 2).sum(1) <= bound[i]).sum()) for i, k in zip(rows, leaf, strict=True))
+    assert len(points) <= pairs < 3 * len(points)
+
+
+def test_points_are_dealt_to_tasks_by_number(spark):
+    p = spark.range(1000).coalesce(1).selectExpr("id p", "id * 37 % 360 - 180.0 lon", "id * 53 % 170 - 85.0 lat")
+    q = spark.range(100).selectExpr("id q", "id * 17 % 360 - 180.0 lon", "id * 29 % 170 - 85.0 lat")
+    run = lambda **most: evaluate.nearest_point(p, q, "p", "q", **most)
+    dealt = run(most_points=100)
+    assert "10), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, run().collect())) and dealt.count() == 1000
+
+
 def test_nearest_point_without_places_or_coordinates(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0)], "p long, lon double, lat double")
     none = spark.createDataFrame([], "q string, lon double, lat double")
