@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once: what a lambda holds from outside is computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, _zero(), lambda s, x: s + x.cast("double"))
 
@@ -34,20 +41,18 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     """v / (norm + eps)."""
-    n = norm(v) + F.lit(eps)
-    return F.transform(v, lambda x: x.cast("double") / n)
+    return _once(v, lambda w: _once(norm(w) + F.lit(eps), lambda n: F.transform(w, lambda x: x.cast("double") / n)))
 
 
 def l2_normalize_if(v: Column, above: float = 1e-8) -> Column:
     """v / norm where the norm exceeds `above`, else v."""
-    n = norm(v)
-    return F.when(n > above, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scaled = lambda w, n: F.when(n > above, F.transform(w, lambda x: x.cast("double") / n)).otherwise(F.transform(w, lambda x: x.cast("double")))
+    return _once(v, lambda w: _once(norm(w), lambda n: scaled(w, n)))
 
 
 def rootsift(d: Column, eps: float = 1e-7) -> Column:
     """Square roots of the descriptor's shares; null and empty pass through."""
-    s = total(d) + F.lit(eps)
-    return F.transform(d, lambda x: F.sqrt(x.cast("double") / s))
+    return _once(d, lambda w: _once(total(w) + F.lit(eps), lambda s: F.transform(w, lambda x: F.sqrt(x.cast("double") / s))))
 
 
 def signed_sqrt(v: Column) -> Column:

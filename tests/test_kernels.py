@@ -1,8 +1,12 @@
 """Kernels against small independent computations."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from terralens.functions import vectors as V
 from terralens.operators import image, matching
 from terralens.operators.encoders import BovwEncoder, TokenPoolEncoder, TokenVladEncoder, VladEncoder, Whitening, encoder
 from terralens.operators.knn import VectorIndex, distractors
@@ -197,6 +201,28 @@ def test_distractors_are_unit_and_repeatable(spark):
     assert len(a) == 50 and all(abs(np.linalg.norm(v) - 1) < 1e-9 for _, v in a)
 
 
+def test_what_scales_a_vector_is_computed_once(spark):
+    def seconds(n):
+        v = F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: F.sqrt(x.cast("double")))
+        rows = spark.createDataFrame([(n,)], "n int").repartition(1)  # not folded by the optimizer
+        began = time.perf_counter()
+        got = rows.select(V.l2_normalize(v).alias("a"), V.l2_normalize_if(v).alias("b"), V.rootsift(v).alias("c")).first()
+        want = np.sqrt(np.arange(1, n + 1))
+        for x, y in zip(got, (want / np.linalg.norm(want), want / np.linalg.norm(want), np.sqrt(want / want.sum())), strict=True):
+            assert np.allclose(x, y, rtol=1e-9, atol=1e-9)
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(6_000) < 8  # for each element again it is 36 million steps, several times
+
+
+def test_scaled_vectors_keep_null_and_empty(spark):
+    v = spark.createDataFrame([(0, None), (1, []), (2, [0.0, 0.0]), (3, [3.0, None])], "i int, v array<double>")
+    for f in (V.l2_normalize, V.l2_normalize_if, V.rootsift):
+        got = [r["x"] for r in v.select("i", f(F.col("v")).alias("x")).orderBy("i").collect()]
+        assert got[:3] == [None, [], [0.0, 0.0]] and got[3][1] is None and len(got) == 4, f.__name__
+
+
 def test_large_bags_match_in_little_memory():
     import tracemalloc
 
